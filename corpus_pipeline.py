@@ -31,7 +31,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.bpe_round_trip(docs.select("doc_id", "text")).select("doc_id", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256")
+    return bpe.bpe_round_trip(docs.select("doc_id", "text"), keep_text=False).select("doc_id", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [("language", language), ("quality", good_quality), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("tokens", tokens)]

@@ -225,7 +225,7 @@ def codec(raw: bytes, pattern: str) -> Codec:
     return _codecs[key]
 
 
-def bpe_round_trip(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
+def bpe_round_trip(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, keep_text: bool = True) -> DataFrame:
     """docs with token_ids, n_tokens, ids_sha256 (of the decimal ids, comma-joined) and decoded_sha256 (of the bytes decoded from the ids).
 
     Null and empty texts have no tokens; repeated rows are encoded each; the path of the vocabulary file is read on
@@ -251,10 +251,10 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str | None = None, pattern: str
         tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat.astype(np.int32)))
         return [tokens, sizes, named, decoded]
 
-    return map_texts(docs, encode, "token_ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_texts(docs, encode, "token_ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string", keep_text=keep_text)
 
 
 def op5_byte_level_bpe(spark, sf_dir: str) -> DataFrame:
     from lodestone.llm.common import table
 
-    return bpe_round_trip(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe_round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

@@ -24,10 +24,9 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def text_chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    """Slices of the batch of at most `most` text bytes (one row at least), with the texts as large_binary; null texts are empty."""
-    i = batch.schema.get_field_index(column)
-    texts = batch.column(i).cast(pa.large_binary())
+def text_chunks(batch: pa.RecordBatch, most: int = CHUNK_BYTES, texts: pa.Array | None = None) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Slices of the batch of at most `most` text bytes (one row at least), with the texts (by default its column `text`) as large_binary; null texts are empty."""
+    texts = (batch.column(batch.schema.get_field_index("text")) if texts is None else texts).cast(pa.large_binary())
     if texts.null_count:
         texts = texts.fill_null(b"")
     sizes = pa.compute.binary_length(texts).to_pylist()
@@ -47,25 +46,26 @@ def named_apart(df: DataFrame, results: list[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in taken]
 
 
-def map_texts(df: DataFrame, fn, results: str, column: str = "text", needs: tuple[str, ...] = ()) -> DataFrame:
+def map_texts(df: DataFrame, fn, results: str, column: str = "text", needs: tuple[str, ...] = (), keep_text: bool = True) -> DataFrame:
     """df with result columns, made from chunks of whole texts in Arrow batches; nothing is shuffled.
 
     fn(texts, batch) gets a large_binary array without nulls and the batch with the columns `needs` (as `in_<name>`),
     and returns one Arrow array for each result column. An input column named as a result is replaced by it, whatever
-    its case; all others stay as they are.
+    its case; all others stay as they are, but for the text column unless keep_text.
     """
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
     wanted = T.StructType.fromDDL(results)
-    keep = named_apart(df, wanted.names)
+    keep = named_apart(df, [*wanted.names, *([] if keep_text else [column])])
     row = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(0).alias("_"))
-    packed = df.select(row.alias("row"), F.col(f"`{column}`").alias("in_text"), *[F.col(f"`{c}`").alias(f"in_{c}") for c in needs])
+    inside = column in keep  # the row carries the text already
+    packed = df.select(row.alias("row"), *([] if inside else [F.col(f"`{column}`").alias("in_text")]), *[F.col(f"`{c}`").alias(f"in_{c}") for c in needs])
     types = to_arrow_schema(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in text_chunks(batch, "in_text"):
+            for part, texts in text_chunks(batch, texts=batch.column(0).field(keep.index(column)) if inside else batch.column(1)):
                 made = fn(texts, part)
                 arrays = [a if isinstance(a, pa.Array) and a.type == f.type else (a.cast(f.type) if isinstance(a, pa.Array) else pa.array(a, f.type)) for a, f in zip(made, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=["row", *wanted.names])

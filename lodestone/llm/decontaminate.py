@@ -116,7 +116,7 @@ def _shingle_counts(docs: DataFrame, windows: Windows) -> dict[tuple[int, int],
     return {(r.k, r.h): r.n for r in rows}
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, keep_text: bool = True) -> DataFrame:
     """docs with n_words, n_hit, spans (runs of hit words, last excluded), items (sorted ids with an occurring window) and contaminated."""
     results = "n_words long, n_hit long, spans array<struct<first:long,last:long>>, items array<string>, contaminated boolean"
     spark = docs.sparkSession
@@ -156,12 +156,12 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                 spans[text] = [{"first": a, "last": b} for a, b in zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True)]
             return [count, n_hit, spans, [sorted(x) for x in items], n_hit > 0]
 
-        out = map_texts(out, judge, results, needs=carried)
+        out = map_texts(out, judge, results, needs=carried, keep_text=keep_text or block + 1 < blocks)
     return out
 
 
 def op3_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     from lodestone.llm.common import table
 
-    hits = benchmark_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    hits = benchmark_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), keep_text=False)
     return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")

@@ -171,14 +171,14 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
         own = [at.get(x, 0) for x in batch.column(batch.schema.get_field_index("in_lang")).to_pylist()]
         return [np.where(n > 0, ce[np.arange(len(ce)), own], np.nan)]
 
-    spread = map_texts(chosen, measure, "ce double", needs=("lang",)).where(~F.isnan("ce")).groupBy("lang").agg(F.avg("ce").alias("m"), F.stddev_pop("ce").alias("s")).collect()
+    spread = map_texts(chosen, measure, "ce double", needs=("lang",), keep_text=False).where(~F.isnan("ce")).groupBy("lang").agg(F.avg("ce").alias("m"), F.stddev_pop("ce").alias("s")).collect()
     for r in spread:
         if r.lang in languages:
             model.limit[languages.index(r.lang)] = r.m + max(MARGIN, DEVIATIONS * r.s)
     return model
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None, keep_text: bool = True) -> DataFrame:
     """docs with lang_pred, score (0 to 1: how the normalised likelihood is shared among languages), cross_entropy and rejected.
 
     A text without letters (null, empty) is `und`, score 0, rejected; without any labelled text to learn from all are.
@@ -200,12 +200,12 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
         names = [UNKNOWN if x else model.languages[b] for x, b in zip(none.tolist(), best.tolist(), strict=True)]
         return [names, np.where(none, 0.0, score), low, none | (low > model.limit[best])]
 
-    return map_texts(docs, judge, "lang_pred string, score double, cross_entropy double, rejected boolean")
+    return map_texts(docs, judge, "lang_pred string, score double, cross_entropy double, rejected boolean", keep_text=keep_text)
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:
     from lodestone.llm.common import table
 
     docs = table(spark, sf_dir, "documents")
-    found = identify(docs.select("doc_id", "text"), train(docs))
+    found = identify(docs.select("doc_id", "text"), train(docs), keep_text=False)
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")

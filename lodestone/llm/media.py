@@ -217,7 +217,7 @@ def store(docs: DataFrame, folder: str) -> None:
         raw = texts.to_pylist()
         return [[len(t) for t in raw], pa.array([to_png(payload_of(t)) for t in raw], pa.binary())]
 
-    members = map_texts(docs.select("doc_id", "text"), encode, "n_bytes long, media binary").select("doc_id", "n_bytes", "media")
+    members = map_texts(docs.select("doc_id", "text"), encode, "n_bytes long, media binary", keep_text=False).select("doc_id", "n_bytes", "media")
     members.write.format("media_archive").mode("append").save(folder)
 
 

@@ -113,7 +113,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
         x = statistics(texts)
         return [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))]
 
-    return map_texts(docs, measure, "statistics array<double>")
+    return map_texts(docs, measure, "statistics array<double>", keep_text=False)
 
 
 def train(measured: DataFrame, labels: DataFrame) -> Model | None:
