@@ -5,7 +5,8 @@
    all others; hits are verified by the exact multiset overlap, and connected components follow.
 3. What the least classes can't decide gets an exact rest: in a bucket whose classes lie in several components, those
    outside its largest component are compared, in blocks, with all of its classes in other components. Pairs whose
-   registers agree far less than those of 0.8 are dropped there, the others verified, and the components are final.
+   registers agree far less than those of 0.8 are passed over there, the others verified exactly inside the block, and
+   only one link for each two components leaves it; then the components are final.
 
 A pair of similarity 0.8 shares a bucket with probability 1 - (1 - 0.8^5)^24 = 0.9999. Nothing grows with the square of a
 group but the rest, and there only for classes outside a bucket's largest component.
@@ -28,9 +29,9 @@ from lodestone.llm.words import mix, words
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 #: Registers, of 120, that a pair compared in blocks must share; at 0.8 they are 96 on average and 4.4 the deviation.
-LEAST_SHARED = 72
-#: Classes of one block of the rest.
-BLOCK = 256
+LEAST_SHARED = 76
+#: Classes, and members of their multisets, of one block of the rest.
+BLOCK, BLOCK_MEMBERS = 256, 1 << 17
 _CHUNK = 4 << 20
 
 
@@ -59,19 +60,22 @@ def _signed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.unhex(F.sha2("text", 256)).alias("key"), "text").mapInArrow(sign, "doc_id long, key binary, bands array<long>, registers binary")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose multisets overlap enough."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+def _member_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node and members: the sorted multiset of each node's text, repeated shingles numbered apart."""
     wanted = classes.join(nodes, "node").select("node", "key", "doc_id")
     texts = docs.select(F.unhex(F.sha2("text", 256)).alias("k"), F.col("doc_id").alias("d"), "text")
     found = wanted.join(texts, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("node", "text")
 
     def overlap_sets(texts: pa.Array, _: pa.RecordBatch) -> list:
         text, element = numbered(*multiset(words(texts), SHINGLE))
-        return [_lists(element.view(np.int64), np.bincount(text, minlength=len(texts)))]
+        element = element.view(np.int64)[np.lexsort((element.view(np.int64), text))]
+        return [_lists(element, np.bincount(text, minlength=len(texts)))]
+
+    return materialise(map_texts(found, overlap_sets, "members array<long>", keep_text=False).select("node", "members").dropDuplicates(["node"]), "members")
 
-    sets = map_texts(found, overlap_sets, "members array<long>").select("node", "members").dropDuplicates(["node"])
-    sets = materialise(sets, "members")
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose multisets overlap enough."""
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
     n, m = F.size("x"), F.size("y")
     fits = F.least(n, m) >= SIMILARITY * F.greatest(n, m)
@@ -79,29 +83,49 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     return joined.where(fits).where(both >= SIMILARITY * (n + m - both)).select("a", "b")
 
 
-def _rest(buckets: DataFrame, nodes: DataFrame, label: DataFrame) -> DataFrame:
-    """Pairs of nodes in one bucket but different components whose registers agree on LEAST_SHARED or more."""
-    own = F.coalesce("root", F.col("node"))
-    of = buckets.join(label, "node", "left").select("bucket", "node", own.alias("root"))
+def _blocks(rows: DataFrame, side: str) -> DataFrame:
+    """The rows of each bucket in blocks of about BLOCK rows and BLOCK_MEMBERS members, each one row of arrays."""
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.size("members")) / BLOCK_MEMBERS)).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    columns = ("root", "registers", "members")
+    return dealt.groupBy("bucket", "block").agg(F.collect_list(F.struct(*columns)).alias("r")).select("bucket", *[F.col(f"r.{c}").alias(f"{side}_{c}") for c in columns])
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each pair of blocks, one link (a, b) for each two components that a verified pair of theirs joins."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            sides = []
+            for side in "xy":
+                root, registers, members = (batch.column(f"{side}_{c}")[i].values for c in ("root", "registers", "members"))
+                sides.append((root.to_numpy(), np.frombuffer(b"".join(registers.to_pylist()), np.uint8).reshape(-1, BANDS * ROWS), members.flatten().to_numpy(), np.concatenate([[0], np.cumsum(members.value_lengths().to_numpy())])))
+            (xr, xs, xm, xb), (yr, ys, ym, yb) = sides
+            size = np.diff(yb)
+            links = set()
+            for k in range(len(yr)):
+                own = ym[yb[k] : yb[k + 1]]
+                near = np.flatnonzero((xr != yr[k]) & ((xs == ys[k]).sum(axis=1) >= LEAST_SHARED))
+                n = np.diff(xb)[near]
+                near = near[np.minimum(n, size[k]) >= SIMILARITY * np.maximum(n, size[k])]
+                if len(near):
+                    n = np.diff(xb)[near]
+                    at = np.repeat(xb[near] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    found = own[np.minimum(np.searchsorted(own, xm[at]), len(own) - 1)] == xm[at]
+                    both = np.add.reduceat(found.astype(np.int64), np.cumsum(n) - n)
+                    links.update((min(int(r), int(yr[k])), max(int(r), int(yr[k]))) for r in xr[near[both >= SIMILARITY * (n + size[k] - both)]])
+            a, b = zip(*sorted(links), strict=True) if links else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _rest(buckets: DataFrame, classes: DataFrame, sets: DataFrame, label: DataFrame) -> DataFrame:
+    """Links between components whose members share a bucket: those outside a bucket's largest component against all the bucket's."""
+    of = buckets.join(label, "node", "left").select("bucket", "node", F.coalesce("root", F.col("node")).alias("root"))
     counts = of.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     mixed = counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("largest")).where("roots > 1 and n > 2")
-    of = materialise(of.join(mixed.select("bucket", "n", "roots", "largest"), "bucket").join(nodes.select("node", "registers"), "node"), "mixed")
-    few = of.where("root != largest")
-    sizes = few.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    few = few.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    blocks = few.groupBy("bucket", "block").agg(F.collect_list(F.struct("node", "root", "registers")).alias("others"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs: list[tuple[int, int]] = []
-            for node, root, registers, others in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                them = np.frombuffer(b"".join(o["registers"] for o in others), np.uint8).reshape(len(others), -1)
-                same = (them == np.frombuffer(registers, np.uint8)).sum(axis=1)
-                pairs += [(min(node, o["node"]), max(node, o["node"])) for i in np.flatnonzero(same >= LEAST_SHARED) if (o := others[i])["root"] != root]
-            pairs = sorted(set(pairs))
-            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
-
-    return of.select("bucket", "node", "root", "registers").join(blocks, "bucket").select("node", "root", "registers", "others").mapInArrow(compare, "a long, b long").distinct()
+    of = materialise(of.join(mixed.select("bucket", "largest"), "bucket"), "mixed")
+    full = of.join(classes.select("node", "registers"), "node").join(sets, "node")
+    pairs = _blocks(full, "x").join(_blocks(full.where("root != largest"), "y"), "bucket").drop("bucket")
+    return pairs.mapInArrow(_compare, "a long, b long").distinct()
 
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
@@ -114,11 +138,12 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
     buckets = materialise(rows.join(shared, "bucket").select("bucket", "node", "least"), "buckets")
     stars = materialise(buckets.where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    links = materialise(_verified(stars, classes, docs), "verified")
-    label = components(links)
-    rest = materialise(_rest(buckets.select("bucket", "node"), classes, label.select(F.col("a").alias("node"), F.col("b").alias("root"))).join(stars, ["a", "b"], "left_anti"), "rest")
-    more = materialise(_verified(rest, classes, docs), "verified")
-    label = components(label.union(more))
+    nodes = stars.select(F.col("a").alias("node")).union(stars.select(F.col("b").alias("node"))).distinct()
+    sets = _member_sets(nodes, classes, docs)
+    label = components(_verified(stars, sets))
+    rest = materialise(_rest(buckets.select("bucket", "node"), classes, sets, label.select(F.col("a").alias("node"), F.col("b").alias("root"))), "rest")
+    if rest.limit(1).count():
+        label = components(label.union(rest))
     return classes.select("key", "doc_id", "node").join(label.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("key", "doc_id", "node", F.coalesce("root", "node").alias("root"))
 
 
