@@ -6,13 +6,14 @@ from lodestone.llm.bpe import op5_byte_level_bpe
 from lodestone.llm.decontaminate import op3_benchmark_decontamination
 from lodestone.llm.html_text import op1_html_extraction
 from lodestone.llm.language_id import op7_language_id
+from lodestone.llm.license_scan import op2_license_scan
 from lodestone.llm.media import op8_media_columns
 from lodestone.llm.near_dedup import op6_minhash_near_dedup
 from lodestone.llm.quality import op9_quality_classifier
 from lodestone.llm.shard import op4_kd_tree_sharding
 from lodestone.llm.url_filter import op10_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op3_benchmark_decontamination, op4_kd_tree_sharding, op5_byte_level_bpe, op6_minhash_near_dedup, op7_language_id, op8_media_columns, op9_quality_classifier, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_license_scan, op3_benchmark_decontamination, op4_kd_tree_sharding, op5_byte_level_bpe, op6_minhash_near_dedup, op7_language_id, op8_media_columns, op9_quality_classifier, op10_url_filter)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 

@@ -10,7 +10,7 @@ import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
-from lodestone.llm import bagminhash, bpe, decontaminate, html_text, language_id, media, near_dedup, quality, shard, url_filter
+from lodestone.llm import bagminhash, bpe, decontaminate, html_text, language_id, license_scan, media, near_dedup, quality, shard, url_filter
 from lodestone.llm import queries as llm_queries
 from lodestone.llm.words import shingles, words
 
@@ -109,6 +109,43 @@ def test_html_large_hosts_are_dealt_in_parts(spark, monkeypatch):
     assert len(got) == 40 and all(t.startswith(f"page {i} ") and "menu" not in t for i, t in zip(got.page_id, got.text, strict=True))
 
 
+# 2 ---------------------------------------------------------------------------------------------------------------
+
+
+def brute_licenses(text):
+    """Names whose wording is the nearest in some window of the text's words, found without anchors or compression."""
+    s = license_scan.scanner(tuple(license_scan.TEMPLATES.items()))
+    w, out = [x.encode() for x in split(text)], set()
+    for length in {len(own) for own in s.wordings}:
+        for i in range(len(w)):
+            here = w[max(0, i - length // 4) : i + length + length // 4]
+            near = {s.names[t]: len(d[0]) + len(d[1]) for t in range(len(s.names)) if (d := s.differences(here, t)) is not None}
+            out |= {n for n, d in near.items() if d == min(near.values())}
+    return out
+
+
+def test_license_scan(spark, documents, odd, empty):
+    cases = {
+        "Intro. Released under the MIT License.\nmore": {"MIT"},
+        "LICENSED UNDER THE APACHE LICENSE, VERSION 2.0": {"Apache-2.0"},
+        "This work is licensed under the GNU General Public License, version 2.": {"GPL-2.0"},
+        "This work is licensed under the GNU General Public License, version 4.": set(),
+        "All rights reserved. Licensed under CC BY-NC 4.0.": {"reserved", "CC-BY-NC-4.0"},
+        "Licensed under CC BY 4.0.": {"CC-BY-4.0"},
+        "released under the XYZ license": set(),
+        "Permission is hereby granted, free of charge, to any person getting a copy of this software and its associated documentation files (the Software), to deal in the Software without restriction": {"MIT-permission"},
+    }
+    docs = spark.createDataFrame(list(enumerate(cases)), DOCS)
+    got = {r.text: {x.name for x in r.licenses} for r in license_scan.license_scan(docs.withColumn("LICENSE", F.lit(1))).collect()}
+    assert got == cases
+    for r in license_scan.license_scan(documents.where("text ILIKE '%licen%' OR text ILIKE '%reserved%' OR doc_id < 20").select("doc_id", F.substring_index("text", "\n", -3).alias("text"))).collect():
+        assert {x.name for x in r.licenses} == brute_licenses(r.text)
+    assert license_scan.license_scan(odd).where("license IS NOT NULL").count() == 0
+    assert license_scan.license_scan(empty).count() == 0
+    changed = next(x for r in license_scan.license_scan(docs).collect() for x in r.licenses if x.name == "MIT-permission")
+    assert (changed.lacking, changed.added) == ("obtaining", "getting its") and changed.saved > 50
+
+
 # 3 ---------------------------------------------------------------------------------------------------------------
 
 
