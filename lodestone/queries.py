@@ -390,3 +390,65 @@ def gumbel_counterfactual(spark: SparkSession, d: str) -> DataFrame:
 
     rows = _lines(spark, d).where("l_linestatus = 'O'").select(*_NETWORK).groupBy(*_NETWORK).agg(F.count("*").alias("n")).withColumn("id", F.xxhash64(*_NETWORK))
     return answer(counterfactual(rows, _tables(spark, d), _NETWORK, {"l_linestatus": "F"}, draws=50), "o_orderstatus")
+
+
+@query("""WITH l AS (SELECT 'n_regionkey' AS p, 'Region/' || n_regionkey AS o, 'in region' AS p_label, r_name AS o_label FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey = 3) SELECT * FROM l""")
+def one_hop_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    from lodestone.operators.neighbourhood import one_hop
+
+    source = MappedSource(spark, d)
+    labels = table(spark, d, "region").select(F.concat(F.lit("Region/"), F.col("r_regionkey").cast("string")).alias("s"), F.lit("label").alias("p"), F.col("r_name").alias("o"), F.lit("literal").alias("o_kind"))
+    names = spark.createDataFrame([("n_regionkey", "label", "in region", "literal")], "s string, p string, o string, o_kind string")
+    return one_hop(source.triples("Nation").unionByName(labels).unionByName(names), "Nation/3")
+
+
+@query("SELECT 'shared' AS kind, 'Region/' || a.n_regionkey AS via, 'n_regionkey' AS p, 'n_regionkey' AS q FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey WHERE a.n_nationkey = 1 AND b.n_nationkey = 2")
+def relational_path(spark: SparkSession, d: str) -> DataFrame:
+    from lodestone.operators.neighbourhood import relational_path as path
+
+    return path(MappedSource(spark, d).triples("Nation"), "Nation/1", "Nation/2")
+
+
+@query("SELECT l_orderkey, arg_max(l_returnflag, l_linenumber * 1000 + ascii(l_returnflag)) AS l_returnflag FROM lineitem GROUP BY 1")
+def entity_attribution(spark: SparkSession, d: str) -> DataFrame:
+    """The last line's flag of each order."""
+    from lodestone.operators.neighbourhood import attributed
+
+    return attributed(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"), "l_orderkey", "l_returnflag", "l_linenumber")
+
+
+@query("""WITH w AS (SELECT o_totalprice AS x, sum(o_totalprice * 0 + 1.0::DOUBLE) AS w FROM orders GROUP BY 1), c AS (SELECT x, sum(w) OVER (ORDER BY x) / sum(w) OVER () AS c, lag(x) OVER (ORDER BY x) AS px FROM w),
+p AS (SELECT x, c, px, lag(c) OVER (ORDER BY x) AS pc FROM c)
+SELECT round((SELECT px + (x - px) * (0.025 - pc) / (c - pc) FROM p WHERE c >= 0.025 ORDER BY c LIMIT 1), 4) AS low, round((SELECT px + (x - px) * (0.975 - pc) / (c - pc) FROM p WHERE c >= 0.975 ORDER BY c LIMIT 1), 4) AS high""")
+def weighted_interval(spark: SparkSession, d: str) -> DataFrame:
+    out = weighted.interval(table(spark, d, "orders").select("o_totalprice", F.lit(1.0).alias("w")), "o_totalprice", "w")
+    return out.select(F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
+
+
+@query(f"""WITH p AS (SELECT l_linestatus, l_returnflag, count(*) / sum(count(*)) OVER (PARTITION BY l_linestatus) AS p FROM {_LINES} GROUP BY 1, 2)
+SELECT coalesce(a.l_returnflag, b.l_returnflag) AS level, round(coalesce(a.p, 0) - coalesce(b.p, 0), 9) AS difference FROM (SELECT * FROM p WHERE l_linestatus = 'F') a FULL JOIN (SELECT * FROM p WHERE l_linestatus = 'O') b ON a.l_returnflag = b.l_returnflag""")
+def observed_contrast(spark: SparkSession, d: str) -> DataFrame:
+    df = _lines(spark, d)
+    one = lambda v: profile.distribution(df.where(F.col("l_linestatus") == v), "l_returnflag")
+    return profile.contrast(one("F"), one("O")).withColumn("difference", F.round("difference", 9))
+
+
+@query()
+def falsification(spark: SparkSession, d: str) -> DataFrame:
+    """The independences that the example network claims, tested."""
+    from lodestone.operators.evaluation import falsification as test
+
+    return test(_lines(spark, d), _NETWORK)
+
+
+@query()
+def clinic_flat_join(spark: SparkSession, d: str) -> DataFrame:
+    """The flat join of a simulated clinic of 500 patients from its triples: the one item with a published time."""
+    from lodestone.plans.schema import inferred_schema
+    from lodestone.sources.ntriples import TripleSource
+    from lodestone.sources.simulate import as_triples, clinic
+    from lodestone.storage import materialise
+
+    triples = materialise(as_triples(clinic(spark)), "clinic")
+    schema = inferred_schema(triples)
+    return flat_join(schema, TripleSource(triples), [n for n in schema.nodes() if n.kind == "data"]).df
