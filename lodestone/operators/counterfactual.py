@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import gumbel, uniform
 from lodestone.operators.inference import _rows, descendants, topological
+from lodestone.storage import broadcast_if_small
 
 TINY = 1e-300
 
@@ -56,10 +57,10 @@ def counterfactual(rows: DataFrame, tables: dict[str, DataFrame], network: dict[
             out = out.withColumn(f"cf_{node}", F.col(node))
         else:
             parents = network[node]
-            seen = _rows(tables[node], parents, node)
-            out = out.join(F.broadcast(seen), parents, "left").withColumn("_g", F.map_from_arrays("_levels", _noise(node, seed + k, keys))).drop("_levels", "_ps")
+            seen = broadcast_if_small(_rows(tables[node], parents, node))
+            out = out.join(seen, parents, "left").withColumn("_g", F.map_from_arrays("_levels", _noise(node, seed + k, keys))).drop("_levels", "_ps")
             moved = seen.select(*[F.col(p).alias(f"cf_{p}") for p in parents], "_levels", "_ps")
-            out = out.join(F.broadcast(moved), [f"cf_{p}" for p in parents], "left")
+            out = out.join(moved, [f"cf_{p}" for p in parents], "left")
             out = out.withColumn("_n", _kept_or_fresh(node, seed + k, keys)).withColumn(f"cf_{node}", F.coalesce(_argmax("_n"), F.col(node))).drop("_g", "_n", "_levels", "_ps")
     return out
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import normal, uniform
+from lodestone.storage import broadcast_if_small
 
 LOW_ESS = 100.0
 
@@ -145,8 +146,8 @@ def sample(spark: SparkSession, tables: dict[str, DataFrame], network: dict[str,
         if node in (do or {}):
             out = out.withColumn(node, F.lit(do[node]))
             continue
-        rows = _rows(tables[node], network[node], node)
-        out = out.join(F.broadcast(rows), network[node], "left") if network[node] else out.crossJoin(F.broadcast(rows))
+        rows = broadcast_if_small(_rows(tables[node], network[node], node))
+        out = out.join(rows, network[node], "left") if network[node] else out.crossJoin(rows)
         if node in (evidence or {}):
             out = out.withColumn(node, F.lit(evidence[node])).withColumn("weight", F.col("weight") * F.coalesce(F.try_element_at(F.map_from_arrays("_levels", "_ps"), F.lit(evidence[node])), F.lit(0.0)))
         else:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,3 +24,12 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows up to which a side of a join is broadcast.
+MOST_BROADCAST = 50_000
+
+
+def broadcast_if_small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """df marked for broadcast if counting it finds at most `most` rows; else df as it is, for Spark to join by a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
