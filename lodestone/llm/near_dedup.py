@@ -148,15 +148,15 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row for each document: doc_id, class_id (least doc_id of equal texts) and group_id (least doc_id of the near-duplicates it is linked with, over any number of links).
+    """One row for each document: doc_id, class_id (least doc_id of the near-duplicates that it is linked with, over any number of links) and same_text_id (least doc_id of equal texts).
 
     Null and wordless texts are near no other text; a null text equals an empty one; repeated rows share a class; a
     class of null ids only has null ids; an empty table gives no rows.
     """
     classes = materialise(near_duplicate_classes(docs), "grouped")
-    groups = classes.groupBy("root").agg(F.min("doc_id").alias("group_id"))
-    named = classes.join(groups, "root").select("key", F.col("doc_id").alias("class_id"), "group_id")
-    return docs.select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("key")).join(named, "key").select("doc_id", "class_id", "group_id")
+    groups = classes.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    named = classes.join(groups, "root").select("key", "class_id", F.col("doc_id").alias("same_text_id"))
+    return docs.select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("key")).join(named, "key").select("doc_id", "class_id", "same_text_id")
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ def test_stages_keep_what_they_should(spark, sf):
     assert {r.doc_id for r in good.collect()} == {t.doc_id for t, s in zip(texts, score, strict=True) if s >= 0.7}
     single = steps["near_duplicates"](spark, good, sf).cache()
     groups, n = brute_groups([tuple(r) for r in good.select("doc_id", "text").collect()])
-    assert {r.doc_id for r in single.collect()} == {g for _, _, g in groups} and single.count() == n
+    assert {r.doc_id for r in single.collect()} == {g for _, g, _ in groups} and single.count() == n
     clean = steps["benchmark"](spark, single, sf).cache()
     hits = brute_hits([tuple(r) for r in single.select("doc_id", "text").collect()], [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()])
     assert {r.doc_id for r in clean.collect()} == set(hits[~hits.contaminated].doc_id)

@@ -280,7 +280,7 @@ def brute_groups(docs):
     members = collections.defaultdict(list)
     for i, t in enumerate(texts):
         members[root(i)] += by[t]
-    return sorted(((d, least(by[t]), least(members[root(i)])) for i, t in enumerate(texts) for d in by[t]), key=str), sum(1 for i in range(len(texts)) if root(i) == i)
+    return sorted(((d, least(members[root(i)]), least(by[t])) for i, t in enumerate(texts) for d in by[t]), key=str), sum(1 for i in range(len(texts)) if root(i) == i)
 
 
 def near_copies(seed=5):
