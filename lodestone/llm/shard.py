@@ -4,14 +4,14 @@ A node of k shards is split at the weighted quantile k_left / k of its bytes alo
 range of values against the whole table's), until each leaf is one shard and so holds the target bytes. Rows of equal
 value are ordered by a hash of all their metadata, so a value that a third of all rows share is split as well as any.
 
-The quantiles of all nodes of a level are found together: each round counts the bytes of CELLS cells of every node's
-open interval in Spark, with partial aggregation, and keeps the cell of the quantile. At most SHARDS * CELLS sums
-reach the driver, whatever the input; rows never do, and no task sees a whole node or shard.
+The quantiles of all nodes of a level are found together: each round sums the bytes of 4,096 cells of every node's
+open interval in Spark, with partial aggregation, and keeps the cell of the quantile. At most that many sums for each of
+half the shards reach the driver, whatever the input; rows never do, and no task sees a whole node or shard.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import materialise
 
 SHARDS = 24
-CELL_BITS = 10
-CELLS = 1 << CELL_BITS
+CELL_BITS = 12
 #: A cut may leave this share of a shard on the wrong side before another round of cells is worth while.
 TOLERANCE = 0.002
 #: Rows of one block of a shard, within which they are numbered.
 SLOT_ROWS = 2048
-_KEY_BITS = 30  # of a dimension's position, and as many of the hash below it
+#: Rounds of cells that a key has: the first along the dimension, over the node's own range, the others by the row's hash.
+ROUNDS = 4
 
 
 def _prefix_number(name: str) -> Column:
@@ -41,7 +41,7 @@ _COLUMNS = {"d_source": "source", "d_lang": "lang", "d_id": "doc_id", "d_size":
 
 @dataclass
 class Node:
-    """shards from `first` on, `n` of them; `dim` and `cut` (the last key of the left side) if it was split."""
+    """`n` shards from `first` on, with their bytes; if it is split: the dimension, its range in the node, and the last key of the left side."""
 
     first: int
     n: int
@@ -50,57 +50,53 @@ class Node:
     low: float = 0.0
     high: float = 0.0
     cut: int = -1
-    parts: list[Node] = field(default_factory=list)
 
 
 def _by_node(nodes: list[Node], value) -> Column:
-    """value(node) for the node of a row."""
-    return F.create_map(*[x for n in nodes for x in (F.lit(n.first), value(n))])[F.col("node")]
+    """value(node) for the node of a row; null for other nodes."""
+    return F.create_map(*[x for n in nodes for x in (F.lit(n.first), F.lit(value(n)))])[F.col("node")]
 
 
-def _key(dims: dict[str, tuple[float, float]], dim: str) -> Column:
-    """Place along a dimension, and below it a hash of the row."""
-    low, high = dims[dim]
-    place = F.floor((F.col(dim) - low) / (high - low) * ((1 << _KEY_BITS) - 1)) if high > low else F.lit(0)
-    return F.shiftleft(place.cast("long"), _KEY_BITS) + F.pmod(F.col("h"), F.lit(1 << _KEY_BITS))
+def _key(nodes: list[Node]) -> Column:
+    """CELL_BITS of the row's place in its node's range of the node's dimension, and below them a hash of the row."""
+    value = F.coalesce(*[F.when(F.col("node").isin([n.first for n in nodes if n.dim == d]), F.col(d)) for d in sorted({n.dim for n in nodes})])
+    place = F.floor((value - _by_node(nodes, lambda n: n.low)) * _by_node(nodes, lambda n: ((1 << CELL_BITS) - 1) / (n.high - n.low) if n.high > n.low else 0.0))
+    below = (ROUNDS - 1) * CELL_BITS
+    return F.shiftleft(place.cast("long"), below) + F.pmod(F.col("h"), F.lit(1 << below))
 
 
-def _split(rows: DataFrame, nodes: list[Node], dims: dict[str, tuple[float, float]], target: float) -> None:
-    """Find dimension and cut of each node."""
-    ranges = rows.groupBy("node").agg(F.sum("size").alias("total"), *[f(d).alias(f"{k}_{d}") for d in dims for k, f in (("low", F.min), ("high", F.max))]).collect()
+def _split(rows: DataFrame, nodes: list[Node], extent: dict[str, float], target: float) -> list[Node]:
+    """The nodes that have rows, with dimension and cut."""
+    dims = list(extent)
     of = {n.first: n for n in nodes}
-    for r in ranges:
-        node, spread = of[r.node], {d: (r[f"high_{d}"] - r[f"low_{d}"]) / (dims[d][1] - dims[d][0]) if dims[d][1] > dims[d][0] else 0.0 for d in dims}
-        node.total, node.dim = r.total, max(dims, key=lambda d: (spread[d], d))
+    for r in rows.groupBy("node").agg(F.sum("size").alias("total"), *[f(d).alias(f"{k}_{d}") for d in dims for k, f in (("low", F.min), ("high", F.max))]).collect():
+        n = of[r.node]
+        spread = {d: (r[f"high_{d}"] - r[f"low_{d}"]) / extent[d] if extent[d] > 0 else 0.0 for d in dims}
+        n.total, n.dim = r.total, max(dims, key=lambda d: (spread[d], d))
+        n.low, n.high = r[f"low_{n.dim}"], r[f"high_{n.dim}"]
     nodes = [n for n in nodes if n.dim]
-    open_nodes, before, base = nodes, {n.first: 0 for n in nodes}, {n.first: 0 for n in nodes}
-    for shift in range(2 * _KEY_BITS - CELL_BITS, -1, -CELL_BITS):
-        if not open_nodes:
-            break
-        key = F.coalesce(*[F.when(F.col("node").isin([n.first for n in open_nodes if n.dim == d] or [-1]), _key(dims, d)) for d in dims])
-        in_open = F.shiftright("key", shift + CELL_BITS) == _by_node(open_nodes, lambda n, s=shift: F.lit(base[n.first] >> (s + CELL_BITS)))
-        cells = rows.where(F.col("node").isin([n.first for n in open_nodes])).select("node", key.alias("key"), "size").where(in_open).groupBy("node", F.shiftright("key", shift).alias("cell")).agg(F.sum("size").alias("bytes")).collect()
-        still = []
-        for n in open_nodes:
+    searched, before, base = nodes, {n.first: 0 for n in nodes}, {n.first: 0 for n in nodes}
+    for shift in range((ROUNDS - 1) * CELL_BITS, -1, -CELL_BITS):
+        keyed = rows.where(F.col("node").isin([n.first for n in searched])).select("node", _key(searched).alias("key"), "size")
+        inside = F.shiftright("key", shift + CELL_BITS) == _by_node(searched, lambda n, s=shift + CELL_BITS: base[n.first] >> s)
+        cells = keyed.where(inside).groupBy("node", F.shiftright("key", shift).alias("cell")).agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()
+        cells.sort(key=lambda r: (r.node, r.cell))
+        left: list[Node] = []
+        for n in searched:
             wanted, seen = n.total * (n.n // 2) / n.n, before[n.first]
-            for r in sorted((r for r in cells if r.node == n.first), key=lambda r: r.cell):
+            for r in (r for r in cells if r.node == n.first):
                 if seen + r.bytes >= wanted:
-                    left_over, right_over = wanted - seen, seen + r.bytes - wanted
-                    n.cut = (r.cell << shift) - 1 if left_over < right_over else ((r.cell + 1) << shift) - 1
-                    if min(left_over, right_over) > TOLERANCE * target and shift:
+                    less, more = wanted - seen, seen + r.bytes - wanted
+                    n.cut = ((r.cell + (less >= more)) << shift) - 1
+                    if min(less, more) > TOLERANCE * target and shift and r.rows > 1:
                         before[n.first], base[n.first] = seen, r.cell << shift
-                        still.append(n)
+                        left.append(n)
                     break
                 seen += r.bytes
-        open_nodes = still
-
-
-def _place(node: Node, limits: dict[str, tuple[float, float]]) -> Column:
-    """The first shard of the leaf that a row falls into."""
-    if not node.parts:
-        return F.lit(node.first)
-    left, right = (_place(p, limits) for p in node.parts)
-    return F.when(_key(limits, node.dim) > F.lit(node.cut), right).otherwise(left)
+        searched = left
+        if not searched:
+            break
+    return nodes
 
 
 def kd_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -113,21 +109,15 @@ def kd_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     present = {c.lower() for c in docs.columns}
     dims = {d: c for d, c in _COLUMNS.items() if c in present or c == "size"}
     flat = docs.select("doc_id", *[c for c in ("source", "lang") if c in present], (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    rows = materialise(flat.select("doc_id", "size", "text_crc32", *[DIMENSIONS[d](c).alias(d) for d, c in dims.items()], F.xxhash64(*flat.columns).alias("h")), "metadata")
-    extent = rows.agg(F.sum("size").alias("total"), *[f(d).alias(f"{k}_{d}") for d in dims for k, f in (("low", F.min), ("high", F.max))]).first()
-    root = Node(0, shards)
-    if extent.total is not None:
-        limits = {d: (extent[f"low_{d}"], extent[f"high_{d}"]) for d in dims}
-        level = [root]
-        while level := [n for n in level if n.n > 1]:
-            placed = rows.withColumn("node", _place(root, limits)).where(F.col("node").isin([n.first for n in level]))
-            _split(placed, level, limits, extent.total / shards)
-            for n in level:
-                n.parts = [Node(n.first, n.n // 2), Node(n.first + n.n // 2, n.n - n.n // 2)] if n.dim else []
-            level = [p for n in level for p in n.parts]
-    else:
-        limits = {}
-    return rows.select("doc_id", "size", "text_crc32", _place(root, limits).cast("int").alias("shard"))
+    rows = materialise(flat.select("doc_id", "size", "text_crc32", *[DIMENSIONS[d](c).alias(d) for d, c in dims.items()], F.xxhash64(*flat.columns).alias("h"), F.lit(0).alias("node")), "metadata")
+    whole = rows.agg(F.sum("size").alias("total"), *[(F.max(d) - F.min(d)).alias(d) for d in dims]).first()
+    level = [Node(0, shards)] if whole.total is not None else []
+    while level := [n for n in level if n.n > 1]:
+        level = _split(rows.where(F.col("node").isin([n.first for n in level])), level, {d: whole[d] for d in dims}, whole.total / shards)
+        right = F.coalesce(_key(level) > _by_node(level, lambda n: n.cut), F.lit(False))
+        rows = materialise(rows.withColumn("node", F.col("node") + F.when(right, _by_node(level, lambda n: n.n // 2)).otherwise(0)), "nodes")
+        level = [p for n in level for p in (Node(n.first, n.n // 2), Node(n.first + n.n // 2, n.n - n.n // 2))]
+    return rows.select("doc_id", "size", "text_crc32", F.col("node").alias("shard"))
 
 
 def with_slots(rows: DataFrame) -> DataFrame:
@@ -146,5 +136,5 @@ def with_slots(rows: DataFrame) -> DataFrame:
 def op4_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.common import table
 
-    rows = with_slots(materialise(kd_shards(table(spark, sf_dir, "documents")), "shards"))
+    rows = with_slots(kd_shards(table(spark, sf_dir, "documents")))
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
