@@ -27,8 +27,8 @@ from lodestone.llm.common import map_texts
 
 #: Most token pairs and most pieces that one Python worker keeps; the caches start anew beyond them, which costs only time.
 MOST_PAIRS, MOST_PIECES = 2_000_000, 400_000
-#: Bytes of a piece after which the agreed tokens are written.
-WRITE_EVERY = 4096
+#: Bytes of a piece after which the agreed tokens are written, and tokens of one step of decoding.
+WRITE_EVERY, DECODE_EVERY = 4096, 16384
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 _ROOT, _NO_MERGE = 0, 1 << 62
 
@@ -246,7 +246,10 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str | None = None, pattern: str
         for x in ids:
             x = x.tolist()
             named.append(sha256(",".join(map(c.decimal.__getitem__, x)).encode()).hexdigest())
-            decoded.append(sha256(c.decode_bytes(x)).hexdigest())
+            back = sha256()
+            for part in c.decode_stream(x[i : i + DECODE_EVERY] for i in range(0, len(x), DECODE_EVERY)):
+                back.update(part.encode())
+            decoded.append(back.hexdigest())
         flat = np.concatenate(ids) if ids else np.zeros(0, c.dtype)
         tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat.astype(np.int32)))
         return [tokens, sizes, named, decoded]
