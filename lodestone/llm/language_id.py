@@ -3,7 +3,7 @@
 Texts become runs of lower-cased letters with single spaces between. A model of order 4 is stored as sorted arrays
 of n-gram keys, exact for the 16-bit plane, with a probability for each language. A text gets the language of lowest
 cross-entropy for each character; it is rejected if that lies beyond what the language's own training texts show, by a
-margin measured on them.
+margin measured on them, which is wider for short texts.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from lodestone.llm.common import held_out, map_texts, text_chunks
 ORDER = 4
 #: At most about so many training texts of a language are read (the bound of the sample), chosen by a hash of their id.
 SAMPLE = 1500
-#: A text is rejected beyond the mean cross-entropy of its language's training texts by so many of their deviations, and at least MARGIN nats.
-DEVIATIONS, MARGIN = 8.0, 1.0
+#: A text is rejected beyond the mean cross-entropy of its language's training texts by so many of their deviations, at least MARGIN nats, and at least so many deviations of a mean over as many characters as it has.
+DEVIATIONS, MARGIN, SHORT_DEVIATIONS = 8.0, 1.0, 5.0
 UNKNOWN = "und"
 _SPACE = 32
 
@@ -105,10 +105,12 @@ class Model:
     parts: list[KneserNey]
     keys: np.ndarray  # n-grams of any language, sorted, and their log-probability in each
     logp: np.ndarray
-    limit: np.ndarray  # highest cross-entropy that is not rejected, by language
+    limit: np.ndarray  # highest cross-entropy that is not rejected, however long the text, by language
+    mean: np.ndarray  # of the training texts' cross-entropies
+    variance: np.ndarray  # of their differences from the mean, for one character
 
-    def cross_entropy(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Nats for each character, [text, language], and the number of letters of each text."""
+    def cross_entropy(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Nats for each character, [text, language], and the numbers of letters and of scored characters of each text."""
         codes, text = letters(texts)
         n_letters = np.bincount(text[codes != _SPACE], minlength=len(texts))
         key, text = grams(codes, text)
@@ -120,7 +122,10 @@ class Model:
             logp[new, i] = part.log_probability(unique[new])
         n = np.bincount(text, minlength=len(texts))
         sums = np.stack([np.bincount(text, logp[of, i], len(texts)) for i in range(len(self.languages))], axis=1)
-        return -sums / np.maximum(n, 1)[:, None], n_letters
+        return -sums / np.maximum(n, 1)[:, None], n_letters, n
+
+    def rejects(self, language: np.ndarray, ce: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return ce > np.maximum(self.limit[language], self.mean[language] + SHORT_DEVIATIONS * np.sqrt(self.variance[language] / np.maximum(n, 1)))
 
 
 def _counts(docs: DataFrame) -> DataFrame:
@@ -161,20 +166,23 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
         own = own[np.argsort(key[own])]
         parts.append(KneserNey(key[own], n[own], alphabet))
     keys = np.unique(key)
-    model = Model(languages, parts, keys, np.stack([p.log_probability(keys) for p in parts], axis=1), np.full(len(languages), np.inf))
+    model = Model(languages, parts, keys, np.stack([p.log_probability(keys) for p in parts], axis=1), np.full(len(languages), np.inf), np.zeros(len(languages)), np.zeros(len(languages)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(texts: pa.Array, batch: pa.RecordBatch) -> list:
         model = shared.value
-        ce, n = model.cross_entropy(texts)
+        ce, letters, n = model.cross_entropy(texts)
         at = {x: i for i, x in enumerate(model.languages)}
         own = [at.get(x, 0) for x in batch.column(batch.schema.get_field_index("in_lang")).to_pylist()]
-        return [np.where(n > 0, ce[np.arange(len(ce)), own], np.nan)]
+        return [np.where(letters > 0, ce[np.arange(len(ce)), own], np.nan), n]
 
-    spread = map_texts(chosen, measure, "ce double", needs=("lang",), keep_text=False).where(~F.isnan("ce")).groupBy("lang").agg(F.avg("ce").alias("m"), F.stddev_pop("ce").alias("s")).collect()
-    for r in spread:
+    measured = map_texts(chosen, measure, "ce double, n long", needs=("lang",), keep_text=False).where(~F.isnan("ce"))
+    moments = [F.avg("ce").alias("m"), F.stddev_pop("ce").alias("s"), F.avg("n").alias("n"), F.avg(F.col("n") * F.col("ce")).alias("nc"), F.avg(F.col("n") * F.col("ce") * F.col("ce")).alias("ncc")]
+    for r in measured.groupBy("lang").agg(*moments).collect():
         if r.lang in languages:
-            model.limit[languages.index(r.lang)] = r.m + max(MARGIN, DEVIATIONS * r.s)
+            i = languages.index(r.lang)
+            model.limit[i], model.mean[i] = r.m + max(MARGIN, DEVIATIONS * r.s), r.m
+            model.variance[i] = max(0.0, r.ncc - 2 * r.m * r.nc + r.m**2 * r.n)
     return model
 
 
@@ -191,14 +199,14 @@ def identify(docs: DataFrame, model: Model | None, keep_text: bool = True) -> Da
         model = shared.value
         if model is None:
             return [[UNKNOWN] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan), np.ones(len(texts), bool)]
-        ce, n = model.cross_entropy(texts)
+        ce, letters, n = model.cross_entropy(texts)
         best = ce.argmin(axis=1)
         low = ce[np.arange(len(ce)), best]
         with np.errstate(over="ignore"):
             score = 1.0 / np.exp(-4.0 * (ce - low[:, None])).sum(axis=1)
-        none = n == 0
+        none = letters == 0
         names = [UNKNOWN if x else model.languages[b] for x, b in zip(none.tolist(), best.tolist(), strict=True)]
-        return [names, np.where(none, 0.0, score), low, none | (low > model.limit[best])]
+        return [names, np.where(none, 0.0, score), low, none | model.rejects(best, low, n)]
 
     return map_texts(docs, judge, "lang_pred string, score double, cross_entropy double, rejected boolean", keep_text=keep_text)
 
