@@ -109,6 +109,19 @@ def test_html_large_hosts_are_dealt_in_parts(spark, monkeypatch):
     assert len(got) == 40 and all(t.startswith(f"page {i} ") and "menu" not in t for i, t in zip(got.page_id, got.text, strict=True))
 
 
+def test_html_large_hosts_are_exact(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    fresh = lambda n: " ".join(f"t{x}" for x in rng.integers(0, 10**9, n))
+    menu, pairs = fresh(9), [fresh(12) for _ in range(15)]
+    rows = [(i, f"http://h.example/{i}", f"<div>{menu}</div><p>{fresh(5)} {pairs[i % 15]} {fresh(6)}</p>") for i in range(30)]
+    rows += [(30, "http://h.example/a", f"<article>{pairs[0]}</article>"), (31, "http://other.example/", f"<p>{pairs[1]}</p>"), (31, "http://other.example/", f"<p>{pairs[1]}</p>"), (32, "http://h.example/e", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = sorted(map(tuple, html_text.main_text(pages).select("page_id", "text").collect()))
+    monkeypatch.setattr(html_text, "PART_BYTES", 300)
+    assert sorted(map(tuple, html_text.main_text(pages).select("page_id", "text").collect())) == whole
+    assert all(len(t.split()) == 11 for i, t in whole if i < 30) and [t for i, t in whole if i >= 30] == [pairs[0], "", "", ""]
+
+
 # 2 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -350,8 +363,10 @@ def test_language_of_odd_texts(spark, documents, odd, empty):
     got = {(r.doc_id, r.text): r for r in language_id.identify(odd, model).collect()}
     assert all(got[d, t].lang_pred == "und" and got[d, t].rejected and got[d, t].score == 0 for d, t in ((1, None), (2, ""), (6, "!!! ... ???")))
     assert got[5, ODD[5][1]].lang_pred in model.languages
-    alien = spark.createDataFrame([(1, "\u6f22\u5b57\u8a9e " * 50)], DOCS)
-    assert language_id.identify(alien, model).first().rejected
+    alien = spark.createDataFrame([(1, "\u6f22\u5b57\u8a9e " * 50), (2, "\u041f\u0440\u0438\u0432\u0435\u0442 \u043c\u0438\u0440")], DOCS)
+    assert all(r.rejected for r in language_id.identify(alien, model).collect())
+    short = documents.select("doc_id", F.regexp_extract("text", r"^\p{L}{3,12} \p{L}{2,12} \p{L}{2,12}", 0).alias("text")).where("text != ''")
+    assert short.count() > 50 and language_id.identify(short, model).where("rejected").count() <= 0.02 * short.count()
     assert language_id.identify(empty, model).count() == 0
     assert language_id.train(documents.limit(0)) is None
     assert language_id.identify(odd, None).where("rejected").count() == len(ODD)
