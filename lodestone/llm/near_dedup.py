@@ -162,8 +162,17 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     """docs with one document of each group: the least doc_id (null last), of repeated rows one."""
     classes = near_duplicate_classes(docs)
     chosen = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("c")).select(F.col("c.key").alias("kept_key"), F.col("c.doc_id").alias("kept_id"))
-    key = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
-    return docs.withColumn("own_key", key).join(chosen, (F.col("own_key") == F.col("kept_key")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["own_key"]).drop("own_key")
+    own, key, least = (_free(docs, n) for n in ("own_key", "kept_key", "kept_id"))
+    chosen = chosen.toDF(key, least)
+    first = F.coalesce(F.col("doc_id") <= F.col(least), F.col(least).isNull())  # no equality: the join and the distinct rows share one shuffle by the key
+    return docs.withColumn(own, F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))).join(chosen, (F.col(own) == F.col(key)) & first, "left_semi").dropDuplicates([own]).drop(own)
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """The name, longer if docs has such a column."""
+    while name in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
 
 
 def op6_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -327,11 +327,11 @@ def test_bagminhash_is_unbiased():
 def test_near_duplicates_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
     docs = near_copies()
-    df = spark.createDataFrame(docs, DOCS).withColumn("key", F.lit(1))
+    df = spark.createDataFrame(docs, DOCS).withColumns({"key": F.lit(1), "Own_Key": F.lit(2), "kept_id": F.lit(3)})
     wanted, groups = brute_groups(docs)
     assert sorted((tuple(r) for r in near_dedup.near_duplicates(df).collect()), key=str) == wanted
     kept = near_dedup.one_of_each_group(df).toPandas()
-    assert len(kept) == groups and set(kept.columns) == {"doc_id", "text", "key"}
+    assert len(kept) == groups and set(kept.columns) == {"doc_id", "text", "key", "Own_Key", "kept_id"}
 
 
 def test_near_duplicates_of_documents(spark, documents, empty):
