@@ -38,20 +38,25 @@ def duck():
 
 
 def rows_of(frame):
-    """Rows of a pandas frame as sorted texts, columns by name, numbers to nine places."""
+    """Rows of a pandas frame as sorted texts, columns by name, numbers to nine places.
+
+    Whole numbers count as integers: pandas holds an integer column with nulls as floats or not, as its source likes.
+    """
     import numpy as np
+    import pandas as pd
 
     def plain(x):
         if isinstance(x, (list, np.ndarray)):
             return [plain(v) for v in x]
-        if x is None or (isinstance(x, float) and np.isnan(x)):
+        if x is None or x is pd.NA or (isinstance(x, float) and np.isnan(x)):
             return None
         if isinstance(x, (bool, np.bool_)):
             return bool(x)
         if isinstance(x, (int, np.integer)):
             return int(x)
         if isinstance(x, (float, np.floating)):
-            return round(float(x), 9) + 0.0
+            x = round(float(x), 9) + 0.0
+            return int(x) if x.is_integer() else x
         return str(x)
 
     frame = frame[sorted(frame.columns)].astype(object)
