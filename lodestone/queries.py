@@ -385,10 +385,11 @@ def likelihood_weighting(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def gumbel_counterfactual(spark: SparkSession, d: str) -> DataFrame:
-    """What the status of the orders with an open line would be, had the line been filled."""
+    """What the status of its order would be for each open line, had the line been filled: every line counts, each with draws of its own."""
     from lodestone.operators.counterfactual import answer, counterfactual
 
-    rows = _lines(spark, d).where("l_linestatus = 'O'").select(*_NETWORK).groupBy(*_NETWORK).agg(F.count("*").alias("n")).withColumn("id", F.xxhash64(*_NETWORK))
+    lines = table(spark, d, "lineitem").where("l_linestatus = 'O'").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = lines.select(*_NETWORK, F.xxhash64("l_orderkey", "l_linenumber").alias("id"))
     return answer(counterfactual(rows, _tables(spark, d), _NETWORK, {"l_linestatus": "F"}, draws=50), "o_orderstatus")
 
 

@@ -16,6 +16,14 @@ def test_query_without_sql_runs(spark, sf, name):
     assert queries.QUERIES[name](spark, sf).toPandas() is not None
 
 
+def test_counterfactual_counts_every_open_line(spark, duck, sf):
+    """Noise given what was observed, over all rows that the network was fitted on, is noise as it was drawn: the answer is the mean of P(status | F, priority) over the open lines."""
+    wanted = duck.sql(f"""WITH t AS (SELECT * FROM {queries._LINES}), f AS (SELECT o_orderpriority, o_orderstatus, count(*) / sum(count(*)) OVER (PARTITION BY o_orderpriority) AS p FROM t WHERE l_linestatus = 'F' GROUP BY 1, 2)
+SELECT f.o_orderstatus AS level, sum(p) / (SELECT count(*) FROM t WHERE l_linestatus = 'O') AS p FROM t JOIN f USING (o_orderpriority) WHERE l_linestatus = 'O' GROUP BY 1""").df()
+    got = {r.level: r.p for r in queries.QUERIES["gumbel_counterfactual"](spark, sf).collect()}
+    assert all(abs(got.get(r.level, 0.0) - r.p) < 0.01 for r in wanted.itertuples()) and abs(sum(got.values()) - 1) < 1e-9
+
+
 def test_entry_points_agree(spark):
     import __spark_entry__ as e
 
