@@ -84,8 +84,8 @@ class Scanner:
         alone = len(zstandard.ZstdCompressor(level=3, write_content_size=False).compress(block))
         return sorted(((alone - len(zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_dict_id=False).compress(block)), -t) for t, d in enumerate(self.dictionaries)), reverse=True)
 
-    def differences(self, found: list[bytes], t: int) -> tuple[list[bytes], list[bytes]] | None:
-        """Words of the template that the block lacks and words that stand between its own; None if too many or telling ones."""
+    def differences(self, found: list[bytes], t: int) -> tuple[list[bytes], list[bytes], int, int] | None:
+        """Words of the template that the block lacks and words that stand between its own, with the block's first and last matched word; None if too many or telling ones differ."""
         own = self.wordings[t]
         pairs = [p for p in SequenceMatcher(None, own, found, autojunk=False).get_matching_blocks() if p.size]
         if not pairs:
@@ -95,7 +95,7 @@ class Scanner:
         lacking = [x for i, x in enumerate(own) if not any(p.a <= i < p.a + p.size for p in pairs)]
         added = [x for i, x in enumerate(found[first:last], first) if not any(p.b <= i < p.b + p.size for p in pairs)]
         fits = same >= SHARE * len(own) and len(added) <= (1 - SHARE) * len(own)
-        return (lacking, added) if fits and not any(x.isdigit() or x in self.telling[t] for x in lacking) and not any(x.isdigit() for x in added) else None
+        return (lacking, added, first, last - 1) if fits and not any(x.isdigit() or x in self.telling[t] for x in lacking) and not any(x.isdigit() for x in added) else None
 
 
 @lru_cache(4)
@@ -119,10 +119,10 @@ def scanner(templates: tuple[tuple[str, str], ...]) -> Scanner:
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, keep_text: bool = True) -> DataFrame:
-    """docs with licenses (name, first and last word of the block, bytes saved, lacking and added words; in text order), n_blocks (candidates) and license, the first of them with least differences.
+    """docs with licenses (name, first and last matched word, bytes saved, lacking and added words; in text order), n_blocks (candidates) and license, the first of them with least differences.
 
     Null and wordless texts have none; a template is compared whole, wherever it stands and however long the text is;
-    of overlapping blocks confirmed for one template the one of least differences stays, of equal ones the first;
+    of overlapping matches of one template the one of least differences stays, of equal ones the first;
     templates must have words; repeated rows are scanned each; an empty table gives no rows.
     """
     fixed = tuple(templates.items())
@@ -137,8 +137,8 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, keep_te
             here = w.bytes_of(a, b - a)
             for saved, t in s.savings(block)[:COMPARED]:
                 if saved > 0 and (d := s.differences(here, -t)) is not None:
-                    lacking, added = (" ".join(x.decode("utf-8", "replace") for x in side) for side in d)
-                    found[text].append({"name": s.names[-t], "first": a - int(w.first[text]), "last": b - 1 - int(w.first[text]), "saved": saved, "lacking": lacking, "added": added, "n": len(d[0]) + len(d[1])})
+                    lacking, added = (" ".join(x.decode("utf-8", "replace") for x in side) for side in d[:2])
+                    found[text].append({"name": s.names[-t], "first": a + d[2] - int(w.first[text]), "last": a + d[3] - int(w.first[text]), "saved": saved, "lacking": lacking, "added": added, "n": len(d[0]) + len(d[1])})
                     break
         best = []
         for rows in found:

@@ -159,6 +159,15 @@ def test_license_scan(spark, documents, odd, empty):
     assert (changed.lacking, changed.added) == ("obtaining", "getting its") and changed.saved > 50
 
 
+def test_license_scan_counts_repeated_lines(spark):
+    lines = {"Licensed under CC BY 4.0.": 6, "All rights reserved.": 3, "Released under MIT License.": 4, license_scan.TEMPLATES["MIT-permission"] + ".": 29}
+    cases = [(f"{' '.join([line] * k)} End.", n, k) for line, n in lines.items() for k in (1, 2, 3, 5)]
+    docs = spark.createDataFrame([(i, text) for i, (text, _, _) in enumerate(cases)], DOCS)
+    got = {r.doc_id: [(x.first, x.last) for x in r.licenses] for r in license_scan.license_scan(docs).collect()}
+    for i, (text, n, k) in enumerate(cases):
+        assert got[i] == [(j * n, j * n + n - 1) for j in range(k)], text
+
+
 # 3 ---------------------------------------------------------------------------------------------------------------
 
 
