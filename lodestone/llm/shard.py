@@ -2,7 +2,8 @@
 
 A node of k shards is split at the weighted quantile k_left / k of its bytes along its widest metadata dimension (the
 range of values against the whole table's), until each leaf is one shard and so holds the target bytes. Rows of equal
-value are ordered by a hash of all their metadata, so a value that a third of all rows share is split as well as any.
+value are ordered by a hash of all their metadata and text, and rows equal in all of it by a hash of their number in the
+table, so a value or a whole row that a third of all rows share is split as well as any.
 
 The quantiles of all nodes of a level are found together: each round sums the bytes of 4,096 cells of every node's
 open interval in Spark, with partial aggregation, and keeps the cell of the quantile. At most that many sums for each of
@@ -25,8 +26,8 @@ CELL_BITS = 12
 TOLERANCE = 0.002
 #: Rows of one block of a shard, within which they are numbered.
 SLOT_ROWS = 2048
-#: Rounds of cells that a key has: the first along the dimension, over the node's own range, the others by the row's hash.
-ROUNDS = 4
+#: Rounds of cells that a key has: the first along the dimension, over the node's own range, the next by the row's hash, the last by that of its number.
+ROUNDS = 5
 
 
 def _prefix_number(name: str) -> Column:
@@ -58,11 +59,12 @@ def _by_node(nodes: list[Node], value) -> Column:
 
 
 def _key(nodes: list[Node]) -> Column:
-    """CELL_BITS of the row's place in its node's range of the node's dimension, and below them a hash of the row."""
+    """CELL_BITS of the row's place in its node's range of the node's dimension, below them a hash of the row, and last one of its number."""
     value = F.coalesce(*[F.when(F.col("node").isin([n.first for n in nodes if n.dim == d]), F.col(d)) for d in sorted({n.dim for n in nodes})])
     place = F.floor((value - _by_node(nodes, lambda n: n.low)) * _by_node(nodes, lambda n: ((1 << CELL_BITS) - 1) / (n.high - n.low) if n.high > n.low else 0.0))
     below = (ROUNDS - 1) * CELL_BITS
-    return F.shiftleft(place.cast("long"), below) + F.pmod(F.col("h"), F.lit(1 << below))
+    own = F.shiftleft(F.pmod(F.col("h"), F.lit(1 << (below - CELL_BITS))), CELL_BITS) + F.pmod(F.col("tie"), F.lit(1 << CELL_BITS))
+    return F.shiftleft(place.cast("long"), below) + own
 
 
 def _split(rows: DataFrame, nodes: list[Node], extent: dict[str, float], target: float) -> list[Node]:
@@ -100,16 +102,16 @@ def _split(rows: DataFrame, nodes: list[Node], extent: dict[str, float], target:
 
 
 def kd_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """doc_id, size (UTF-8 bytes plus 8), text_crc32 and shard of each document.
+    """doc_id, size (UTF-8 bytes plus 8), text_crc32 and shard of each document, and tie, a hash of its row number.
 
-    Null texts have no bytes; null metadata sorts first; rows equal in all metadata and text can't be told apart and
-    stay together; a missing metadata column doesn't count; an empty table gives no rows.
+    Null texts have no bytes; null metadata sorts first; rows equal in all metadata and text are dealt by the number
+    that they get when the metadata is written, which stays fixed from there; a missing metadata column doesn't count; an empty table gives no rows.
     """
     text = F.coalesce("text", F.lit(""))
     present = {c.lower() for c in docs.columns}
     dims = {d: c for d, c in _COLUMNS.items() if c in present or c == "size"}
     flat = docs.select("doc_id", *[c for c in ("source", "lang") if c in present], (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    rows = materialise(flat.select("doc_id", "size", "text_crc32", *[DIMENSIONS[d](c).alias(d) for d, c in dims.items()], F.xxhash64(*flat.columns).alias("h"), F.lit(0).alias("node")), "metadata")
+    rows = materialise(flat.select("doc_id", "size", "text_crc32", *[DIMENSIONS[d](c).alias(d) for d, c in dims.items()], F.xxhash64(*flat.columns).alias("h"), F.xxhash64(F.monotonically_increasing_id()).alias("tie"), F.lit(0).alias("node")), "metadata")
     whole = rows.agg(F.sum("size").alias("total"), *[(F.max(d) - F.min(d)).alias(d) for d in dims]).first()
     level = [Node(0, shards)] if whole.total is not None else []
     while level := [n for n in level if n.n > 1]:
@@ -117,20 +119,25 @@ def kd_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         right = F.coalesce(_key(level) > _by_node(level, lambda n: n.cut), F.lit(False))
         rows = materialise(rows.withColumn("node", F.col("node") + F.when(right, _by_node(level, lambda n: n.n // 2)).otherwise(0)), "nodes")
         level = [p for n in level for p in (Node(n.first, n.n // 2), Node(n.first + n.n // 2, n.n - n.n // 2))]
-    return rows.select("doc_id", "size", "text_crc32", F.col("node").alias("shard"))
+    return rows.select("doc_id", "size", "text_crc32", "tie", F.col("node").alias("shard"))
+
+
+def _dealt(rows: DataFrame, blocks: int) -> DataFrame:
+    """rows with their block; equal rows part by their tie."""
+    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32", "size", "tie"), F.lit(blocks)))
 
 
 def with_slots(rows: DataFrame) -> DataFrame:
-    """rows with slot: gapless from 0 within each shard. Rows are numbered in blocks of about SLOT_ROWS, by a hash; sums of the block sizes before say where each block begins."""
+    """rows without tie, with slot: gapless from 0 within each shard. Rows are numbered in blocks of about SLOT_ROWS, by a hash; sums of the block sizes before say where each block begins."""
     from pyspark.sql import Window
 
     blocks = max(1, ceil(rows.count() / SLOT_ROWS / 8))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(blocks)))
-    numbered = dealt.withColumn("place", F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "size")))
+    dealt = _dealt(rows, blocks)
+    numbered = dealt.withColumn("place", F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "size", "tie")))
     sizes = dealt.groupBy("shard", "block").agg(F.count("*").alias("n"))
     begin = F.sum("n").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select("shard", "block", F.coalesce(begin, F.lit(0)).alias("begin"))
-    return numbered.join(starts, ["shard", "block"]).withColumn("slot", F.col("begin") + F.col("place") - 1).drop("block", "place", "begin")
+    return numbered.join(starts, ["shard", "block"]).withColumn("slot", F.col("begin") + F.col("place") - 1).drop("block", "place", "begin", "tie")
 
 
 def op4_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

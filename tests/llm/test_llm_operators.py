@@ -235,6 +235,16 @@ def test_sharding_of_ties_and_odd_rows(spark, odd, empty):
     assert len(got) == len(ODD) and all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
 
 
+def test_sharding_splits_a_repeated_row(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("doc_id"), F.lit("the same text").alias("text"), F.lit("en").alias("lang"), F.lit("web").alias("source"))
+    dealt = shard.kd_shards(rows, 24)
+    got = shard.with_slots(dealt).toPandas()
+    sums = got.groupby("shard")["size"].sum()
+    assert len(got) == 3000 and len(sums) == 24 and sums.max() <= 1.1 * sums.mean() and sums.min() >= 0.9 * sums.mean()
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+    assert shard._dealt(dealt, 8).groupBy("block").count().toPandas()["count"].max() < 600
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------
 
 
