@@ -3,8 +3,8 @@
 A template of n words can only be confirmed where all but a fifth of its words stand, so any n - ceil(0.8 n) + 1 of them
 hold one that does; the longest serve as anchors. Around each anchor in a whole document a candidate block is taken, as
 long as the template and a quarter more. Each block is compressed by zstandard alone and with every template as raw
-dictionary; the templates are ranked by the bytes they save, and the best are compared word by word. A block is confirmed
-for the first of them whose wording differs in at most a fifth of its words and in none that tell templates apart
+dictionary; the templates are ranked by the bytes they save, and compared word by word in that order. A block is confirmed
+for the first that saves bytes and whose wording differs in at most a fifth of its words and in none that tell templates apart
 (numbers, words that only a short template has, and those that a longer one's siblings lack). Case does not count.
 """
 
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import map_texts
 from lodestone.llm.words import words
 
-#: Share of a template's words that must stand in a block, and templates of a block that are compared word by word.
-SHARE, COMPARED = 0.8, 3
+#: Share of a template's words that must stand in a block.
+SHARE = 0.8
 #: Words up to which every word that only one template has tells it apart, and likeness from which a longer template's words that another lacks do.
 SHORT, SIBLING = 12, 0.6
 
@@ -50,6 +50,9 @@ TEMPLATES = {
     "reserved": "All rights reserved.",
 }
 
+#: Templates that are only the opening of a license, which others may share or go on from differently: equal words don't make the license exact.
+OPENINGS = ("Apache-2.0-header", "MIT-permission", "GPL-header", "BSD", "MPL-2.0", "CC0", "Unlicense", "ISC")
+
 
 @dataclass
 class Scanner:
@@ -135,7 +138,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, keep_te
             blocks[text] += 1
             block = w.data[w.start[a] : w.end[b - 1]].tobytes()
             here = w.bytes_of(a, b - a)
-            for saved, t in s.savings(block)[:COMPARED]:
+            for saved, t in s.savings(block):
                 if saved > 0 and (d := s.differences(here, -t)) is not None:
                     lacking, added = (" ".join(x.decode("utf-8", "replace") for x in side) for side in d[:2])
                     found[text].append({"name": s.names[-t], "first": a + d[2] - int(w.first[text]), "last": a + d[3] - int(w.first[text]), "saved": saved, "lacking": lacking, "added": added, "n": len(d[0]) + len(d[1])})
@@ -155,9 +158,10 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, keep_te
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """exact: a notice stands word for word that is given whole in TEMPLATES; openings only name the license or one that shares them."""
     from lodestone.llm.common import table
 
     found = license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     names = F.array_join(F.array_distinct(F.transform("licenses", lambda x: x["name"])), ",")
-    exact = F.exists("licenses", lambda x: (x["lacking"] == "") & (x["added"] == ""))
+    exact = F.exists("licenses", lambda x: (x["lacking"] == "") & (x["added"] == "") & ~x["name"].isin(*OPENINGS))
     return found.select("doc_id", "license", F.size("licenses").cast("long").alias("n_licenses"), names.alias("names"), "n_blocks", exact.alias("exact"))

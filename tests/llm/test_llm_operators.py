@@ -159,6 +159,22 @@ def test_license_scan(spark, documents, odd, empty):
     assert (changed.lacking, changed.added) == ("obtaining", "getting its") and changed.saved > 50
 
 
+def test_license_scan_openings_are_not_exact(spark, tmp_path):
+    texts = [license_scan.TEMPLATES["ISC"] + ".", license_scan.TEMPLATES["MIT"]]
+    spark.createDataFrame(list(enumerate(texts)), DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.license, r.exact) for r in license_scan.op2_license_scan(spark, str(tmp_path)).collect()}
+    assert got == {0: ("ISC", False), 1: ("MIT", True)}
+
+
+def test_license_scan_goes_on_down_the_ranking(spark):
+    """Siblings that differ in one number save about as many bytes as the notice that stands."""
+    line = "Distributed under the terms of the example public license edition {} by its authors"
+    templates = {f"e{y}": line.format(y) for y in (11, 12, 13, 14, 15, 16)}
+    docs = spark.createDataFrame(list(enumerate(templates.values())), DOCS)
+    got = {r.doc_id: r.license for r in license_scan.license_scan(docs, templates).collect()}
+    assert got == dict(enumerate(templates))
+
+
 def test_license_scan_counts_repeated_lines(spark):
     lines = {"Licensed under CC BY 4.0.": 6, "All rights reserved.": 3, "Released under MIT License.": 4, license_scan.TEMPLATES["MIT-permission"] + ".": 29}
     cases = [(f"{' '.join([line] * k)} End.", n, k) for line, n in lines.items() for k in (1, 2, 3, 5)]
