@@ -6,6 +6,7 @@ The rules are a short list; the model is trained with Spark ML from a small labe
 from __future__ import annotations
 
 from dataclasses import dataclass
+from zlib import crc32
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Hash dimensions of each n-gram length, the lengths, the ridge penalty, and the probability from which a URL is blocked.
-DIMENSIONS, LENGTHS, RIDGE, BLOCK_FROM = 1 << 12, (3, 4, 5), 0.01, 0.5
+DIMENSIONS, LENGTHS, RIDGE, BLOCK_FROM = 1 << 12, (3, 4, 5), 0.0001, 0.5
 
 
 @dataclass(frozen=True)
@@ -34,17 +35,47 @@ class Rule:
 #: The rules of the query.
 RULES = (Rule("block", "com", "/en/"), Rule("allow", "example.com", "/en/7"), Rule("allow", "net", "/de/"), Rule("block", "example.net", "/de/8"), Rule("block", "org", "/es/"))
 
-#: A small labelled table, made by hand for this filter. Hosts and paths; 1 is to be blocked.
-BLOCKED_HOSTS = ("casino-bonus.example", "best-poker-slots.example", "xxx-videos.example", "adult-cams.example", "cheap-viagra-pills.example", "free-warez-crack.example", "torrent-keygen.example", "click-tracker-ads.example", "banner-adserver.example", "phish-login-verify.example", "malware-download.example", "win-lottery-prize.example", "escort-dating-sex.example", "payday-loan-fast.example", "replica-watches-sale.example", "betting-jackpot.example")
-BLOCKED_PATHS = ("/casino/bonus", "/poker/slots/jackpot", "/xxx/porn/video", "/adult/sex/cams", "/viagra/cheap/pills", "/crack/keygen/serial", "/ads/click/banner", "/login/verify/account-suspended", "/download/setup.exe", "/prize/winner/claim")
-ALLOWED_HOSTS = ("www.newspaper.example", "blog.travel.example", "en.encyclopedia.example", "docs.library.example", "university.example", "museum.example", "shop.books.example", "m.weather.example", "blog.cooking.example", "www.history.example", "forum.gardening.example", "www.science.example", "city-council.example", "news.sports.example", "www.hospital.example", "archive.example", "www.theatre.example", "blog.nation.example", "m.other.example", "www.question.example")
-ALLOWED_PATHS = ("/en/214", "/de/511", "/fr/825", "/es/77", "/en/742/", "/news/2021/05/article", "/wiki/history", "/blog/post/12", "/about", "/index.html", "/recipes/bread", "/")
+#: Words of the labelled table, made by hand for this filter. A host with a word of BAD is to be blocked; words of BOTH stand in hosts of either kind.
+BAD = "casino poker slots roulette bets betting wager jackpot lottery gambling porn xxx sex adult escort nude cams hookup viagra cialis pills pharma warez crack keygen torrent pirated nulled phish malware trojan exploit botnet spam scam hoax ads adserver adclick popads banners tracker tracking clickbait doorway linkfarm replica counterfeit payday".split()
+BOTH = "win free cheap best farm track online live top hot fast easy bonus deals x24 1 pro club zone world store shop video chat games link links login home web now big".split()
+GOOD = "news times herald city museum library school college garden kitchen travel weather science history music theatre health clinic sports cycling football forest river mountain bakery coffee books gazette council bank archive physics biology maths poetry cinema radio bridge harbour valley family children nature recipes hotel flights railway airport market village doctor lawyer design studio photo camera software data cloud maps wiki forum question answer parish church festival orchestra dance hiking sailing chess essex adulthood badminton pilsner lottie".split()
+#: What stands around the words, alike for both kinds of host.
+SUBDOMAINS, SUFFIXES = ("", "", "www.", "m.", "blog.", "news.", "shop."), ("example.com", "example.net", "example.org", "com", "net", "org", "info", "co.uk", "de")
+PATHS = ("/", "/en/{n}", "/de/{n}.html", "/fr/{n}/", "/es/{n}", "/about", "/index.html", "/blog/post/{n}", "/{n}", "/news/2021/{n}", "/category/{w}/{n}", "/{w}")
+BAD_PATHS = ("/{w}/{n}", "/en/{w}-{v}", "/{w}/{v}.html", "/out/{w}?id={n}", "/go/{v}-{w}")
+#: Parts of invented names, as most hosts have.
+ONSETS, CODAS = "b br c ch d f fl g gr h j k l m n p pl r s sh st t th tr v w wh z".split(), ("", "", "n", "nd", "ng", "r", "s", "st", "t", "th", "l", "m")
+#: URLs to be blocked in the table, how many times as many are not, and every how many-th is held out of training.
+LABELLED, MORE_GOOD, HELD_OUT = 1500, 4, 5
+
+
+def labelled_rows(n: int = LABELLED) -> list[tuple[str, float, bool]]:
+    """url, label (1 is to be blocked) and whether it is held out, made from the words by a fixed rule: three of four blocked URLs have a bad host with any path, the others a good host with a bad path."""
+
+    def pick(values, *key):
+        return values[crc32(repr(key).encode()) % len(values)]
+
+    def invented(i):
+        return "".join(pick(ONSETS, i, k) + pick("aeiou", i, k, "v") + pick(CODAS, i, k, "c") for k in range(1 + i % 3))
+
+    def name(i, label, bad):
+        first = pick(BAD, i, "first") if bad else invented(i) if i % 3 else pick(GOOD, i, "first")
+        second = invented(i + 1) if i % 5 == 0 else pick(BOTH, i, label, "second") if i % 2 else pick(BAD if bad and i % 4 == 0 else GOOD, i, label, "second")
+        return pick(("{0}-{1}", "{1}-{0}", "{0}{1}", "{0}", "{0}"), i, label, "shape").format(first, second)
+
+    rows = []
+    for label, total in ((0, MORE_GOOD * n), (1, n)):
+        for i in range(total):
+            bad_host = label == 1 and i % 4 > 0
+            host = f"{pick(SUBDOMAINS, i, label, 'sub')}{name(i, label, bad_host)}.{pick(SUFFIXES, i, label, 'suffix')}"
+            words = BAD if label and not bad_host else GOOD
+            path = pick(BAD_PATHS if words is BAD else PATHS, i, label, "path").format(n=crc32(repr((i, label)).encode()) % 9000, w=pick(words, i, label, "w"), v=pick(BOTH, i, label, "v"))
+            rows.append((f"https://{host}{path}", float(label), i % HELD_OUT == 0))
+    return rows
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """Every host of a class with every path of the class."""
-    rows = [(f"https://{h}{p}", y) for hosts, paths, y in ((BLOCKED_HOSTS, BLOCKED_PATHS, 1.0), (ALLOWED_HOSTS, ALLOWED_PATHS, 0.0)) for h in hosts for p in paths]
-    return spark.createDataFrame(rows, "url string, label double").coalesce(1)
+    return spark.createDataFrame(labelled_rows(), "url string, label double, held_out boolean").coalesce(1)
 
 
 def with_host_and_path(pages: DataFrame) -> DataFrame:
@@ -74,7 +105,7 @@ def train(labelled: DataFrame) -> PipelineModel:
             stages.append(NGram(n=n, inputCol=f"{part}_chars", outputCol=f"{part}_{n}"))
             stages.append(HashingTF(numFeatures=DIMENSIONS, inputCol=f"{part}_{n}", outputCol=f"{part}_{n}_hashed"))
     stages.append(VectorAssembler(inputCols=[f"{part}_{n}_hashed" for part in ("host", "path") for n in LENGTHS], outputCol="hashed"))
-    stages.append(LogisticRegression(featuresCol="hashed", labelCol="label", regParam=RIDGE, maxIter=30))
+    stages.append(LogisticRegression(featuresCol="hashed", labelCol="label", regParam=RIDGE, maxIter=30, standardization=False))
     return Pipeline(stages=stages).fit(_framed(with_host_and_path(labelled)))
 
 
@@ -91,7 +122,7 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, model: Pipelin
     """
     results = ("rule", "verdict", "block_probability")
     parsed = with_host_and_path(pages.select(*[F.col(f"`{c}`") for c in pages.columns if c.lower() not in results]))
-    model = model or train(labelled_urls(pages.sparkSession))
+    model = model or train(labelled_urls(pages.sparkSession).where("NOT held_out"))
     scored = model.transform(_framed(parsed.select(F.struct(*[F.col(f"`{c}`") for c in parsed.columns]).alias("row"), "host", "path")))
     probability = vector_to_array("probability")[1]
     empty = (F.col("host") == "") & (F.col("path") == "")

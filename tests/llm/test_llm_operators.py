@@ -519,7 +519,50 @@ def test_url_rules_and_parts(spark):
     }
 
 
-def test_url_query_is_whole(spark, sf):
-    got = llm_queries.QUERIES["op10_url_filter"](spark, sf).toPandas()
-    assert len(got) == spark.read.parquet(f"{sf}/pages.parquet").count()
-    assert (got[got["rule"].isna()].verdict == "allow").mean() > 0.95
+@pytest.fixture(scope="module")
+def url_model(spark):
+    return url_filter.train(url_filter.labelled_urls(spark).where("NOT held_out"))
+
+
+def test_url_model_on_held_out_urls(spark, url_model):
+    got = url_filter.judge_urls(url_filter.labelled_urls(spark).where("held_out"), (), url_model).toPandas()
+    bad, blocked = got.label == 1, got.verdict == "block"
+    assert (bad & blocked).sum() / bad.sum() > 0.8 and (~bad & blocked).sum() / (~bad).sum() < 0.01
+    hosts = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("url").collect()
+    assert not {re.split("[/?#]", r.url.split("://")[1])[0] for r in hosts} & {u.split("/")[2] for u, _, _ in url_filter.labelled_rows()}
+
+
+def test_url_model_is_the_least_of_its_loss(spark, url_model):
+    """Hashed n-grams counted anew; the loss is convex, so its least point is where the gradient is zero."""
+    rows = url_filter.labelled_urls(spark).where("NOT held_out")
+    full = url_model.transform(url_filter._framed(url_filter.with_host_and_path(rows))).select("own_host", "own_path", "label", "hashed", "probability").collect()
+    for r in full[:50]:
+        for part, text in enumerate((r.own_host, r.own_path)):
+            for k, n in enumerate(url_filter.LENGTHS):
+                block = r.hashed.indices // url_filter.DIMENSIONS == part * len(url_filter.LENGTHS) + k
+                assert r.hashed.values[block].sum() == max(0, len(text) - n + 1)
+    w, b = url_model.stages[-1].coefficients.toArray(), url_model.stages[-1].intercept
+    gradient, slope = url_filter.RIDGE * w, 0.0
+    for r in full:
+        at, x = r.hashed.indices, r.hashed.values
+        p = 1 / (1 + np.exp(-(w[at] @ x + b)))
+        assert abs(p - r.probability[1]) < 1e-9
+        gradient[at] += (p - r.label) * x / len(full)
+        slope += (p - r.label) / len(full)
+    assert np.abs(gradient).max() < 1e-3 and abs(slope) < 1e-3
+
+
+def test_url_query_blocks_spam_hosts(spark, sf):
+    big = sf.replace("0.001", "0.1")
+    got = llm_queries.QUERIES["op10_url_filter"](spark, big).toPandas()
+    assert len(got) == spark.read.parquet(f"{big}/pages.parquet").count()
+    own = got[got["rule"].isna()]
+    bad = own.host.str.contains("casino|bets|pills|adult|ads|spam")
+    assert bad.sum() > 30 and (own[bad].verdict == "block").mean() > 0.8 and (own[~bad].verdict == "block").mean() < 0.02
+
+
+def test_url_of_odd_urls(spark, url_model):
+    rows = [(1, None, 1), (2, "http://x.example/" + "a" * 200_000, 1), (2, "http://x.example/" + "a" * 200_000, 1), (None, "://", 1), (4, "http://\u6f22.example/\U0001f642", 1)]
+    got = url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, HOST int"), model=url_model).toPandas()
+    assert len(got) == 5 and "HOST" not in got.columns and got.block_probability.between(0, 1).all()
+    assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string"), model=url_model).count() == 0
