@@ -1,22 +1,26 @@
-"""Main text of web pages, by structure and by a suffix array over each host's pages.
-
-1. Each page becomes a stream of blocks with a zone: content (inside the page's article, main or content element),
-   chrome (menus, headers, footers, sidebars, notices, adverts, forms, comments; inside content too) or open (neither).
-2. The token streams of a host's pages are concatenated and their suffixes sorted by their first RUN tokens (prefix
-   doubling); equal neighbours from distinct pages are substrings of RUN or more tokens that repeat, and cover their
-   tokens.
-3. A page with a content zone keeps that zone whole: articles share passages too, so repetition must not cut them. A page
-   without one keeps the open blocks' unique runs; what repeats across the host's pages is boilerplate.
-
-No task gets a whole large host. Hosts of more than PART_BYTES of html are dealt by page into parts, which settles pages
-with a content zone. For the others of such a host the suffixes of all its pages are dealt by their first RUN tokens
-instead of by page: suffixes that agree on these meet wherever their pages are, are counted, and the counts cover the
-pages' tokens. So a page's text doesn't depend on the parts. Script, style, markup comments and titles are never text.
+"""Main text of web pages, by structure and by the suffixes that a host's pages share.
+
+1. Each page becomes a stream of blocks with a zone: content (inside an article or main element), named (inside one that
+   its class or id calls content), chrome (menus, headers, footers, sidebars, notices, adverts, forms, comments; inside
+   content too) or open (none of these). Script, style, markup comments and titles are never text.
+2. The token streams of each host's pages are cut into suffixes. Suffixes that agree on their first RUN tokens would be
+   neighbours in a suffix array of the host; here they are a group of a shuffle by these tokens, so no task gets a host.
+   A group of suffixes from distinct pages is a substring of RUN or more tokens that repeats, and covers its tokens.
+3. Repetition and structure decide together. Only what stands outside content and named zones counts as a repeat, as
+   articles share passages with each other. A page with neither zone keeps the unique runs of its open blocks. A named
+   zone is only a guess, so its blocks go that are boilerplate elsewhere: whose every token is covered by runs that stand
+   outside the zones on VOTES or more pages of the host, and whose beginning begins named blocks on fewer pages than
+   that. An article or main element is kept whole: adverts and footers quote lines of articles too, so repetition there
+   would cut articles.
+
+Runs are told apart by 128-bit hashes of host and tokens, pages by 128 bits of host and html; among 10^11 of them two
+different ones agree with a probability below 10^-15.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import numpy as np
@@ -25,17 +29,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import map_texts, materialise, named_apart
+from lodestone.llm.common import materialise, named_apart
 from lodestone.llm.words import mix
 
-#: Tokens of the shortest repeated substring, and bytes of block text of one part of a host.
-RUN, PART_BYTES = 8, 1 << 20
-#: Most large hosts whose sizes are broadcast; beyond, they are joined by a shuffle.
-MOST_BROADCAST = 100_000
-CONTENT, OPEN, CHROME = 2, 1, 0
-#: A page whose text depends on what its host repeats.
-_OPEN_PAGE = f"NOT array_contains(zones, {CONTENT}) AND array_contains(zones, {OPEN})"
-_RESULTS = T.StructType([T.StructField("text", T.StringType()), *[T.StructField(n, T.LongType()) for n in ("n_chars", "n_tokens", "n_repeated")]])
+#: Tokens of the shortest repeated substring, and pages on which a run must stand outside the zones to outvote a named one.
+RUN, VOTES = 8, 3
+#: Zones of blocks.
+CONTENT, NAMED, OPEN, CHROME = 3, 2, 1, 0
+#: Kinds of marked suffixes: outside content, on a page with a content zone or an open page; at the beginning of a named block.
+VOTE, ASK, START = 0, 1, 2
+#: By so many parts the groups of a frequent run are dealt.
+SALTS = 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 # Element and attribute names of HTML pages.
@@ -44,221 +48,273 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 _CHROME_TAGS = frozenset("nav footer aside form button select dialog menu head".split())
 _CHROME_NAMES = frozenset("nav navbar navigation menu footer sidebar aside ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal newsletter subscribe subscription comment comments disqus share sharing social related recommended breadcrumb breadcrumbs pagination pager widget login signup toolbar masthead complementary contentinfo search dialog alert".split())
+_COMMENT_NAMES = frozenset("comment comments disqus".split())
+_STATE_NAMES = frozenset("has no with without is format hide".split())
 _CONTENT_NAMES = frozenset("article content main post entry story body articlebody".split())
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.I | re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?=[\s=/>]|\Z)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+# A tag, comment or raw element that never ends goes on to the end of the page, so every match begins where the one before ended.
+_INSIDE = r"(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^'\">])*+"
+_END = r"(?:>|\Z)"
 
 
-def _marks(tag: str, attributes: str, inside: bool) -> tuple[bool, int]:
-    """Whether an element is chrome, and its rank as a content element (0 none, 1 by its name, 2 main, 3 article)."""
-    chrome = tag in _CHROME_TAGS or (tag == "header" and not inside)
+def _rule(inside: str) -> re.Pattern:
+    return re.compile(
+        rf"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/]){inside}(?<=/)>|<({_RAW})(?=[\s/>]){inside}{_END}.*?(?:</\1(?=[\s/>])[^>]*{_END}|\Z)|<[!?][^>]*{_END}|<(/?)([a-z][^\s/>]*)({inside})(>|\Z)", re.I | re.S
+    )
+
+
+_TOKEN, _PLAIN = _rule(_INSIDE), _rule(r"[^>]*+")
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+
+
+def _tokens(html: str):
+    """Matches of tags, comments and raw elements. After a tag whose quotes never close, tags end at their first >."""
+    at, rule = 0, _TOKEN
+    while m := rule.search(html, at):
+        if rule is _TOKEN and m[5] == "" and html.find(">", m.start()) >= 0:
+            rule = _PLAIN
+            m = rule.match(html, m.start())
+        yield m
+        at = m.end()
+
+
+def _marks(tag: str, attributes: str, inside: bool) -> tuple[int, int]:
+    """How an element is chrome (0 not, 1 by its names, 2 by its tag, as comments or as hidden), and its rank as a content element (0 none, 1 by its name, 2 main, 3 article). Names don't make an article or main element chrome, unless of comments, nor an inline one."""
     rank = {"article": 3, "main": 2}.get(tag, 0)
+    chrome = 2 if tag in _CHROME_TAGS or (tag == "header" and not inside) else 0
     if attributes and tag not in ("body", "html"):
         for name, *values in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), "".join(values).lower()
             if name in ("class", "id", "role"):
-                words = set(re.split(r"[\s_-]+", value))
-                chrome |= bool(words & _CHROME_NAMES) or ("header" in words and not inside and tag != "h1")
+                words = {w for token in value.split() if not _STATE_NAMES & set(parts := re.split(r"[_-]+", token)) for w in parts}
+                if tag not in _INLINE:
+                    if words & _COMMENT_NAMES and tag != "main":
+                        chrome = 2
+                    elif not rank > 1 and (words & _CHROME_NAMES or ("header" in words and not inside and tag != "h1")):
+                        chrome = max(chrome, 1)
                 if tag in ("div", "section", "td") and words & _CONTENT_NAMES:
                     rank = max(rank, 1)
                 if name == "role" and value in ("main", "article"):
                     rank = max(rank, 2)
             elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-                chrome = True
+                chrome = 2
     return chrome, rank
 
 
 def page_blocks(html: str) -> tuple[list[int], list[str]]:
-    """Zone and text of each block of a page, in page order; blocks without text are left out."""
-    ranks: list[int] = []
+    """Zone and text of each block of a page, in page order; blocks without text are left out.
+
+    Content zones are all content elements but those around one of higher rank (main around article). If every article
+    or main element lies in one that is chrome by its names alone, these names don't count.
+    """
     texts: list[str] = []
+    zones: list[tuple[int, int]] = []  # chrome (as in _marks), content element
     held: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, in chrome, content rank
+    stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, chrome, content element
+    elements: list[tuple[int, int]] = [(0, 0)]  # rank of each content element and the one around it
+    around: set[int] = set()  # content elements around one of higher rank
+    opened: Counter[str] = Counter()
 
     def close() -> None:
         if held:
             if text := " ".join("".join(held).split()):
-                ranks.append(-1 if stack and stack[-1][1] else stack[-1][2] if stack else 0)
+                zones.append(stack[-1][1:])
                 texts.append(text)
             held.clear()
 
+    def pop() -> None:
+        opened[stack.pop()[0]] -= 1
+
     at = 0
-    for m in _TOKEN.finditer(html):
+    for m in _tokens(html):
         if m.start() > at:
             held.append(unescape(html[at : m.start()]))
         at = m.end()
         if m[3] is None:
             continue
         tag = m[3].lower()
-        if tag in _INLINE and not (m[4] and not m[2] and _marks(tag, m[4], True)[0]) and not (m[2] and stack and stack[-1][0] == tag):
+        if tag in _INLINE and not (m[4] and not m[2] and _marks(tag, m[4], True)[0]) and not (m[2] and stack[-1][0] == tag):
             continue
         close()
         if tag in _VOID:
             continue
         if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            while opened[tag]:
+                pop()
         else:
-            if tag != "li" and stack and stack[-1][0] == "p" and tag not in _INLINE or (stack and stack[-1][0] == tag and tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option")):
-                stack.pop()  # its end tag may be left out
-            _, chrome, rank = stack[-1] if stack else ("", False, 0)
-            own, own_rank = _marks(tag, m[4], rank >= 2)
-            stack.append((tag, chrome or own, max(rank, own_rank)))
-    held.append(unescape(html[at:]))
+            top = stack[-1][0]
+            if (tag != "li" and top == "p" and tag not in _INLINE) or (top == tag and tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option")):
+                pop()  # its end tag may be left out
+            _, chrome, element = stack[-1]
+            own, rank = _marks(tag, m[4], elements[element][0] >= 2)
+            if own == 1 and elements[element][0]:
+                own = 2
+            chrome = max(chrome, own)
+            if rank > elements[element][0] or (rank and rank == elements[element][0] and not chrome):
+                outer = element
+                while outer and chrome < 2 and outer not in around and elements[outer][0] < rank:
+                    around.add(outer)
+                    outer = elements[outer][1]
+                elements.append((rank, element))
+                element = len(elements) - 1
+            stack.append((tag, chrome, element))
+            opened[tag] += 1
+    if at < len(html):
+        held.append(unescape(html[at:]))
     close()
-    best = max(ranks, default=0)
-    return [CHROME if r < 0 else CONTENT if best > 0 and r == best else OPEN for r in ranks], texts
+    least = 1 if not any(c == 0 and elements[e][0] for c, e in zones) and any(c == 1 and elements[e][0] > 1 for c, e in zones) else 0
+    return [CHROME if c > least or (c and not elements[e][0]) else OPEN if not e or e in around else CONTENT if elements[e][0] > 1 else NAMED for c, e in zones], texts
 
 
-def repeated(tokens: np.ndarray, page: np.ndarray, run: int = RUN) -> np.ndarray:
-    """Which tokens lie in a substring of `run` or more tokens that stands in two or more pages. page must be sorted.
+def _seed(host: str) -> np.ndarray:
+    import xxhash
 
-    The suffixes are sorted by their first `run` tokens: ranks of prefixes of twice the length come from sorting pairs
-    of ranks. A suffix of fewer tokens than the prefix, up to the end of its page, has no rank.
-    """
-    n = len(tokens)
-    left = np.searchsorted(page, page, "right") - np.arange(n)
-    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
-    length = 1
-    while length < run:
-        step = min(length, run - length)
-        second = np.zeros(n, np.int64)
-        second[: n - step] = rank[step:]
-        rank = np.unique(rank * (n + 1) + second, return_inverse=True)[1]
-        length += step
-    at = np.flatnonzero(left >= run)
-    order = at[np.argsort(rank[at], kind="stable")]
-    begin = np.flatnonzero(np.diff(rank[order], prepend=-1))
-    end = np.append(begin[1:], len(order))
-    shared = page[order[begin]] != page[order[end - 1]] if len(order) else np.zeros(0, bool)
-    return _covered(order[np.repeat(shared, end - begin)], n, run)
-
-
-def _covered(hits: np.ndarray, n: int, run: int) -> np.ndarray:
-    """Which of n tokens lie in a run that begins at one of the hits."""
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, hits, 1)
-    np.add.at(edge, hits + run, -1)
-    return np.cumsum(edge)[:n] > 0
-
-
-def _unique_runs(zones: list[int], blocks: list[list[str]], covered: np.ndarray) -> str:
-    """The open blocks without the covered tokens; covered is over the tokens of all blocks."""
-    kept, place = [], 0
-    for z, b in zip(zones, blocks, strict=True):
-        if z == OPEN and (unique := [w for w, c in zip(b, covered[place : place + len(b)], strict=True) if not c]):
-            kept.append(" ".join(unique))
-        place += len(b)
-    return " ".join(kept)
+    return np.frombuffer(xxhash.xxh3_128_digest(host.encode("utf-8", "replace")), np.uint64)
 
 
-def prefixes(tokens: list[str], run: int = RUN) -> np.ndarray:
-    """Hash of the first `run` tokens of each suffix that has so many."""
+def runs(tokens: list[str], host: str) -> np.ndarray:
+    """128-bit hash of host and the first RUN tokens of each suffix that has so many, as two columns."""
     import xxhash
 
-    h = np.array([xxhash.xxh3_64_intdigest(t) for t in tokens], np.uint64)
-    n = max(0, len(h) - run + 1)
-    acc = np.zeros(n, np.uint64)
-    for j in range(run):
-        acc = mix(acc * _BASE + h[j : n + j])
-    return acc
+    n = max(0, len(tokens) - RUN + 1)
+    acc = np.tile(_seed(host), (n, 1))
+    if n:
+        h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t.encode("utf-8", "replace")) for t in tokens), np.uint64).reshape(-1, 2)
+        for j in range(RUN):
+            acc = mix(acc * _BASE + h[j : n + j])
+    return acc.view(np.int64)
 
 
-def _exact_texts(parsed: DataFrame, hosts: DataFrame) -> DataFrame:
-    """Rows of the pages without a content zone of these hosts, by the suffixes of all pages of the hosts."""
-    own = parsed.join(hosts, "host", "left_semi")
+def _outside(zones: list[int], blocks: list[list[str]]) -> list[list[str]]:
+    """The token streams between blocks of content and named zones."""
+    streams: list[list[str]] = [[]]
+    for z, b in zip(zones, blocks, strict=True):
+        if z >= NAMED:
+            streams.append([])
+        else:
+            streams[-1] += b
+    return streams
+
+
+def _tiles(n: int) -> list[int]:
+    """Places of runs that cover n tokens."""
+    return [*range(0, n - RUN, RUN), n - RUN]
+
+
+def marked(html: str, host: str) -> list[tuple[int, np.ndarray]]:
+    """Kind and distinct runs of a page's marked suffixes."""
+    zones, texts = page_blocks(html)
+    blocks = [t.split(" ") for t in texts]
+    outside = [runs(s, host) for s in _outside(zones, blocks) if len(s) >= RUN]
+    starts = [runs(b[:RUN], host) for z, b in zip(zones, blocks, strict=True) if z == NAMED and len(b) >= RUN]
+    kind = VOTE if max(zones, default=OPEN) >= NAMED else ASK
+    return [(k, np.unique(np.concatenate(r), axis=0)) for k, r in ((kind, outside), (START, starts)) if r]
+
+
+def tiled(html: str, host: str) -> list[tuple[int, np.ndarray]]:
+    """The runs that cover the named blocks of a page."""
+    zones, texts = page_blocks(html)
+    found = [runs(b, host)[_tiles(len(b))] for b in (t.split(" ") for z, t in zip(zones, texts, strict=True) if z == NAMED) if len(b) >= RUN]
+    return [(VOTE, np.unique(np.concatenate(found), axis=0))] if found else []
+
+
+def kept_text(html: str, host: str, repeats: set[tuple[int, int]], starts: set[tuple[int, int]]) -> tuple[str, int]:
+    """Text of a page and how many of its tokens repetition removed: of an open page the tokens covered by `repeats`; of one with zones the named blocks that begin with one of `starts` and are covered by `repeats`."""
+    zones, texts = page_blocks(html)
+    least = NAMED if max(zones, default=OPEN) >= NAMED else OPEN
+    if not repeats:
+        return " ".join(t for z, t in zip(zones, texts, strict=True) if z >= least), 0
+    kept, removed = [], 0
+    if least == NAMED:
+        for z, t in zip(zones, texts, strict=True):
+            if z == CONTENT:
+                kept.append(t)
+            elif z == NAMED:
+                own = list(map(tuple, runs(b := t.split(" "), host).tolist()))
+                if own and own[0] in starts and all(own[i] in repeats for i in _tiles(len(b))):
+                    removed += len(b)
+                else:
+                    kept.append(t)
+        return " ".join(kept), removed
+    blocks = [t.split(" ") for t in texts]
+    stream = [w for b in blocks for w in b]
+    edge = np.zeros(len(stream) + 1, np.int64)
+    for i, r in enumerate(map(tuple, runs(stream, host).tolist())):
+        if r in repeats:
+            edge[i] += 1
+            edge[i + RUN] -= 1
+    covered, place = np.cumsum(edge) > 0, 0
+    for z, b in zip(zones, blocks, strict=True):
+        if z == OPEN:
+            unique = [w for w, c in zip(b, covered[place : place + len(b)].tolist(), strict=True) if not c]
+            removed += len(b) - len(unique)
+            if unique:
+                kept.append(" ".join(unique))
+        place += len(b)
+    return " ".join(kept), removed
 
-    def suffixes(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                found = np.unique(prefixes([w for t in batch.column("blocks")[i].as_py() for w in t.split(" ")]))
-                yield pa.RecordBatch.from_pydict({"host": pa.array([batch.column("host")[i].as_py()] * len(found), pa.string()), "key": pa.array([batch.column("key")[i].as_py()] * len(found), pa.int64()), "prefix": found.view(np.int64)})
-
-    shape = "host string, key long, prefix long"
-    keyed = own.withColumn("key", F.xxhash64("row", "blocks"))
-    without = keyed.where(_OPEN_PAGE)
-    repeats = keyed.select("host", "key", "blocks").mapInArrow(suffixes, shape).groupBy("host", "prefix").agg(F.count("*").alias("n")).where("n > 1")
-    asked = without.select("host", "key", "blocks").mapInArrow(suffixes, shape).distinct()
-    answers = asked.join(repeats, ["host", "prefix"], "left_semi").groupBy("key").agg(F.collect_list("prefix").alias("prefixes"))
-    joined = without.select("key", "row", "zones", "blocks").join(answers, "key", "left").drop("key")
-
-    def cover(batches):
+
+def _suffixes(pages: DataFrame, found) -> DataFrame:
+    """k1, k2, kind and run (r1, r2), a row for each that found(html, host) gives for a page."""
+
+    def run(batches):
         for batch in batches:
-            texts, tokens, counts = [], [], []
-            for zones, blocks, found in zip(*(batch.column(c).to_pylist() for c in ("zones", "blocks", "prefixes")), strict=True):
-                split = [t.split(" ") for t in blocks]
-                own = [w for b in split for w in b]
-                hits = np.flatnonzero(np.isin(prefixes(own).view(np.int64), np.array(found or [], np.int64)))
-                covered = _covered(hits, len(own), RUN)
-                texts.append(_unique_runs(zones, split, covered))
-                tokens.append(len(own))
-                counts.append(int(covered.sum()))
-            yield from _results(batch.column("row"), texts, tokens, counts).to_batches()
-
-    return joined.select("row", "zones", "blocks", "prefixes").mapInArrow(cover, T.StructType([parsed.schema["row"], *_RESULTS.fields]))
-
-
-def _results(row, texts: list[str], tokens: list[int], repeats: list[int]) -> pa.Table:
-    return pa.table({"row": row, "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64()), "n_tokens": pa.array(tokens, pa.int64()), "n_repeated": pa.array(repeats, pa.int64())})
-
-
-def _host_texts(table: pa.Table) -> pa.Table:
-    """Text, characters, tokens and repeated tokens of the pages of one part of a host."""
-    codes: dict[str, int] = {}
-    pages, tokens, sizes = [], [], []
-    for zones, texts in zip(table.column("zones").to_pylist(), table.column("blocks").to_pylist(), strict=True):
-        blocks = [t.split(" ") for t in texts]
-        ids = [codes.setdefault(w, len(codes)) for b in blocks for w in b]
-        pages.append((zones, texts, blocks))
-        tokens.append(np.array(ids, np.int64))
-        sizes.append(len(ids))
-    covered = repeated(np.concatenate(tokens), np.repeat(np.arange(len(sizes)), sizes)) if sizes else np.zeros(0, bool)
-    out, counts, at = [], [], 0
-    for (zones, texts, blocks), n in zip(pages, sizes, strict=True):
-        own = covered[at : at + n]
-        at += n
-        if CONTENT in zones:
-            kept = [t for z, t in zip(zones, texts, strict=True) if z == CONTENT]
-        else:
-            kept = [_unique_runs(zones, blocks, own)]
-        out.append(" ".join(kept))
-        counts.append(int(own.sum()))
-    return _results(table.column("row"), out, sizes, counts)
+            html, host, k1, k2 = (batch.column(c).to_pylist() for c in ("html", "host", "k1", "k2"))
+            for i, h in enumerate(html):
+                for kind, r in found(h, host[i]):
+                    n = len(r)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k1[i])), pa.array(np.full(n, k2[i])), pa.array(np.full(n, kind, np.int32)), pa.array(r[:, 0].copy()), pa.array(r[:, 1].copy())], names=["k1", "k2", "kind", "r1", "r2"])
+
+    return pages.select("html", "host", "k1", "k2").mapInArrow(run, "k1 long, k2 long, kind int, r1 long, r2 long")
+
+
+def _meeting(asked: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of asked whose run is among the chosen; the rows of a frequent run are dealt to SALTS tasks."""
+    salted = asked.withColumn("salt", F.pmod(F.xxhash64("k1", "k2"), F.lit(SALTS)))
+    return salted.join(chosen.select("r1", "r2", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])).alias("salt")), ["r1", "r2", "salt"], "left_semi").drop("salt")
+
+
+def _answers(pages: DataFrame) -> DataFrame:
+    """k1, k2, repeats and starts: what kept_text needs to know of each page, without rows for pages that lose nothing."""
+    marks = materialise(_suffixes(pages, marked), "suffixes")
+    repeats = materialise(marks.where(F.col("kind") != START).groupBy("r1", "r2").agg(F.count("*").alias("n")).where("n > 1"), "repeats")
+    asks = _meeting(marks.where(F.col("kind") == ASK), repeats)
+    boilerplate = repeats.where(F.col("n") >= VOTES)
+    begun = materialise(_meeting(marks.where(F.col("kind") == START), boilerplate), "starts")
+    if begun.limit(1).count():
+        inside = begun.groupBy("r1", "r2").agg(F.count("*").alias("inside"))
+        outvoted = boilerplate.join(inside, ["r1", "r2"]).where("n > inside")
+        starts = materialise(_meeting(begun, outvoted), "starts")
+        asks = asks.union(starts).union(_meeting(_suffixes(pages.join(starts.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi"), tiled), boilerplate))
+    run = F.struct("r1", "r2")
+    return materialise(asks.groupBy("k1", "k2").agg(F.collect_set(F.when(F.col("kind") != START, run)).alias("repeats"), F.collect_set(F.when(F.col("kind") == START, run)).alias("starts")), "answers")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """pages without html, with text, n_chars (code points), n_tokens and n_repeated (of all its blocks, in repeated runs; for pages with a content zone those repeated within a part of the host).
+    """pages without html, with text, n_chars (code points) and n_removed (tokens outside chrome that repetition removed).
 
     Null and empty html have an empty text; null and malformed urls form a host of their own; equal pages repeat each
     other only where no content zone protects them; columns named as a result are replaced; an empty table gives no rows.
     """
-    keep = named_apart(pages, ["html", "text", "n_chars", "n_tokens", "n_repeated"])
-    row = F.struct(*[F.col(f"`{c}`") for c in keep])
+    keep = named_apart(pages, ["html", "text", "n_chars", "n_removed"])
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(0).alias("_"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"://([^/?#]*)", 1))
+    own = pages.select(row.alias("row"), host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    own = own.withColumns({"k1": F.xxhash64("html", "host"), "k2": F.xxhash64(F.lit("second"), "html", "host")})
+    answers = _answers(own)
+
+    def extract(batches):
+        for batch in batches:
+            html, hosts, repeats, starts = (batch.column(c).to_pylist() for c in ("html", "host", "repeats", "starts"))
+            told = [{(r["r1"], r["r2"]) for r in x or ()} for x in repeats], [{(r["r1"], r["r2"]) for r in x or ()} for x in starts]
+            done = [kept_text(*x) for x in zip(html, hosts, *told, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([t for t, _ in done], pa.string()), pa.array([len(t) for t, _ in done], pa.int64()), pa.array([n for _, n in done], pa.int64())], names=["row", "text", "n_chars", "n_removed"])
 
-    def parse(texts: pa.Array, _: pa.RecordBatch) -> list:
-        found = [page_blocks(t.decode("utf-8", "replace")) for t in texts.to_pylist()]
-        return [[z for z, _ in found], [t for _, t in found], [sum(map(len, t)) for _, t in found]]
-
-    parsed = map_texts(pages.select(row.alias("row"), host.alias("host"), "html"), parse, "zones array<int>, blocks array<string>, n long", column="html", keep_text=False)
-    part_of = pages.select(host.alias("host"), F.octet_length(F.coalesce("html", F.lit(""))).cast("long").alias("n"))
-    large = part_of.groupBy("host").agg(F.ceil(F.sum("n") / PART_BYTES).cast("int").alias("parts")).where("parts > 1")
-    large = materialise(large, "large_hosts")
-    small = (lambda hosts: F.broadcast(hosts)) if large.count() <= MOST_BROADCAST else (lambda hosts: hosts)
-    asking = materialise(parsed.where(_OPEN_PAGE).join(small(large), "host", "left_semi").select("host").distinct(), "asking_hosts")
-    exact = asking.limit(1).count() > 0
-    dealt = parsed.join(small(asking.withColumn("asked", F.lit(True))), "host", "left").where(~(F.expr(_OPEN_PAGE) & F.col("asked").isNotNull())) if exact else parsed
-    dealt = dealt.join(small(large), "host", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("row", "blocks"), F.col("parts")), F.lit(0)))
-    out = T.StructType([parsed.schema["row"], *_RESULTS.fields])
-    done = dealt.select("host", "part", "row", "zones", "blocks").groupBy("host", "part").applyInArrow(_host_texts, out)
-    if exact:
-        done = done.unionByName(_exact_texts(parsed, small(asking)))
-    return done.select("row.*", "text", "n_chars", "n_tokens", "n_repeated")
+    joined = own.join(answers, ["k1", "k2"], "left").select("row", "host", "html", "repeats", "starts")
+    shape = T.StructType([T.StructField("row", joined.schema["row"].dataType), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_removed", T.LongType())])
+    return joined.mapInArrow(extract, shape).select(*[F.col(f"row.`{c}`").alias(c) for c in keep], "text", "n_chars", "n_removed")
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.common import table
 
-    return main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars", "n_tokens", "n_repeated")
+    return main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars", "n_removed")

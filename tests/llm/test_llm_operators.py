@@ -68,20 +68,94 @@ def test_html_zones():
     assert html_text.page_blocks("a < b & c")[1] == ["a < b & c"]
 
 
-def test_repeated_runs_match_brute_force():
+def content(html):
+    return [t for z, t in zip(*html_text.page_blocks(html), strict=True) if z >= html_text.NAMED]
+
+
+@pytest.mark.parametrize(
+    ("html", "wanted"),
+    [
+        ('<div class="content-with-sidebar"><article>a</article></div>', ["a"]),
+        ('<main class="has-sidebar">a</main>', ["a"]),
+        ('<div id="page" class="no-banner"><article>a</article></div>', ["a"]),
+        ('<article class="post format-share">a</article>', ["a"]),
+        ('<article>Article about <span class="search">search</span> engines</article>', ["Article about search engines"]),
+        ('<article class="teaser">t</article><div class="content">body</div>', ["t", "body"]),
+        ("<div class=sidebar><article>a</article></div>", ["a"]),
+        ("<div class=sidebar><article>other</article></div><main>m<article>a</article></main>", ["a"]),
+        ("<article>a<svg/>b<svg>x</svg>c</article>", ["abc"]),
+        ('<article>a<p title="class=ad" data-class="ad">b</p></article>', ["a", "b"]),
+        ('<article>a</article><p>b <a href="never closed>c</p>', ["a"]),
+        ("<article>a <a href='it>b</p>c</article>", ["a b", "c"]),
+    ],
+)
+def test_html_content_zones(html, wanted):
+    assert content(html) == wanted
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a href="x ', "<div></p>", "<div>", "<!x", "<!--", "<script ", "<p>", "<a b='", "&", "</script ", "x<b>", "='\""])
+def test_html_of_a_million_bytes_takes_linear_time(piece):
+    import time
+
+    html = "<p>" + piece * (1_000_000 // len(piece))
+    began = time.process_time()
+    html_text.page_blocks(html + ">")
+    html_text.page_blocks(html)
+    assert time.process_time() - began < 8
+
+
+def brute_texts(rows, run=html_text.RUN, votes=html_text.VOTES):
+    """page_id and text by comparing token tuples of all pages of a host."""
+    parts = []
+    for i, url, html in rows:
+        zones, texts = html_text.page_blocks(html or "")
+        parts.append((i, re.search("://([^/?#]*)|$", url or "")[1] or "", zones, [t.split() for t in texts]))
+    outside, begins = collections.defaultdict(set), collections.defaultdict(set)
+    for n, (_, host, zones, blocks) in enumerate(parts):
+        stream = [w if z < html_text.NAMED else None for z, b in zip(zones, blocks, strict=True) for w in b]
+        for k in range(len(stream) - run + 1):
+            if None not in stream[k : k + run]:
+                outside[host, tuple(stream[k : k + run])].add(n)
+        for z, b in zip(zones, blocks, strict=True):
+            if z == html_text.NAMED and len(b) >= run:
+                begins[host, tuple(b[:run])].add(n)
+    out = []
+    for i, host, zones, blocks in parts:
+        has, kept, place = max(zones, default=0) >= html_text.NAMED, [], 0
+        stream = [w for b in blocks for w in b]
+        for z, b in zip(zones, blocks, strict=True):
+            source, least = (b, votes) if has else (stream, 2)
+            hit = {k + j for k in range(len(source) - run + 1) if len(outside[host, tuple(source[k : k + run])]) >= least for j in range(run)}
+            if z == html_text.CONTENT:
+                kept += b
+            elif z == html_text.NAMED:
+                first = (host, tuple(b[:run]))
+                if not (len(hit) == len(b) and len(outside[first]) > len(begins[first])):
+                    kept += b
+            elif not has and z == html_text.OPEN:
+                kept += [w for j, w in enumerate(b, place) if j not in hit]
+            place += len(b)
+        out.append((i, " ".join(kept)))
+    return sorted(out, key=str)
+
+
+def test_html_repeats_match_brute_force(spark):
     rng = np.random.default_rng(0)
-    for _ in range(30):
-        n, run = int(rng.integers(0, 80)), int(rng.integers(1, 6))
-        tokens, page = rng.integers(0, 3, n), np.sort(rng.integers(0, 4, n))
-        seen = collections.defaultdict(set)
-        for i in range(n - run + 1):
-            if page[i] == page[i + run - 1]:
-                seen[tuple(tokens[i : i + run])].add(page[i])
-        wanted = np.zeros(n, bool)
-        for i in range(n - run + 1):
-            if page[i] == page[i + run - 1] and len(seen[tuple(tokens[i : i + run])]) > 1:
-                wanted[i : i + run] = True
-        assert (html_text.repeated(tokens, page, run) == wanted).all()
+    say = lambda n, v=10**6: " ".join(f"t{x}" for x in rng.integers(0, v, n))
+    notices, passages, rows = [say(9), say(20), say(8)], [say(12) for _ in range(6)], []
+    for i in range(120):
+        host, shape = f"h{i % 3}.example", i % 4
+        odd = [notices[int(rng.integers(0, 3))], passages[int(rng.integers(0, 6))], say(int(rng.integers(1, 12))), say(9, 2)]
+        rng.shuffle(odd)
+        body = "".join(f"<p>{x}</p>" for x in odd)
+        zone = ("article", "section class=entry")[i // 4 % 2]
+        html = {0: f"<div>{notices[0]}</div>{body}", 1: f"<nav>{notices[1]}</nav><{zone}>{body}</{zone[:7]}>", 2: f"<div id=story>{body}</div><div class=notice>{notices[i % 3]}</div>", 3: f"<div>{body}</div><footer>{notices[2]}</footer>"}[shape]
+        rows.append((i, f"http://{host}/{i}", html))
+    rows += [(200, None, None), (201, "nothing", ""), (202, "http://h0.example/a", rows[1][2]), (202, "http://h0.example/a", rows[1][2])]
+    got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("TEXT", F.lit(1)))
+    assert sorted(((r.page_id, r.text) for r in got.collect()), key=str) == brute_texts(rows)
+    lost = {r.page_id for r in got.where("n_removed > 0").collect()}
+    assert lost & {i for i in range(120) if i % 4 in (1, 2)} and lost & {i for i in range(120) if i % 4 in (0, 3)} and "TEXT" not in got.columns
 
 
 def test_html_extraction_on_pages(spark, sf):
@@ -102,24 +176,11 @@ def test_html_open_pages_lose_what_their_host_repeats(spark):
     assert html_text.main_text(pages.limit(0)).count() == 0
 
 
-def test_html_large_hosts_are_dealt_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(html_text, "PART_BYTES", 2000)
-    pages = spark.createDataFrame([(i, f"http://h.example/{i}", f"<article><p>page {i} " + "x " * 100 + "</p></article><nav>menu</nav>") for i in range(40)], "page_id long, url string, html string")
-    got = html_text.main_text(pages).toPandas()
-    assert len(got) == 40 and all(t.startswith(f"page {i} ") and "menu" not in t for i, t in zip(got.page_id, got.text, strict=True))
-
-
-def test_html_large_hosts_are_exact(spark, monkeypatch):
-    rng = np.random.default_rng(4)
-    fresh = lambda n: " ".join(f"t{x}" for x in rng.integers(0, 10**9, n))
-    menu, pairs = fresh(9), [fresh(12) for _ in range(15)]
-    rows = [(i, f"http://h.example/{i}", f"<div>{menu}</div><p>{fresh(5)} {pairs[i % 15]} {fresh(6)}</p>") for i in range(30)]
-    rows += [(30, "http://h.example/a", f"<article>{pairs[0]}</article>"), (31, "http://other.example/", f"<p>{pairs[1]}</p>"), (31, "http://other.example/", f"<p>{pairs[1]}</p>"), (32, "http://h.example/e", None)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    whole = sorted(map(tuple, html_text.main_text(pages).select("page_id", "text").collect()))
-    monkeypatch.setattr(html_text, "PART_BYTES", 300)
-    assert sorted(map(tuple, html_text.main_text(pages).select("page_id", "text").collect())) == whole
-    assert all(len(t.split()) == 11 for i, t in whole if i < 30) and [t for i, t in whole if i >= 30] == [pairs[0], "", "", ""]
+def test_html_notice_in_a_named_zone_goes_if_other_pages_have_it_outside(spark):
+    notice, passage = "we use small files to remember what you read here", "a passage of more than eight words that articles of this host share"
+    rows = [(i, f"http://h.example/{i}", f"<div class=notice>{notice}</div><article><p>own{i}</p><p>{passage}</p></article>") for i in range(4)] + [(8, "http://h.example/8", f"<article><p>own8</p><p>{notice}</p></article>")] + [(9, "http://h.example/9", f"<div class=post><p>own9</p><p>{notice}</p><p>{passage}</p></div>")]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"own{i} {passage}" for i in (0, 1, 2, 3, 9)} | {8: f"own8 {notice}"}
 
 
 # 2 ---------------------------------------------------------------------------------------------------------------
