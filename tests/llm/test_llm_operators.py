@@ -430,6 +430,27 @@ def test_near_duplicates_brute_force(spark, monkeypatch, block):
     assert len(kept) == groups and set(kept.columns) == {"doc_id", "text", "key", "Own_Key", "kept_id"}
 
 
+def test_near_duplicates_of_text_ids(spark):
+    docs = [(None if d is None else f"d{d}", t) for d, t in near_copies()]
+    got = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id string, text string"))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute_groups(docs)[0]
+
+
+def test_blocks_lose_no_pair_of_the_threshold():
+    """Every pair of sets of similarity 0.8 or more is linked, and no other."""
+    rng = np.random.default_rng(6)
+    base, sets = rng.integers(-(2**62), 2**62, 200), []
+    for _ in range(60):
+        n = int(rng.integers(1, 40))
+        kept = base[: int(rng.integers(1, 60))]
+        sets.append(np.unique(np.concatenate([kept, rng.integers(-(2**62), 2**62, n // 8)])))
+    arrays = {"root": pa.array([list(range(60))]), "members": pa.array([[x.tolist() for x in sets]])}
+    batch = pa.RecordBatch.from_pydict({f"{side}_{c}": v for side in "xy" for c, v in arrays.items()})
+    got = {(r["a"], r["b"]) for b in near_dedup._compare(iter([batch])) for r in b.to_pylist()}
+    both = {(i, j): len(np.intersect1d(sets[i], sets[j])) for i in range(60) for j in range(i + 1, 60)}
+    assert got == {(i, j) for (i, j), k in both.items() if k >= 0.8 * (len(sets[i]) + len(sets[j]) - k)} and len(got) > 20
+
+
 def test_near_duplicates_of_documents(spark, documents, empty):
     docs = [tuple(r) for r in documents.select("doc_id", "text").collect()]
     assert sorted((tuple(r) for r in near_dedup.near_duplicates(documents).collect()), key=str) == brute_groups(docs)[0]
