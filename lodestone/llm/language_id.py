@@ -1,13 +1,15 @@
 """Language identification by interpolated Kneser-Ney character models, one for each language.
 
-Texts become runs of lower-cased letters with single spaces between. A model of order 4 is stored as sorted arrays
-of n-gram keys, exact for the 16-bit plane, with a probability for each language. A text gets the language of lowest
-cross-entropy for each character; it is rejected if that lies beyond what the language's own training texts show, by a
-margin measured on them, which is wider for short texts.
+Texts become runs of lower-cased letters (with their combining marks) and single spaces between. Letters of all planes
+that the training texts hold are numbered; the others are one letter that no model has seen. A model of order 4 is stored
+as sorted arrays of n-gram keys, with a probability for each language. A text gets the language of lowest cross-entropy
+for each character; it is rejected if that lies beyond what labelled texts show that the models were not fitted on, by a
+margin which is wider for short texts.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -17,41 +19,62 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import held_out, map_texts, text_chunks
+from lodestone.llm.common import held_out, map_texts, materialise, text_chunks
 
 ORDER = 4
 #: At most about so many training texts of a language are read (the bound of the sample), chosen by a hash of their id.
 SAMPLE = 1500
-#: A text is rejected beyond the mean cross-entropy of its language's training texts by so many of their deviations, at least MARGIN nats, and at least so many deviations of a mean over as many characters as it has.
-DEVIATIONS, MARGIN, SHORT_DEVIATIONS = 8.0, 1.0, 5.0
+#: Of a language with fewer texts, this share is read, so that others are left to measure the limits on.
+MOST_FITTED = 0.8
+#: A text is rejected beyond the median cross-entropy of its language by so many deviations, at least MARGIN nats, and at least so many deviations of a mean over as many characters as it has. Deviations are those of a normal distribution with the measured median deviation.
+DEVIATIONS, MARGIN, SHORT_DEVIATIONS, NORMAL = 8.0, 1.0, 5.0, 1.4826
+#: How sharply the score tells languages apart: a language that is worse by this part of a nat a character has a share smaller by the factor e.
+SHARPNESS = 0.25
 UNKNOWN = "und"
 _SPACE = 32
+#: Letters that are numbered; beyond, the rarest of the training texts are as unknown ones.
+MOST_LETTERS = 65_000
 
 
 @lru_cache(1)
-def _folded() -> np.ndarray:
-    """16-bit code for each code point: its lower case if it is a letter, else a space."""
-    table = np.full(0x110000, _SPACE, np.uint16)
-    for cp in range(0x30000):
+def _folded() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point its lower case if it is a letter, itself if it is a combining mark, else a space; and whether it is a letter."""
+    table, letter = np.full(0x110000, _SPACE, np.uint32), np.zeros(0x110000, bool)
+    for cp in range(0x110000):
         c = chr(cp)
         if c.isalpha():
-            table[cp] = min(ord(low), 0xFFFF) if len(low := c.lower()) == 1 else min(cp, 0xFFFF)
-    return table
+            table[cp], letter[cp] = ord(low) if len(low := c.lower()) == 1 else cp, True
+        elif unicodedata.category(c)[0] == "M":
+            table[cp] = cp
+    return table, letter
 
 
-def letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all texts, each between two spaces, runs of spaces as one; the text of each code."""
-    parts = [np.frombuffer(t.decode("utf-8", "replace").encode("utf-32-le"), np.uint32) for t in texts.to_pylist()]
+def _code_points(texts: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(t.decode("utf-8", "replace").encode("utf-32-le"), np.uint32) for t in texts.to_pylist()]
+
+
+def numbering(code_points: np.ndarray) -> np.ndarray:
+    """Number of each code point: 0 of a space, then those given (the most important first; at most MOST_LETTERS), then one for all others."""
+    known = code_points[code_points != _SPACE][:MOST_LETTERS]
+    number = np.full(0x110000, len(known) + 1, np.uint16)
+    number[known], number[_SPACE] = np.arange(1, len(known) + 1), 0
+    return number
+
+
+def letters(texts: pa.Array, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of all texts' characters, each text between two spaces, runs of spaces as one; the text of each; and how many letters each text has."""
+    folded, letter = _folded()
+    parts = _code_points(texts)
     sizes = np.array([len(p) + 2 for p in parts], np.int64)
-    codes = np.full(sizes.sum(), _SPACE, np.uint16)
+    codes = np.zeros(sizes.sum(), np.uint16)
     begin = np.cumsum(sizes) - sizes
-    table = _folded()
+    table = number[folded]
     for b, p in zip(begin, parts, strict=True):
         codes[b + 1 : b + 1 + len(p)] = table[p]
     text = np.repeat(np.arange(len(parts)), sizes)
     keep = np.ones(len(codes), bool)
-    keep[1:] = (codes[1:] != _SPACE) | (codes[:-1] != _SPACE) | (text[1:] != text[:-1])
-    return codes[keep], text[keep]
+    keep[1:] = (codes[1:] != 0) | (codes[:-1] != 0) | (text[1:] != text[:-1])
+    return codes[keep], text[keep], np.array([letter[p].sum() for p in parts], np.int64)
 
 
 def grams(codes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,17 +125,17 @@ class KneserNey:
 @dataclass
 class Model:
     languages: list[str]
+    number: np.ndarray  # of each code point
     parts: list[KneserNey]
     keys: np.ndarray  # n-grams of any language, sorted, and their log-probability in each
     logp: np.ndarray
     limit: np.ndarray  # highest cross-entropy that is not rejected, however long the text, by language
-    mean: np.ndarray  # of the training texts' cross-entropies
-    variance: np.ndarray  # of their differences from the mean, for one character
+    middle: np.ndarray  # the median cross-entropy
+    spread: np.ndarray  # deviation from it of a single character
 
     def cross_entropy(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Nats for each character, [text, language], and the numbers of letters and of scored characters of each text."""
-        codes, text = letters(texts)
-        n_letters = np.bincount(text[codes != _SPACE], minlength=len(texts))
+        codes, text, n_letters = letters(texts, self.number)
         key, text = grams(codes, text)
         unique, of = np.unique(key, return_inverse=True)
         at, found = _find(self.keys, unique)
@@ -125,16 +148,30 @@ class Model:
         return -sums / np.maximum(n, 1)[:, None], n_letters, n
 
     def rejects(self, language: np.ndarray, ce: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return ce > np.maximum(self.limit[language], self.mean[language] + SHORT_DEVIATIONS * np.sqrt(self.variance[language] / np.maximum(n, 1)))
+        return ce > np.maximum(self.limit[language], self.middle[language] + SHORT_DEVIATIONS * self.spread[language] / np.sqrt(np.maximum(n, 1)))
+
 
+def _alphabet(docs: DataFrame) -> np.ndarray:
+    """Numbers of the letters of these texts; at most as many rows as Unicode has letters reach the driver."""
 
-def _counts(docs: DataFrame) -> DataFrame:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folded = _folded()[0]
+        for batch in batches:
+            for _, texts in text_chunks(batch):
+                unique, n = np.unique(folded[np.concatenate(_code_points(texts))], return_counts=True)
+                yield pa.RecordBatch.from_pydict({"code": unique.astype(np.int64), "n": n})
+
+    found = docs.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
+    return numbering(np.array([r.code for r in sorted(found, key=lambda r: (-r.n, r.code))], np.int64))
+
+
+def _counts(docs: DataFrame, number) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_chunks(batch):
                 names = part.column(0).dictionary_encode()
                 lang = names.indices.to_numpy(zero_copy_only=False)
-                key, text = grams(*letters(texts))
+                key, text = grams(*letters(texts, number.value)[:2])
                 for i, name in enumerate(names.dictionary.to_pylist()):
                     unique, n = np.unique(key[lang[text] == i], return_counts=True)
                     yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(unique), pa.string()), "key": unique.view(np.int64), "n": n})
@@ -145,44 +182,51 @@ def _counts(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """A model from lang and text of documents with both, outside the held-out fold; None if there are none.
 
-    About `sample` texts of each language at most are taken, by a hash of the id; the n-grams of these reach the driver.
+    About `sample` texts of each language at most are fitted on, by a hash of the id; the n-grams of these reach the
+    driver. The limits come from all other texts of these documents.
     """
     learn = docs.where(~held_out() & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang", "text")
     sizes = {r.lang: r.n for r in learn.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, sample / n))])
-    chosen = learn.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
-    counts = _counts(chosen).toArrow()
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(MOST_FITTED, sample / n))])
+    fitted = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000
+    chosen = learn.where(fitted)
+    context = docs.sparkSession.sparkContext
+    number = _alphabet(chosen)
+    numbered = context.broadcast(number)
+    counts = _counts(chosen, numbered).toArrow()
     names = counts.column("lang").to_pylist()
     lang, key, n = np.array(names, object), counts.column("key").to_numpy().view(np.uint64), counts.column("n").to_numpy()
     languages = sorted(set(names))
     if not languages:
         return None
-    alphabet = len(np.unique(key & np.uint64(0xFFFF))) + 1
     parts = []
     for name in languages:
         own = np.flatnonzero(lang == name)
         own = own[np.argsort(key[own])]
-        parts.append(KneserNey(key[own], n[own], alphabet))
+        parts.append(KneserNey(key[own], n[own], int(number.max()) + 1))
     keys = np.unique(key)
-    model = Model(languages, parts, keys, np.stack([p.log_probability(keys) for p in parts], axis=1), np.full(len(languages), np.inf), np.zeros(len(languages)), np.zeros(len(languages)))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    size = len(languages)
+    model = Model(languages, number, parts, keys, np.stack([p.log_probability(keys) for p in parts], axis=1), np.full(size, np.inf), np.zeros(size), np.zeros(size))
+    shared = context.broadcast(model)
 
     def measure(texts: pa.Array, batch: pa.RecordBatch) -> list:
         model = shared.value
         ce, letters, n = model.cross_entropy(texts)
         at = {x: i for i, x in enumerate(model.languages)}
-        own = [at.get(x, 0) for x in batch.column(batch.schema.get_field_index("in_lang")).to_pylist()]
-        return [np.where(letters > 0, ce[np.arange(len(ce)), own], np.nan), n]
-
-    measured = map_texts(chosen, measure, "ce double, n long", needs=("lang",), keep_text=False).where(~F.isnan("ce"))
-    moments = [F.avg("ce").alias("m"), F.stddev_pop("ce").alias("s"), F.avg("n").alias("n"), F.avg(F.col("n") * F.col("ce")).alias("nc"), F.avg(F.col("n") * F.col("ce") * F.col("ce")).alias("ncc")]
-    for r in measured.groupBy("lang").agg(*moments).collect():
-        if r.lang in languages:
-            i = languages.index(r.lang)
-            model.limit[i], model.mean[i] = r.m + max(MARGIN, DEVIATIONS * r.s), r.m
-            model.variance[i] = max(0.0, r.ncc - 2 * r.m * r.nc + r.m**2 * r.n)
+        own = [at.get(x, -1) for x in batch.column(batch.schema.get_field_index("in_lang")).to_pylist()]
+        return [np.where((letters > 0) & (np.array(own) >= 0), ce[np.arange(len(ce)), own], np.nan), n]
+
+    measured = materialise(map_texts(learn.where(~fitted).select("lang", "text"), measure, "ce double, n long", needs=("lang",), keep_text=False).where(~F.isnan("ce")), "cross_entropies")
+    middle = {r.lang: r.m for r in measured.groupBy("lang").agg(F.percentile_approx("ce", 0.5).alias("m")).collect()}
+    if not middle:
+        return model
+    away = F.abs(F.col("ce") - F.create_map(*[F.lit(x) for kv in sorted(middle.items()) for x in kv])[F.col("lang")])
+    for r in measured.groupBy("lang").agg(F.percentile_approx(away, 0.5).alias("d"), F.percentile_approx(away * F.sqrt("n"), 0.5).alias("s")).collect():
+        i = languages.index(r.lang)
+        model.middle[i], model.spread[i] = middle[r.lang], NORMAL * r.s
+        model.limit[i] = middle[r.lang] + max(MARGIN, DEVIATIONS * NORMAL * r.d)
     return model
 
 
@@ -203,7 +247,7 @@ def identify(docs: DataFrame, model: Model | None, keep_text: bool = True) -> Da
         best = ce.argmin(axis=1)
         low = ce[np.arange(len(ce)), best]
         with np.errstate(over="ignore"):
-            score = 1.0 / np.exp(-4.0 * (ce - low[:, None])).sum(axis=1)
+            score = 1.0 / np.exp((low[:, None] - ce) / SHARPNESS).sum(axis=1)
         none = letters == 0
         names = [UNKNOWN if x else model.languages[b] for x, b in zip(none.tolist(), best.tolist(), strict=True)]
         return [names, np.where(none, 0.0, score), low, none | model.rejects(best, low, n)]

@@ -489,9 +489,33 @@ def test_language_of_odd_texts(spark, documents, odd, empty):
     assert language_id.identify(odd, None).where("rejected").count() == len(ODD)
 
 
+def test_language_of_letters_of_all_planes(spark, documents):
+    model = language_id.train(documents)
+    texts = ["\U00030001", "\U0001e900\U0001e921 " * 40, "\u0928\u092e\u0938\u094d\u0924\u0947", "\u0301\u0301", "A\u0301b \U0001f642"]
+    got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(list(enumerate(texts)), DOCS), model).collect()}
+    assert [got[i].lang_pred == "und" for i in range(5)] == [False, False, False, True, False] and got[1].rejected
+    codes, _, n = language_id.letters(binary(texts), model.number)
+    assert n.tolist() == [1, 80, 4, 0, 2] and (codes == 0).sum() == 10 + 39  # marks don't part a word
+
+
+def test_language_rejects_a_language_that_it_has_not_learned(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    for foreign in ("de", "es"):
+        model = language_id.train(docs.where(F.col("lang") != foreign))
+        got = language_id.identify(docs.withColumn("long", F.length("text") > 100), model).groupBy((F.col("lang") == foreign).alias("foreign"), "long").agg(F.avg(F.col("rejected").cast("int")).alias("share")).toPandas()
+        share = {(bool(r.foreign), bool(r.long)): r.share for r in got.itertuples() if r.foreign is not None and r.long is not None}
+        assert share[True, True] > 0.95 and share[False, True] < 0.005, (foreign, share)
+
+
+def test_language_clashing_columns(spark, documents):
+    got = language_id.identify(documents.withColumns({"SCORE": F.lit("x"), "Rejected": F.lit(1)}), language_id.train(documents))
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "lang_pred", "score", "cross_entropy", "rejected"]
+
+
 def test_kneser_ney_sums_to_one():
     texts = pa.array(["abab abba", "baab"], pa.large_binary())
-    key, n = np.unique(language_id.grams(*language_id.letters(texts))[0], return_counts=True)
+    number = language_id.numbering(np.array([ord("b"), ord("a")]))
+    key, n = np.unique(language_id.grams(*language_id.letters(texts, number)[:2])[0], return_counts=True)
     codes = np.unique(key & np.uint64(0xFFFF))
     model = language_id.KneserNey(key, n, len(codes))
     for context in np.unique(key >> np.uint64(16)):
