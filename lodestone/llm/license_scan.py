@@ -2,7 +2,7 @@
 
 A template of n words can only be confirmed where all but a fifth of its words stand, so any n - ceil(0.8 n) + 1 of them
 hold one that does; the longest serve as anchors. Around each anchor in a whole document a candidate block is taken, as
-long as the template and a quarter more. Each block is compressed by zstandard alone and with every template as raw
+long as the template and a quarter more, if it holds enough of the template's words in any order. Each block is compressed by zstandard alone and with every template as raw
 dictionary; the templates are ranked by the bytes they save, and compared word by word in that order. A block is confirmed
 for the first that saves bytes and whose wording differs in at most a fifth of its words and in none that tell templates apart
 (numbers, words that only a short template has, and those that a longer one's siblings lack). Case does not count.
@@ -10,6 +10,8 @@ for the first that saves bytes and whose wording differs in at most a fifth of i
 
 from __future__ import annotations
 
+from bisect import bisect
+from collections import Counter
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -62,13 +64,20 @@ class Scanner:
     anchors: np.ndarray  # hashes, sorted; template and place of each
     template: np.ndarray
     place: np.ndarray
-    dictionaries: list
+    alone: object  # a compressor without dictionary, and one for each template
+    with_template: list
+    bags: list[Counter]
+
+    def holds_enough(self, t: int, here: list[bytes]) -> bool:
+        """Whether the words of template t that stand in the block, in any order, could confirm it."""
+        have = Counter(here)
+        return sum(min(n, have[x]) for x, n in self.bags[t].items()) >= SHARE * len(self.wordings[t])
 
     def candidates(self, w) -> list[tuple[int, int, int]]:
-        """Text, first word and end of each block, once each."""
+        """Text, first word and end of each block that holds enough of its template, once each."""
         at = np.searchsorted(self.anchors, w.hash)
         near = np.flatnonzero(self.anchors[np.minimum(at, len(self.anchors) - 1)] == w.hash)
-        out = set()
+        out, seen = set(), set()
         for i in near.tolist():
             text = int(np.searchsorted(w.first, i, "right")) - 1
             k = int(at[i])
@@ -76,16 +85,18 @@ class Scanner:
                 n = len(self.wordings[self.template[k]])
                 slack = n // 4
                 begin = i - int(self.place[k]) - slack
-                out.add((text, max(begin, int(w.first[text])), min(begin + n + 2 * slack, int(w.first[text + 1]))))
+                block = (int(self.template[k]), max(begin, int(w.first[text])), min(begin + n + 2 * slack, int(w.first[text + 1])))
+                if block not in seen:
+                    seen.add(block)
+                    if self.holds_enough(block[0], w.bytes_of(block[1], block[2] - block[1])):
+                        out.add((text, *block[1:]))
                 k += 1
         return sorted(out)
 
     def savings(self, block: bytes) -> list[tuple[int, int]]:
         """Bytes saved by each template as dictionary, most first, with the template's number."""
-        import zstandard
-
-        alone = len(zstandard.ZstdCompressor(level=3, write_content_size=False).compress(block))
-        return sorted(((alone - len(zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_dict_id=False).compress(block)), -t) for t, d in enumerate(self.dictionaries)), reverse=True)
+        alone = len(self.alone.compress(block))
+        return sorted(((alone - len(c.compress(block)), -t) for t, c in enumerate(self.with_template)), reverse=True)
 
     def differences(self, found: list[bytes], t: int) -> tuple[list[bytes], list[bytes], int, int] | None:
         """Words of the template that the block lacks and words that stand between its own, with the block's first and last matched word; None if too many or telling ones differ."""
@@ -118,7 +129,9 @@ def scanner(templates: tuple[tuple[str, str], ...]) -> Scanner:
         rows += [(int(w.hash[w.first[t] + i]), t, i) for i in chosen]
     rows.sort()
     raw = [zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for _, text in templates]
-    return Scanner([n for n, _ in templates], wordings, telling, np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), raw)
+    alone = zstandard.ZstdCompressor(level=3, write_content_size=False)
+    with_template = [zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_dict_id=False) for d in raw]
+    return Scanner([n for n, _ in templates], wordings, telling, np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), alone, with_template, [Counter(x) for x in wordings])
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, keep_text: bool = True) -> DataFrame:
@@ -147,8 +160,12 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, keep_te
         for rows in found:
             rows.sort(key=lambda r: (r["n"], r["first"], r["last"], r["name"]))
             kept: list[dict] = []
+            taken: dict[str, list[tuple[int, int]]] = {}  # disjoint spans of each template, in order
             for r in rows:
-                if not any(r["name"] == k["name"] and r["first"] <= k["last"] and k["first"] <= r["last"] for k in kept):
+                spans = taken.setdefault(r["name"], [])
+                at = bisect(spans, (r["last"], r["last"]))
+                if not (at and spans[at - 1][1] >= r["first"]):
+                    spans.insert(at, (r["first"], r["last"]))
                     kept.append(r)
             best.append(kept[0]["name"] if kept else None)
             rows[:] = sorted(({k: v for k, v in r.items() if k != "n"} for r in kept), key=lambda r: (r["first"], r["last"], r["name"]))
