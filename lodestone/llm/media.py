@@ -1,9 +1,9 @@
 """Media columns: texts stored losslessly as 8-bit greyscale PNG members of archives, read back by byte range.
 
 `media_archive` is a Python data source. Writing: each task appends members to archives of bounded size under names
-of its own and reports them; the commit writes a manifest of the reported archives only, so retried or speculative
-tasks leave nothing that a reader sees. Reading: the driver plans partitions as byte ranges of archives from the
-manifest alone; a task reads the archive's index (bounded by the archive's size), takes the members that begin in its
+of its own and reports them; each commit writes a manifest of its own of the reported archives only, so retried or
+speculative tasks leave nothing that a reader sees, and appends add up. Reading: the driver plans partitions as byte
+ranges of archives from the manifests alone; a task reads the archive's index (bounded by the archive's size), takes the members that begin in its
 range and streams them as Arrow batches. Each member is read, checked and, if need be, tried again by its own offset.
 
 Archive: members one after the other; then the index, an Arrow IPC stream; then its length as eight bytes.
@@ -33,8 +33,11 @@ from lodestone.llm.common import map_texts, shared_dir
 FRAME, SIDE, FILL = 576, 24, 255
 #: Bytes of an archive before another begins, of a read partition, and of a batch sent to Spark; tries of a member.
 ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES, TRIES = 64 << 20, 16 << 20, 4 << 20, 3
+#: Read partitions, beyond which their ranges grow (one archive each at most).
+MOST_RANGES = 100_000
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"  # fixed value of the format
 _INDEX = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("crc32", pa.int64())])
+MANIFEST = ".manifest.json"
 MEMBER = "doc_id long, n_bytes long, media binary"
 
 
@@ -80,6 +83,10 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+def _manifests(files: fs.FileSystem, root: str) -> list[str]:
+    return sorted(f.path for f in files.get_file_info(fs.FileSelector(root)) if f.path.endswith(MANIFEST))
+
+
 @dataclass
 class Written(WriterCommitMessage):
     archives: list[tuple[str, int]]
@@ -93,8 +100,8 @@ class ByteRange(InputPartition):
 
 
 class ArchiveWriter(DataSourceArrowWriter):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool = False):
+        self.path, self.overwrite = path, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         files, root = _open(self.path)
@@ -130,8 +137,11 @@ class ArchiveWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         files, root = _open(self.path)
         files.create_dir(root, recursive=True)
-        with files.open_output_stream(f"{root}/manifest.json", compression=None) as out:
+        before = _manifests(files, root) if self.overwrite else []
+        with files.open_output_stream(f"{root}/{uuid.uuid4().hex}{MANIFEST}", compression=None) as out:
             out.write(json.dumps(sorted(a for m in messages if m for a in m.archives)).encode())
+        for path in before:
+            files.delete_file(path)
 
     def abort(self, messages: list[Written | None]) -> None:
         files, root = _open(self.path)
@@ -146,9 +156,12 @@ class ArchiveReader(DataSourceReader):
 
     def partitions(self) -> list[ByteRange]:
         files, root = _open(self.path)
-        with files.open_input_stream(f"{root}/manifest.json", compression=None) as file:
-            archives = json.loads(file.read())
-        return [ByteRange(name, first, min(first + RANGE_BYTES, size)) for name, size in archives for first in range(0, size, RANGE_BYTES)] or [ByteRange("", 0, 0)]
+        archives = []
+        for path in _manifests(files, root):
+            with files.open_input_stream(path, compression=None) as file:
+                archives += json.loads(file.read())
+        step = max(RANGE_BYTES, -(-sum(size for _, size in archives) // MOST_RANGES))
+        return [ByteRange(name, first, min(first + step, size)) for name, size in sorted(archives) for first in range(0, size, step)] or [ByteRange("", 0, 0)]
 
     @staticmethod
     def _member(files: fs.FileSystem, path: str, offset: int, length: int, crc32: int) -> bytes:
@@ -206,7 +219,7 @@ class MediaArchive(DataSource):
         return ArchiveReader(self.options["path"])
 
     def writer(self, schema: T.StructType, overwrite: bool) -> ArchiveWriter:
-        return ArchiveWriter(self.options["path"])
+        return ArchiveWriter(self.options["path"], overwrite)
 
 
 def store(docs: DataFrame, folder: str) -> None:
