@@ -228,7 +228,7 @@ def codec(raw: bytes, pattern: str) -> Codec:
 def bpe_round_trip(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, keep_text: bool = True) -> DataFrame:
     """docs with token_ids, n_tokens, ids_sha256 (of the decimal ids, comma-joined) and decoded_sha256 (of the bytes decoded from the ids).
 
-    Null and empty texts have no tokens; repeated rows are encoded each; the path of the vocabulary file is read on
+    Null and empty texts have no tokens; bytes that are no UTF-8 count as U+FFFD; columns named as a result are replaced; repeated rows are encoded each; the path of the vocabulary file is read on
     the driver only. Nothing is shuffled, and whole texts are encoded whatever their length.
     """
     import public_tokenizers
@@ -240,7 +240,7 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str | None = None, pattern: str
 
     def encode(texts: pa.Array, _: pa.RecordBatch) -> list:
         c = codec(shared.value, pattern)
-        ids = [c.encode(t.decode()) for t in texts.to_pylist()]
+        ids = [c.encode(t.decode("utf-8", "replace")) for t in texts.to_pylist()]
         sizes = np.array([len(x) for x in ids], np.int64)
         named, decoded = [], []
         for x in ids:

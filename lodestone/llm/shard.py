@@ -36,7 +36,7 @@ def _prefix_number(name: str) -> Column:
 
 
 #: The metadata dimensions.
-DIMENSIONS = {"d_source": _prefix_number, "d_lang": _prefix_number, "d_id": lambda c: F.coalesce(F.col(c).cast("double"), F.lit(-1.0)), "d_size": lambda c: F.log1p(F.col(c).cast("double"))}
+DIMENSIONS = {"d_source": _prefix_number, "d_lang": _prefix_number, "d_id": lambda c: F.coalesce(F.col(c).try_cast("double"), F.lit(-1.0)), "d_size": lambda c: F.log1p(F.col(c).cast("double"))}
 _COLUMNS = {"d_source": "source", "d_lang": "lang", "d_id": "doc_id", "d_size": "size"}
 
 

@@ -236,6 +236,17 @@ def test_license_scan_goes_on_down_the_ranking(spark):
     assert got == dict(enumerate(templates))
 
 
+def test_license_scan_of_license_like_prose():
+    """Long prose of the templates' own words makes no blocks but where enough of a template's words stand."""
+    import time
+
+    rng = np.random.default_rng(2)
+    pool = sorted({x for t in license_scan.TEMPLATES.values() for x in split(t)} | {f"w{i}" for i in range(400)})
+    text = " ".join(rng.choice(pool, 100_000)) + " " + license_scan.TEMPLATES["MIT-permission"]
+    s, began = license_scan.scanner(tuple(license_scan.TEMPLATES.items())), time.process_time()
+    assert len(s.candidates(words(binary([text])))) < 200 and time.process_time() - began < 20
+
+
 def test_license_scan_counts_repeated_lines(spark):
     lines = {"Licensed under CC BY 4.0.": 6, "All rights reserved.": 3, "Released under MIT License.": 4, license_scan.TEMPLATES["MIT-permission"] + ".": 29}
     cases = [(f"{' '.join([line] * k)} End.", n, k) for line, n in lines.items() for k in (1, 2, 3, 5)]
@@ -312,6 +323,12 @@ def test_sharding_of_ties_and_odd_rows(spark, odd, empty):
     assert len(got) == len(ODD) and all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
 
 
+def test_sharding_of_text_ids_and_clashing_columns(spark):
+    rows = spark.range(200).select(F.concat(F.lit("d"), "id").alias("doc_id"), F.repeat(F.lit("x"), F.col("id").cast("int")).alias("text"), F.lit("en").alias("lang"), F.lit("web").alias("source"), F.lit(1).alias("Shard"))
+    sums = shard.kd_shards(rows, 4).groupBy("shard").agg(F.sum("size").alias("s")).toPandas()
+    assert len(sums) == 4 and sums.s.max() - sums.s.min() <= 2 * 208
+
+
 def test_sharding_splits_a_repeated_row(spark):
     rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("doc_id"), F.lit("the same text").alias("text"), F.lit("en").alias("lang"), F.lit("web").alias("source"))
     dealt = shard.kd_shards(rows, 24)
@@ -350,6 +367,12 @@ def test_bpe_equals_tiktoken(tokenizer, monkeypatch, every):
         assert "".join(codec.decode_stream([i] for i in ids)) == t
 
 
+def test_bpe_of_bytes_that_are_no_utf8(spark, tokenizer):
+    docs = spark.sql("SELECT 1L AS doc_id, CAST(X'61FF62' AS STRING) AS text, 'x' AS Token_Ids")
+    row = bpe.bpe_round_trip(docs).first()
+    assert row.token_ids == tokenizer[1].encode_ordinary("a\ufffdb") and "Token_Ids" not in bpe.bpe_round_trip(docs).columns
+
+
 def test_bpe_query_round_trip(spark, documents, odd, empty, tokenizer):
     for docs in (documents.select("doc_id", "text"), odd):
         for r in bpe.bpe_round_trip(docs.withColumn("raw", F.col("text"))).collect():
@@ -559,6 +582,31 @@ def test_media_ranges_and_archives(spark, documents, monkeypatch, tmp_path):
         media.ArchiveReader._member(media._open(f"{tmp_path}/a")[0], f"{tmp_path}/a/{parts[0].archive}", 0, len(first), 1)
 
 
+def test_media_appends_add_up(spark, documents, tmp_path):
+    a, b = documents.where("doc_id < 50"), documents.where("doc_id BETWEEN 50 AND 80")
+    media.store(a, f"file://{tmp_path}/m")
+    media.store(b, f"file://{tmp_path}/m")
+    read = spark.read.format("media_archive").load(f"file://{tmp_path}/m")
+    assert sorted(r.doc_id for r in read.select("doc_id").collect()) == sorted(r.doc_id for r in a.union(b).select("doc_id").collect())
+    read.where("doc_id < 10").write.format("media_archive").mode("overwrite").save(f"file://{tmp_path}/m")
+    assert spark.read.format("media_archive").load(f"file://{tmp_path}/m").count() == documents.where("doc_id < 10").count()
+
+
+def test_media_feature():
+    """Against sums over single samples."""
+    rng = np.random.default_rng(8)
+    for n in (576, 1152, 576 * 7):
+        x = rng.integers(0, 256, n).tolist()
+        mean = sum(x) * 1000 // n
+        spread = int((sum(v * v for v in x) / n - (sum(x) / n) ** 2) ** 0.5 * 1000)
+        bands = [sum(v >> 4 == b for v in x) * 1000 // n for b in range(16)]
+        rows = [x[i : i + 24] for i in range(0, n, 24)]
+        edges = [i * len(rows) // 8 for i in range(9)]
+        areas = [sum(v for r in rows[a:b] for v in r[c : c + 3]) * 8 // (b - a) for a, b in zip(edges[:-1], edges[1:], strict=True) for c in range(0, 24, 3)]
+        bits = int("".join("1" if a > sum(areas) / 64 else "0" for a in areas), 2)
+        assert media.feature(bytes(x)) == f"mean={mean};spread={spread};bands={','.join(map(str, bands))};areas={bits:016x}"
+
+
 def test_png_is_lossless_and_checked():
     payload = media.payload_of(bytes(range(256)) * 9)
     image = media.to_png(payload)
