@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lodestone.plans.constraint import EPSILON, Path, label_text, parse_label
 from lodestone.plans.graphs import to_dag
 from lodestone.plans.schema import PropertyNode, unique_names
+from lodestone.vocabulary import is_type
 
 #: Names of the vocabulary start with this; a parameter wherever triples are made or read.
 VOCABULARY = "urn:lodestone:"
@@ -142,7 +143,7 @@ def graphs_in(triples: DataFrame, base: str = VOCABULARY) -> DataFrame:
     def value(p: str, name: str) -> DataFrame:
         return t.where(F.col("p") == base + p).select("s", F.col("o").alias(name))
 
-    g = t.where((F.col("p") == "rdf:type") & (F.col("o") == f"{base}CausalGraph")).select("s").join(value("wasGeneratedBy", "run"), "s", "left")
+    g = t.where(is_type(F.col("p")) & (F.col("o") == f"{base}CausalGraph")).select("s").join(value("wasGeneratedBy", "run"), "s", "left")
     for p, name in (("nodeCount", "n_nodes"), ("edgeCount", "n_edges")):
         g = g.join(value(p, name), "s", "left")
     g = g.withColumnRenamed("s", "graph")

@@ -73,9 +73,32 @@ def pc(df: DataFrame, columns: list[str], alpha: float = 0.05, allowed: np.ndarr
     return meek(out, allowed)
 
 
-def _subsets(items: set[int], most: int = 12):
-    ordered = sorted(items)[:most] if len(items) > most else sorted(items)
-    return [set(s) for k in range(len(ordered) + 1) for s in combinations(ordered, k)]
+def _clique_additions(a: np.ndarray, base: set[int], items: set[int]):
+    """The subsets of items that form a clique together with base: grown one by one, as no superset of another set does."""
+    if not is_clique(a, base):
+        return
+    open_sets: list[tuple[set[int], list[int]]] = [(set(), sorted(items))]
+    while open_sets:
+        made, rest = open_sets.pop()
+        yield made
+        for i, k in enumerate(rest):
+            if is_clique(a, base | made | {k}):
+                open_sets.append((made | {k}, rest[i + 1 :]))
+
+
+class GaussScores:
+    """Local scores of numeric columns for searches over graphs: Gaussian log-likelihood less ln(rows) / 2 for each free parameter, from one matrix of moments."""
+
+    def __init__(self, df: DataFrame, columns: list[str]):
+        self.rows, _, g = gram(df, columns)
+        self.cov, self.at, self.seen = g / max(self.rows, 1), {c: i for i, c in enumerate(columns)}, {}
+
+    def __call__(self, child: str, of: frozenset) -> float:
+        if (child, of) not in self.seen:
+            y, x = self.at[child], sorted(self.at[p] for p in of)
+            left = self.cov[y, y] - (self.cov[y, x] @ np.linalg.pinv(self.cov[np.ix_(x, x)]) @ self.cov[x, y] if x else 0.0)
+            self.seen[child, of] = -0.5 * self.rows * log(max(left, 1e-12)) - 0.5 * (len(x) + 1) * log(max(self.rows, 2))
+        return self.seen[child, of]
 
 
 def ges(score: Score, columns: list[str], allowed: np.ndarray | None = None, backward: bool = True) -> np.ndarray:
@@ -98,9 +121,9 @@ def ges(score: Score, columns: list[str], allowed: np.ndarray | None = None, bac
                 if x == y or a[x, y] or a[y, x] or not ok[x, y]:
                     continue
                 shared, pa = neighbours(a, y) & adjacent(a, x), parents(a, y)
-                for t in _subsets({k for k in neighbours(a, y) - adjacent(a, x) - {x} if ok[k, y]}):
+                for t in _clique_additions(a, shared, {k for k in neighbours(a, y) - adjacent(a, x) - {x} if ok[k, y]}):
                     top = shared | t
-                    if is_clique(a, top) and blocked(a, y, x, top):
+                    if blocked(a, y, x, top):
                         gain = s(y, pa | top | {x}) - s(y, pa | top)
                         if gain > best[0]:
                             best = (gain, (x, y, t))
@@ -122,12 +145,10 @@ def ges(score: Score, columns: list[str], allowed: np.ndarray | None = None, bac
                 if not a[x, y]:
                     continue
                 shared, pa = neighbours(a, y) & adjacent(a, x), parents(a, y)
-                for h in _subsets(shared):
-                    keep = shared - h
-                    if is_clique(a, keep):
-                        gain = s(y, (keep | pa) - {x}) - s(y, keep | pa | {x})
-                        if gain > best[0]:
-                            best = (gain, (x, y, h))
+                for keep in _clique_additions(a, set(), shared):
+                    gain = s(y, (keep | pa) - {x}) - s(y, keep | pa | {x})
+                    if gain > best[0]:
+                        best = (gain, (x, y, shared - keep))
         if best[1] is None:
             break
         x, y, h = best[1]
@@ -141,6 +162,8 @@ def ges(score: Score, columns: list[str], allowed: np.ndarray | None = None, bac
         if (new == a).all():
             break
         a = new
+    if allowed is not None:
+        a &= allowed | ~a.T | ~allowed.T  # an undirected edge with one allowed direction has it
     return meek(a, allowed)
 
 
@@ -260,10 +283,10 @@ def _penalised(w: np.ndarray, c: np.ndarray, mask: np.ndarray, lam: float, rho:
     return at
 
 
-def dagma(df: DataFrame, columns: list[str], allowed: np.ndarray | None = None, lam: float = 0.03, threshold: float = 0.3, rounds: int = 4, steps: int = 3000, rate: float = 0.01) -> np.ndarray:
+def dagma(df: DataFrame, columns: list[str], allowed: np.ndarray | None = None, lam: float = 0.03, threshold: float = 0.3, rounds: int = 4, steps: int = 3000, rate: float = 0.01, scale: bool = True) -> np.ndarray:
     """Weights of a linear graph by the log-determinant characterisation, from the Gram matrix alone, with Adam."""
-    _, _, g = gram(df, columns)
-    d, c = len(columns), correlations(g)
+    n, _, g = gram(df, columns)
+    d, c = len(columns), correlations(g) if scale else g / max(n, 1)
     mask = ~np.eye(d, dtype=bool) if allowed is None else allowed & ~np.eye(d, dtype=bool)
     w, mu, eye = np.zeros((d, d)), 1.0, np.eye(d)
     for s in (1.0, 0.9, 0.8, 0.7)[:rounds]:

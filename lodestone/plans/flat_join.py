@@ -79,6 +79,10 @@ def flat_join(schema: Schema, source, retained: list[PropertyNode], joined: list
         needed = [n.name for n in [*links, *shown] if n.domain == cls] + ([] if optional else [f"{cls}__{p}" for p in data])
         return out.dropna(subset=needed) if needed else out
 
+    for n in links:
+        if len(source.classes[n.range].key) > 1:
+            raise ValueError(f"{n.name}: {n.range} has a key of several columns, which one column can't match")
+
     def key(cls: str) -> list[str]:
         return [f"{cls}__{k}" for k in source.classes[cls].key]
 
@@ -104,3 +108,17 @@ def flat_join(schema: Schema, source, retained: list[PropertyNode], joined: list
     named = [source.iri(n.range, (n.name,)).alias(n.name) if n.kind == "object" else F.col(n.name) for n in sorted(retained)]
     out = df.select(*([F.col(e) for e in entities if e not in {n.name for n in retained}] if show_keys else []), *named)
     return FlatJoin(out if limit is None else out.limit(limit), entities, columns, skipped, residual)
+
+
+def component_joins(schema: Schema, source, retained: list[PropertyNode], joined: list[PropertyNode] | None = None, optional: bool = False) -> list[FlatJoin]:
+    """One flat join for each group of linked classes, in the order of their least class, so that none is a product."""
+    active = {n.domain for n in retained} | {c for n in joined or () for c in (n.domain, n.range)}
+    if joined is None:
+        joined = [n for n in schema.nodes() if n.kind == "object" and n not in retained and {n.domain, n.range} <= active]
+    groups = components(active, [n for n in joined if n.domain != n.range])
+    return [flat_join(schema, source, [n for n in retained if n.domain in g], [n for n in joined if n.domain in g], optional) for g in groups]
+
+
+def main_component(joins: list[FlatJoin]) -> int:
+    """The join with the most shown variables; of equal ones the first."""
+    return max(range(len(joins)), key=lambda i: (len(joins[i].columns), -i))

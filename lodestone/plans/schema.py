@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.vocabulary import is_name, is_type, names
+
 
 @dataclass(frozen=True, order=True)
 class PropertyNode:
@@ -70,8 +72,8 @@ def infer_properties(triples: DataFrame) -> DataFrame:
     A predicate is data if all its objects are literals (the commonest datatype, of equals the least, is its range),
     object if any is an IRI (each typed class of its objects is a range), else a conflict. Untyped subjects don't count.
     """
-    types = triples.where("p = 'rdf:type'").select("s", F.col("o").alias("cls")).distinct()
-    facts = triples.where("p <> 'rdf:type'")
+    types = triples.where(is_type(F.col("p"))).select("s", F.col("o").alias("cls")).distinct()
+    facts = triples.where(~is_type(F.col("p")))
     datatype = F.coalesce(F.col("o_dt"), F.lit("xsd:string")) if "o_dt" in triples.columns else F.lit("xsd:string")
     kinds = facts.groupBy("p").agg(F.bool_and(F.col("o_kind") == "literal").alias("all_literal"), F.bool_or(F.col("o_kind") == "iri").alias("any_iri"), F.mode(F.when(F.col("o_kind") == "literal", datatype), True).alias("datatype"))
     domains = facts.join(types, "s").select("p", F.col("cls").alias("domain")).distinct()
@@ -83,6 +85,50 @@ def infer_properties(triples: DataFrame) -> DataFrame:
     return data.unionByName(objects).unionByName(typed.where("kind = 'conflict'").select("p", "kind", "domain", F.lit(None).cast("string").alias("range")))
 
 
+def declared_classes(triples: DataFrame) -> DataFrame:
+    """cls: what is declared an owl:Class or rdfs:Class."""
+    return triples.where(is_type(F.col("p")) & is_name(F.col("o"), "owl:Class", "rdfs:Class")).select(F.col("s").alias("cls")).distinct()
+
+
+def declared_properties(triples: DataFrame) -> DataFrame:
+    """(p, kind, domain, range) of owl:DatatypeProperty and owl:ObjectProperty declarations, a row for each pair of a domain and a range; without a domain there is none, and a missing range of a data property is a string."""
+    kind = F.when(is_name(F.col("o"), "owl:DatatypeProperty"), "data").when(is_name(F.col("o"), "owl:ObjectProperty"), "object")
+    found = triples.where(is_type(F.col("p"))).select(F.col("s").alias("p"), kind.alias("kind")).where("kind IS NOT NULL").distinct()
+    side = lambda short, name: triples.where(is_name(F.col("p"), short)).select(F.col("s").alias("p"), F.col("o").alias(name)).distinct()
+    joined = found.join(side("rdfs:domain", "domain"), "p").join(side("rdfs:range", "range"), "p", "left")
+    return joined.withColumn("range", F.when(F.col("kind") == "data", F.coalesce("range", F.lit("xsd:string"))).otherwise(F.col("range"))).where("range IS NOT NULL")
+
+
+def texts_of(triples: DataFrame) -> DataFrame:
+    """(s, label, comment): the least rdfs:label and rdfs:comment of each subject that has one."""
+    least = lambda short: F.min(F.when(is_name(F.col("p"), short), F.col("o")))
+    return triples.where(F.col("p").isin(names("rdfs:label", "rdfs:comment"))).groupBy("s").agg(least("rdfs:label").alias("label"), least("rdfs:comment").alias("comment"))
+
+
+def undeclared_predicates(triples: DataFrame) -> DataFrame:
+    """p: predicates in use that no declaration names, vocabulary terms left out."""
+    used = triples.where(~F.col("p").rlike(r"^(rdfs?:|owl:|http://www\.w3\.org/)")).select("p").distinct()
+    return used.join(declared_properties(triples).select("p").distinct(), "p", "left_anti")
+
+
+def schema_of(triples: DataFrame, infer_missing: bool = True) -> Schema:
+    """The declared schema; with infer_missing, what no declaration names is inferred from use. Both are as small as the vocabulary."""
+    declared = Schema({r.cls for r in declared_classes(triples).collect()})
+    for r in declared_properties(triples).orderBy("p", "domain", "range").collect():
+        (declared.data if r.kind == "data" else declared.objects)[r.p].append((r.domain, r.range))
+        declared.classes |= {r.domain} | ({r.range} if r.kind == "object" else set())
+    if infer_missing:
+        known = set(declared.data) | set(declared.objects)
+        use = inferred_schema(triples.where(~F.col("p").rlike(r"^(rdfs:|owl:|http://www\.w3\.org/(2000|2002)/)")))
+        for p in sorted(set(use.data) - known):
+            declared.data[p] = use.data[p]
+        for p in sorted(set(use.objects) - known):
+            declared.objects[p] = use.objects[p]
+        declared.conflicts |= {p: why for p, why in use.conflicts.items() if p not in known}
+        declared.classes |= {c for p in [*declared.data, *declared.objects] if p not in known for c, _ in [*use.data.get(p, []), *use.objects.get(p, [])]}
+    return declared
+
+
 def inferred_schema(triples: DataFrame) -> Schema:
     """The inferred properties as a schema; they are as few as the predicates."""
     rows = infer_properties(triples).collect()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import answers as qa
@@ -154,7 +154,9 @@ class Project:
         q.check(network)
         if kind == "counterfactual":
             rows = self.join().df if entity is None else qa.rows_of(self.join().df, self.join().entities, entity)
-            rows = rows.select(*[F.col(n).cast("string").alias(n) for n in network]).withColumn("id", F.monotonically_increasing_id())
+            rows = rows.select(*[F.col(n).cast("string").alias(n) for n in network])
+            same = Window.partitionBy(*network).orderBy(*network)  # equal rows are told apart by number, so draws don't depend on partitions
+            rows = rows.withColumn("id", F.xxhash64(*network, F.row_number().over(same)))
             got, level, backend = cf_answer(counterfactual(rows, tables, network, settings, draws), target), "level", "gumbel-max-abduction"
         elif kind == "intervene":
             got, level, backend = inference.intervene(tables, network, target, settings, conditions), target, "truncated-factorisation"

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import local_name, natural_key, short_hash, slug
+from lodestone.functions.text import local_name, natural_key, short_hash, slug, uniform
 from lodestone.operators import cpt, discovery, encode, inference, ledger, profile, weighted
 from lodestone.plans.flat_join import FlatJoin, flat_join
 from lodestone.plans.schema import PropertyNode, infer_properties, mapped_schema
@@ -350,31 +351,131 @@ def windowed_event_counts(spark: SparkSession, d: str) -> DataFrame:
     return windowed_counts(table(spark, d, "events")).withColumn("total", F.round("total", 4))
 
 
-@query()
+_NUMERIC_TRUTH, _DISCRETE_TRUTH = [("a", "c"), ("b", "c"), ("c", "d")], [("x", "z"), ("y", "z"), ("z", "w")]
+
+
+def _truth_sql(edges: list[tuple[str, str]]) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(map(str, edges)) + ") t(src, dst)"
+
+
+def _dependent(spark: SparkSession, d: str) -> DataFrame:
+    """Columns of each line whose causes are known: a, b, c = a + b + noise, d = c + noise; x, y, z (x and y, one of ten turned), w (z, but 1 for one of seven). All are hashes of the line's key."""
+    key = F.col("l_orderkey"), F.col("l_linenumber")
+    noise = lambda seed: (uniform(seed, *key) - 0.5) * F.lit(12**0.5)  # noqa: E731  of variance 1
+    lines = table(spark, d, "lineitem").select(*key, noise(1).alias("a"), noise(3).alias("b"), (uniform(11, *key) < 0.5).cast("string").alias("x"), (uniform(13, *key) < 0.4).cast("string").alias("y"))
+    lines = lines.withColumn("c", F.col("a") + F.col("b") + noise(5)).withColumn("d", F.col("c") + noise(7))
+    lines = lines.withColumn("z", ((F.col("x") == "true") & (F.col("y") == "true")) != (uniform(15, *key) < 0.1)).withColumn("w", F.col("z") | (uniform(17, *key) < 0.15))
+    return lines.withColumns({c: F.col(c).cast("string") for c in ("z", "w")})
+
+
+def _found(spark: SparkSession, a, columns: list[str], method: str) -> DataFrame:
+    return discovery.edges(spark, a, columns, method).select("src", "dst")
+
+
+@query(_truth_sql(_DISCRETE_TRUTH))
 def ges_structure(spark: SparkSession, d: str) -> DataFrame:
-    """Edges that greedy equivalence search finds among the discrete columns of lineitem and its order."""
-    columns = sorted(_NETWORK)
-    return discovery.edges(spark, discovery.ges(cpt.BicScores(_lines(spark, d), columns), columns), columns, "GES")
+    """Edges that greedy equivalence search finds among the discrete columns, against the known ones."""
+    columns = ["w", "x", "y", "z"]
+    return _found(spark, discovery.ges(cpt.BicScores(_dependent(spark, d).select(*columns), columns), columns), columns, "GES")
 
 
-@query()
+@query(_truth_sql(_DISCRETE_TRUTH[1:]))
+def ges_constrained_structure(spark: SparkSession, d: str) -> DataFrame:
+    """The same where x may cause nothing and be caused by nothing."""
+    columns = ["w", "x", "y", "z"]
+    allowed = ~np.eye(4, dtype=bool)
+    allowed[1, :] = allowed[:, 1] = False
+    allowed[3, 2] = allowed[0, 3] = allowed[0, 2] = False  # z doesn't cause y, nor w anything
+    return _found(spark, discovery.ges(cpt.BicScores(_dependent(spark, d).select(*columns), columns), columns, allowed), columns, "GES")
+
+
+@query(_truth_sql(_NUMERIC_TRUTH))
+def ges_gauss_structure(spark: SparkSession, d: str) -> DataFrame:
+    columns = list("abcd")
+    return _found(spark, discovery.ges(discovery.GaussScores(_dependent(spark, d), columns), columns), columns, "GES")
+
+
+@query(_truth_sql(_NUMERIC_TRUTH))
 def pc_structure(spark: SparkSession, d: str) -> DataFrame:
-    return discovery.edges(spark, discovery.pc(table(spark, d, "lineitem"), list(_G)), list(_G), "PC")
+    return _found(spark, discovery.pc(_dependent(spark, d), list("abcd"), alpha=1e-4), list("abcd"), "PC")
 
 
-@query()
+@query(_truth_sql(_NUMERIC_TRUTH))
 def notears_structure(spark: SparkSession, d: str) -> DataFrame:
-    return discovery.edges(spark, discovery.notears(table(spark, d, "lineitem"), list(_G)), list(_G), "NOTEARS")
+    return _found(spark, discovery.notears(_dependent(spark, d), list("abcd"), scale=False), list("abcd"), "NOTEARS")
 
 
-@query()
+@query(_truth_sql(_NUMERIC_TRUTH))
 def dagma_structure(spark: SparkSession, d: str) -> DataFrame:
-    return discovery.edges(spark, discovery.dagma(table(spark, d, "lineitem"), list(_G)), list(_G), "DAGMA")
+    return _found(spark, discovery.dagma(_dependent(spark, d), list("abcd"), scale=False), list("abcd"), "DAGMA")
 
 
-@query()
+@query(_truth_sql(_NUMERIC_TRUTH))
 def lingam_structure(spark: SparkSession, d: str) -> DataFrame:
-    return discovery.edges(spark, discovery.lingam(table(spark, d, "lineitem"), list(_G)), list(_G), "LiNGAM")
+    return _found(spark, discovery.lingam(_dependent(spark, d), list("abcd")), list("abcd"), "LiNGAM")
+
+
+_ONTOLOGY = """<http://t.example/v#Nation> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <http://www.w3.org/2002/07/owl#Class> .
+<http://t.example/v#Region> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <http://www.w3.org/2000/01/rdf-schema#Class> .
+<http://t.example/v#Region> <http://www.w3.org/2000/01/rdf-schema#label> "Gr\\u00F6\\u00DFe Region" .
+<http://t.example/v#inRegion> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <http://www.w3.org/2002/07/owl#ObjectProperty> .
+<http://t.example/v#inRegion> <http://www.w3.org/2000/01/rdf-schema#domain> <http://t.example/v#Nation> .
+<http://t.example/v#inRegion> <http://www.w3.org/2000/01/rdf-schema#range> <http://t.example/v#Region> .
+<http://t.example/v#r_name> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <http://www.w3.org/2002/07/owl#DatatypeProperty> .
+<http://t.example/v#r_name> <http://www.w3.org/2000/01/rdf-schema#domain> <http://t.example/v#Region> .
+<http://t.example/v#r_name> <http://www.w3.org/2000/01/rdf-schema#range> <http://www.w3.org/2001/XMLSchema#string> ."""
+
+
+def _rdf(spark: SparkSession, d: str) -> DataFrame:
+    """Nations and regions as N-Triples with an ontology that declares all but n_name, read back as triples of local names."""
+    from lodestone.sources import ntriples
+
+    v, fact = "http://t.example/v#", "s string, p string, o string, o_kind string"
+    iri = lambda kind, key: F.concat(F.lit(f"http://t.example/{kind}/"), F.col(key).cast("string"))
+    type_of = lambda cls: F.struct(F.lit(ntriples.RDF_TYPE).alias("p"), F.lit(v + cls).alias("o"), F.lit("iri").alias("o_kind"))
+    value = lambda c: F.struct(F.lit(v + c).alias("p"), F.col(c).alias("o"), F.lit("literal").alias("o_kind"))
+    link = F.struct(F.lit(v + "inRegion").alias("p"), iri("region", "n_regionkey").alias("o"), F.lit("iri").alias("o_kind"))
+    facts = table(spark, d, "nation").select(iri("nation", "n_nationkey").alias("s"), F.explode(F.array(type_of("Nation"), value("n_name"), link)).alias("f"))
+    facts = facts.unionByName(table(spark, d, "region").select(iri("region", "r_regionkey").alias("s"), F.explode(F.array(type_of("Region"), value("r_name"))).alias("f"))).select("s", "f.*")
+    declared = spark.createDataFrame([(x,) for x in _ONTOLOGY.splitlines()], "value string")
+    return ntriples.localised(ntriples.parse(ntriples.lines(facts).unionByName(declared)))
+
+
+@query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def rdf_flat_join(spark: SparkSession, d: str) -> DataFrame:
+    """From N-Triples with full IRIs and a partly declared schema to the flat join."""
+    from lodestone.plans.schema import schema_of
+    from lodestone.sources.ntriples import TripleSource
+
+    triples = _rdf(spark, d)
+    schema = schema_of(triples)
+    return flat_join(schema, TripleSource(triples), [n for n in schema.nodes() if n.kind == "data"], show_keys=False).df.toDF("n_name", "r_name")
+
+
+@query("""SELECT * FROM (VALUES ('inRegion', 'object', 'Nation', 'Region', 'declared'), ('r_name', 'data', 'Region', 'http://www.w3.org/2001/XMLSchema#string', 'declared'), ('n_name', NULL, NULL, NULL, 'undeclared'), (NULL, NULL, 'Region', 'Größe Region', 'label')) t(p, kind, domain, range, what)""")
+def declared_schema(spark: SparkSession, d: str) -> DataFrame:
+    from lodestone.plans.schema import declared_properties, texts_of, undeclared_predicates
+
+    triples, none = _rdf(spark, d), F.lit(None).cast("string")
+    columns = "p", "kind", "domain", "range", "what"
+    out = declared_properties(triples).withColumn("what", F.lit("declared")).select(*columns)
+    out = out.union(undeclared_predicates(triples).select("p", none, none, none, F.lit("undeclared")))
+    return out.union(texts_of(triples).select(none, none, "s", "label", F.lit("label"))).toDF(*columns)
+
+
+@query("SELECT 0 AS component, n_name AS a, r_name AS b, NULL AS c FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 1, NULL, NULL, p_brand FROM part")
+def component_flat_joins(spark: SparkSession, d: str) -> DataFrame:
+    """Two groups of classes that nothing links: a join for each, and no product."""
+    from lodestone.plans.flat_join import component_joins, main_component
+
+    source = MappedSource(spark, d, {c: TABLES[c] for c in ("Nation", "Region", "Part")})
+    schema = mapped_schema(source)
+    kept = [n for n in schema.nodes() if n.prop in ("n_name", "r_name", "p_brand")]
+    joins = component_joins(schema, source, kept)
+    assert main_component(joins) == 0
+    none = F.lit(None).cast("string")
+    first, second = (j.df for j in joins)
+    return first.select(F.lit(0).alias("component"), F.col("Nation__n_name").alias("a"), F.col("Region__r_name").alias("b"), none.alias("c")).unionByName(second.select(F.lit(1).alias("component"), none.alias("a"), none.alias("b"), F.col("Part__p_brand").alias("c")))
 
 
 @query()

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import local_name
+from lodestone.vocabulary import is_type
+
 _TERM = r'(<[^>]*>|_:[^\s]+|"(?:[^"\\]|\\.)*"(?:\^\^<[^>]*>|@[A-Za-z0-9\-]+)?)'
 _LINE = rf"^\s*(<[^>]*>|_:[^\s]+)\s+(<[^>]*>)\s+{_TERM}\s*(<[^>]*>)?\s*\.\s*(?:#.*)?$"
 XSD = "http://www.w3.org/2001/XMLSchema#"
@@ -12,14 +15,22 @@ RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 
 
 def _plain(term: Column) -> Column:
-    return F.when(term.startswith("<"), term.substr(F.lit(2), F.length(term) - 2)).otherwise(term)
+    return F.when(term.startswith("<"), _unescaped(term.substr(F.lit(2), F.length(term) - 2))).otherwise(term)
 
 
 def _unescaped(text: Column) -> Column:
-    out = F.replace(text, F.lit("\\\\"), F.lit("\u0001"))
-    for short, long in (('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t")):
-        out = F.replace(out, F.lit(short), F.lit(long))
-    return F.replace(out, F.lit("\u0001"), F.lit("\\"))
+    """Escapes of one character, and of a code point by four or eight hex digits, each read once from left to right."""
+    marks = {"\\t": "\t", "\\b": "\b", "\\n": "\n", "\\r": "\r", "\\f": "\f"}
+
+    def read(part: Column) -> Column:
+        code = F.decode(F.unhex(F.lpad(part.substr(F.lit(3), F.length(part)), 8, "0")), "UTF-32")
+        out = F.when(part.rlike(r"^\\(u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8})$"), code)
+        for short, long in marks.items():
+            out = out.when(part == short, F.lit(long))
+        return out.when(part.startswith("\\"), part.substr(F.lit(2), F.length(part))).otherwise(part)
+
+    parts = F.regexp_extract_all(text, F.lit(r"(\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+)"), 1)
+    return F.when(text.contains("\\"), F.array_join(F.transform(parts, read), "")).otherwise(text)
 
 
 def _escaped(text: Column) -> Column:
@@ -76,13 +87,25 @@ def write(triples: DataFrame, path: str) -> None:
     lines(triples).write.text(path)
 
 
+def localised(triples: DataFrame) -> DataFrame:
+    """triples with local names for predicates, classes and what declares them; entities keep their IRIs.
+
+    An object is a name of the schema where its subject is declared: the subjects of rdfs and owl triples, and the
+    objects of these and of types, lose what stands before the last # or /.
+    """
+    declares = F.col("p").rlike(r"^(rdfs:|http://www\.w3\.org/2000/01/rdf-schema#)") | (is_type(F.col("p")) & F.col("o").rlike(r"^(owl:|rdfs:|http://www\.w3\.org/(2002/07/owl|2000/01/rdf-schema)#)"))
+    known = F.col("p").rlike(r"^(rdfs?:|owl:|http://www\.w3\.org/)")
+    o = F.when((F.col("o_kind") == "iri") & (is_type(F.col("p")) | declares) & ~F.col("o").rlike(r"^http://www\.w3\.org/"), local_name(F.col("o"))).otherwise(F.col("o"))
+    return triples.withColumns({"s": F.when(declares, local_name(F.col("s"))).otherwise(F.col("s")), "p": F.when(known, F.col("p")).otherwise(local_name(F.col("p"))), "o": o})
+
+
 class TripleSource:
     """Frames of entities from triples with local property names: one grouped scan of a class's own facts for each class."""
 
-    def __init__(self, triples: DataFrame, type_predicate: str = "rdf:type"):
+    def __init__(self, triples: DataFrame):
         from types import SimpleNamespace
 
-        self.triples, self.type_predicate = triples, type_predicate
+        self.triples = triples
         self.classes = _Keyed(lambda cls: SimpleNamespace(key=("iri",)))
 
     def iri(self, cls: str, columns: tuple[str, ...]) -> Column:
@@ -91,7 +114,7 @@ class TripleSource:
     def frame(self, cls: str, data: list[str], objects: list[str]) -> DataFrame:
         """A row for each entity and combination of its values: values of one property are gathered, then exploded, so that bag semantics hold and absent ones are null."""
         wanted = list(dict.fromkeys([*data, *objects]))
-        members = self.triples.where((F.col("p") == self.type_predicate) & (F.col("o") == cls)).select("s").distinct()
+        members = self.triples.where(is_type(F.col("p")) & (F.col("o") == cls)).select("s").distinct()
         if not wanted:
             return members.select(F.col("s").alias(f"{cls}__iri"))
         facts = self.triples.where(F.col("p").isin(wanted)).select("s", "p", "o").distinct()
