@@ -26,8 +26,8 @@ ORDER = 4
 SAMPLE = 1500
 #: Of a language with fewer texts, this share is read, so that others are left to measure the limits on.
 MOST_FITTED = 0.8
-#: A text is rejected beyond the median cross-entropy of its language by so many deviations, at least MARGIN nats, and at least so many deviations of a mean over as many characters as it has. Deviations are those of a normal distribution with the measured median deviation.
-DEVIATIONS, MARGIN, SHORT_DEVIATIONS, NORMAL = 8.0, 1.0, 5.0, 1.4826
+#: A text is rejected beyond the median cross-entropy of its language by so many deviations, at least MARGIN nats, and at least so many deviations of a mean over as many characters as it has (many, as one key or number may be half of a short text), up to WIDEST nats. Deviations are those of a normal distribution with the measured median deviation.
+DEVIATIONS, MARGIN, SHORT_DEVIATIONS, WIDEST, NORMAL = 8.0, 1.0, 14.0, 2.5, 1.4826
 #: How sharply the score tells languages apart: a language that is worse by this part of a nat a character has a share smaller by the factor e.
 SHARPNESS = 0.25
 UNKNOWN = "und"
@@ -148,7 +148,7 @@ class Model:
         return -sums / np.maximum(n, 1)[:, None], n_letters, n
 
     def rejects(self, language: np.ndarray, ce: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return ce > np.maximum(self.limit[language], self.middle[language] + SHORT_DEVIATIONS * self.spread[language] / np.sqrt(np.maximum(n, 1)))
+        return ce > np.maximum(self.limit[language], self.middle[language] + np.minimum(WIDEST, SHORT_DEVIATIONS * self.spread[language] / np.sqrt(np.maximum(n, 1))))
 
 
 def _alphabet(docs: DataFrame) -> np.ndarray:
