@@ -50,7 +50,7 @@ def counterfactual(rows: DataFrame, tables: dict[str, DataFrame], network: dict[
     below = set().union(*[descendants(network, d) for d in do]) - set(do)
     out = rows.crossJoin(F.broadcast(rows.sparkSession.range(draws).select(F.col("id").alias("draw"))))
     keys = [F.col("id"), F.col("draw")]
-    for k, node in enumerate(topological(network)):
+    for node in topological(network):
         if node in do:
             out = out.withColumn(f"cf_{node}", F.lit(do[node]))
         elif node not in below:
@@ -58,10 +58,10 @@ def counterfactual(rows: DataFrame, tables: dict[str, DataFrame], network: dict[
         else:
             parents = network[node]
             seen = broadcast_if_small(_rows(tables[node], parents, node))
-            out = out.join(seen, parents, "left").withColumn("_g", F.map_from_arrays("_levels", _noise(node, seed + k, keys))).drop("_levels", "_ps")
+            out = out.join(seen, parents, "left").withColumn("_g", F.map_from_arrays("_levels", _noise(node, seed, keys))).drop("_levels", "_ps")
             moved = seen.select(*[F.col(p).alias(f"cf_{p}") for p in parents], "_levels", "_ps")
             out = out.join(moved, [f"cf_{p}" for p in parents], "left")
-            out = out.withColumn("_n", _kept_or_fresh(node, seed + k, keys)).withColumn(f"cf_{node}", F.coalesce(_argmax("_n"), F.col(node))).drop("_g", "_n", "_levels", "_ps")
+            out = out.withColumn("_n", _kept_or_fresh(node, seed, keys)).withColumn(f"cf_{node}", F.coalesce(_argmax("_n"), F.col(node))).drop("_g", "_n", "_levels", "_ps")
     return out
 
 

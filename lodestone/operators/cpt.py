@@ -8,6 +8,8 @@ from math import log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.storage import materialise
+
 FLOOR, ESS = 1e-12, 5.0
 
 
@@ -15,9 +17,16 @@ def text(column: str) -> Column:
     return F.col(column).cast("string").alias(column)
 
 
+def joint_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """columns as texts and `_rows`: how often each configuration occurs, nulls among them. Written once, so that all tables of a network come from one pass over the rows."""
+    return materialise(df.select(*[text(c) for c in columns]).groupBy(*columns).agg(F.count("*").alias("_rows")), "joint")
+
+
 def counts(df: DataFrame, child: str, parents: list[str]) -> DataFrame:
-    """n of each configuration of parents and child, as texts; rows with a null there don't count."""
-    return df.select(*[text(c) for c in [*parents, child]]).dropna().groupBy(*parents, child).agg(F.count("*").alias("n"))
+    """n of each configuration of parents and child, as texts; rows with a null there don't count. df may be rows, or `joint_counts`."""
+    n = F.sum("_rows") if "_rows" in df.columns else F.count("*")
+    rows = df.select(*[text(c) for c in [*parents, child]], *[c for c in df.columns if c == "_rows"])
+    return rows.dropna().groupBy(*parents, child).agg(n.alias("n"))
 
 
 def cpt(df: DataFrame, child: str, parents: list[str], ess: float = 0.0, of: DataFrame | None = None) -> DataFrame:
@@ -42,6 +51,7 @@ def log_likelihood(df: DataFrame, network: dict[str, list[str]], ess: float = 0.
 
     From counts alone: each configuration's count times the logarithm of its probability, so no row is joined with a table.
     """
+    df = joint_counts(df, list(network))
     parts = []
     for child, parents in network.items():
         seen = counts(df, child, parents)
@@ -51,7 +61,7 @@ def log_likelihood(df: DataFrame, network: dict[str, list[str]], ess: float = 0.
         free = reduce(lambda a, b: a * b, [F.col("r"), *[F.col(f"q_{i}") for i in range(len(parents))]])
         parts.append(fit.crossJoin(levels.select(free.alias("k"))))
     total = reduce(DataFrame.unionByName, parts).agg(F.sum("ll").alias("log_likelihood"), F.sum("k").alias("parameters"))
-    rows = df.agg(F.count("*").alias("rows"))
+    rows = df.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("rows"))
     return total.crossJoin(rows).withColumn("bic", F.col("log_likelihood") - 0.5 * F.col("parameters") * F.log(F.greatest("rows", F.lit(2)).cast("double")))
 
 
@@ -74,8 +84,6 @@ class BicScores:
     def __init__(self, df: DataFrame, columns: list[str], most: int = 200_000):
         import numpy as np
 
-        from lodestone.storage import materialise
-
         self.columns, self.cache = list(columns), {}
         joint = df.select(*[text(c) for c in columns]).dropna().groupBy(*columns).agg(F.count("*").alias("n"))
         self.joint = materialise(joint, "joint")

@@ -25,12 +25,15 @@ def moment_table(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def gram(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
-    """Rows, means, and the centred matrix of sums of products."""
-    s = {(r.a, r.b): r.s for r in moment_table(df, columns).collect()}
+    """Complete rows, means, and the centred matrix of sums of products: columns are moved by their means first, so that large offsets don't cancel digits."""
+    rows = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns]).dropna()
+    shift = np.array([m or 0.0 for m in rows.agg(*[F.avg(f"`{c}`") for c in columns]).first()])
+    moved = rows.select(*[(F.col(f"`{c}`") - float(m)).alias(c) for c, m in zip(columns, shift, strict=True)])
+    s = {(r.a, r.b): r.s for r in moment_table(moved, columns).collect()}
     n = s["one", "one"]
     mean = np.array([s["one", c] for c in columns]) / max(n, 1.0)
     full = np.array([[s.get((a, b), s.get((b, a))) for b in columns] for a in columns])
-    return int(n), mean, full - n * np.outer(mean, mean)
+    return int(n), mean + shift, full - n * np.outer(mean, mean)
 
 
 def correlations(g: np.ndarray) -> np.ndarray:

@@ -1,6 +1,6 @@
 """Encodings: ranks, bins, codes, row weights and bands.
 
-Codes of low-cardinality columns come from a table of their distinct values, joined back, never from a window over all rows.
+Codes come from a table of the column's distinct values, joined back, never from a window over all rows.
 """
 
 from __future__ import annotations
@@ -8,15 +8,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.profile import level_counts
+from lodestone.operators.ranks import quantiles, running
+from lodestone.storage import MOST_BROADCAST
+
 
 def coded(df: DataFrame, column: str, out: str, start: int = 0, null_code: int | None = None) -> DataFrame:
     """out: place of the value among the sorted distinct values, from `start`; null_code for null.
 
-    The distinct values are numbered in one task, so this is for columns of few levels; they are joined back by Spark's
-    choice of join.
+    Up to MOST_BROADCAST distinct values are numbered in one task, more of them by ranges; they are joined back by
+    Spark's choice of join.
     """
-    values = df.select(column).dropna().distinct()
-    numbered = values.select(F.col(column).alias("_value"), (F.row_number().over(Window.orderBy(column)) - 1 + start).alias("_code"))
+    values = df.select(F.col(column).alias("_value")).dropna().distinct()
+    if values.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        place = F.row_number().over(Window.orderBy("_value"))
+    else:
+        values, place = running(values.withColumn("_one", F.lit(1)), "_value", "_one"), F.col("c")
+    numbered = values.select("_value", (place - 1 + start).cast("int").alias("_code"))
     joined = df.join(numbered, df[column] == numbered["_value"], "left")
     return joined.withColumn(out, F.coalesce("_code", F.lit(null_code)) if null_code is not None else F.col("_code")).drop("_value", "_code")
 
@@ -29,15 +37,13 @@ def _bin(x: Column, edges: list[float]) -> Column:
 
 
 def quantile_edges(df: DataFrame, columns: list[str], bins: int) -> dict[str, list[float]]:
-    """Exact quantiles at i/bins of each column in one job, without repeats."""
-    at = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    row = df.agg(*[F.percentile(F.col(c).cast("double"), at).alias(c) for c in columns]).first()
-    return {c: sorted(set(row[c] or [])) for c in columns}
+    """Exact quantiles at i/bins of each column, without repeats."""
+    return {c: sorted(set(quantiles(df, c, [i / bins for i in range(bins + 1)]))) for c in columns}
 
 
 def quantile_binned(df: DataFrame, columns: list[str], bins: int) -> DataFrame:
     """Columns of more than `bins` values become quantile bins from 0, others ranks from 1; all-null columns stay."""
-    counts = df.agg(*[F.count_distinct(c).alias(c) for c in columns]).first()
+    counts = level_counts(df, columns, bins)
     many = [c for c in columns if counts[c] > bins]
     edges = quantile_edges(df, many, bins) if many else {}
     for c in columns:

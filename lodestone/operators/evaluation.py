@@ -90,7 +90,8 @@ def linear_fit(df: DataFrame, child: str, parents: list[str], fold: Column, fold
     """R² of linear regression on held-out folds, and the share of variance of the mean alone (0): moments by fold in one pass,
     each fold's model from the totals less its own."""
     names = ["one", *parents, child]
-    x = {n: F.lit(1.0) if n == "one" else F.col(n).cast("double") for n in names}
+    means = df.dropna(subset=[*parents, child]).agg(*[F.avg(F.col(n).cast("double")).alias(n) for n in names[1:]]).first()
+    x = {n: F.lit(1.0) if n == "one" else F.col(n).cast("double") - F.lit(means[n] or 0.0) for n in names}
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
     rows = df.dropna(subset=[*parents, child]).groupBy((fold % folds).alias("f")).agg(*[F.sum(x[a] * x[b]).alias(f"{a}|{b}") for a, b in pairs]).collect()
     d = len(names)

@@ -40,9 +40,11 @@ def descendants(network: dict[str, list[str]], node: str) -> set[str]:
 
 
 def fit(df: DataFrame, network: dict[str, list[str]], ess: float = 0.0) -> dict[str, DataFrame]:
-    from lodestone.operators.cpt import cpt
+    """The tables of all nodes, from one pass over the rows."""
+    from lodestone.operators.cpt import cpt, joint_counts
 
-    return {n: cpt(df, n, p, ess) for n, p in network.items()}
+    joint = joint_counts(df, list(network))
+    return {n: cpt(joint, n, p, ess) for n, p in network.items()}
 
 
 def _product(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -132,27 +134,32 @@ def _rows(table: DataFrame, parents: list[str], node: str) -> DataFrame:
 
 
 def _choose(u: Column) -> Column:
-    """The level at which the running sum of `_ps` passes u."""
-    running = F.transform("_ps", lambda _, i: F.aggregate(F.slice("_ps", 1, i + 1), F.lit(0.0), lambda a, x: a + x))
-    passed = F.filter(F.arrays_zip(running.alias("c"), F.col("_levels").alias("l")), lambda s: s["c"] >= u)
-    return F.coalesce(F.element_at(F.transform(passed, lambda s: s["l"]), 1), F.element_at("_levels", -1))
+    """The level at which the running sum `_sums` passes u."""
+    below = F.size(F.filter("_sums", lambda c: c < u))
+    return F.element_at("_levels", F.least(below + 1, F.size("_levels")))
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    """rows with `_sums`, the running sums of `_ps`: made once for each row of a table, not for each draw."""
+    sums = F.aggregate("_ps", F.array().cast("array<double>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + x)))
+    return rows.withColumn("_sums", sums)
 
 
 def sample(spark: SparkSession, tables: dict[str, DataFrame], network: dict[str, list[str]], n: int, seed: int = 0, do: dict[str, str] | None = None, evidence: dict[str, str] | None = None) -> DataFrame:
     """id, a column for each node and weight: n draws in topological order; what is set or given keeps its value, and what
     is given weights the draw by its probability (likelihood weighting). A draw depends on seed, node and id only."""
     out = spark.range(n).withColumn("weight", F.lit(1.0))
-    for k, node in enumerate(topological(network)):
+    for node in topological(network):
         if node in (do or {}):
             out = out.withColumn(node, F.lit(do[node]))
             continue
-        rows = broadcast_if_small(_rows(tables[node], network[node], node))
+        rows = broadcast_if_small(_summed(_rows(tables[node], network[node], node)))
         out = out.join(rows, network[node], "left") if network[node] else out.crossJoin(rows)
         if node in (evidence or {}):
             out = out.withColumn(node, F.lit(evidence[node])).withColumn("weight", F.col("weight") * F.coalesce(F.try_element_at(F.map_from_arrays("_levels", "_ps"), F.lit(evidence[node])), F.lit(0.0)))
         else:
-            out = out.withColumn(node, _choose(uniform(seed + k, F.lit(node), F.col("id"))))
-        out = out.drop("_levels", "_ps")
+            out = out.withColumn(node, _choose(uniform(seed, F.lit(node), F.col("id"))))
+        out = out.drop("_levels", "_ps", "_sums")
     return out
 
 
@@ -168,7 +175,7 @@ def weighted_answer(drawn: DataFrame, target: str) -> DataFrame:
 def linear_gaussian_sample(spark: SparkSession, weights: dict[str, dict[str, float]], intercepts: dict[str, float], sds: dict[str, float], n: int, seed: int = 0, do: dict[str, float] | None = None) -> DataFrame:
     """n draws of a linear model with normal noise; what is set keeps its value."""
     out = spark.range(n)
-    for k, node in enumerate(topological({x: list(w) for x, w in weights.items()})):
+    for node in topological({x: list(w) for x, w in weights.items()}):
         mean = sum((F.col(p) * w for p, w in weights[node].items()), F.lit(intercepts[node]))
-        out = out.withColumn(node, F.lit(float(do[node])) if node in (do or {}) else mean + sds[node] * normal(seed + 2 * k, F.lit(node), F.col("id")))
+        out = out.withColumn(node, F.lit(float(do[node])) if node in (do or {}) else mean + sds[node] * normal(seed, F.lit(node), F.col("id")))
     return out

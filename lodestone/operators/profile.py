@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 NEAR_UNIQUE, MAX_LEVELS = 0.9, 20
 NUMERIC = (T.NumericType,)
+BUCKETS = 32_768  # of a bitmap aggregate
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -33,20 +34,44 @@ def drop_constant(df: DataFrame) -> DataFrame:
     return df.drop(*[r.column for r in distinct_profile(df).where("is_constant").collect()])
 
 
+def _bits(df: DataFrame, column: str) -> Column:
+    """Buckets that the hashes of a column's values fall into: never more than it has distinct values."""
+    x = F.col(f"`{column}`")
+    x = x + F.lit(0.0) if isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)) else x  # -0.0 is 0.0
+    return F.bitmap_count(F.bitmap_construct_agg(F.when(x.isNotNull(), F.pmod(F.xxhash64(x), F.lit(BUCKETS)))))
+
+
+def level_counts(df: DataFrame, columns: list[str], most: int, bits: dict[str, int] | None = None) -> dict[str, int]:
+    """The number of distinct values of each column, exact if it is at most `most`; if not, a number above `most`.
+
+    A bitmap of hashed values, of one size whatever the data, proves that a column has many; only the others are counted,
+    which have few. `bits` are the bitmaps' counts where they are known.
+    """
+    if bits is None:
+        row = df.agg(*[_bits(df, c).alias(f"b{i}") for i, c in enumerate(columns)]).first()
+        bits = dict(zip(columns, row, strict=True))
+    few = [c for c in columns if bits[c] <= most]
+    row = df.agg(*[F.count_distinct(F.col(f"`{c}`")) for c in few]).first() if few else ()
+    return bits | dict(zip(few, row, strict=True))
+
+
 def inferred_types(df: DataFrame, columns: list[str] | None = None, max_levels: int = MAX_LEVELS, float_as_continuous: bool = True) -> DataFrame:
     """column and kind: categorical (a null, a text that is no number, or few whole levels), discrete (many whole levels) or continuous."""
     columns = columns or df.columns
-    aggregates = []
+    numeric, aggregates = set(numeric_columns(df)), []
     for i, c in enumerate(columns):
-        x = F.try_cast(F.col(f"`{c}`").cast("string"), "double") if hasattr(F, "try_cast") else F.col(f"`{c}`").cast("string").try_cast("double")
-        aggregates += [F.bool_and(x.isNotNull()).alias(f"num_{i}"), F.bool_and(x % 1 == 0).alias(f"whole_{i}"), F.count_distinct(F.col(f"`{c}`")).alias(f"n_{i}")]
-    one = df.agg(*aggregates)
+        x = F.col(f"`{c}`").cast("double") if c in numeric else F.col(f"`{c}`").cast("string").try_cast("double")
+        aggregates += [F.bool_and(x.isNotNull()).alias(f"num_{i}"), F.bool_and(x % 1 == 0).alias(f"whole_{i}"), _bits(df, c).alias(f"bits_{i}")]
+    one = df.agg(*aggregates).first()
+    by_levels = [c for i, c in enumerate(columns) if one[f"num_{i}"] and (one[f"whole_{i}"] or not float_as_continuous)]
+    n = level_counts(df, by_levels, max_levels, {c: one[f"bits_{columns.index(c)}"] for c in by_levels})
 
-    def kind(i: int) -> Column:
-        by_levels = F.when(F.col(f"n_{i}") <= max_levels, "categorical").otherwise("discrete")
-        return F.when(~F.coalesce(F.col(f"num_{i}"), F.lit(False)), "categorical").when(~F.col(f"whole_{i}"), F.lit("continuous") if float_as_continuous else by_levels).otherwise(by_levels)
+    def kind(i: int, c: str) -> str:
+        if not one[f"num_{i}"]:
+            return "categorical"
+        return "continuous" if c not in n else "categorical" if n[c] <= max_levels else "discrete"
 
-    return long_form(one, {c: {"kind": kind(i)} for i, c in enumerate(columns)})
+    return df.sparkSession.createDataFrame([(c, kind(i, c)) for i, c in enumerate(columns)], "column string, kind string")
 
 
 def numeric_ranges(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -79,5 +104,7 @@ def contrast(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def median_filled(df: DataFrame, columns: list[str]) -> DataFrame:
     """Nulls of numeric columns replaced by the column's exact median."""
-    medians = df.agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in columns]).first()
-    return df.fillna({c: medians[c] for c in columns if medians[c] is not None})
+    from lodestone.operators.ranks import quantiles
+
+    medians = {c: quantiles(df, c, [0.5]) for c in columns}
+    return df.fillna({c: m[0] for c, m in medians.items() if m})

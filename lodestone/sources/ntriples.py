@@ -112,14 +112,11 @@ class TripleSource:
         return F.col(columns[0])
 
     def frame(self, cls: str, data: list[str], objects: list[str]) -> DataFrame:
-        """A row for each entity and combination of its values: values of one property are gathered, then exploded, so that bag semantics hold and absent ones are null."""
+        """A row for each entity and combination of its values: one pass gathers the distinct values of each property beside whether the entity is of the class, then they are exploded; absent ones are null."""
         wanted = list(dict.fromkeys([*data, *objects]))
-        members = self.triples.where(is_type(F.col("p")) & (F.col("o") == cls)).select("s").distinct()
-        if not wanted:
-            return members.select(F.col("s").alias(f"{cls}__iri"))
-        facts = self.triples.where(F.col("p").isin(wanted)).select("s", "p", "o").distinct()
-        gathered = members.join(facts, "s", "left").groupBy("s").agg(*[F.sort_array(F.collect_list(F.when(F.col("p") == p, F.col("o")))).alias(f"v{i}") for i, p in enumerate(wanted)])
-        out = gathered
+        member = is_type(F.col("p")) & (F.col("o") == cls)
+        values = [F.sort_array(F.collect_set(F.when(F.col("p") == p, F.col("o")))).alias(f"v{i}") for i, p in enumerate(wanted)]
+        out = self.triples.where(member | F.col("p").isin(wanted)).groupBy("s").agg(F.bool_or(member).alias("_member"), *values).where("_member")
         for i in range(len(wanted)):
             out = out.withColumn(f"v{i}", F.explode_outer(f"v{i}"))
         return out.select(F.col("s").alias(f"{cls}__iri"), *[F.col(f"v{i}").alias(f"{cls}__{p}") for i, p in enumerate(wanted)])
