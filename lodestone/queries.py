@@ -427,8 +427,9 @@ _ONTOLOGY = """<http://t.example/v#Nation> <http://www.w3.org/1999/02/22-rdf-syn
 
 
 def _rdf(spark: SparkSession, d: str) -> DataFrame:
-    """Nations and regions as N-Triples with an ontology that declares all but n_name, read back as triples of local names."""
+    """Nations and regions as N-Triples with an ontology that declares all but n_name, read back as triples of local names; parsed once, as schema and join both read them."""
     from lodestone.sources import ntriples
+    from lodestone.storage import materialise
 
     v, fact = "http://t.example/v#", "s string, p string, o string, o_kind string"
     iri = lambda kind, key: F.concat(F.lit(f"http://t.example/{kind}/"), F.col(key).cast("string"))
@@ -438,7 +439,8 @@ def _rdf(spark: SparkSession, d: str) -> DataFrame:
     facts = table(spark, d, "nation").select(iri("nation", "n_nationkey").alias("s"), F.explode(F.array(type_of("Nation"), value("n_name"), link)).alias("f"))
     facts = facts.unionByName(table(spark, d, "region").select(iri("region", "r_regionkey").alias("s"), F.explode(F.array(type_of("Region"), value("r_name"))).alias("f"))).select("s", "f.*")
     declared = spark.createDataFrame([(x,) for x in _ONTOLOGY.splitlines()], "value string")
-    return ntriples.localised(ntriples.parse(ntriples.lines(facts).unionByName(declared)))
+    parsed = materialise(ntriples.parse(ntriples.lines(facts).unionByName(declared)), "parsed")
+    return materialise(ntriples.localised(parsed), "triples")
 
 
 @query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
