@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import gumbel, uniform
 from lodestone.operators.inference import _rows, descendants, topological
+from lodestone.operators.mechanisms import Intervention, applied
 from lodestone.storage import broadcast_if_small
 
 TINY = 1e-300
@@ -76,10 +77,10 @@ def agreement(worlds: DataFrame, target: str, truth: str) -> DataFrame:
     return worlds.agg(F.avg((F.col(f"cf_{target}") == F.col(truth)).cast("double")).alias("rate"))
 
 
-def linear_counterfactual(rows: DataFrame, weights: dict[str, dict[str, float]], do: dict[str, float]) -> DataFrame:
-    """rows with cf_<node> for a linear model with additive noise: each residual is kept, so a node moves by what its parents do."""
+def linear_counterfactual(rows: DataFrame, weights: dict[str, dict[str, float]], do: dict[str, Intervention]) -> DataFrame:
+    """rows with cf_<node> for a linear model with additive noise: each residual is kept, so a node moves by what its parents do. A soft intervention is a function of the value that the node would have had."""
     out = rows
     for node in topological({x: list(w) for x, w in weights.items()}):
-        moved = sum(((F.col(f"cf_{p}") - F.col(p)) * w for p, w in weights[node].items()), F.lit(0.0))
-        out = out.withColumn(f"cf_{node}", F.lit(float(do[node])) if node in do else F.col(node) + moved)
+        moved = F.col(node) + sum(((F.col(f"cf_{p}") - F.col(p)) * w for p, w in weights[node].items()), F.lit(0.0))
+        out = out.withColumn(f"cf_{node}", applied(do[node], moved) if node in do else moved)
     return out

@@ -114,6 +114,31 @@ def intervene(tables: dict[str, DataFrame], network: dict[str, list[str]], targe
     return eliminate([fixed.get(n, tables[n]) for n in sorted(needed)], [target], evidence)
 
 
+def intervene_rows(rows: DataFrame, tables: dict[str, DataFrame], network: dict[str, list[str]], target: str, do: dict[str, str]) -> DataFrame:
+    """target and p after do for given rows, such as those of an entity or a sub-population: what is not below the
+    interventions stays as it was observed in these rows, in the shares that they have; ValueError if there are none."""
+    if target in do:
+        raise ValueError("a node is set and asked for at once")
+    below = set().union(*[descendants(network, d) for d in do])
+    kept = sorted(set(network) - below - set(do))
+    spark = rows.sparkSession
+    seen = rows.select(*[F.col(n).cast("string").alias(n) for n in kept]).dropna().groupBy(*kept).agg(F.count("*").cast("double").alias("p"))
+    if not kept or seen.isEmpty():
+        raise ValueError("no rows to intervene on")
+    fixed = [spark.range(1).select(F.lit(v).alias(n), F.lit(1.0).alias("p")) for n, v in do.items()]
+    return eliminate([seen, *fixed, *[tables[n] for n in sorted(below - set(do))]], [target])
+
+
+def answers_for(tables: dict[str, DataFrame], network: dict[str, list[str]], targets: list[str] | None, evidence: dict[str, str] | None = None, do: dict[str, str] | None = None) -> DataFrame:
+    """node, level, p for each target (by default all nodes that are neither set nor given): one row of answers for a whole board."""
+    given = {*(evidence or {}), *(do or {})}
+    wanted = list(dict.fromkeys(targets)) if targets is not None else [n for n in topological(network) if n not in given]
+    if not wanted:
+        raise ValueError("no targets")
+    one = lambda t: intervene(tables, network, t, do, evidence) if do else condition(tables, network, t, evidence or {})
+    return reduce(DataFrame.unionByName, [one(t).select(F.lit(t).alias("node"), F.col(t).alias("level"), "p") for t in wanted])
+
+
 def effect(tables: dict[str, DataFrame], network: dict[str, list[str]], target: str, do: dict[str, str], reference: dict[str, str]) -> DataFrame:
     """target and difference of its probabilities under do and under reference, over the levels of both."""
     a, b = (intervene(tables, network, target, x).select(F.col(target), F.col("p").alias(name)) for x, name in ((do, "pa"), (reference, "pb")))

@@ -256,6 +256,49 @@ def tier0_mechanism(spark: SparkSession, d: str) -> DataFrame:
     return inference.condition(_tables(spark, d), _NETWORK, "l_returnflag", {"l_linestatus": "F"}).withColumn("p", F.round("p", 9))
 
 
+@query(_tables_sql() + """ SELECT 'o_orderpriority' AS node, o_orderpriority AS level, round(p_o_orderpriority, 9) AS p FROM p_o_orderpriority
+UNION ALL SELECT 'l_returnflag', l_returnflag, round(p_l_returnflag, 9) FROM p_l_returnflag WHERE l_linestatus = 'F'
+UNION ALL SELECT 'o_orderstatus', o_orderstatus, round(sum(p_o_orderstatus * p_o_orderpriority), 9) FROM p_o_orderstatus JOIN p_o_orderpriority USING (o_orderpriority) WHERE l_linestatus = 'F' GROUP BY 2""")
+def board_predict(spark: SparkSession, d: str) -> DataFrame:
+    """Every other node's distribution once a line's status is set."""
+    return inference.answers_for(_tables(spark, d), _NETWORK, None, do={"l_linestatus": "F"}).withColumn("p", F.round("p", 9))
+
+
+@query(_tables_sql() + """, u AS (SELECT o_orderpriority, count(*) / sum(count(*)) OVER () AS w FROM t WHERE l_quantity >= 40 AND o_orderstatus = 'O' GROUP BY 1)
+SELECT o_orderstatus, round(sum(w * p_o_orderstatus) / sum(sum(w * p_o_orderstatus)) OVER (), 9) AS p FROM u JOIN p_o_orderstatus USING (o_orderpriority) WHERE l_linestatus = 'F' GROUP BY 1""")
+def do_subpopulation(spark: SparkSession, d: str) -> DataFrame:
+    """What the status of large lines' open orders would be, had the lines been filled: their priorities stay."""
+    rows = _lines(spark, d).where("l_quantity >= 40 AND o_orderstatus = 'O'")
+    return inference.intervene_rows(rows, _tables(spark, d), _NETWORK, "o_orderstatus", {"l_linestatus": "F"}).withColumn("p", F.round("p", 9))
+
+
+_LINEAR = {"l_quantity": [], "l_discount": [], "l_extendedprice": ["l_quantity"], "l_tax": ["l_discount"]}
+
+
+@query("""SELECT 'l_quantity' AS node, NULL AS parent, round(avg(l_quantity), 6) AS weight FROM lineitem UNION ALL SELECT 'l_discount', NULL, round(avg(l_discount), 6) FROM lineitem
+UNION ALL SELECT 'l_extendedprice', NULL, round(regr_intercept(l_extendedprice, l_quantity), 6) FROM lineitem UNION ALL SELECT 'l_extendedprice', 'l_quantity', round(regr_slope(l_extendedprice, l_quantity), 6) FROM lineitem
+UNION ALL SELECT 'l_tax', NULL, round(regr_intercept(l_tax, l_discount), 6) FROM lineitem UNION ALL SELECT 'l_tax', 'l_discount', round(regr_slope(l_tax, l_discount), 6) FROM lineitem""")
+def linear_mechanisms(spark: SparkSession, d: str) -> DataFrame:
+    from lodestone.operators.mechanisms import fit_linear, mechanism_table
+
+    lines = table(spark, d, "lineitem")
+    return mechanism_table(lines, fit_linear(lines, _LINEAR)).select("node", "parent", F.round("weight", 6).alias("weight"))
+
+
+@query("""WITH m AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem), r AS (SELECT * FROM lineitem, m WHERE l_returnflag = 'R')
+SELECT 'hard' AS how, 'l_extendedprice' AS target, round(avg(a + b * 10), 3) AS mean, round(avg(a + b * 10) - avg(l_extendedprice), 3) AS difference FROM r
+UNION ALL SELECT 'soft', 'l_extendedprice', round(avg(a + b * l_quantity / 2), 3), round(avg(a + b * l_quantity / 2) - avg(a + b * 10), 3) FROM r""")
+def numeric_do(spark: SparkSession, d: str) -> DataFrame:
+    """The mean price of returned lines with a quantity of 10, and with half of their own (a soft intervention) against that."""
+    from lodestone.operators.mechanisms import fit_linear, numeric_effect
+
+    lines = table(spark, d, "lineitem")
+    model, rows, half = fit_linear(lines, _LINEAR), lines.where("l_returnflag = 'R'"), {"l_quantity": lambda x: x / 2}
+    both = numeric_effect(rows, model, ["l_extendedprice"], {"l_quantity": 10}).withColumn("how", F.lit("hard"))
+    both = both.unionByName(numeric_effect(rows, model, ["l_extendedprice"], half, {"l_quantity": 10}).withColumn("how", F.lit("soft")))
+    return both.withColumns({c: F.round(c, 3) for c in ("mean", "difference")})
+
+
 @query("""WITH w AS (SELECT l_quantity AS x, 1.0::DOUBLE / count(*) OVER (PARTITION BY l_orderkey) AS w FROM lineitem), m AS (SELECT sum(w) AS s, sum(w * w) AS s2, sum(w * x) / sum(w) AS mean FROM w)
 SELECT round(any_value(mean), 6) AS mean, round(sqrt(sum(w * (x - mean) ** 2) / any_value(s)), 6) AS sd, round(any_value(s) ** 2 / any_value(s2), 3) AS ess FROM w, m""")
 def weighted_moments_ess(spark: SparkSession, d: str) -> DataFrame:

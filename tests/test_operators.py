@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import local_name, natural_key, normal, slug, uniform
 from lodestone.operators import counterfactual as cf
-from lodestone.operators import cpt, discovery, encode, inference, ledger, profile, weighted
+from lodestone.operators import cpt, discovery, encode, inference, ledger, mechanisms, profile, ranks, weighted
 from lodestone.streaming.counts import current_counts, maintain_counts
 
 NET = {"a": [], "b": ["a"], "c": ["a", "b"]}
@@ -146,6 +146,46 @@ def test_linear_counterfactual(spark):
     assert abs(drawn.agg(F.avg("y")).first()[0] - 6.0) < 0.05
 
 
+def test_linear_mechanisms_and_soft_interventions(spark, linear):
+    net = {"x": [], "y": ["x"], "z": ["y"]}
+    model = mechanisms.fit_linear(linear.withColumn("x", F.col("x") + 1e6).withColumn("y", F.col("y") + 1.5e6), net)  # large offsets keep their digits
+    assert abs(model["y"].weights["x"] - 1.5) < 0.05 and abs(model["z"].weights["y"] + 1.2) < 0.05 and abs(model["y"].sd - 3**-0.5) < 0.02
+    model = mechanisms.fit_linear(linear, net)
+    row = spark.createDataFrame([(1, 1.0, 2.0, 5.0), (2, None, 1.0, 1.0)], "id int, x double, y double, z double")
+    kept, empty = mechanisms.act(row, model, {"x": lambda v: v + 1}).orderBy("id").collect()
+    assert np.isclose(kept.new_y, 2 + model["y"].weights["x"]) and np.isclose(kept.new_z, 5 + model["z"].weights["y"] * model["y"].weights["x"]) and empty.new_z is None
+    assert mechanisms.act(row, model, {}).where("new_z <> z").isEmpty()  # nothing set, nothing moves
+    drawn = mechanisms.act(linear.withColumn("id", F.monotonically_increasing_id()), model, {"x": 2.0}, "drawn", key=["id"]).agg(F.avg("new_y").alias("m"), F.stddev("new_y").alias("s")).first()
+    assert abs(drawn.m - model["y"].intercept - 2 * model["y"].weights["x"]) < 0.05 and abs(drawn.s - model["y"].sd) < 0.05
+    with pytest.raises(ValueError, match="tell rows apart"):
+        mechanisms.act(row, model, {"x": 1.0}, "drawn")
+    with pytest.raises(KeyError):
+        mechanisms.act(row, model, {"q": 1.0})
+
+
+def test_interventions_on_rows_and_boards(data):
+    tables = inference.fit(data, NET)
+    some = data.where("a = 'a1'")
+    got = as_dict(inference.intervene_rows(some, tables, NET, "c", {"b": "b1"}), "c")
+    assert abs(got["c1"] - brute(data, "c", {"a": "a1"}, {"b": "b1"})["c1"]) < 1e-9
+    board = {(r.node, r.level): r.p for r in inference.answers_for(tables, NET, None, {"c": "c1"}).collect()}
+    assert all(abs(board[n, v] - p) < 1e-9 for n in "ab" for v, p in brute(data, n, {"c": "c1"}).items()) and len(board) == 4
+    with pytest.raises(ValueError, match="no rows"):
+        inference.intervene_rows(data.limit(0), tables, NET, "c", {"b": "b1"})
+
+
+def test_ranks_by_ranges(spark):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=3000), 2)
+    df = spark.createDataFrame([(None,), *[(float(v),) for v in x]], "x double")
+    at = [0.0, 0.1, 1 / 3, 0.5, 0.99, 1.0]
+    assert np.allclose(ranks.quantiles(df, "x", at), np.quantile(x, at)) and ranks.quantiles(df.limit(0), "x", at) == []
+    by_value = df.dropna().distinct().withColumn("one", F.lit(1))
+    got = {r.x: r.c for r in ranks.running(by_value, "x", "one").collect()}
+    assert got == {v: i + 1 for i, v in enumerate(np.unique(x))}
+    assert profile.level_counts(df, ["x"], 5)["x"] > 5 and profile.level_counts(df, ["x"], 5000)["x"] == len(np.unique(x))
+
+
 def test_cpt_cross_validation(data):
     row = cpt.cross_validated(data, "c", ["a", "b"], F.pmod(F.xxhash64("a", "b", "c", F.monotonically_increasing_id()), F.lit(5)).cast("int")).first()
     assert 0.6 < row.accuracy <= 1 and row.accuracy > row.baseline
