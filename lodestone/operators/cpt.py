@@ -124,7 +124,9 @@ class BicScores:
 
 
 def cross_validated(df: DataFrame, child: str, parents: list[str], fold: Column, folds: int = 5) -> DataFrame:
-    """accuracy and baseline (always the training mode), over folds: each row is predicted by counts without its own fold.
+    """accuracy, baseline (always the training mode) and macro_f1 over folds: each row is predicted by counts without its own fold.
+
+    macro_f1 is the mean of 2 * right / (rows of the level + predictions of it) over all levels that occur or are predicted.
 
     Counts by fold are subtracted from the totals; no table is fitted again and rows are read once.
     """
@@ -135,5 +137,9 @@ def cross_validated(df: DataFrame, child: str, parents: list[str], fold: Column,
     best = left.where("rest > 0").groupBy("fold", *parents).agg(F.min_by(child, F.struct(-F.col("rest"), F.col(child))).alias("predicted"))
     modes = left.groupBy("fold", child).agg(F.sum("rest").alias("rest")).groupBy("fold").agg(F.min_by(child, F.struct(-F.col("rest"), F.col(child))).alias("usual"))
     judged = left.where("n > 0").join(best, ["fold", *parents], "left").join(modes, "fold")
-    right = F.coalesce("predicted", "usual") == F.col(child)
-    return judged.agg((F.sum(F.when(right, F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"), (F.sum(F.when(F.col("usual") == F.col(child), F.col("n")).otherwise(0)) / F.sum("n")).alias("baseline"))
+    confusion = judged.groupBy(F.col(child).alias("actual"), F.coalesce("predicted", "usual").alias("predicted"), "usual").agg(F.sum("n").alias("n"))
+    right = F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)
+    roles = F.array(F.struct(F.col("actual").alias("level"), (2 * right).alias("right"), "n"), F.struct(F.col("predicted").alias("level"), F.lit(0).cast("long").alias("right"), "n"))
+    f1 = confusion.select(F.explode(roles).alias("r")).select("r.*").groupBy("level").agg((F.sum("right") / F.sum("n")).alias("f1")).agg(F.avg("f1").alias("macro_f1"))
+    shares = confusion.agg((F.sum(right) / F.sum("n")).alias("accuracy"), (F.sum(F.when(F.col("usual") == F.col("actual"), F.col("n")).otherwise(0)) / F.sum("n")).alias("baseline"))
+    return shares.crossJoin(f1)

@@ -170,16 +170,17 @@ def ges(score: Score, columns: list[str], allowed: np.ndarray | None = None, bac
     return meek(a, allowed)
 
 
-def hill_climb(score: Score, columns: list[str], allowed: np.ndarray | None = None, most_parents: int = 4) -> np.ndarray:
-    """Add, drop or turn the edge that gains most until none gains."""
+def hill_climb(score: Score, columns: list[str], allowed: np.ndarray | None = None, most_parents: int | None = None, start: np.ndarray | None = None) -> np.ndarray:
+    """Add, drop or turn the edge that gains most until none gains; from no edges, or from an acyclic graph. most_parents bounds the parents of a node, if given."""
     n = len(columns)
+    most_parents = n if most_parents is None else most_parents
     ok = ~np.eye(n, dtype=bool) if allowed is None else allowed.copy()
-    a = np.zeros((n, n), bool)
+    a = np.zeros((n, n), bool) if start is None else start.astype(bool)
 
     def s(y: int, of: set[int]) -> float:
         return score(columns[y], frozenset(columns[i] for i in of))
 
-    pa = {i: set() for i in range(n)}
+    pa = {i: set(np.flatnonzero(a[:, i])) for i in range(n)}
     while True:
         best = (1e-9, None)
         for x in range(n):
@@ -230,6 +231,66 @@ def oriented(a: np.ndarray, prior: np.ndarray, greedy: bool = False) -> np.ndarr
     return out
 
 
+def oriented_in_class(a: np.ndarray, prior: np.ndarray, allowed: np.ndarray | None = None) -> np.ndarray:
+    """Undirected edges directed by the larger prior, the clearest first, without leaving the equivalence class: a direction
+    that closes a cycle or makes a new collider of parents apart is not taken, and Meek's rules direct what follows from each."""
+    out = meek(a.copy(), allowed)
+
+    def may(x: int, y: int) -> bool:
+        directed = out & ~out.T
+        apart = any(not (out[k, x] or out[x, k]) for k in np.flatnonzero(directed[:, y]) if k != x)
+        return (allowed is None or bool(allowed[x, y])) and not apart and not reaches(directed, y, x)
+
+    stuck: set[tuple[int, int]] = set()
+    while lines := [(i, j) for i in range(len(out)) for j in range(i + 1, len(out)) if out[i, j] and out[j, i] and (i, j) not in stuck]:
+        i, j = max(lines, key=lambda e: (abs(prior[e] - prior[e[::-1]]), -e[0], -e[1]))
+        ways = [(i, j), (j, i)] if prior[i, j] >= prior[j, i] else [(j, i), (i, j)]
+        way = next((w for w in ways if may(*w)), None)
+        if way is None:
+            stuck.add((i, j))
+            continue
+        out[way[::-1]] = False
+        out = meek(out, allowed)
+    return out
+
+
+def dagified(a: np.ndarray, allowed: np.ndarray | None = None, weights: np.ndarray | None = None) -> np.ndarray:
+    """A copy without cycles: the weakest edge of each cycle found is turned if that is allowed and closes no other cycle, else it is dropped. Each step leaves fewer cycles."""
+    out = a.astype(bool)
+    strength = np.abs(a if weights is None else weights).astype(float)
+    while cycle := find_cycle(out):
+        x, y = min(zip(cycle, cycle[1:] + cycle[:1], strict=True), key=lambda e: (strength[e], e))
+        out[x, y] = False
+        if (allowed is None or allowed[y, x]) and not out[y, x] and not reaches(out, x, y):
+            out[y, x] = True
+    return out
+
+
+#: How each method that uses priors works: the prior in its score (m: of adjacency, b: of direction), and what directs its edges.
+PRIOR_METHODS = {
+    "GES-M": ("m", "meek"), "GES-B": ("b", "meek"), "GES-M-B": ("m", "direct"), "GES-M-B-HL": ("m", "climb"), "GES-M-B-Greedy": ("m", "greedy"), "GES-M-B-MEC": ("m", "class"),
+    "GES-HL": (None, "climb only"), "GES-M-HL": ("m", "climb only"), "GES-B-HL": ("b", "climb only"),
+}
+
+
+def with_priors(method: str, score: Score, columns: list[str], priors: dict[str, dict[tuple[str, str], float]], allowed: np.ndarray | None = None, weight: float = 1.0, **parameters) -> np.ndarray:
+    """One of PRIOR_METHODS; priors are {m: {(parent, child): p}, b: the same}, as `ledger.prior_matrices` makes them, 0.5 where there is none."""
+    which, then = PRIOR_METHODS[method]
+    scored = with_prior(score, priors[which], weight) if which else score
+    if then == "climb only":
+        return hill_climb(scored, columns, allowed, **parameters)
+    found = ges(scored, columns, allowed, **parameters)
+    if then == "meek":
+        return found
+    by_direction = with_prior(score, priors["b"], weight)
+    if then == "climb":
+        dag = pdag_to_dag(found)
+        start = dagified(found & ~found.T) if dag is None else dag
+        return hill_climb(by_direction, columns, allowed, start=start if allowed is None else start & allowed)
+    b = np.array([[priors["b"].get((p, c), 0.5) for c in columns] for p in columns])
+    return oriented_in_class(found, b, allowed) if then == "class" else oriented(found, b, greedy=then == "greedy")
+
+
 def _acyclicity(w: np.ndarray) -> tuple[float, np.ndarray]:
     """h = tr((I + w*w/d)^d) - d and its gradient."""
     d = len(w)

@@ -80,8 +80,8 @@ def falsification(df: DataFrame, network: dict[str, list[str]], alpha: float = 0
 
 
 def node_report(df: DataFrame, network: dict[str, list[str]], fold: Column, folds: int = 5) -> DataFrame:
-    """node, accuracy, baseline, lift and beats_baseline of each node's table on held-out folds."""
-    parts = [cross_validated(df, n, ps, fold, folds).select(F.lit(n).alias("node"), "accuracy", "baseline") for n, ps in sorted(network.items())]
+    """node, accuracy, baseline, macro_f1, lift and beats_baseline of each node's table on held-out folds."""
+    parts = [cross_validated(df, n, ps, fold, folds).select(F.lit(n).alias("node"), "accuracy", "baseline", "macro_f1") for n, ps in sorted(network.items())]
     both = reduce(DataFrame.unionByName, parts)
     return both.withColumns({"lift": F.col("accuracy") - F.col("baseline"), "beats_baseline": F.col("accuracy") > F.col("baseline")})
 

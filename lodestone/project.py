@@ -13,13 +13,15 @@ from lodestone.operators import cpt, discovery, inference, ledger
 from lodestone.operators.causal_graph import CausalGraph
 from lodestone.operators.counterfactual import answer as cf_answer
 from lodestone.operators.counterfactual import counterfactual
+from lodestone.operators.mixed_scores import MixedScores
+from lodestone.operators.profile import numeric_columns
 from lodestone.plans.constraint import Constraint, constraint
 from lodestone.plans.flat_join import FlatJoin, flat_join
 from lodestone.plans.schema import PropertyNode, Schema, unique_names
 from lodestone.storage import materialise
 
 DISCRETE, NUMERIC = ("GES", "HC"), ("PC", "NOTEARS", "DAGMA", "LiNGAM")
-METHODS = (*DISCRETE, *NUMERIC)
+METHODS = (*DISCRETE, *NUMERIC, *discovery.PRIOR_METHODS)
 
 
 @dataclass
@@ -80,16 +82,24 @@ class Project:
     def constraint(self) -> Constraint:
         return constraint(self.schema, self.nodes(), self.hops)
 
-    def discover(self, method: str, columns: list[str] | None = None, constrained: bool = True, **parameters) -> CausalGraph:
-        """Run a method on the flat table (columns: by default all variables) and keep the graph."""
+    def discover(self, method: str, columns: list[str] | None = None, constrained: bool = True, score: str = "discrete", priors: DataFrame | None = None, **parameters) -> CausalGraph:
+        """Run a method on the flat table (columns: by default all variables) and keep the graph.
+
+        score, of the methods that search by one: discrete, gauss, mixed, or auto (by the types of the columns). priors, of
+        those that use them: i, j, a, c, d of pairs of variables, as `ledger.prior_matrices` takes them.
+        """
         if method not in METHODS:
             raise ValueError(f"unknown method {method!r}; there are {', '.join(METHODS)}")
         c = self.constraint().subset(columns or self.join().columns)
         allowed = c.allowed if constrained else None
         df = self.join().df
         if method in DISCRETE:
-            score = cpt.BicScores(df, c.names)
-            found = discovery.ges(score, c.names, allowed, **parameters) if method == "GES" else discovery.hill_climb(score, c.names, allowed, **parameters)
+            by = self._scores(df, c.names, score)
+            found = discovery.ges(by, c.names, allowed, **parameters) if method == "GES" else discovery.hill_climb(by, c.names, allowed, **parameters)
+        elif method in discovery.PRIOR_METHODS:
+            rows = ledger.prior_matrices(priors).collect() if priors is not None else []  # as many as there are pairs of variables
+            matrices = {k: {(r.i, r.j): r[k] for r in rows} for k in ("m", "b")}
+            found = discovery.with_priors(method, self._scores(df, c.names, score), c.names, matrices, allowed, **parameters)
         else:
             found = {"PC": discovery.pc, "NOTEARS": discovery.notears, "DAGMA": discovery.dagma, "LiNGAM": discovery.lingam}[method](df, c.names, allowed=allowed, **parameters)
         labels = {(c.names.index(a), c.names.index(b)): v for (a, b), v in c.labels.items() if found[c.names.index(a), c.names.index(b)]}
@@ -98,6 +108,18 @@ class Project:
         self._dropped("runs")
         return graph
 
+    def _scores(self, df: DataFrame, names: list[str], kind: str) -> discovery.Score:
+        numeric = [n for n in names if n in numeric_columns(df)]
+        if kind == "auto":
+            kind = "mixed" if 0 < len(numeric) < len(names) else "gauss" if numeric else "discrete"
+        if kind == "discrete":
+            return cpt.BicScores(df, names)
+        if kind == "gauss":
+            return discovery.GaussScores(df, names)
+        if kind == "mixed":
+            return MixedScores(df, numeric, [n for n in names if n not in numeric])
+        raise ValueError(f"score: {kind!r}")
+
     def ledger(self) -> DataFrame:
         spark = self.join().df.sparkSession
         rows = [(k, g.method, g.names[i], g.names[j]) for k, g in enumerate(self.runs) for i, j in g.edges()]

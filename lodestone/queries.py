@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import local_name, natural_key, short_hash, slug, uniform
+from lodestone.functions.text import local_name, natural_key, normal, short_hash, slug, uniform
 from lodestone.operators import cpt, discovery, encode, inference, ledger, profile, weighted
 from lodestone.plans.flat_join import FlatJoin, flat_join
 from lodestone.plans.schema import PropertyNode, infer_properties, mapped_schema
@@ -523,6 +523,122 @@ def component_flat_joins(spark: SparkSession, d: str) -> DataFrame:
     return first.select(F.lit(0).alias("component"), F.col("Nation__n_name").alias("a"), F.col("Region__r_name").alias("b"), none.alias("c")).unionByName(second.select(F.lit(1).alias("component"), none.alias("a"), none.alias("b"), F.col("Part__p_brand").alias("c")))
 
 
+@query(" UNION ALL ".join(f"SELECT '{c}' AS child, '{','.join(ps)}' AS parents, round(-0.5 * count(*) * ln({left} / count(*)) - 0.5 * {len(ps) + 1} * ln(count(*)), 2) AS score FROM lineitem" for c, ps, left in (("l_extendedprice", (), "regr_syy(l_extendedprice, l_quantity)"), ("l_extendedprice", ("l_quantity",), "(regr_syy(l_extendedprice, l_quantity) - regr_sxy(l_extendedprice, l_quantity) ** 2 / regr_sxx(l_extendedprice, l_quantity))"))))
+def gauss_local_scores(spark: SparkSession, d: str) -> DataFrame:
+    score = discovery.GaussScores(table(spark, d, "lineitem"), ["l_extendedprice", "l_quantity"])
+    rows = [("l_extendedprice", ",".join(ps), round(score("l_extendedprice", frozenset(ps)), 2)) for ps in ((), ("l_quantity",))]
+    return spark.createDataFrame(rows, "child string, parents string, score double")
+
+
+@query("""WITH g AS (SELECT l_linestatus, count(*) AS n, regr_syy(l_extendedprice, l_quantity) - regr_sxy(l_extendedprice, l_quantity) ** 2 / regr_sxx(l_extendedprice, l_quantity) AS left_over FROM lineitem GROUP BY 1),
+f AS (SELECT l_returnflag, count(*) AS n, var_pop(l_quantity) AS v FROM lineitem GROUP BY 1), a AS (SELECT count(*) AS n, var_pop(l_quantity) AS v FROM lineitem)
+SELECT 'l_extendedprice' AS child, 'l_linestatus,l_quantity' AS parents, round(sum(-0.5 * n * (ln(2 * pi() * left_over / n) + 1)) - 0.5 * 3 * count(*) * ln(sum(n)), 2) AS score FROM g
+UNION ALL SELECT 'l_returnflag', 'l_quantity', round(sum(f.n * ln(f.n / a.n)) - sum(0.5 * f.n * (ln(2 * pi() * f.v) + 1)) + any_value(0.5 * a.n * (ln(2 * pi() * a.v) + 1)) - 0.5 * (count(*) - 1) * 3 * ln(any_value(a.n)), 2) FROM f, a""")
+def mixed_local_scores(spark: SparkSession, d: str) -> DataFrame:
+    """A numeric child of a number and a flag, and a flag that is the child of a number."""
+    from lodestone.operators.mixed_scores import MixedScores
+
+    score = MixedScores(table(spark, d, "lineitem"), ["l_extendedprice", "l_quantity"], ["l_linestatus", "l_returnflag"])
+    families = (("l_extendedprice", ("l_linestatus", "l_quantity")), ("l_returnflag", ("l_quantity",)))
+    return spark.createDataFrame([(c, ",".join(ps), round(score(c, frozenset(ps)), 2)) for c, ps in families], "child string, parents string, score double")
+
+
+@query(_truth_sql([("a", "m"), ("m", "e"), ("x", "m")]))
+def ges_mixed_structure(spark: SparkSession, d: str) -> DataFrame:
+    """Edges among numbers and a flag: m depends on a and x, e on m."""
+    from lodestone.operators.mixed_scores import MixedScores
+
+    key = F.col("l_orderkey"), F.col("l_linenumber")
+    rows = _dependent(spark, d).withColumn("m", F.col("a") + F.when(F.col("x") == "true", 2.0).otherwise(0.0) + normal(19, *key)).withColumn("e", F.col("m") + normal(23, *key))
+    columns = ["a", "e", "m", "x"]
+    return _found(spark, discovery.ges(MixedScores(rows, ["a", "e", "m"], ["x"]), columns), columns, "GES")
+
+
+_BY_DIRECTION = ("GES-B-HL", "GES-M-B", "GES-M-B-Greedy", "GES-M-B-HL", "GES-M-B-MEC")
+
+
+@query("SELECT method, 'z' AS src, 'w' AS dst FROM (VALUES " + ", ".join(f"('{m}')" for m in _BY_DIRECTION) + ") t(method)")
+def prior_methods_structure(spark: SparkSession, d: str) -> DataFrame:
+    """z causes w, which rows alone don't tell from the reverse: the prior does, by each method that directs edges by it."""
+    columns = ["w", "z"]
+    score = cpt.BicScores(_dependent(spark, d).select(*columns), columns)
+    pairs = spark.createDataFrame([("z", "w", 0.9, 0.9, 0.9)], "i string, j string, a double, c double, d double")
+    rows = ledger.prior_matrices(pairs).collect()
+    priors = {k: {(r.i, r.j): r[k] for r in rows} for k in ("m", "b")}
+    found = [discovery.edges(spark, discovery.with_priors(m, score, columns, priors), columns, m) for m in _BY_DIRECTION]
+    return reduce(DataFrame.unionByName, found).select("method", "src", "dst")
+
+
+_HELD_OUT = """WITH f AS (SELECT l_orderkey % 5 AS fold, l_linestatus, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL), t AS (SELECT l_linestatus, l_returnflag, sum(n) AS total FROM f GROUP BY ALL),
+r AS (SELECT k.fold, t.l_linestatus, t.l_returnflag, coalesce(f.n, 0) AS n, total - coalesce(f.n, 0) AS rest FROM t CROSS JOIN (SELECT unnest(range(5)) AS fold) k LEFT JOIN f ON f.fold = k.fold AND f.l_linestatus = t.l_linestatus AND f.l_returnflag = t.l_returnflag),
+b AS (SELECT fold, l_linestatus, l_returnflag AS best FROM r WHERE rest > 0 QUALIFY row_number() OVER (PARTITION BY fold, l_linestatus ORDER BY rest DESC, l_returnflag) = 1),
+m AS (SELECT fold, l_returnflag AS usual FROM (SELECT fold, l_returnflag, sum(rest) AS rest FROM r GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY fold ORDER BY rest DESC, l_returnflag) = 1),
+j AS (SELECT l_returnflag AS actual, coalesce(best, usual) AS predicted, usual, n FROM r LEFT JOIN b USING (fold, l_linestatus) JOIN m USING (fold) WHERE n > 0),
+l AS (SELECT level, 2 * sum(tp) / sum(n) AS f1 FROM (SELECT actual AS level, CASE WHEN actual = predicted THEN n ELSE 0 END AS tp, n FROM j UNION ALL SELECT predicted, 0, n FROM j) GROUP BY 1)
+SELECT sum(n) FILTER (actual = predicted) / sum(n) AS accuracy, sum(n) FILTER (actual = usual) / sum(n) AS baseline, (SELECT avg(f1) FROM l) AS macro_f1 FROM j"""
+
+
+@query(f"SELECT round(accuracy, 9) AS accuracy, round(baseline, 9) AS baseline, round(macro_f1, 9) AS macro_f1 FROM ({_HELD_OUT})")
+def held_out_report(spark: SparkSession, d: str) -> DataFrame:
+    out = cpt.cross_validated(table(spark, d, "lineitem"), "l_returnflag", ["l_linestatus"], F.col("l_orderkey"))
+    return out.select(*[F.round(c, 9).alias(c) for c in ("accuracy", "baseline", "macro_f1")])
+
+
+@query(f"SELECT 1 AS nodes, CASE WHEN accuracy > baseline THEN 0 ELSE 1 END AS failing, round(accuracy - baseline, 9) AS mean_lift, 'l_returnflag' AS worst_node FROM ({_HELD_OUT})")
+def evaluation_summary(spark: SparkSession, d: str) -> DataFrame:
+    from lodestone.operators.browse import evaluation_summary as summary
+    from lodestone.operators.evaluation import node_report
+
+    report = node_report(table(spark, d, "lineitem"), {"l_linestatus": [], "l_returnflag": ["l_linestatus"]}, F.col("l_orderkey"))
+    return summary(report.where("node = 'l_returnflag'")).withColumn("mean_lift", F.round("mean_lift", 9))
+
+
+_CUSTOMERS = "(SELECT c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey)"
+
+
+def _customers(spark: SparkSession, d: str) -> DataFrame:
+    return _renamed(_joined(spark, d, {"Customer": ["c_name", "c_mktsegment", "c_acctbal"], "Nation": ["n_name"]}, ["Customer", "Nation"], show_keys=False).df)
+
+
+@query(f"SELECT 'c_name' AS class, c_name AS entity FROM {_CUSTOMERS} WHERE lower(c_name) LIKE '%12%' UNION SELECT 'n_name', n_name FROM {_CUSTOMERS} WHERE contains(lower(n_name), '12')")
+def entity_search(spark: SparkSession, d: str) -> DataFrame:
+    from lodestone.operators.browse import entity_search as search
+
+    return search(_customers(spark, d), ["c_name", "n_name"], "12")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS class, count(DISTINCT {c}) AS n, array_to_string(list_sort(list(DISTINCT {c}))[1:5], ',') AS entities FROM {_CUSTOMERS}" for c in ("c_name", "n_name")))
+def entities_per_class(spark: SparkSession, d: str) -> DataFrame:
+    from lodestone.operators.browse import entities_per_class as per_class
+
+    return per_class(_customers(spark, d), ["c_name", "n_name"], most=5).withColumn("entities", F.array_join("entities", ","))
+
+
+@query("""WITH r AS (SELECT c_mktsegment, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = (SELECT min(n_name) FROM customer JOIN nation ON c_nationkey = n_nationkey))
+SELECT 'c_mktsegment' AS node, (SELECT c_mktsegment FROM r GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS level, NULL::DOUBLE AS mean UNION ALL SELECT 'c_acctbal', NULL, (SELECT round(avg(c_acctbal), 6) FROM r)""")
+def unit_factual_state(spark: SparkSession, d: str) -> DataFrame:
+    """What holds for the customers of the first nation by name."""
+    from lodestone.operators.browse import factual_state
+
+    flat = _customers(spark, d)
+    first = flat.agg(F.min("n_name")).first()[0]
+    return factual_state(flat, ["n_name"], first, ["c_mktsegment", "c_acctbal"], ["c_mktsegment"]).withColumn("mean", F.round("mean", 6))
+
+
+@query("SELECT level, coalesce(p, 0) AS p, place FROM (SELECT o_orderstatus AS level, round(count(*) / sum(count(*)) OVER (), 9) AS p FROM orders GROUP BY 1) FULL JOIN (VALUES ('X', 0), ('P', 1), ('O', 2), ('F', 3)) v(level, place) USING (level)")
+def zero_filled_levels(spark: SparkSession, d: str) -> DataFrame:
+    from lodestone.operators.browse import zero_filled
+
+    return zero_filled(profile.distribution(table(spark, d, "orders"), "o_orderstatus").withColumn("p", F.round("p", 9)), ["X", "P", "O", "F"])
+
+
+@query("SELECT (SELECT count(*) FROM (SELECT c_nationkey FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier)) AS only_left, (SELECT count(*) FROM (SELECT s_nationkey FROM supplier EXCEPT ALL SELECT c_nationkey FROM customer)) AS only_right")
+def frame_differences(spark: SparkSession, d: str) -> DataFrame:
+    from lodestone.operators.browse import differing_rows
+
+    return differing_rows(table(spark, d, "customer").select(F.col("c_nationkey").alias("k")), table(spark, d, "supplier").select(F.col("s_nationkey").alias("k")))
+
+
 @query()
 def likelihood_weighting(spark: SparkSession, d: str) -> DataFrame:
     drawn = inference.sample(spark, _tables(spark, d), _NETWORK, 20_000, evidence={"o_orderstatus": "P"})
