@@ -69,6 +69,7 @@ class Answer:
     backend: str = ""
     n_samples: int = 0
     ess: float | None = None
+    reaches: bool = True  # whether what is set can change the target at all
 
     @property
     def predicted(self) -> str | None:
@@ -77,7 +78,7 @@ class Answer:
 
 
 _QUERY = "id string, kind string, model string, target string, entity string, settings array<struct<node:string,value:string,entity:string>>, conditions array<struct<node:string,value:string,entity:string>>"
-_ANSWER = "query string, backend string, n_samples long, ess double, distribution map<string,double>, predicted string"
+_ANSWER = "query string, backend string, n_samples long, ess double, distribution map<string,double>, predicted string, reaches boolean"
 
 
 def query_table(spark: SparkSession, queries: list[Query]) -> DataFrame:
@@ -88,7 +89,7 @@ def query_table(spark: SparkSession, queries: list[Query]) -> DataFrame:
 
 
 def answer_table(spark: SparkSession, answers: list[Answer]) -> DataFrame:
-    return spark.createDataFrame([(a.query, a.backend, a.n_samples, a.ess, a.distribution, a.predicted) for a in answers], _ANSWER)
+    return spark.createDataFrame([(a.query, a.backend, a.n_samples, a.ess, a.distribution, a.predicted, a.reaches) for a in answers], _ANSWER)
 
 
 def load_queries(table: DataFrame) -> list[Query]:
@@ -100,6 +101,11 @@ def load_queries(table: DataFrame) -> list[Query]:
     return [Query(r.kind, r.model, r.target, settings(r.settings), settings(r.conditions), r.entity) for r in table.orderBy("id").collect()]
 
 
+def load_answers(table: DataFrame) -> list[Answer]:
+    """The stored answers (those of one session), in the order of their queries' ids."""
+    return [Answer(r.query, dict(r.distribution or {}), r.backend, r.n_samples, r.ess, r.reaches) for r in table.orderBy("query").collect()]
+
+
 def as_triples(queries: DataFrame, answers: DataFrame, base: str = VOCABULARY) -> DataFrame:
     """s, p, o, o_kind of stored queries, their settings and the levels of their answers, as Spark expressions over the tables."""
     q = F.concat(F.lit(f"{base}query/"), F.col("id"))

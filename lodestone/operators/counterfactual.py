@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import gumbel, uniform
-from lodestone.operators.inference import _rows, descendants, topological
+from lodestone.operators.inference import descendants, topological
 from lodestone.operators.mechanisms import Intervention, applied
-from lodestone.storage import broadcast_if_small
+from lodestone.storage import broadcast_if_small, materialise
 
 TINY = 1e-300
 
@@ -20,49 +20,80 @@ def _log_sum(a: Column, b: Column) -> Column:
     return F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))
 
 
-def _noise(node: str, seed: int, keys: list[Column]) -> Column:
-    """Gumbel noise of each level (array beside `_levels`), given that `node` was observed."""
-    logs = F.transform("_ps", lambda p: F.log(F.greatest(p, F.lit(TINY))))
+def abducted(node: str, observed: Column, levels: list[str], logs: list[Column], seed: int, keys: list[Column]) -> list[Column]:
+    """Gumbel noise of each level, given that the node was `observed` where its levels had these log-probabilities.
+
+    The observed level's score is the largest of all, one standard Gumbel draw; the others' lie below it. A level of
+    probability 0 keeps a free draw. Draws are hashes of seed, node, level and keys.
+    """
     top = gumbel(uniform(seed, F.lit(node), F.lit("top"), *keys))
 
-    def level(x: Column, log_p: Column) -> Column:
-        free = gumbel(uniform(seed, F.lit(node), x, *keys)) + log_p
-        return F.when(x == F.col(node), top - log_p).otherwise(-_log_sum(-free, -top) - log_p)
+    def noise(level: str, log_p: Column) -> Column:
+        free = gumbel(uniform(seed, F.lit(node), F.lit(level), *keys))
+        return F.when(observed == level, top - log_p).otherwise(-_log_sum(-free - log_p, -top) - log_p)
 
-    return F.zip_with("_levels", logs, level)
+    return [noise(level, log_p) for level, log_p in zip(levels, logs, strict=True)]
 
 
-def _kept_or_fresh(node: str, seed: int, keys: list[Column]) -> Column:
-    """The abducted noise `_g` of each level; a draw for levels that the observed parents never had."""
-    return F.transform("_levels", lambda x: F.coalesce(F.try_element_at("_g", x), gumbel(uniform(seed, F.lit(node), x, *keys))))
+def likeliest(levels: list[str], scores: list[Column]) -> Column:
+    """The level of the largest score, of equals the first; null where scores are null."""
+    if len(levels) == 1:
+        return F.when(scores[0].isNotNull(), levels[0])
+    best = F.greatest(*scores)
+    out = F.lit(None).cast("string")
+    for level, score in reversed(list(zip(levels, scores, strict=True))):
+        out = F.when(score == best, F.lit(level)).otherwise(out)
+    return F.when(best.isNotNull(), out)
 
 
-def _argmax(noise: str) -> Column:
-    scores = F.zip_with("_ps", noise, lambda p, g: F.log(F.greatest(p, F.lit(TINY))) + g)
-    return F.element_at("_levels", F.array_position(scores, F.array_max(scores)).cast("int"))
+def numbered(rows: DataFrame, columns: list[str], chunk: int = 1000) -> DataFrame:
+    """The columns of rows with `id`, which tells equal rows apart and depends on nothing else: not on order or partitions.
+
+    Equal rows are counted and dealt out again in chunks, so that a row that a third of the table repeats is no task's own.
+    """
+    spark = rows.sparkSession
+    counts = rows.groupBy(*columns).agg(F.count("*").alias("_n"))
+    begins = counts.withColumn("_from", F.explode(F.expr(f"sequence(0L, _n - 1, {chunk}L)")))
+    dealt = begins.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *columns, "_from")
+    each = dealt.withColumn("_k", F.explode(F.expr(f"sequence(_from, least(_from + {chunk}L, _n) - 1)")))
+    return each.select(*columns, F.xxhash64(*columns, "_k").alias("id"))
 
 
-def counterfactual(rows: DataFrame, tables: dict[str, DataFrame], network: dict[str, list[str]], do: dict[str, str], draws: int = 200, seed: int = 0) -> DataFrame:
+def counterfactual(rows: DataFrame, tables: dict[str, DataFrame], network: dict[str, list[str]], do: dict[str, str], draws: int = 200, seed: int = 0, targets: list[str] | None = None) -> DataFrame:
     """rows with draw and, for each node, cf_<node>: its value had the nodes in do been set, in `draws` worlds each.
 
     rows need a column for each node and an `id`. Nodes that are neither set nor below a set one keep their values.
-    Without interventions every world equals the observed row.
+    Without interventions every world equals the observed row. With targets, only they and the nodes between them and the
+    interventions get a column. Rows are dealt to as many tasks as shuffles have before they are multiplied. A node keeps
+    its observed value where its parents have values that its table does not hold.
     """
     below = set().union(*[descendants(network, d) for d in do]) - set(do)
-    out = rows.crossJoin(F.broadcast(rows.sparkSession.range(draws).select(F.col("id").alias("draw"))))
+    wanted, todo = set(), list(network if targets is None else targets)
+    while todo:  # targets and what lies above them, up to what is set or stays
+        if (n := todo.pop()) not in wanted:
+            wanted.add(n)
+            todo += network[n] if n in below else []
+    spark = rows.sparkSession
+    out = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    out = out.crossJoin(F.broadcast(spark.range(draws).select(F.col("id").alias("draw"))))
     keys = [F.col("id"), F.col("draw")]
-    for node in topological(network):
+    for node in (n for n in topological(network) if n in wanted):
         if node in do:
             out = out.withColumn(f"cf_{node}", F.lit(do[node]))
         elif node not in below:
             out = out.withColumn(f"cf_{node}", F.col(node))
         else:
             parents = network[node]
-            seen = broadcast_if_small(_rows(tables[node], parents, node))
-            out = out.join(seen, parents, "left").withColumn("_g", F.map_from_arrays("_levels", _noise(node, seed, keys))).drop("_levels", "_ps")
-            moved = seen.select(*[F.col(p).alias(f"cf_{p}") for p in parents], "_levels", "_ps")
-            out = out.join(moved, [f"cf_{p}" for p in parents], "left")
-            out = out.withColumn("_n", _kept_or_fresh(node, seed, keys)).withColumn(f"cf_{node}", F.coalesce(_argmax("_n"), F.col(node))).drop("_g", "_n", "_levels", "_ps")
+            levels = [r[0] for r in tables[node].select(F.col(node).cast("string")).distinct().orderBy(node).collect()]
+            p = [F.coalesce(F.max(F.when(F.col(node) == x, F.col("p"))), F.lit(0.0)) for x in levels]
+            logs = materialise(tables[node].groupBy(*parents).agg(*[F.log(F.greatest(v, F.lit(TINY))).alias(f"_{i}") for i, v in enumerate(p)]), "levels")
+            for name, of in (("seen", ""), ("new", "cf_")):
+                table = logs.select(*[F.col(x).alias(f"{of}{x}") for x in parents], *[F.col(f"_{i}").alias(f"_{name}{i}") for i in range(len(levels))])
+                out = out.join(broadcast_if_small(table), [f"{of}{x}" for x in parents], "left")
+            noise = abducted(node, F.col(node), levels, [F.col(f"_seen{i}") for i in range(len(levels))], seed, keys)
+            out = out.withColumns({f"_g{i}": g for i, g in enumerate(noise)})
+            best = likeliest(levels, [F.col(f"_new{i}") + F.col(f"_g{i}") for i in range(len(levels))])
+            out = out.withColumn(f"cf_{node}", F.coalesce(best, F.col(node))).drop(*[f"_{k}{i}" for k in ("seen", "new", "g") for i in range(len(levels))])
     return out
 
 

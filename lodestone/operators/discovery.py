@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from itertools import combinations
 from math import erf, log, sqrt
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.plans.graphs import adjacent, blocked, dag_to_cpdag, find_cycle, is_clique, meek, neighbours, parents, pdag_to_dag, reaches
+from lodestone.storage import materialise
 
 Score = Callable[[str, frozenset], float]
 
@@ -299,16 +302,85 @@ def _acyclicity(w: np.ndarray) -> tuple[float, np.ndarray]:
     return float((power @ m).trace() - d), power.T * w * 2
 
 
-def notears(df: DataFrame, columns: list[str], allowed: np.ndarray | None = None, lam: float = 0.05, threshold: float = 0.3, rho_max: float = 1e16, tolerance: float = 1e-8, scale: bool = True) -> np.ndarray:
-    """Weights of a linear graph by NOTEARS with l1: least squares from the Gram matrix alone, augmented Lagrangian, proximal steps."""
-    n, _, g = gram(df, columns)
+#: Distinct rows up to which the driver keeps a table of counts; beyond, every gradient is a pass over the table in Spark.
+MOST_CONFIGURATIONS = 200_000
+
+Loss = Callable[[np.ndarray], tuple[float, np.ndarray]]
+
+
+def squared_loss(c: np.ndarray) -> Loss:
+    """Half the squared error of a linear graph, from the Gram matrix alone."""
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        r = np.eye(len(w)) - w
+        return 0.5 * float((r.T @ c @ r).trace()), -c @ r
+
+    return loss
+
+
+def _count_loss(x: np.ndarray, n: np.ndarray, w: np.ndarray, kind: str) -> np.ndarray:
+    """Sum over rows x that stand n times: the negative log-likelihood, then its gradient by row of w."""
+    with np.errstate(over="ignore"):
+        m = x @ w
+        total, mean = (np.logaddexp(0, m), 1 / (1 + np.exp(-m))) if kind == "logistic" else (np.exp(m), np.exp(m))
+    return np.concatenate([[float((n[:, None] * (total - x * m)).sum())], (x.T @ (n[:, None] * (mean - x))).ravel()])
+
+
+def count_loss(df: DataFrame, columns: list[str], kind: str) -> Loss:
+    """The mean negative log-likelihood of each column as 0/1 (`logistic`) or count (`poisson`) given weighted others, and its gradient.
+
+    Equal rows are counted first. Up to MOST_CONFIGURATIONS distinct ones stay on the driver; more stay a table, and each
+    evaluation is one pass over it, of which a sum for each pair of columns and task comes back. ValueError if a column
+    holds anything but 0 and 1, or but whole numbers from 0 on.
+    """
+    if kind not in ("logistic", "poisson"):
+        raise ValueError(f"loss: {kind!r}")
+    rows = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns]).dropna()
+    joint = materialise(rows.groupBy(*columns).agg(F.count("*").cast("double").alias("_n")), "joint")
+    distinct, n = joint.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0.0))).first()
+    wrong = reduce(Column.__or__, [~F.col(c).isin(0.0, 1.0) if kind == "logistic" else (F.col(c) < 0) | (F.col(c) != F.floor(c)) for c in columns])
+    if not joint.where(wrong).isEmpty():
+        raise ValueError(f"{kind} loss: a column holds other values")
     d = len(columns)
-    c = correlations(g) if scale else g / max(n, 1)
+    if distinct <= MOST_CONFIGURATIONS:
+        table = joint.toPandas().to_numpy(float)
+        evaluate = lambda w: _count_loss(table[:, :d], table[:, d], w, kind)
+    else:
+
+        def evaluate(w: np.ndarray) -> np.ndarray:
+            def part(batches):
+                total = np.zeros(d * d + 1)
+                for batch in batches:
+                    at = np.column_stack([np.asarray(c) for c in batch.columns])
+                    total += _count_loss(at[:, :d], at[:, d], w, kind)
+                yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], names=["sums"])
+
+            return np.sum([r.sums for r in joint.mapInArrow(part, "sums array<double>").collect()], axis=0)
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        found = evaluate(w) / max(n, 1)
+        return float(found[0]), found[1:].reshape(d, d)
+
+    return loss
+
+
+def notears(df: DataFrame, columns: list[str], allowed: np.ndarray | None = None, lam: float = 0.05, threshold: float = 0.3, rho_max: float = 1e16, tolerance: float = 1e-8, scale: bool = True, loss: str = "l2") -> np.ndarray:
+    """Weights of a graph by NOTEARS with l1: augmented Lagrangian, proximal steps.
+
+    loss: l2, a linear graph from the Gram matrix alone (of scaled columns if `scale`); logistic, of 0/1 columns, and
+    poisson, of counts, without intercepts.
+    """
+    d = len(columns)
+    if loss == "l2":
+        n, _, g = gram(df, columns)
+        fit = squared_loss(correlations(g) if scale else g / max(n, 1))
+    else:
+        fit = count_loss(df, columns, loss)
     mask = ~np.eye(d, dtype=bool) if allowed is None else allowed & ~np.eye(d, dtype=bool)
     w, rho, alpha, h = np.zeros((d, d)), 1.0, 0.0, np.inf
     while rho < rho_max:
         while rho < rho_max:
-            new = _penalised(w, c, mask, lam, rho, alpha)
+            new = _penalised(w, fit, mask, lam, rho, alpha)
             h_new, _ = _acyclicity(new)
             if h_new > 0.25 * h:
                 rho *= 10
@@ -321,13 +393,13 @@ def notears(df: DataFrame, columns: list[str], allowed: np.ndarray | None = None
     return np.where(np.abs(w) > threshold, w, 0.0)
 
 
-def _penalised(w: np.ndarray, c: np.ndarray, mask: np.ndarray, lam: float, rho: float, alpha: float, steps: int = 400) -> np.ndarray:
+def _penalised(w: np.ndarray, fit: Loss, mask: np.ndarray, lam: float, rho: float, alpha: float, steps: int = 400) -> np.ndarray:
     """Proximal gradient with backtracking and momentum for the penalised loss."""
 
     def smooth(w: np.ndarray) -> tuple[float, np.ndarray]:
-        r = np.eye(len(w)) - w
+        value, grad = fit(w)
         h, gh = _acyclicity(w)
-        return 0.5 * float((r.T @ c @ r).trace()) + alpha * h + 0.5 * rho * h * h, -c @ r + (alpha + rho * h) * gh
+        return value + alpha * h + 0.5 * rho * h * h, grad + (alpha + rho * h) * gh
 
     at, step, y, t = w.copy(), 1.0, w.copy(), 1.0
     for _ in range(steps):

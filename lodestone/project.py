@@ -5,14 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators import answers as qa
 from lodestone.operators import cpt, discovery, inference, ledger
 from lodestone.operators.causal_graph import CausalGraph
 from lodestone.operators.counterfactual import answer as cf_answer
-from lodestone.operators.counterfactual import counterfactual
+from lodestone.operators.counterfactual import counterfactual, numbered
 from lodestone.operators.mixed_scores import MixedScores
 from lodestone.operators.profile import numeric_columns
 from lodestone.plans.constraint import Constraint, constraint
@@ -38,7 +38,7 @@ class Project:
     queries: list[qa.Query] = field(default_factory=list)
     answers: list[qa.Answer] = field(default_factory=list)
     _join: FlatJoin | None = None
-    _tables: dict[str, DataFrame] | None = None
+    _tables: dict[float, dict[str, DataFrame]] = field(default_factory=dict)
 
     # what is curated
 
@@ -66,7 +66,7 @@ class Project:
             self._join, self.runs, self.manual = None, [], set()
         if since in ("join", "runs"):
             self.selected = []
-        self._tables, self.queries, self.answers = None, [], []
+        self._tables, self.queries, self.answers = {}, [], []
 
     # what follows from it
 
@@ -161,32 +161,50 @@ class Project:
         return out
 
     def fit(self, ess: float = 5.0) -> dict[str, DataFrame]:
-        """Tables of all nodes of the selection, kept in the shared folder."""
+        """Tables of all nodes of the selection from one pass over the rows, kept in the shared folder for each ess."""
         if not self.selected:
             raise ValueError("no edges are selected")
-        if self._tables is None:
-            self._tables = {n: materialise(cpt.cpt(self.join().df, n, p, ess), "cpt") for n, p in self.network().items()}
-        return self._tables
-
-    def ask(self, kind: str, target: str, settings: dict[str, str], conditions: dict[str, str] | None = None, entity: str | None = None, draws: int = 200) -> qa.Answer:
-        """Ask the model, and keep question and answer."""
+        if ess not in self._tables:
+            self._tables[ess] = {n: materialise(t, "cpt") for n, t in inference.fit(self.join().df, self.network(), ess).items()}
+        return self._tables[ess]
+
+    def _rows(self, entity: str | None, conditions: dict[str, str] | None) -> DataFrame:
+        """The rows asked about: an entity's (KeyError if it has none), and of them those that meet the conditions."""
+        rows = self.join().df if entity is None else qa.rows_of(self.join().df, self.join().entities, entity)
+        for n, v in (conditions or {}).items():
+            rows = rows.where(F.col(n).cast("string") == v)
+        return rows.select(*[F.col(n).cast("string").alias(n) for n in self.network()])
+
+    def ask(self, kind: str, target: str, settings: dict[str, str], conditions: dict[str, str] | None = None, entity: str | None = None, draws: int = 200, ess: float = 5.0) -> qa.Answer:
+        """Ask the model, and keep question and answer.
+
+        entity: interventions and counterfactuals are then about the rows in which it stands, and about those of them that
+        meet the conditions. What is conditioned on holds for the population, so that with an entity is a ValueError, and
+        so are conditions that no row meets.
+        """
         as_settings = lambda d: tuple(qa.Setting(n, v, entity) for n, v in sorted((d or {}).items()))
         q = qa.Query(kind, self.curated().id, target, as_settings(settings), as_settings(conditions), entity)
-        network, tables = self.network(), self.fit()
+        network = self.network()
         q.check(network)
+        if kind == "condition" and entity is not None:
+            raise ValueError("a condition is about the population; its entity has no part in it")
+        tables, level = self.fit(ess), target
         if kind == "counterfactual":
-            rows = self.join().df if entity is None else qa.rows_of(self.join().df, self.join().entities, entity)
-            rows = rows.select(*[F.col(n).cast("string").alias(n) for n in network])
-            same = Window.partitionBy(*network).orderBy(*network)  # equal rows are told apart by number, so draws don't depend on partitions
-            rows = rows.withColumn("id", F.xxhash64(*network, F.row_number().over(same)))
-            got, level, backend = cf_answer(counterfactual(rows, tables, network, settings, draws), target), "level", "gumbel-max-abduction"
+            rows = self._rows(entity, conditions)
+            if rows.isEmpty():
+                raise ValueError("no rows to ask about")
+            worlds = counterfactual(numbered(rows, list(network)), tables, network, settings, draws, targets=[target])
+            got, level, backend = cf_answer(worlds, target), "level", "gumbel-max-abduction"
+        elif kind == "intervene" and entity is not None:
+            got, backend = inference.intervene_rows(self._rows(entity, conditions), tables, network, target, settings), "truncated-factorisation-of-rows"
         elif kind == "intervene":
-            got, level, backend = inference.intervene(tables, network, target, settings, conditions), target, "truncated-factorisation"
+            got, backend = inference.intervene(tables, network, target, settings, conditions), "truncated-factorisation"
         else:
             evidence = {**settings, **(conditions or {})}
             backend = "mechanism" if inference.mechanism_applies(network, target, evidence) else "elimination"
-            got, level = inference.condition(tables, network, target, evidence), target
-        a = qa.Answer(q.id, {r[level]: r.p for r in got.collect()}, backend, draws if kind == "counterfactual" else 0)
+            got = inference.condition(tables, network, target, evidence)
+        found = {r[level]: r.p for r in got.collect()}
+        a = qa.Answer(q.id, found, backend, draws if kind == "counterfactual" else 0, reaches=kind == "condition" or q.reaches_target(network))
         self.queries.append(q)
         self.answers.append(a)
         return a

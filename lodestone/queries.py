@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import local_name, natural_key, normal, short_hash, slug, uniform
@@ -13,6 +13,7 @@ from lodestone.operators import cpt, discovery, encode, inference, ledger, profi
 from lodestone.plans.flat_join import FlatJoin, flat_join
 from lodestone.plans.schema import PropertyNode, infer_properties, mapped_schema
 from lodestone.sources.mapped import TABLES, MappedSource, table
+from lodestone.storage import materialise
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -458,6 +459,129 @@ def lingam_structure(spark: SparkSession, d: str) -> DataFrame:
     return _found(spark, discovery.lingam(_dependent(spark, d), list("abcd")), list("abcd"), "LiNGAM")
 
 
+def _likely(u: Column, mean: Column) -> Column:
+    """A Poisson count of the mean at the uniform u: how many of its first 40 cumulative probabilities lie below."""
+    start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.lit(0).alias("k"))
+    step = lambda a, i: F.struct((a["p"] * mean / i).alias("p"), (a["c"] + a["p"] * mean / i).alias("c"), (a["k"] + (a["c"] < u).cast("int")).alias("k"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(40)), start, step)["k"]
+
+
+def _counted(spark: SparkSession, d: str) -> DataFrame:
+    """Columns of each line whose causes are known: flags f, g (by f) and h (against g); counts k, l (by k) and m (by l). All are hashes of the line's key."""
+    key = F.col("l_orderkey"), F.col("l_linenumber")
+    flag = lambda seed, log_odds: (uniform(seed, *key) < 1 / (1 + F.exp(-log_odds))).cast("double")
+    written = lambda df: materialise(df, "counted")  # noqa: E731  else the counts of one column would be drawn anew inside each step of the next
+    rows = written(table(spark, d, "lineitem").select(*key, (uniform(31, *key) < 0.5).cast("double").alias("f"), _likely(uniform(37, *key), F.lit(1.0)).cast("double").alias("k")))
+    rows = written(rows.withColumn("g", flag(33, 3 * F.col("f"))).withColumn("mean", F.exp(0.5 * F.col("k"))))
+    rows = written(rows.withColumn("l", _likely(uniform(39, *key), F.col("mean")).cast("double"))).withColumn("mean", F.exp(-0.6 * F.col("l")))
+    return written(rows).withColumn("h", flag(35, -3 * F.col("g"))).withColumn("m", _likely(uniform(41, *key), F.col("mean")).cast("double"))
+
+
+@query(_truth_sql([("f", "g"), ("g", "h")]))
+def notears_logistic_structure(spark: SparkSession, d: str) -> DataFrame:
+    """Edges among 0/1 columns, by the logistic loss."""
+    return _found(spark, discovery.notears(_counted(spark, d), list("fgh"), loss="logistic", lam=0.01, threshold=0.5), list("fgh"), "NOTEARS")
+
+
+@query(_truth_sql([("k", "l"), ("l", "m")]))
+def notears_poisson_structure(spark: SparkSession, d: str) -> DataFrame:
+    """Edges among counts, by the Poisson loss."""
+    return _found(spark, discovery.notears(_counted(spark, d), list("klm"), loss="poisson", lam=0.01, threshold=0.3), list("klm"), "NOTEARS")
+
+
+_BIG = "CASE WHEN l_extendedprice > 40000 THEN 1.0 ELSE 0.0 END"
+
+
+@query(f"SELECT l_returnflag AS level, {_BIG} AS big, round(count(*) / sum(count(*)) OVER (PARTITION BY {_BIG}), 4) AS p FROM lineitem GROUP BY 1, 2")
+def softmax_mechanism(spark: SparkSession, d: str) -> DataFrame:
+    """A category with one numeric parent of two values: the softmax regression is the table of shares."""
+    from lodestone.operators import mixed_model
+
+    rows = table(spark, d, "lineitem").select("l_returnflag", F.expr(_BIG).cast("double").alias("big"))
+    model = mixed_model.fit(rows, {"big": [], "l_returnflag": ["big"]}, {"big": "number", "l_returnflag": "category"})
+    levels = model.levels["l_returnflag"]
+    two = mixed_model.probabilities(spark.createDataFrame([(0.0,), (1.0,)], "big double"), model, "l_returnflag")
+    each = F.explode(F.array(*[F.struct(F.lit(x).alias("level"), F.round(f"p_{x}", 4).alias("p")) for x in levels]))
+    return two.select("big", each.alias("e")).select("e.level", "big", "e.p")
+
+
+@query("SELECT l_returnflag AS again, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL")
+def abduction_returns_what_was(spark: SparkSession, d: str) -> DataFrame:
+    """A flag by quantity, price and status: the noise drawn given each line's flag leads to that flag again."""
+    from lodestone.operators import mixed_model
+
+    rows = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", F.xxhash64("l_orderkey", "l_linenumber").alias("id"))
+    network = {"l_quantity": [], "l_linestatus": [], "l_extendedprice": ["l_quantity"], "l_returnflag": ["l_quantity", "l_extendedprice", "l_linestatus"]}
+    kinds = {"l_quantity": "number", "l_extendedprice": "number", "l_linestatus": "category", "l_returnflag": "category"}
+    model = mixed_model.fit(rows, network, kinds, penalty=1e-3)
+    return mixed_model.abducted_levels(rows, model, "l_returnflag", ["id"]).groupBy("again", "l_returnflag").agg(F.count("*").alias("n"))
+
+
+_BAND = "CASE WHEN l_quantity <= 10 OR l_quantity > 40 THEN 'low' WHEN l_quantity <= 20 THEN 'top' ELSE 'medium' END"
+
+
+@query(f"SELECT {_BAND.replace('l_quantity', '(51 - l_quantity)')} AS band, count(*) AS n, TRUE AS trees_explain_more FROM lineitem GROUP BY 1")
+def ordered_mechanism(spark: SparkSession, d: str) -> DataFrame:
+    """An ordered level that rises and falls in steps of quantity: what it would be had each line the quantity 51 less its own, decoded."""
+    from lodestone.operators import mixed_model
+
+    rows = table(spark, d, "lineitem").select("l_quantity", F.expr(_BAND).alias("band"), F.xxhash64("l_orderkey", "l_linenumber").alias("id"))
+    network, kinds = {"l_quantity": [], "band": ["l_quantity"]}, {"l_quantity": "number", "band": "ordered"}
+    model = mixed_model.fit(rows, network, kinds)
+    line = mixed_model.fit(model.encoded(rows), network, {"l_quantity": "number", "band": "number"})
+    moved = model.mechanisms["band"].with_mean(rows, lambda n: 51 - F.col(n), "code")
+    out = model.decoded(moved, {"code": "band"}).groupBy(F.col("code").alias("band")).agg(F.count("*").alias("n"))
+    return out.withColumn("trees_explain_more", F.lit(model.mechanisms["band"].explained > line.mechanisms["band"].explained + 0.2))
+
+
+_ASKED = [(1, 10.0, "A"), (2, 25.5, "N"), (3, 49.9, "R"), (4, 500.0, "A")]
+
+
+@query(f"""WITH q AS (SELECT * FROM (VALUES {", ".join(map(str, _ASKED))}) v(question, quantity, flag)), m AS (SELECT question, l_extendedprice AS y, exp(-0.5 * ((l_quantity - quantity) / 1.5) ** 2) AS w FROM lineitem JOIN q ON l_returnflag = flag AND abs(l_quantity - quantity) <= 9)
+SELECT question, round(sum(w * y) / sum(w), 6) AS mean, round(sum(w) ** 2 / sum(w * w), 6) AS ess FROM m GROUP BY 1""")
+def kernel_condition(spark: SparkSession, d: str) -> DataFrame:
+    """The price of lines near a quantity, by a kernel, and of a flag: for several questions by one join of ranges."""
+    from lodestone.operators.ladder import kernel_means
+
+    rows = table(spark, d, "lineitem").select(F.col("l_quantity").alias("quantity"), F.col("l_returnflag").alias("flag"), "l_extendedprice")
+    asked = spark.createDataFrame(_ASKED, "question int, quantity double, flag string")
+    return kernel_means(rows, asked, "l_extendedprice", {"quantity": 1.5}, ("flag",)).select("question", F.round("mean", 6).alias("mean"), F.round("ess", 6).alias("ess"))
+
+
+@query("SELECT round(regr_slope(l_extendedprice, l_quantity) * 20 + regr_intercept(l_extendedprice, l_quantity), 4) AS mean, 'mechanism' AS backend FROM lineitem")
+def mechanism_answer(spark: SparkSession, d: str) -> DataFrame:
+    """The price given the quantity, which its own mechanism answers: the regression's value and the mean of its noise."""
+    from lodestone.operators import ladder, mixed_model
+
+    rows = table(spark, d, "lineitem").select("l_quantity", "l_extendedprice")
+    model = mixed_model.fit(rows, {"l_quantity": [], "l_extendedprice": ["l_quantity"]}, {"l_quantity": "number", "l_extendedprice": "number"})
+    found = ladder.condition(spark, model, "l_extendedprice", {"l_quantity": 20})["l_extendedprice"]
+    return spark.createDataFrame([(round(found.mean, 4), found.backend)], "mean double, backend string")
+
+
+_SESSION_SQL = """WITH t AS (SELECT l_linestatus, o_orderpriority, o_orderstatus, o_orderkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey), s AS (SELECT DISTINCT o_orderstatus FROM t),
+q AS (SELECT 5.0 / (count(DISTINCT l_linestatus) * count(DISTINCT o_orderpriority)) AS each, count(DISTINCT o_orderstatus) AS r FROM t),
+n AS (SELECT o_orderpriority, count(*) AS n FROM t WHERE l_linestatus = 'F' GROUP BY 1), c AS (SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM t WHERE l_linestatus = 'F' GROUP BY ALL),
+own AS (SELECT o_orderpriority, count(*) / sum(count(*)) OVER () AS w FROM t WHERE o_orderkey = (SELECT min(o_orderkey) FROM t) GROUP BY 1)
+SELECT s.o_orderstatus AS level, round(sum(w * (coalesce(c.n, 0) + each / r) / (coalesce(n.n, 0) + each)), 9) AS p, 'truncated-factorisation-of-rows' AS backend
+FROM own CROSS JOIN s CROSS JOIN q LEFT JOIN n USING (o_orderpriority) LEFT JOIN c ON c.o_orderpriority = own.o_orderpriority AND c.o_orderstatus = s.o_orderstatus GROUP BY 1"""
+
+
+@query(_SESSION_SQL)
+def session_entity_intervention(spark: SparkSession, d: str) -> DataFrame:
+    """A session asked what the status of the first order's lines would be, had they been filled."""
+    from lodestone.project import Project
+
+    source = MappedSource(spark, d, {c: TABLES[c] for c in ("Lineitem", "Order")})
+    p = Project(mapped_schema(source), source)
+    wanted = {"Lineitem__l_linestatus", "Order__o_orderpriority", "Order__o_orderstatus"}
+    p.exclude(*[n.name for n in p.schema.nodes() if n.kind == "data" and n.name not in wanted])
+    p.select([("Lineitem__l_linestatus", "Order__o_orderstatus"), ("Order__o_orderpriority", "Order__o_orderstatus")])
+    first = p.join().df.agg(F.min("Order__o_orderkey").cast("string")).first()[0]
+    a = p.ask("intervene", "Order__o_orderstatus", {"Lineitem__l_linestatus": "F"}, entity=first)
+    return spark.createDataFrame([(k, round(v, 9), a.backend) for k, v in a.distribution.items()], "level string, p double, backend string")
+
+
 _ONTOLOGY = """<http://t.example/v#Nation> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <http://www.w3.org/2002/07/owl#Class> .
 <http://t.example/v#Region> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <http://www.w3.org/2000/01/rdf-schema#Class> .
 <http://t.example/v#Region> <http://www.w3.org/2000/01/rdf-schema#label> "Gr\\u00F6\\u00DFe Region" .
@@ -472,7 +596,6 @@ _ONTOLOGY = """<http://t.example/v#Nation> <http://www.w3.org/1999/02/22-rdf-syn
 def _rdf(spark: SparkSession, d: str) -> DataFrame:
     """Nations and regions as N-Triples with an ontology that declares all but n_name, read back as triples of local names; parsed once, as schema and join both read them."""
     from lodestone.sources import ntriples
-    from lodestone.storage import materialise
 
     v, fact = "http://t.example/v#", "s string, p string, o string, o_kind string"
     iri = lambda kind, key: F.concat(F.lit(f"http://t.example/{kind}/"), F.col(key).cast("string"))
@@ -652,7 +775,7 @@ def gumbel_counterfactual(spark: SparkSession, d: str) -> DataFrame:
 
     lines = table(spark, d, "lineitem").where("l_linestatus = 'O'").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     rows = lines.select(*_NETWORK, F.xxhash64("l_orderkey", "l_linenumber").alias("id"))
-    return answer(counterfactual(rows, _tables(spark, d), _NETWORK, {"l_linestatus": "F"}, draws=50), "o_orderstatus")
+    return answer(counterfactual(rows, _tables(spark, d), _NETWORK, {"l_linestatus": "F"}, draws=50, targets=["o_orderstatus"]), "o_orderstatus")
 
 
 @query("""WITH l AS (SELECT 'n_regionkey' AS p, 'Region/' || n_regionkey AS o, 'in region' AS p_label, r_name AS o_label FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey = 3) SELECT * FROM l""")
@@ -710,7 +833,6 @@ def clinic_flat_join(spark: SparkSession, d: str) -> DataFrame:
     from lodestone.plans.schema import inferred_schema
     from lodestone.sources.ntriples import TripleSource
     from lodestone.sources.simulate import as_triples, clinic
-    from lodestone.storage import materialise
 
     triples = materialise(as_triples(clinic(spark)), "clinic")
     schema = inferred_schema(triples)

@@ -52,8 +52,8 @@ def save_project(project, folder: str) -> None:
 
 
 def load_project(spark: SparkSession, folder: str, schema, source):
-    """A session with the stored curation, runs and queries over a source given again; ValueError for another version."""
-    from lodestone.operators.answers import load_queries
+    """A session with the stored curation, runs, queries and answers over a source given again; ValueError for another version."""
+    from lodestone.operators.answers import load_answers, load_queries
     from lodestone.operators.causal_graph import load
     from lodestone.project import Project
 
@@ -69,4 +69,5 @@ def load_project(spark: SparkSession, folder: str, schema, source):
         p.runs = [load(triples, r.graph) for r in graphs_in(triples).orderBy("graph").collect()]
     p.manual, p.selected = {tuple(e) for e in state["manual"]}, [tuple(e) for e in state["selected"]]
     p.queries = load_queries(spark.read.parquet(f"{folder}/queries"))
+    p.answers = load_answers(spark.read.parquet(f"{folder}/answers"))
     return p
