@@ -27,6 +27,7 @@ class FlatJoin:
     columns: list[str]
     skipped: list[PropertyNode] = field(default_factory=list)
     residual: list[PropertyNode] = field(default_factory=list)
+    warnings: list[str] = field(default_factory=list)
 
     def multiplicity(self) -> DataFrame:
         """(entity, multiplicity): rows for each distinct entity; 0 without rows."""
@@ -59,9 +60,39 @@ def role_can_be_variable(schema: Schema, joined: list[PropertyNode], node: Prope
     return len(components(active, others)) <= len(components(active, [*others, node]))
 
 
-def flat_join(schema: Schema, source, retained: list[PropertyNode], joined: list[PropertyNode] | None = None, optional: bool = False, limit: int | None = None, show_keys: bool = True) -> FlatJoin:
-    """retained: data nodes to show, and object nodes to show as a column (the related entity's name). joined: object
-    nodes that join; by default all whose two classes take part. limit bounds the rows and allows unlinked groups."""
+#: Where an object property's column shows the related entity's class, as the property that says it; else one of its properties.
+CLASS = "rdf:type"
+
+
+def value_only_classes(schema: Schema) -> set[str]:
+    """Classes that have no data property: joined, they add no column; their entities are values."""
+    return schema.classes - {d for pairs in schema.data.values() for d, _ in pairs}
+
+
+def value_variables(schema: Schema) -> list[PropertyNode]:
+    """Object properties whose range is a value-only class, in order of their names, but for those without whose join classes with data would fall into more groups."""
+    values, nodes = value_only_classes(schema), schema.nodes()
+    links = [n for n in nodes if n.kind == "object" and n.domain != n.range]
+    classes = {c for n in nodes for c in ((n.domain, n.range) if n.kind == "object" else (n.domain,))}
+    groups = lambda rest: sum(1 for g in components(classes, rest) if g - values)
+    found: list[PropertyNode] = []
+    for n in sorted((n for n in nodes if n.kind == "object" and n.range in values), key=lambda n: n.name):
+        rest = [x for x in links if x not in found]
+        if groups([x for x in rest if x != n]) <= groups(rest):
+            found.append(n)
+    return found
+
+
+def flat_join(schema: Schema, source, retained: list[PropertyNode], joined: list[PropertyNode] | None = None, optional: bool = False, limit: int | None = None, show_keys: bool = True, values: dict[str, str] | None = None) -> FlatJoin:
+    """retained: data nodes to show, and object nodes to show as a column. joined: object nodes that join; by default all
+    whose two classes take part. limit bounds the rows and allows unlinked groups.
+
+    values: what the columns of object nodes show, by their names, where it isn't the related entity's name: CLASS for the
+    classes of the schema that it has, else the values of that property of it. Classes and properties are looked up
+    beside the join: the range takes no part by that, and none of its other properties restrict rows. An entity with
+    several gives several rows, one with none no row (a null if optional). A property that the range does not have is
+    replaced by its class, with a warning.
+    """
     active = {n.domain for n in retained} | {c for n in joined or () for c in (n.domain, n.range)}
     if joined is None:
         joined = [n for n in schema.nodes() if n.kind == "object" and n not in retained and {n.domain, n.range} <= active]
@@ -105,9 +136,19 @@ def flat_join(schema: Schema, source, retained: list[PropertyNode], joined: list
     df = reduce(lambda a, b: a.crossJoin(b), [j.limit(limit) for j in joins] if len(joins) > 1 else joins)
     entities = [c for cls in sorted(active) for c in key(cls)]
     columns = [n.name for n in sorted(retained) if n.kind == "data"]
-    named = [source.iri(n.range, (n.name,)).alias(n.name) if n.kind == "object" else F.col(n.name) for n in sorted(retained)]
+    warnings: list[str] = []
+    for n in shown:
+        wanted = (values or {}).get(n.name)
+        if wanted:
+            if wanted != CLASS and n.range not in {d for d, _ in schema.data.get(wanted, ())}:
+                warnings.append(f"{n.name}: {n.range} has no property {wanted}; its class stands instead")
+                wanted = CLASS
+            found = source.values(n.range, None if wanted == CLASS else wanted, sorted(schema.classes)).toDF("_entity", "_value")
+            df = df.join(found, df[n.name] == F.col("_entity"), "left" if optional else "inner").withColumn(n.name, F.col("_value")).drop("_entity", "_value")
+    plain = {n for n in shown if not (values or {}).get(n.name)}
+    named = [source.iri(n.range, (n.name,)).alias(n.name) if n in plain else F.col(n.name) for n in sorted(retained)]
     out = df.select(*([F.col(e) for e in entities if e not in {n.name for n in retained}] if show_keys else []), *named)
-    return FlatJoin(out if limit is None else out.limit(limit), entities, columns, skipped, residual)
+    return FlatJoin(out if limit is None else out.limit(limit), entities, columns, skipped, residual, warnings)
 
 
 def component_joins(schema: Schema, source, retained: list[PropertyNode], joined: list[PropertyNode] | None = None, optional: bool = False) -> list[FlatJoin]:

@@ -16,7 +16,7 @@ from lodestone.operators.counterfactual import counterfactual, numbered
 from lodestone.operators.mixed_scores import MixedScores
 from lodestone.operators.profile import numeric_columns
 from lodestone.plans.constraint import Constraint, constraint
-from lodestone.plans.flat_join import FlatJoin, flat_join
+from lodestone.plans.flat_join import FlatJoin, flat_join, value_variables
 from lodestone.plans.schema import PropertyNode, Schema, unique_names
 from lodestone.storage import materialise
 
@@ -32,6 +32,7 @@ class Project:
     optional: bool = False
     excluded: set[str] = field(default_factory=set)
     roles: dict[str, str] = field(default_factory=dict)  # object property: join, variable or drop
+    values: dict[str, str] = field(default_factory=dict)  # object node that is a variable: CLASS or the property of its range that stands for it
     runs: list[CausalGraph] = field(default_factory=list)
     manual: set[tuple[str, str]] = field(default_factory=set)
     selected: list[tuple[str, str]] = field(default_factory=list)
@@ -60,6 +61,13 @@ class Project:
         self.roles[prop] = role
         self._dropped("join")
 
+    def seed_roles(self) -> list[str]:
+        """Make variables of the object properties that point at values modelled as classes, where that splits no join; returns their nodes' names."""
+        found = value_variables(self.schema)
+        for n in found:
+            self.set_role(n.prop, "variable")
+        return [n.name for n in found]
+
     def _dropped(self, since: str) -> None:
         """Forget what depends on the join, the runs or the selection."""
         if since == "join":
@@ -75,8 +83,8 @@ class Project:
             kept = self.nodes()
             classes = {n.domain for n in kept}
             joined = [n for n in self.schema.nodes() if n.kind == "object" and self.roles.get(n.prop, "join") == "join" and {n.domain, n.range} <= classes]
-            made = flat_join(self.schema, self.source, kept, joined, optional=self.optional)
-            self._join = FlatJoin(materialise(made.df, "flat"), made.entities, made.columns, made.skipped, made.residual)
+            made = flat_join(self.schema, self.source, kept, joined, optional=self.optional, values=self.values)
+            self._join = FlatJoin(materialise(made.df, "flat"), made.entities, made.columns, made.skipped, made.residual, made.warnings)
         return self._join
 
     def constraint(self) -> Constraint:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 import numpy as np
@@ -12,8 +13,8 @@ from lodestone.functions.text import local_name, natural_key, normal, short_hash
 from lodestone.operators import cpt, discovery, encode, inference, ledger, profile, weighted
 from lodestone.plans.flat_join import FlatJoin, flat_join
 from lodestone.plans.schema import PropertyNode, infer_properties, mapped_schema
-from lodestone.sources.mapped import TABLES, MappedSource, table
-from lodestone.storage import materialise
+from lodestone.sources.mapped import TABLES, ClassMap, MappedSource, table
+from lodestone.storage import materialise, shared_dir
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -77,9 +78,47 @@ def flat_join_object_variable(spark: SparkSession, d: str) -> DataFrame:
     return _renamed(flat_join(schema, source, nodes, []).df)
 
 
-@query("SELECT doc_id, lang, n_chars, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)")
+_SCORED = "(SELECT doc_id, lang, source, quality, toxic FROM documents LEFT JOIN labels USING (doc_id))"
+
+
+def _scored(spark: SparkSession, d: str, optional: bool) -> DataFrame:
+    """Documents with the labels that some have, as one class; the flat join of it."""
+    folder = f"{shared_dir(spark)}/scored-{uuid.uuid4().hex}"
+    table(spark, d, "documents").select("doc_id", "lang", "source").join(table(spark, d, "labels"), "doc_id", "left").write.parquet(f"{folder}/scored.parquet")
+    source = MappedSource(spark, folder, {"Document": ClassMap("scored", ("doc_id",), ("lang", "source", "quality", "toxic"))})
+    schema = mapped_schema(source)
+    return _renamed(flat_join(schema, source, schema.nodes(), optional=optional).df)
+
+
+@query(f"SELECT * FROM {_SCORED}")
 def flat_join_optional(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "lang", "n_chars").join(table(spark, d, "labels"), "doc_id", "left")
+    """Optional properties: an entity without one keeps its row."""
+    return _scored(spark, d, True)
+
+
+@query(f"SELECT * FROM {_SCORED} WHERE lang IS NOT NULL AND source IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL")
+def flat_join_required(spark: SparkSession, d: str) -> DataFrame:
+    """The same where each must be there."""
+    return _scored(spark, d, False)
+
+
+def _valued(spark: SparkSession, d: str, value: str) -> FlatJoin:
+    source = MappedSource(spark, d, {c: TABLES[c] for c in ("Customer", "Nation")})
+    schema = mapped_schema(source)
+    return flat_join(schema, source, [n for n in schema.nodes() if n.prop in ("c_mktsegment", "c_nationkey")], [], values={"Customer__c_nationkey": value})
+
+
+@query("SELECT c_custkey, c_mktsegment, n_name AS c_nationkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_name IS NOT NULL AND c_acctbal IS NOT NULL AND c_mktsegment IS NOT NULL")
+def flat_join_key_property(spark: SparkSession, d: str) -> DataFrame:
+    """A related entity shown by a property of its own, without joining its class."""
+    return _renamed(_valued(spark, d, "n_name").df)
+
+
+@query("SELECT c_mktsegment, 'Nation' AS c_nationkey, 1 AS warnings, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def flat_join_range_class(spark: SparkSession, d: str) -> DataFrame:
+    """A property that the range does not have falls back to the range's class, with a warning."""
+    j = _valued(spark, d, "n_population")
+    return _renamed(j.df).groupBy("c_mktsegment", "c_nationkey").agg(F.count("*").alias("n")).withColumn("warnings", F.lit(len(j.warnings)))
 
 
 @query("SELECT 100 AS n")
@@ -323,26 +362,35 @@ def pearson(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(a, b, round(float(r[i, j]), 6)) for i, a in enumerate(_G) for j, b in enumerate(_G) if i < j], "a string, b string, r double")
 
 
-_RUNS = [(0, "GES", "x", "y"), (0, "GES", "y", "z"), (1, "PC", "x", "y"), (1, "PC", "z", "y"), (2, "NOTEARS", "x", "y"), (2, "NOTEARS", "x", "z")]
+#: What methods find among the known columns, run by run; the columns of a run are those of its edges.
+_RUNS = [(0, "GES", "a", "c"), (0, "GES", "b", "c"), (0, "GES", "c", "d"), (1, "LiNGAM", "a", "c"), (1, "LiNGAM", "c", "d"), (2, "NOTEARS", "b", "c"), (2, "NOTEARS", "c", "d"), (3, "GES", "a", "d"), (3, "GES", "b", "d")]
 _RUN_SQL = "(VALUES " + ", ".join(map(str, _RUNS)) + ") e(run, method, src, dst)"
-_TRUTH = [("x", "y"), ("y", "z")]
 
 
-def _runs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_RUNS, "run int, method string, src string, dst string")
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    """Edges that methods find in four tables of the columns; the last hides c, so a and b cause d there."""
+    rows = materialise(_dependent(spark, d).select(*"abcd"), "known")
+    bcd, acd = list("bcd"), list("acd")
+    found = [
+        (0, "GES", list("abcd"), discovery.ges(discovery.GaussScores(rows, list("abcd")), list("abcd"))),
+        (1, "LiNGAM", acd, discovery.lingam(rows, acd)),
+        (2, "NOTEARS", bcd, discovery.notears(rows, bcd, scale=False)),
+        (3, "GES", list("abd"), discovery.ges(discovery.GaussScores(rows, list("abd")), list("abd"))),
+    ]
+    return reduce(DataFrame.unionByName, [discovery.edges(spark, a, columns, m).select(F.lit(k).alias("run"), F.lit(m).alias("method"), "src", "dst") for k, m, columns, a in found])
 
 
 @query(f"""WITH e AS (SELECT src, dst, count(DISTINCT run) AS freq, array_to_string(list_sort(list(DISTINCT method)), ',') AS methods FROM {_RUN_SQL} GROUP BY 1, 2)
 SELECT a.src, a.dst, a.freq, a.methods, a.freq + coalesce(b.freq, 0) AS adjacency_freq, b.freq IS NOT NULL AS conflict FROM e a LEFT JOIN e b ON a.src = b.dst AND a.dst = b.src""")
 def edge_ledger(spark: SparkSession, d: str) -> DataFrame:
-    return ledger.ledger(_runs(spark)).withColumn("methods", F.array_join("methods", ","))
+    return ledger.ledger(_runs(spark, d)).withColumn("methods", F.array_join("methods", ","))
 
 
-@query(f"""WITH f AS (SELECT DISTINCT src, dst FROM {_RUN_SQL}), t AS (SELECT * FROM (VALUES ('x', 'y'), ('y', 'z')) t(src, dst)),
+@query(f"""WITH f AS (SELECT DISTINCT src, dst FROM {_RUN_SQL}), t AS (SELECT * FROM (VALUES ('a', 'c'), ('b', 'c'), ('c', 'd')) t(src, dst)),
 c AS (SELECT count(*) FILTER (f.src IS NOT NULL AND t.src IS NOT NULL) AS tp, count(*) FILTER (t.src IS NULL) AS fp, count(*) FILTER (f.src IS NULL) AS fn FROM f FULL JOIN t ON f.src = t.src AND f.dst = t.dst)
 SELECT tp, fp, fn, fp + fn AS shd, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall FROM c""")
 def graph_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return ledger.metrics(_runs(spark), spark.createDataFrame(_TRUTH, "src string, dst string")).select("tp", "fp", "fn", "shd", "precision", "recall")
+    return ledger.metrics(_runs(spark, d), spark.createDataFrame(_NUMERIC_TRUTH, "src string, dst string")).select("tp", "fp", "fn", "shd", "precision", "recall")
 
 
 @query("""SELECT * FROM (VALUES ('c_name', 'data', 'Customer', 'xsd:string'), ('c_acctbal', 'data', 'Customer', 'xsd:string'), ('c_mktsegment', 'data', 'Customer', 'xsd:string'), ('c_nationkey', 'object', 'Customer', 'Nation'), ('n_name', 'data', 'Nation', 'xsd:string'), ('n_regionkey', 'object', 'Nation', 'Region'), ('r_name', 'data', 'Region', 'xsd:string')) t(p, kind, domain, range)
@@ -788,11 +836,32 @@ def one_hop_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return one_hop(source.triples("Nation").unionByName(labels).unionByName(names), "Nation/3")
 
 
-@query("SELECT 'shared' AS kind, 'Region/' || a.n_regionkey AS via, 'n_regionkey' AS p, 'n_regionkey' AS q FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey WHERE a.n_nationkey = 1 AND b.n_nationkey = 2")
+_PAIR = "(SELECT n_regionkey, min(n_nationkey) AS a, max(n_nationkey) AS b FROM nation GROUP BY 1 HAVING count(*) > 1 ORDER BY 1 LIMIT 1)"
+
+
+@query(f"SELECT 'shared' AS kind, 'Region/' || n_regionkey AS via, 'n_regionkey' AS p, 'n_regionkey' AS q FROM {_PAIR}")
 def relational_path(spark: SparkSession, d: str) -> DataFrame:
+    """How the first and the last nation of the first region with several are linked."""
     from lodestone.operators.neighbourhood import relational_path as path
 
-    return path(MappedSource(spark, d).triples("Nation"), "Nation/1", "Nation/2")
+    first = table(spark, d, "nation").groupBy("n_regionkey").agg(F.min("n_nationkey").alias("a"), F.max("n_nationkey").alias("b"), F.count("*").alias("n")).where("n > 1").orderBy("n_regionkey").first()
+    return path(MappedSource(spark, d).triples("Nation"), f"Nation/{first.a}", f"Nation/{first.b}")
+
+
+@query("SELECT o_custkey AS head, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS place, o_orderkey AS item FROM orders WHERE o_custkey IS NOT NULL")
+def list_items(spark: SparkSession, d: str) -> DataFrame:
+    """Each customer's orders as a chain of cells, first and rest, read back in order."""
+    from pyspark.sql import Window
+
+    from lodestone.sources.lists import list_items as items
+
+    orders, in_order = table(spark, d, "orders").where("o_custkey IS NOT NULL"), Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    cell = lambda k: F.concat(F.lit("_:"), F.col("o_custkey"), F.lit("-"), k)
+    k = F.row_number().over(in_order)
+    cells = orders.select("o_orderkey", cell(k).alias("s"), F.when(F.lead("o_orderkey").over(in_order).isNotNull(), cell(k + 1)).otherwise("rdf:nil").alias("next"))
+    facts = F.explode(F.array(F.struct(F.lit("rdf:first").alias("p"), F.col("o_orderkey").cast("string").alias("o")), F.struct(F.lit("rdf:rest").alias("p"), F.col("next").alias("o"))))
+    found = items(cells.select("s", facts.alias("t")).select("s", "t.*"))
+    return found.select(F.regexp_extract("head", "_:(.*)-", 1).cast("long").alias("head"), "place", F.col("item").cast("long").alias("item"))
 
 
 @query("SELECT l_orderkey, arg_max(l_returnflag, l_linenumber * 1000 + ascii(l_returnflag)) AS l_returnflag FROM lineitem GROUP BY 1")

@@ -52,6 +52,11 @@ class MappedSource:
         wanted = list(dict.fromkeys([*m.key, *data, *objects]))
         return table(self.spark, self.folder, m.table).select(*[F.col(c).alias(f"{cls}__{c}") for c in wanted])
 
+    def values(self, cls: str, prop: str | None, classes: list[str]) -> DataFrame:
+        """The key of each entity and its value of a property, or its class; nulls are left out."""
+        m = self.classes[cls]
+        return table(self.spark, self.folder, m.table).select(F.col(m.key[0]).alias("entity"), (F.lit(cls) if prop is None else F.col(prop)).alias("value")).dropna()
+
     def triples(self, cls: str) -> DataFrame:
         """The class as (s, p, o, o_kind): a type triple, and one for each property that is not null, from one scan."""
         m = self.classes[cls]

@@ -111,6 +111,11 @@ class TripleSource:
     def iri(self, cls: str, columns: tuple[str, ...]) -> Column:
         return F.col(columns[0])
 
+    def values(self, cls: str, prop: str | None, classes: list[str]) -> DataFrame:
+        """Entity and value of a property, or the classes of the schema that it has; repeated facts count once."""
+        fits = is_type(F.col("p")) & F.col("o").isin(classes) if prop is None else F.col("p") == prop
+        return self.triples.where(fits).select(F.col("s").alias("entity"), F.col("o").alias("value")).distinct()
+
     def frame(self, cls: str, data: list[str], objects: list[str]) -> DataFrame:
         """A row for each entity and combination of its values: one pass gathers the distinct values of each property beside whether the entity is of the class, then they are exploded; absent ones are null."""
         wanted = list(dict.fromkeys([*data, *objects]))
