@@ -7,7 +7,9 @@
    neighbours in a suffix array of the host; here they are a group of a shuffle by these tokens, so no task gets a host.
    A group of suffixes from distinct pages is a substring of RUN or more tokens that repeats, and covers its tokens.
 3. Repetition and structure decide together. Only what stands outside content and named zones counts as a repeat, as
-   articles share passages with each other. A page with neither zone keeps the unique runs of its open blocks. A named
+   articles share passages with each other, and only on VOTES or more distinct pages, so that a page and its print version
+   keep their text. A page with neither zone keeps the unique runs of its open blocks; where next to nothing is unique, it
+   is a copy of other pages, not made of boilerplate, and keeps them all. A named
    zone is only a guess, so its blocks go that are boilerplate elsewhere: whose every token is covered by runs that stand
    outside the zones on VOTES or more pages of the host, and whose beginning begins named blocks on fewer pages than
    that. An article or main element is kept whole: adverts and footers quote lines of articles too, so repetition there
@@ -20,6 +22,7 @@ different ones agree with a probability below 10^-15.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from html import unescape
 
@@ -34,6 +37,8 @@ from lodestone.llm.words import mix
 
 #: Tokens of the shortest repeated substring, and pages on which a run must stand outside the zones to outvote a named one.
 RUN, VOTES = 8, 3
+#: A page without zones of which so small a part or less is unique is a copy of others.
+COPY = 1 / 16
 #: Zones of blocks.
 CONTENT, NAMED, OPEN, CHROME = 3, 2, 1, 0
 #: Kinds of marked suffixes: outside content, on a page with a content zone or an open page; at the beginning of a named block.
@@ -48,6 +53,9 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 _CHROME_TAGS = frozenset("nav footer aside form button select dialog menu head".split())
 _CHROME_NAMES = frozenset("nav navbar navigation menu footer sidebar aside ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal newsletter subscribe subscription comment comments disqus share sharing social related recommended breadcrumb breadcrumbs pagination pager widget login signup toolbar masthead complementary contentinfo search dialog alert".split())
+# Of these, names that components of articles have as well; inside articles they say nothing.
+_COMPONENT_NAMES = frozenset("navigation menu aside banner notices popup modal widget toolbar search dialog alert social related complementary login".split())
+_TEXT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd td th caption figcaption blockquote pre".split())
 _COMMENT_NAMES = frozenset("comment comments disqus".split())
 _STATE_NAMES = frozenset("has no with without is format hide".split())
 _CONTENT_NAMES = frozenset("article content main post entry story body articlebody".split())
@@ -78,7 +86,12 @@ def _tokens(html: str):
 
 
 def _marks(tag: str, attributes: str, inside: bool) -> tuple[int, int]:
-    """How an element is chrome (0 not, 1 by its names, 2 by its tag, as comments or as hidden), and its rank as a content element (0 none, 1 by its name, 2 main, 3 article). Names don't make an article or main element chrome, unless of comments, nor an inline one."""
+    """How an element is chrome (0 not, 1 by its names, 2 by its tag, as comments or as hidden), and its rank as a content element (0 none, 1 by its name, 2 main, 3 article).
+
+    Names don't make an article or main element chrome, unless of comments, nor an inline one. Ids name elements outside
+    articles only, as those inside are made from headings' texts, and never headings, paragraphs and their like; but an
+    element whose whole id is that of comments holds comments. Names that components of articles have don't count inside.
+    """
     rank = {"article": 3, "main": 2}.get(tag, 0)
     chrome = 2 if tag in _CHROME_TAGS or (tag == "header" and not inside) else 0
     if attributes and tag not in ("body", "html"):
@@ -86,10 +99,12 @@ def _marks(tag: str, attributes: str, inside: bool) -> tuple[int, int]:
             name, value = name.lower(), "".join(values).lower()
             if name in ("class", "id", "role"):
                 words = {w for token in value.split() if not _STATE_NAMES & set(parts := re.split(r"[_-]+", token)) for w in parts}
+                if name == "id" and (inside or tag in _TEXT_TAGS):
+                    words = {value} & _COMMENT_NAMES
                 if tag not in _INLINE:
                     if words & _COMMENT_NAMES and tag != "main":
                         chrome = 2
-                    elif not rank > 1 and (words & _CHROME_NAMES or ("header" in words and not inside and tag != "h1")):
+                    elif not rank > 1 and (words & _CHROME_NAMES - (_COMPONENT_NAMES if inside else set()) or ("header" in words and not inside and tag != "h1")):
                         chrome = max(chrome, 1)
                 if tag in ("div", "section", "td") and words & _CONTENT_NAMES:
                     rank = max(rank, 1)
@@ -100,6 +115,27 @@ def _marks(tag: str, attributes: str, inside: bool) -> tuple[int, int]:
     return chrome, rank
 
 
+class _Forms:
+    """Which forms of a page hold its content: those around an article or main element, or around more paragraphs than fields."""
+
+    _MARK = re.compile(r"<(?:(/form)|(article|main)|(p)|(input|select|textarea|button))(?=[\s/>])", re.I)
+
+    def __init__(self, html: str) -> None:
+        self.html = html
+        self.places: list[list[int]] | None = None
+
+    def around_content(self, at: int) -> bool:
+        if self.places is None:
+            self.places = [[], [], [], []]
+            for m in self._MARK.finditer(self.html):
+                self.places[m.lastindex - 1].append(m.start())
+        ends = self.places[0]
+        i = bisect_left(ends, at)
+        end = ends[i] if i < len(ends) else len(self.html)
+        content, paragraphs, fields = (bisect_left(p, end) - bisect_left(p, at) for p in self.places[1:])
+        return bool(content) or (paragraphs >= 3 and paragraphs > fields)
+
+
 def page_blocks(html: str) -> tuple[list[int], list[str]]:
     """Zone and text of each block of a page, in page order; blocks without text are left out.
 
@@ -113,6 +149,7 @@ def page_blocks(html: str) -> tuple[list[int], list[str]]:
     elements: list[tuple[int, int]] = [(0, 0)]  # rank of each content element and the one around it
     around: set[int] = set()  # content elements around one of higher rank
     opened: Counter[str] = Counter()
+    forms = _Forms(html)
 
     def close() -> None:
         if held:
@@ -146,6 +183,8 @@ def page_blocks(html: str) -> tuple[list[int], list[str]]:
                 pop()  # its end tag may be left out
             _, chrome, element = stack[-1]
             own, rank = _marks(tag, m[4], elements[element][0] >= 2)
+            if tag == "form" and forms.around_content(m.end()):
+                own = 0
             if own == 1 and elements[element][0]:
                 own = 2
             chrome = max(chrome, own)
@@ -218,7 +257,7 @@ def tiled(html: str, host: str) -> list[tuple[int, np.ndarray]]:
 
 
 def kept_text(html: str, host: str, repeats: set[tuple[int, int]], starts: set[tuple[int, int]]) -> tuple[str, int]:
-    """Text of a page and how many of its tokens repetition removed: of an open page the tokens covered by `repeats`; of one with zones the named blocks that begin with one of `starts` and are covered by `repeats`."""
+    """Text of a page and how many of its tokens repetition removed: of an open page the tokens covered by `repeats` (none of a copy); of one with zones the named blocks that begin with one of `starts` and are covered by `repeats`."""
     zones, texts = page_blocks(html)
     least = NAMED if max(zones, default=OPEN) >= NAMED else OPEN
     if not repeats:
@@ -243,6 +282,9 @@ def kept_text(html: str, host: str, repeats: set[tuple[int, int]], starts: set[t
             edge[i] += 1
             edge[i + RUN] -= 1
     covered, place = np.cumsum(edge) > 0, 0
+    is_open = np.repeat(np.array(zones) == OPEN, [len(b) for b in blocks])
+    if (is_open & ~covered[:-1]).sum() <= COPY * is_open.sum():
+        return " ".join(t for z, t in zip(zones, texts, strict=True) if z == OPEN), 0
     for z, b in zip(zones, blocks, strict=True):
         if z == OPEN:
             unique = [w for w, c in zip(b, covered[place : place + len(b)].tolist(), strict=True) if not c]
@@ -276,15 +318,15 @@ def _meeting(asked: DataFrame, chosen: DataFrame) -> DataFrame:
 def _answers(pages: DataFrame) -> DataFrame:
     """k1, k2, repeats and starts: what kept_text needs to know of each page, without rows for pages that lose nothing."""
     marks = materialise(_suffixes(pages, marked), "suffixes")
-    repeats = materialise(marks.where(F.col("kind") != START).groupBy("r1", "r2").agg(F.count("*").alias("n")).where("n > 1"), "repeats")
+    by_page = marks.where(F.col("kind") != START).groupBy("r1", "r2", "k1", "k2").agg(F.lit(1).alias("one"))  # equal pages count once
+    repeats = materialise(by_page.groupBy("r1", "r2").agg(F.count("*").alias("n")).where(F.col("n") >= VOTES), "repeats")
     asks = _meeting(marks.where(F.col("kind") == ASK), repeats)
-    boilerplate = repeats.where(F.col("n") >= VOTES)
-    begun = materialise(_meeting(marks.where(F.col("kind") == START), boilerplate), "starts")
+    begun = materialise(_meeting(marks.where(F.col("kind") == START).distinct(), repeats), "starts")
     if begun.limit(1).count():
         inside = begun.groupBy("r1", "r2").agg(F.count("*").alias("inside"))
-        outvoted = boilerplate.join(inside, ["r1", "r2"]).where("n > inside")
+        outvoted = repeats.join(inside, ["r1", "r2"]).where("n > inside")
         starts = materialise(_meeting(begun, outvoted), "starts")
-        asks = asks.union(starts).union(_meeting(_suffixes(pages.join(starts.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi"), tiled), boilerplate))
+        asks = asks.union(starts).union(_meeting(_suffixes(pages.join(starts.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi"), tiled), repeats))
     run = F.struct("r1", "r2")
     return materialise(asks.groupBy("k1", "k2").agg(F.collect_set(F.when(F.col("kind") != START, run)).alias("repeats"), F.collect_set(F.when(F.col("kind") == START, run)).alias("starts")), "answers")
 
@@ -292,8 +334,8 @@ def _answers(pages: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame) -> DataFrame:
     """pages without html, with text, n_chars (code points) and n_removed (tokens outside chrome that repetition removed).
 
-    Null and empty html have an empty text; null and malformed urls form a host of their own; equal pages repeat each
-    other only where no content zone protects them; columns named as a result are replaced; an empty table gives no rows.
+    Null and empty html have an empty text; null and malformed urls form a host of their own; equal pages count as one
+    page, so they don't repeat each other; columns named as a result are replaced; an empty table gives no rows.
     """
     keep = named_apart(pages, ["html", "text", "n_chars", "n_removed"])
     row = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(0).alias("_"))

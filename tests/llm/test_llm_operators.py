@@ -81,6 +81,10 @@ def content(html):
         ('<article class="post format-share">a</article>', ["a"]),
         ('<article>Article about <span class="search">search</span> engines</article>', ["Article about search engines"]),
         ('<article class="teaser">t</article><div class="content">body</div>', ["t", "body"]),
+        ('<article><h2 id="search-algorithms">a</h2><h2 id="social-history">b</h2><section id="related-work">c</section><h3 id="comments-on-it">d</h3></article>', ["a", "b", "c", "d"]),
+        ('<article><div class="elementor-widget">a</div><pre class="code-widget">b</pre><div class="dialog">c</div><div class="ad-slot">no</div><div id=comments>no</div></article>', ["a", "b", "c"]),
+        ('<form id="aspnetForm"><input type=hidden><nav>n</nav><main>a<p>b</p></main></form>', ["a", "b"]),
+        ("<main>a<form><p>name <input></p><p>mail <input></p><p><button>send</button></p></form></main>", ["a"]),
         ("<div class=sidebar><article>a</article></div>", ["a"]),
         ("<div class=sidebar><article>other</article></div><main>m<article>a</article></main>", ["a"]),
         ("<article>a<svg/>b<svg>x</svg>c</article>", ["abc"]),
@@ -112,6 +116,7 @@ def brute_texts(rows, run=html_text.RUN, votes=html_text.VOTES):
         parts.append((i, re.search("://([^/?#]*)|$", url or "")[1] or "", zones, [t.split() for t in texts]))
     outside, begins = collections.defaultdict(set), collections.defaultdict(set)
     for n, (_, host, zones, blocks) in enumerate(parts):
+        n = next(k for k, p in enumerate(parts) if (p[1], rows[k][2]) == (host, rows[n][2]))  # equal pages are one
         stream = [w if z < html_text.NAMED else None for z, b in zip(zones, blocks, strict=True) for w in b]
         for k in range(len(stream) - run + 1):
             if None not in stream[k : k + run]:
@@ -123,9 +128,11 @@ def brute_texts(rows, run=html_text.RUN, votes=html_text.VOTES):
     for i, host, zones, blocks in parts:
         has, kept, place = max(zones, default=0) >= html_text.NAMED, [], 0
         stream = [w for b in blocks for w in b]
+        covered = {k + j for k in range(len(stream) - run + 1) if len(outside[host, tuple(stream[k : k + run])]) >= votes for j in range(run)}
+        at = [j for j, z in enumerate(z for z, b in zip(zones, blocks, strict=True) for _ in b) if z == html_text.OPEN]
+        copy = len(set(at) - covered) <= html_text.COPY * len(at)
         for z, b in zip(zones, blocks, strict=True):
-            source, least = (b, votes) if has else (stream, 2)
-            hit = {k + j for k in range(len(source) - run + 1) if len(outside[host, tuple(source[k : k + run])]) >= least for j in range(run)}
+            hit = {k + j for k in range(len(b) - run + 1) if len(outside[host, tuple(b[k : k + run])]) >= votes for j in range(run)} if has else set() if copy else covered
             if z == html_text.CONTENT:
                 kept += b
             elif z == html_text.NAMED:
@@ -176,6 +183,14 @@ def test_html_open_pages_lose_what_their_host_repeats(spark):
     assert html_text.main_text(pages.limit(0)).count() == 0
 
 
+def test_html_copies_of_a_page_keep_their_text(spark):
+    """Equal pages, print versions of one or two other urls, and a page that stands in the table many times."""
+    body = " ".join(f"word{i}" for i in range(60))
+    rows = [(i, "http://h.example/a", f"<div>{body}</div>") for i in range(5)] + [(10, "http://h.example/print", f"<p>{body}</p><div>Print this</div>"), (11, "http://h.example/amp", f"<b>{body}</b>")]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == dict.fromkeys(range(5), body) | {10: f"{body} Print this", 11: body}
+
+
 def test_html_notice_in_a_named_zone_goes_if_other_pages_have_it_outside(spark):
     notice, passage = "we use small files to remember what you read here", "a passage of more than eight words that articles of this host share"
     rows = [(i, f"http://h.example/{i}", f"<div class=notice>{notice}</div><article><p>own{i}</p><p>{passage}</p></article>") for i in range(4)] + [(8, "http://h.example/8", f"<article><p>own8</p><p>{notice}</p></article>")] + [(9, "http://h.example/9", f"<div class=post><p>own9</p><p>{notice}</p><p>{passage}</p></div>")]
