@@ -1,7 +1,9 @@
 """Language identification by interpolated Kneser-Ney character models, one for each language.
 
-Texts become runs of lower-cased letters (with their combining marks) and single spaces between. Letters of all planes
-that the training texts hold are numbered; the others are one letter that no model has seen. A model of order 4 is stored
+Texts become runs of lower-cased letters (with their combining marks) and single spaces between, behind ORDER - 1 begin
+marks, so that every character from the first on is scored. Letters of all planes that the training texts hold are
+numbered, the most frequent ones with one code each and those beyond DIRECT with two, as UTF-16 does; the others are one
+letter that no model has seen. A model of order 4 is stored
 as sorted arrays of n-gram keys, with a probability for each language. A text gets the language of lowest cross-entropy
 for each character; it is rejected if that lies beyond what labelled texts show that the models were not fitted on, by a
 margin which is wider for short texts.
@@ -32,8 +34,8 @@ DEVIATIONS, MARGIN, SHORT_DEVIATIONS, WIDEST, NORMAL = 8.0, 1.0, 14.0, 2.5, 1.48
 SHARPNESS = 0.25
 UNKNOWN = "und"
 _SPACE = 32
-#: Letters that are numbered; beyond, the rarest of the training texts are as unknown ones.
-MOST_LETTERS = 65_000
+#: Letters that have a code of their own; the others have one of the FIRST codes and one of the SECOND, 2^10 of each at least, and one code is for unknown letters.
+DIRECT, FIRST, SECOND, UNSEEN = 60_000, 60_001, 62_000, 65_535
 
 
 @lru_cache(1)
@@ -54,19 +56,19 @@ def _code_points(texts: pa.Array) -> list[np.ndarray]:
 
 
 def numbering(code_points: np.ndarray) -> np.ndarray:
-    """Number of each code point: 0 of a space, then those given (the most important first; at most MOST_LETTERS), then one for all others."""
-    known = code_points[code_points != _SPACE][:MOST_LETTERS]
-    number = np.full(0x110000, len(known) + 1, np.uint16)
+    """Number of each code point: 0 of a space, then those given (the most frequent first) from 1 on, and -1 of all others."""
+    known = code_points[code_points != _SPACE]
+    number = np.full(0x110000, -1, np.int32)
     number[known], number[_SPACE] = np.arange(1, len(known) + 1), 0
     return number
 
 
 def letters(texts: pa.Array, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers of all texts' characters, each text between two spaces, runs of spaces as one; the text of each; and how many letters each text has."""
+    """Codes of all texts' characters, each text between two spaces, runs of spaces as one; the text of each; and how many letters each text has."""
     folded, letter = _folded()
     parts = _code_points(texts)
     sizes = np.array([len(p) + 2 for p in parts], np.int64)
-    codes = np.zeros(sizes.sum(), np.uint16)
+    codes = np.zeros(sizes.sum(), np.int32)
     begin = np.cumsum(sizes) - sizes
     table = number[folded]
     for b, p in zip(begin, parts, strict=True):
@@ -74,17 +76,24 @@ def letters(texts: pa.Array, number: np.ndarray) -> tuple[np.ndarray, np.ndarray
     text = np.repeat(np.arange(len(parts)), sizes)
     keep = np.ones(len(codes), bool)
     keep[1:] = (codes[1:] != 0) | (codes[:-1] != 0) | (text[1:] != text[:-1])
-    return codes[keep], text[keep], np.array([letter[p].sum() for p in parts], np.int64)
+    codes, text = codes[keep], text[keep]
+    if (codes > DIRECT).any():
+        more = codes > DIRECT
+        pairs = np.where(more, FIRST + (codes - DIRECT - 1) // 1024, codes)
+        at = np.repeat(np.arange(len(codes)), 1 + more)
+        second = np.r_[False, at[1:] == at[:-1]]
+        codes, text = np.where(second, SECOND + (codes[at] - DIRECT - 1) % 1024, pairs[at]), text[at]
+    return np.where(codes < 0, UNSEEN, codes).astype(np.uint16), text, np.array([letter[p].sum() for p in parts], np.int64)
 
 
 def grams(codes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Key of the ORDER codes up to each, and its text; those that reach back to another text are left out."""
+    """Key of the ORDER codes up to each but a text's first, its space, and its text; before a text stand begin marks, which are spaces too."""
     c = codes.astype(np.uint64)
-    key = np.zeros(max(0, len(c) - ORDER + 1), np.uint64)
-    for j in range(ORDER):
-        key = (key << np.uint64(16)) | c[j : len(c) - ORDER + 1 + j]
-    inside = text[ORDER - 1 :] == text[: len(text) - ORDER + 1]
-    return key[inside], text[ORDER - 1 :][inside]
+    key = c.copy()
+    for j in range(1, ORDER):
+        key[j:] |= np.where(text[j:] == text[:-j], c[:-j], np.uint64(0)) << np.uint64(16 * j)
+    inside = np.r_[False, text[1:] == text[:-1]] if len(text) else np.zeros(0, bool)
+    return key[inside], text[inside]
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -205,7 +214,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     for name in languages:
         own = np.flatnonzero(lang == name)
         own = own[np.argsort(key[own])]
-        parts.append(KneserNey(key[own], n[own], int(number.max()) + 1))
+        parts.append(KneserNey(key[own], n[own], min(int(number.max()) + 2, 1 << 16)))
     keys = np.unique(key)
     size = len(languages)
     model = Model(languages, number, parts, keys, np.stack([p.log_probability(keys) for p in parts], axis=1), np.full(size, np.inf), np.zeros(size), np.zeros(size))

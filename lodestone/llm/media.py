@@ -36,9 +36,11 @@ ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES, TRIES = 64 << 20, 16 << 20, 4 << 20, 3
 #: Read partitions, beyond which their ranges grow (one archive each at most).
 MOST_RANGES = 100_000
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"  # fixed value of the format
-_INDEX = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("crc32", pa.int64())])
+#: Types of ids: whole numbers as they are, all others as texts.
+IDS = {"long": pa.int64(), "string": pa.string()}
+_INDEX = pa.schema([("n_bytes", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("crc32", pa.int64())])
 MANIFEST = ".manifest.json"
-MEMBER = "doc_id long, n_bytes long, media binary"
+MEMBER = "n_bytes long, media binary"
 
 
 def _chunk(kind: bytes, body: bytes) -> bytes:
@@ -108,13 +110,14 @@ class ArchiveWriter(DataSourceArrowWriter):
         files.create_dir(root, recursive=True)
         done: list[tuple[str, int]] = []
         out, name, at, index = None, "", 0, []
+        schema = _INDEX
 
         def close() -> None:
             if out is None:
                 return
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, _INDEX) as stream:
-                stream.write_batch(pa.RecordBatch.from_pylist(index, _INDEX))
+            with pa.ipc.new_stream(sink, schema) as stream:
+                stream.write_batch(pa.RecordBatch.from_pylist(index, schema))
             tail = sink.getvalue().to_pybytes()
             out.write(tail + len(tail).to_bytes(8, "big"))
             out.close()
@@ -122,6 +125,7 @@ class ArchiveWriter(DataSourceArrowWriter):
 
         for batch in iterator:
             columns = {n.lower(): batch.column(i) for i, n in enumerate(batch.schema.names)}
+            schema = pa.schema([("doc_id", columns["doc_id"].type), *_INDEX])
             for doc_id, n_bytes, media in zip(columns["doc_id"].to_pylist(), columns["n_bytes"].to_pylist(), columns["media"], strict=True):
                 if out is None or at >= ARCHIVE_BYTES:
                     close()
@@ -151,8 +155,8 @@ class ArchiveWriter(DataSourceArrowWriter):
 
 
 class ArchiveReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, ids: str = "long"):
+        self.path, self.ids = path, ids
 
     def partitions(self) -> list[ByteRange]:
         files, root = _open(self.path)
@@ -179,7 +183,7 @@ class ArchiveReader(DataSourceReader):
         raise problem
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
+        schema = pa.schema([("doc_id", IDS[self.ids]), ("n_bytes", pa.int64()), ("media", pa.binary())])
         if not partition.archive:
             return
         files, root = _open(self.path)
@@ -206,31 +210,39 @@ class ArchiveReader(DataSourceReader):
 
 
 class MediaArchive(DataSource):
-    """spark.read.format("media_archive").load(folder); df.write.format("media_archive").mode("append").save(folder)."""
+    """spark.read.format("media_archive").load(folder); df.write.format("media_archive").mode("append").save(folder).
+
+    The option `id` says of what type the members' ids are: long (the default) or string.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "media_archive"
 
     def schema(self) -> str:
-        return MEMBER
+        return f"doc_id {self.options.get('id', 'long')}, {MEMBER}"
 
     def reader(self, schema: T.StructType) -> ArchiveReader:
-        return ArchiveReader(self.options["path"])
+        return ArchiveReader(self.options["path"], self.options.get("id", "long"))
 
     def writer(self, schema: T.StructType, overwrite: bool) -> ArchiveWriter:
         return ArchiveWriter(self.options["path"], overwrite)
 
 
+def id_type(docs: DataFrame) -> str:
+    """How archives hold the ids of docs."""
+    return "long" if isinstance(docs.schema["doc_id"].dataType, T.IntegralType) else "string"
+
+
 def store(docs: DataFrame, folder: str) -> None:
-    """Write the texts of docs as members of archives in a new folder. A null text is an empty one."""
+    """Write the texts of docs as members of archives in a new folder. A null text is an empty one; ids that are no whole numbers are kept as texts."""
     docs.sparkSession.dataSource.register(MediaArchive)
 
     def encode(texts: pa.Array, _: pa.RecordBatch) -> list:
         raw = texts.to_pylist()
         return [[len(t) for t in raw], pa.array([to_png(payload_of(t)) for t in raw], pa.binary())]
 
-    members = map_texts(docs.select("doc_id", "text"), encode, "n_bytes long, media binary", keep_text=False).select("doc_id", "n_bytes", "media")
+    members = map_texts(docs.select(F.col("doc_id").cast(id_type(docs)).alias("doc_id"), "text"), encode, "n_bytes long, media binary", keep_text=False).select("doc_id", "n_bytes", "media")
     members.write.format("media_archive").mode("append").save(folder)
 
 
@@ -260,20 +272,21 @@ def features(members: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    types = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    types = [IDS[id_type(members)], pa.int64(), pa.int64()] + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    return members.mapInArrow(measure, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return members.mapInArrow(measure, f"doc_id {id_type(members)}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def media_round_trip(docs: DataFrame) -> DataFrame:
     """Store all texts in the shared folder and measure what is read back.
 
-    Null and empty texts are one frame of 255; a null doc_id stays null; repeated rows are members each; other columns
+    Null and empty texts are one frame of 255; a doc_id has its type and a null one stays null; repeated rows are members each; other columns
     are not stored; an empty table gives no rows.
     """
     folder = f"{shared_dir(docs.sparkSession)}/media-{uuid.uuid4().hex}"
     store(docs, folder)
-    return features(docs.sparkSession.read.format("media_archive").load(folder))
+    read = docs.sparkSession.read.format("media_archive").option("id", id_type(docs)).load(folder)
+    return features(read).withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm.common import held_out, map_texts, materialise, named_apart
 from lodestone.llm.words import words
@@ -179,5 +180,6 @@ def op9_quality_classifier(spark, sf_dir: str) -> DataFrame:
             x = np.array(batch.column(1).flatten()).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(x, model))], names=["doc_id", "score"])
 
-    scored = measured.mapInArrow(judge, "doc_id long, score double")
+    shape = T.StructType([measured.schema["doc_id"], T.StructField("score", T.DoubleType())])
+    scored = measured.mapInArrow(judge, shape)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -560,6 +560,68 @@ def test_kneser_ney_sums_to_one():
         assert np.isclose(np.exp(model.log_probability((context << np.uint64(16)) | codes)).sum(), 1.0)
 
 
+class PlainKneserNey:
+    """The same model from dictionaries of strings, with begin marks, letter by letter."""
+
+    def __init__(self, texts, alphabet):
+        order, self.alphabet = language_id.ORDER, alphabet
+        grams = collections.Counter(g for t in texts for g in self.grams(t))
+        self.levels = {}
+        for n in range(order, 0, -1):
+            ones, twos = (sum(1 for c in grams.values() if c == k) for k in (1, 2))
+            total, kinds = collections.Counter(), collections.Counter()
+            for g, c in grams.items():
+                total[g[:-1]] += c
+                kinds[g[:-1]] += 1
+            self.levels[n] = (grams, total, kinds, ones / (ones + 2 * twos) if ones and twos else 0.5)
+            grams = collections.Counter(g[1:] for g in grams)
+
+    @staticmethod
+    def plain(text):
+        return " ".join("".join(c.lower() if c.isalpha() else " " for c in text).split())
+
+    def grams(self, text):
+        t = " " * (language_id.ORDER - 1) + (f"{self.plain(text)} " if self.plain(text) else "")
+        return [t[i : i + language_id.ORDER] for i in range(len(t) - language_id.ORDER + 1)]
+
+    def probability(self, gram):
+        p = 1 / self.alphabet
+        for n in range(1, language_id.ORDER + 1):
+            counts, total, kinds, discount = self.levels[n]
+            g = gram[-n:]
+            if total[g[:-1]]:
+                p = max(counts[g] - discount, 0) / total[g[:-1]] * (counts[g] > 0) + discount * kinds[g[:-1]] / total[g[:-1]] * p
+        return p
+
+    def cross_entropy(self, text):
+        grams = self.grams(text)
+        return -sum(np.log(self.probability(g)) for g in grams) / len(grams)
+
+
+def test_language_models_match_dictionaries(spark, documents):
+    """Cross-entropies of whole texts and of texts of one to three letters, for every language; each letter counts."""
+    few = documents.where("lang IS NOT NULL AND length(text) BETWEEN 1 AND 2000").select("doc_id", "text", "lang")
+    model = language_id.train(few, sample=12)
+    share = {r.lang: min(language_id.MOST_FITTED, 12 / r.n) for r in few.where(~language_id.held_out()).groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = few.where(~language_id.held_out()).withColumn("h", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000))).collect()
+    asked = ["a", "zz", "ein", "the", *[r.text for r in rows[:6]], "  \u6f22 a "]
+    got, _, n = model.cross_entropy(binary(asked))
+    for i, lang in enumerate(model.languages):
+        plain = PlainKneserNey([r.text for r in rows if r.lang == lang and r.h < share[lang] * 1_000_000], model.parts[i].alphabet)
+        assert np.allclose(got[:, i], [plain.cross_entropy(t) for t in asked])
+    assert n[:3].tolist() == [2, 3, 4]
+    assert len(set(got[0].tolist())) == len(model.languages)
+
+
+def test_letters_beyond_those_with_a_code_of_their_own(monkeypatch):
+    monkeypatch.setattr(language_id, "DIRECT", 3)
+    number = language_id.numbering(np.array([ord(c) for c in "abcdef"] + [0x1F600]))
+    codes, text, n = language_id.letters(binary(["abd", "dé", "e" * 3, ""]), number)
+    first, second = language_id.FIRST, language_id.SECOND
+    assert codes[text == 0].tolist() == [0, 1, 2, first, second, 0] and codes[text == 1].tolist() == [0, first, second, language_id.UNSEEN, 0]
+    assert codes[text == 2].tolist() == [0, *[first, second + 1] * 3, 0] and n.tolist() == [3, 2, 3, 0]
+
+
 # 8 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -575,6 +637,23 @@ def test_media_round_trip(spark, documents, odd, empty):
     assert media.media_round_trip(empty).count() == 0
 
 
+def test_media_of_ids_that_are_no_whole_numbers(spark):
+    docs = spark.createDataFrame([("a-1", "one", 1), (None, "two", 2), ("", None, 3), ("a-1", "one", 4)], "doc_id string, text string, MEDIA int")
+    got = media.media_round_trip(docs)
+    assert got.schema["doc_id"].dataType.simpleString() == "string"
+    assert sorted(((r.doc_id, r.n_bytes) for r in got.collect()), key=str) == [("", 0), ("a-1", 3), ("a-1", 3), (None, 3)]
+    dated = docs.selectExpr("DATE'2024-01-02' AS doc_id", "text")
+    assert media.media_round_trip(dated).select("doc_id").distinct().collect()[0].doc_id.isoformat() == "2024-01-02"
+
+
+def test_quality_of_ids_that_are_no_whole_numbers(spark, tmp_path):
+    docs = spark.createDataFrame([(f"d{i}", "word " * (i + 1), f"s{i}") for i in range(40)], "doc_id string, text string, Score string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(f"d{i}", int(i > 20)) for i in range(40)], "doc_id string, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = llm_queries.QUERIES["op9_quality_classifier"](spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == {f"d{i}" for i in range(40)} and all(0 <= r.score <= 1 for r in got)
+
+
 def test_media_ranges_and_archives(spark, documents, monkeypatch, tmp_path):
     media.store(documents, f"file://{tmp_path}/a")
     reader = media.ArchiveReader(f"file://{tmp_path}/a")
