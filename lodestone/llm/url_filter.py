@@ -36,21 +36,23 @@ class Rule:
 RULES = (Rule("block", "com", "/en/"), Rule("allow", "example.com", "/en/7"), Rule("allow", "net", "/de/"), Rule("block", "example.net", "/de/8"), Rule("block", "org", "/es/"))
 
 #: Words of the labelled table, made by hand for this filter. A host with a word of BAD is to be blocked; words of BOTH stand in hosts of either kind.
-BAD = "casino poker slots roulette bets betting wager jackpot lottery gambling porn xxx sex adult escort nude cams hookup viagra cialis pills pharma warez crack keygen torrent pirated nulled phish malware trojan exploit botnet spam scam hoax ads adserver adclick popads banners tracker tracking clickbait doorway linkfarm replica counterfeit payday".split()
+BAD = "casino poker slots roulette bets betting wager jackpot lottery gambling porn xxx sex adult escort nude cams hookup viagra cialis pills pharma warez crack keygen torrent pirated nulled phish malware trojan exploit botnet spam scam hoax ads adserver adclick popads banners tracker tracking clickbait doorway linkfarm replica counterfeit payday slut milf hentai erotic fetish swinger hardcore blackjack baccarat bingo sportsbook betsafe levitra tramadol xanax steroids tabletten rezeptfrei potenzmittel".split()
 BOTH = "win free cheap best farm track online live top hot fast easy bonus deals x24 1 pro club zone world store shop video chat games link links login home web now big".split()
-GOOD = "news times herald city museum library school college garden kitchen travel weather science history music theatre health clinic sports cycling football forest river mountain bakery coffee books gazette council bank archive physics biology maths poetry cinema radio bridge harbour valley family children nature recipes hotel flights railway airport market village doctor lawyer design studio photo camera software data cloud maps wiki forum question answer parish church festival orchestra dance hiking sailing chess essex adulthood badminton pilsner lottie".split()
+GOOD = "news times herald city museum library school college garden kitchen travel weather science history music theatre health clinic sports cycling football forest river mountain bakery coffee books gazette council bank archive physics biology maths poetry cinema radio bridge harbour valley family children nature recipes hotel flights railway airport market village doctor lawyer design studio photo camera software data cloud maps wiki forum question answer parish church festival orchestra dance hiking sailing chess essex adulthood badminton pilsner lottie pillsbury sussex middlesex sextant scampi camshaft crackers cocktail peacock betterment alphabet winchester winnipeg downloads roads broadsheet gadsden trackside sluice milfoil pharmacy".split()
+#: Paths of pages of good hosts that are about what bad ones offer.
+TOPIC_PATHS = ("/wiki/{w}", "/questions/{n}/{w}-id", "/library/{w}.html", "/2021/05/{n}/{w}.html", "/article/about-{w}", "/tag/{w}", "/dictionary/{w}")
 #: What stands around the words, alike for both kinds of host.
 SUBDOMAINS, SUFFIXES = ("", "", "www.", "m.", "blog.", "news.", "shop."), ("example.com", "example.net", "example.org", "com", "net", "org", "info", "co.uk", "de")
 PATHS = ("/", "/en/{n}", "/de/{n}.html", "/fr/{n}/", "/es/{n}", "/about", "/index.html", "/blog/post/{n}", "/{n}", "/news/2021/{n}", "/category/{w}/{n}", "/{w}")
-BAD_PATHS = ("/{w}/{n}", "/en/{w}-{v}", "/{w}/{v}.html", "/out/{w}?id={n}", "/go/{v}-{w}")
+BAD_PATHS = ("/out/{w}?id={n}", "/go/{v}-{w}", "/click/{w}/{n}", "/aff/{w}-{v}", "/redirect/{v}-{w}", "/{w}-{w}-{v}/{w}")
 #: Parts of invented names, as most hosts have.
 ONSETS, CODAS = "b br c ch d f fl g gr h j k l m n p pl r s sh st t th tr v w wh z".split(), ("", "", "n", "nd", "ng", "r", "s", "st", "t", "th", "l", "m")
 #: URLs to be blocked in the table, how many times as many are not, and every how many-th is held out of training.
 LABELLED, MORE_GOOD, HELD_OUT = 1500, 4, 5
 
 
-def labelled_rows(n: int = LABELLED) -> list[tuple[str, float, bool]]:
-    """url, label (1 is to be blocked) and whether it is held out, made from the words by a fixed rule: three of four blocked URLs have a bad host with any path, the others a good host with a bad path."""
+def labelled_rows(n: int = LABELLED, bad_words: list[str] = BAD) -> list[tuple[str, float, bool]]:
+    """url, label (1 is to be blocked) and whether it is held out, made from the words by a fixed rule: three of four blocked URLs have a bad host with any path, the others a good host with a path that leads away to bad ones. One of four others is about a bad word, in its path."""
 
     def pick(values, *key):
         return values[crc32(repr(key).encode()) % len(values)]
@@ -59,8 +61,8 @@ def labelled_rows(n: int = LABELLED) -> list[tuple[str, float, bool]]:
         return "".join(pick(ONSETS, i, k) + pick("aeiou", i, k, "v") + pick(CODAS, i, k, "c") for k in range(1 + i % 3))
 
     def name(i, label, bad):
-        first = pick(BAD, i, "first") if bad else invented(i) if i % 3 else pick(GOOD, i, "first")
-        second = invented(i + 1) if i % 5 == 0 else pick(BOTH, i, label, "second") if i % 2 else pick(BAD if bad and i % 4 == 0 else GOOD, i, label, "second")
+        first = pick(bad_words, i, "first") if bad else invented(i) if i % 3 else pick(GOOD, i, "first")
+        second = invented(i + 1) if i % 5 == 0 else pick(BOTH, i, label, "second") if i % 2 else pick(bad_words if bad and i % 4 == 0 else GOOD, i, label, "second")
         return pick(("{0}-{1}", "{1}-{0}", "{0}{1}", "{0}", "{0}"), i, label, "shape").format(first, second)
 
     rows = []
@@ -68,8 +70,9 @@ def labelled_rows(n: int = LABELLED) -> list[tuple[str, float, bool]]:
         for i in range(total):
             bad_host = label == 1 and i % 4 > 0
             host = f"{pick(SUBDOMAINS, i, label, 'sub')}{name(i, label, bad_host)}.{pick(SUFFIXES, i, label, 'suffix')}"
-            words = BAD if label and not bad_host else GOOD
-            path = pick(BAD_PATHS if words is BAD else PATHS, i, label, "path").format(n=crc32(repr((i, label)).encode()) % 9000, w=pick(words, i, label, "w"), v=pick(BOTH, i, label, "v"))
+            about = label == 0 and i % 4 == 1
+            words = bad_words if about or (label and not bad_host) else GOOD
+            path = pick(TOPIC_PATHS if about else BAD_PATHS if words is bad_words else PATHS, i, label, "path").format(n=crc32(repr((i, label)).encode()) % 9000, w=pick(words, i, label, "w"), v=pick(BOTH, i, label, "v"))
             rows.append((f"https://{host}{path}", float(label), i % HELD_OUT == 0))
     return rows
 
@@ -88,7 +91,7 @@ def with_host_and_path(pages: DataFrame) -> DataFrame:
 
 
 def _first_fit(rules: tuple[Rule, ...], value) -> Column:
-    """value(rule) of the longest rule that fits (of equally long ones the first), else null. The list is short: it becomes one expression."""
+    """value(rule) of the longest rule that fits (of equally long ones the last), else null. The list is short: it becomes one expression."""
     out = F.lit(None).cast("string")
     for rule in sorted(rules, key=lambda r: len(r.text)):
         host = (F.col("host") == rule.host) | F.col("host").endswith(f".{rule.host}")

@@ -780,6 +780,23 @@ def test_url_model_on_held_out_urls(spark, url_model):
     assert not {re.split("[/?#]", r.url.split("://")[1])[0] for r in hosts} & {u.split("/")[2] for u, _, _ in url_filter.labelled_rows()}
 
 
+def test_url_model_on_held_out_words(spark):
+    """Words, not rows, held out: what it then knows of a bad host is its path and what it shares with other words."""
+    held = [w for w in url_filter.BAD if zlib.crc32(w.encode()) % 5 == 0]
+    shape = "url string, label double, held_out boolean"
+    model = url_filter.train(spark.createDataFrame(url_filter.labelled_rows(bad_words=[w for w in url_filter.BAD if w not in held]), shape).coalesce(1))
+    got = url_filter.judge_urls(spark.createDataFrame(url_filter.labelled_rows(bad_words=held), shape), (), model).toPandas()
+    bad, blocked = got.label == 1, got.verdict == "block"
+    assert (bad & blocked).sum() / bad.sum() > 0.15 and (~bad & blocked).sum() / (~bad).sum() < 0.01
+
+
+def test_url_pages_about_bad_things_are_not_bad(spark, url_model):
+    good = ["www.pillsbury.co.uk/", "stackoverflow.com/questions/123/tracking-id", "en.wikipedia.org/wiki/Gambling", "docs.python.org/3/library/torrent.html", "www.nytimes.com/2021/05/03/technology/spam.html", "www.essex.ac.uk/courses", "github.com/apache/spark", "www.bbc.co.uk/news/health-123", "www.scunthorpe.gov.uk/", "www.winchester.ac.uk/"]
+    bad = ["kaufen-tabletten.de/", "best-casino-bonus.info/en/1", "cheap-viagra.net/buy", "torrent-keygen.org/", "payday-loans-24.com/"]
+    got = {r.url: r.verdict for r in url_filter.judge_urls(spark.createDataFrame([(f"https://{u}",) for u in good + bad], "url string"), (), url_model).collect()}
+    assert [got[f"https://{u}"] for u in good + bad] == ["allow"] * len(good) + ["block"] * len(bad)
+
+
 def test_url_model_is_the_least_of_its_loss(spark, url_model):
     """Hashed n-grams counted anew; the loss is convex, so its least point is where the gradient is zero."""
     rows = url_filter.labelled_urls(spark).where("NOT held_out")
