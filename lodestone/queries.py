@@ -630,6 +630,33 @@ def session_entity_intervention(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(k, round(v, 9), a.backend) for k, v in a.distribution.items()], "level string, p double, backend string")
 
 
+@query("SELECT 'true' AS graph, 0 AS violations, 3 AS claims, 24 AS judged, round(2 / 24, 6) AS p, FALSE AS falsified UNION ALL SELECT 'other', 3, 3, 24, 1.0, TRUE WHERE (SELECT count(*) FROM lineitem) > 0")
+def falsification_by_exchange(spark: SparkSession, d: str) -> DataFrame:
+    """The graph that made the columns, and one of its shape with other nodes, against all exchanges of their nodes: two of 24 are the graph itself."""
+    from lodestone.operators.falsify import falsify
+
+    rows = materialise(_dependent(spark, d).select(*"abcd"), "known")
+    graphs = {"true": {"a": [], "b": [], "c": ["a", "b"], "d": ["c"]}, "other": {"c": [], "d": [], "a": ["c", "d"], "b": ["a"]}}
+    found = [(k, falsify(rows, g, alpha=0.1, level=1e-4)) for k, g in graphs.items()]
+    return spark.createDataFrame([(k, v.violations, v.claims, v.judged, round(v.p, 6), v.falsified) for k, v in found], "graph string, violations int, claims int, judged int, p double, falsified boolean")
+
+
+_WORLDS = "(SELECT DISTINCT CASE WHEN o_orderpriority LIKE '1%' THEN 'Customer/' || o_custkey END AS entity, CASE WHEN o_orderpriority NOT LIKE '1%' THEN o_orderpriority END AS seen, o_orderstatus AS act FROM orders)"
+
+
+@query(f"SELECT 'CounterfactualQuery' AS kind, count(*) AS n FROM {_WORLDS} UNION ALL SELECT 'CounterfactualEstimate', count(*) FROM {_WORLDS} UNION ALL SELECT 'Act', count(*) FROM (SELECT DISTINCT entity, act FROM {_WORLDS})")
+def worlds_as_triples(spark: SparkSession, d: str) -> DataFrame:
+    """Worlds of the customers of urgent orders, and of hypothetical units that have the other priorities, in two runs that overlap: how many resources of each kind."""
+    from lodestone.operators.causal_graph import VOCABULARY
+    from lodestone.operators.worlds import world_triples
+
+    urgent = F.col("o_orderpriority").startswith("1")
+    entity = F.when(urgent, F.concat(F.lit("Customer/"), F.col("o_custkey").cast("string")))
+    worlds = table(spark, d, "orders").select(entity.alias("entity"), F.lit("m").alias("model"), F.create_map(F.lit("status"), "o_orderstatus").alias("do"), F.create_map(F.lit("priority"), "o_orderpriority").alias("observed"), F.create_map(F.lit("priority"), "o_orderpriority", F.lit("status"), "o_orderstatus").alias("predicted"), F.lit(None).cast("map<string,double>").alias("probability"), F.lit("gumbel-max").alias("coupling"))
+    runs = world_triples(worlds.where("entity IS NOT NULL")).unionByName(world_triples(worlds)).distinct()
+    return runs.where("p = 'rdf:type'").groupBy(F.regexp_replace("o", VOCABULARY, "").alias("kind")).agg(F.count("*").alias("n"))
+
+
 _ONTOLOGY = """<http://t.example/v#Nation> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <http://www.w3.org/2002/07/owl#Class> .
 <http://t.example/v#Region> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <http://www.w3.org/2000/01/rdf-schema#Class> .
 <http://t.example/v#Region> <http://www.w3.org/2000/01/rdf-schema#label> "Gr\\u00F6\\u00DFe Region" .
