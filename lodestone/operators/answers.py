@@ -77,6 +77,23 @@ class Answer:
         return min(self.distribution, key=lambda k: (-self.distribution[k], k)) if self.distribution else None
 
 
+def estimand(q: Query) -> str:
+    """The question in the usual notation: P(y | do(x = 1), z = 2), and with the unit below for a counterfactual."""
+    said = lambda ss: [f"{s.node} = {s.value}" for s in sorted(ss, key=lambda s: s.node)]
+    acts = said(q.settings) if q.kind == "condition" else [f"do({x})" for x in said(q.settings)]
+    given = ", ".join([*acts, *said(q.conditions)])
+    unit = f"; {q.entity}" if q.entity else ""
+    return f"P({q.target}{' | ' + given if given else ''}{unit})"
+
+
+def matching(queries: DataFrame, kind: str | None = None, target: str | None = None, entity: str | None = None, node: str | None = None, value: str | None = None) -> DataFrame:
+    """Stored queries of a kind, target and entity that set or are given a node (with a value)."""
+    for c, v in (("kind", kind), ("target", target), ("entity", entity)):
+        queries = queries if v is None else queries.where(F.col(c) == v)
+    fits = lambda s: (s["node"] == node) if value is None else (s["node"] == node) & (s["value"] == json.dumps(value))
+    return queries if node is None else queries.where(F.exists("settings", fits) | F.exists("conditions", fits))
+
+
 _QUERY = "id string, kind string, model string, target string, entity string, settings array<struct<node:string,value:string,entity:string>>, conditions array<struct<node:string,value:string,entity:string>>"
 _ANSWER = "query string, backend string, n_samples long, ess double, distribution map<string,double>, predicted string, reaches boolean"
 

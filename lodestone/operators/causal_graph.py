@@ -84,6 +84,29 @@ class CausalGraph:
         kept = {(i, j) for i, j in self.edges() if a[i, j]}
         return replace(self, adjacency=a, labels={k: v for k, v in self.labels.items() if k in kept}, manual=self.manual & kept, derived_from=[*self.derived_from, self.id])
 
+    def to_json(self) -> str:
+        """All that is known of the graph, as one JSON text; `from_json` reads it back."""
+        body = {
+            "id": self.id, "nodes": [[n.domain, n.prop, n.range, n.kind] for n in self.nodes], "edges": [[i, j, self.weight(i, j)] for i, j in self.edges()], "weighted": self.weights is not None,
+            "labels": [[i, j, [label_text(p) for p in paths]] for (i, j), paths in sorted(self.labels.items())], "method": self.method, "constrained": self.constrained, "source": self.source,
+            "parameters": self.parameters, "manual": sorted(map(list, self.manual)), "derived_from": self.derived_from, "created_at": self.created_at,
+        }
+        return json.dumps(body, sort_keys=True)
+
+    @classmethod
+    def from_json(cls, text: str) -> CausalGraph:
+        """The graph of such a text; ValueError if its content is not what its id says."""
+        x = json.loads(text)
+        n = len(x["nodes"])
+        a, w = np.zeros((n, n), bool), np.zeros((n, n))
+        for i, j, weight in x["edges"]:
+            a[i, j], w[i, j] = True, weight
+        labels = {(i, j): [parse_label(p) for p in paths] for i, j, paths in x["labels"]}
+        out = cls([PropertyNode(*v) for v in x["nodes"]], a, w if x["weighted"] else None, labels, x["method"], x["constrained"], x["source"], x["parameters"], {tuple(e) for e in x["manual"]}, x["derived_from"], x["created_at"])
+        if out.id != x["id"]:
+            raise ValueError(f"{x['id']}: the graph is another, {out.id}")
+        return out
+
     def edge_frame(self, spark: SparkSession) -> DataFrame:
         names = self.names
         rows = [(self.method, names[i], names[j], self.nodes[i].domain, self.nodes[j].domain, "; ".join(label_text(p) for p in self.labels.get((i, j), [])), self.weight(i, j), (i, j) in self.manual) for i, j in self.edges()]

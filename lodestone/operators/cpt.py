@@ -8,7 +8,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.storage import materialise
+from lodestone.storage import broadcast_if_small, materialise
 
 FLOOR, ESS = 1e-12, 5.0
 
@@ -65,6 +65,23 @@ def log_likelihood(df: DataFrame, network: dict[str, list[str]], ess: float = 0.
     return total.crossJoin(rows).withColumn("bic", F.col("log_likelihood") - 0.5 * F.col("parameters") * F.log(F.greatest("rows", F.lit(2)).cast("double")))
 
 
+def row_log_likelihood(rows: DataFrame, tables: dict[str, DataFrame], network: dict[str, list[str]]) -> DataFrame:
+    """rows with log_likelihood: the sum of the logarithms of each node's probability given its parents in the row.
+
+    Values that a table does not hold count as FLOOR; a row with a null has null. Tables join by their parents and node,
+    broadcast where they are small.
+    """
+    out = rows.withColumn("log_likelihood", F.lit(0.0))
+    for node, parents in network.items():
+        keys = [*parents, node]
+        table = broadcast_if_small(tables[node].select(*[F.col(k).cast("string").alias(f"_k{i}") for i, k in enumerate(keys)], F.col("p").alias("_p")))
+        out = out.join(table, reduce(lambda a, b: a & b, [F.col(k).cast("string") == F.col(f"_k{i}") for i, k in enumerate(keys)]), "left")
+        known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+        fit = F.when(known, F.log(F.greatest(F.coalesce("_p", F.lit(FLOOR)), F.lit(FLOOR))))
+        out = out.withColumn("log_likelihood", F.col("log_likelihood") + fit).drop("_p", *[f"_k{i}" for i in range(len(keys))])
+    return out
+
+
 def bic_score(df: DataFrame, child: str, parents: list[str]) -> DataFrame:
     """score: sum of n ln(n / n of the parents) less ln(rows) / 2 * (child levels - 1) * product of parent levels."""
     seen = counts(df, child, parents)

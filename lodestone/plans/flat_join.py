@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.plans.schema import PropertyNode, Schema
+from lodestone.plans.schema import PropertyNode, Schema, unique_names
 
 
 class DisconnectedJoin(ValueError):
@@ -103,11 +103,16 @@ def flat_join(schema: Schema, source, retained: list[PropertyNode], joined: list
         raise DisconnectedJoin(f"no object property links {' | '.join(', '.join(sorted(g)) for g in groups)}")
     shown = [n for n in retained if n.kind == "object"]
     residual: list[PropertyNode] = []
+    at = unique_names(list({*links, *shown, *retained}))  # a property with several ranges has a column for each
 
     def frame(cls: str) -> DataFrame:
         data = [p for p, pairs in schema.data.items() for d, _ in pairs if d == cls]
         out = source.frame(cls, data, [n.prop for n in [*links, *shown] if n.domain == cls])
-        needed = [n.name for n in [*links, *shown] if n.domain == cls] + ([] if optional else [f"{cls}__{p}" for p in data])
+        for n in {*links, *shown}:
+            if n.domain == cls and at[n] != n.name:  # its values are bound apart from those of the other range
+                own = source.frame(cls, [], [n.prop]).select(*key(cls), F.col(n.name).alias(at[n]))
+                out = out.join(own.dropDuplicates(), key(cls))
+        needed = [at[n] for n in [*links, *shown] if n.domain == cls] + ([] if optional else [f"{cls}__{p}" for p in data])
         return out.dropna(subset=needed) if needed else out
 
     for n in links:
@@ -125,17 +130,17 @@ def flat_join(schema: Schema, source, retained: list[PropertyNode], joined: list
         while len(inside) < len(group):
             n = next(n for n in own if n not in used and len({n.domain, n.range} & inside) == 1)
             new = n.range if n.domain in inside else n.domain
-            df = df.join(frame(new), F.col(n.name) == F.col(key(n.range)[0]))
+            df = df.join(frame(new), F.col(at[n]) == F.col(key(n.range)[0]))
             inside.add(new)
             used.add(n)
         for n in own:
             if n not in used:
-                df = df.where(F.col(n.name) == F.col(key(n.range)[0]))
+                df = df.where(F.col(at[n]) == F.col(key(n.range)[0]))
                 residual.append(n)
         joins.append(df)
     df = reduce(lambda a, b: a.crossJoin(b), [j.limit(limit) for j in joins] if len(joins) > 1 else joins)
     entities = [c for cls in sorted(active) for c in key(cls)]
-    columns = [n.name for n in sorted(retained) if n.kind == "data"]
+    columns = [at[n] for n in sorted(retained) if n.kind == "data"]
     warnings: list[str] = []
     for n in shown:
         wanted = (values or {}).get(n.name)
@@ -144,10 +149,11 @@ def flat_join(schema: Schema, source, retained: list[PropertyNode], joined: list
                 warnings.append(f"{n.name}: {n.range} has no property {wanted}; its class stands instead")
                 wanted = CLASS
             found = source.values(n.range, None if wanted == CLASS else wanted, sorted(schema.classes)).toDF("_entity", "_value")
-            df = df.join(found, df[n.name] == F.col("_entity"), "left" if optional else "inner").withColumn(n.name, F.col("_value")).drop("_entity", "_value")
+            df = df.join(found, df[at[n]] == F.col("_entity"), "left" if optional else "inner").withColumn(at[n], F.col("_value")).drop("_entity", "_value")
     plain = {n for n in shown if not (values or {}).get(n.name)}
-    named = [source.iri(n.range, (n.name,)).alias(n.name) if n in plain else F.col(n.name) for n in sorted(retained)]
-    out = df.select(*([F.col(e) for e in entities if e not in {n.name for n in retained}] if show_keys else []), *named)
+    column = lambda n: at[n] if n.kind == "object" else n.name  # noqa: E731  a data property's values are the same whatever its datatypes
+    named = [(source.iri(n.range, (at[n],)) if n in plain else F.col(column(n))).alias(at[n]) for n in sorted(retained)]
+    out = df.select(*([F.col(e) for e in entities if e not in {at[n] for n in retained}] if show_keys else []), *named)
     return FlatJoin(out if limit is None else out.limit(limit), entities, columns, skipped, residual, warnings)
 
 

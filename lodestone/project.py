@@ -216,3 +216,16 @@ class Project:
         self.queries.append(q)
         self.answers.append(a)
         return a
+
+    def replay(self) -> list[qa.Answer]:
+        """Ask all kept questions again, of the model as it is now, and return the new answers in the same order; questions about another graph are left as they are.
+
+        The answers that were kept for these questions are replaced.
+        """
+        now = self.curated().id
+        of = {a.query: a for a in self.answers}
+        again = [(q, of[q.id]) for q in self.queries if q.model == now and q.id in of]
+        old = {q.id for q, _ in again}
+        self.queries, self.answers = [q for q in self.queries if q.id not in old], [a for a in self.answers if a.query not in old]
+        plain = lambda ss: {s.node: s.value for s in ss}
+        return [self.ask(q.kind, q.target, plain(q.settings), plain(q.conditions) or None, q.entity, a.n_samples or 200) for q, a in again]

@@ -174,3 +174,66 @@ def test_session_is_stored_and_read_again(spark, clinic, tmp_path):
     q = export.load_project(spark, str(tmp_path / "s"), schema, TripleSource(triples))
     assert q.selected == p.selected and q.manual == p.manual and q.queries == p.queries and [g.id for g in q.runs] == [g.id for g in p.runs]
     assert q.ask("condition", "Therapy__toxicity", {"Therapy__dosage": "High"}).distribution == pytest.approx(p.answers[0].distribution)
+
+
+def test_sessions_answer_for_entities(spark, clinic, tmp_path):
+    from lodestone.sources import export
+
+    triples = simulate.as_triples(clinic).cache()
+    p = Project(inferred_schema(triples), TripleSource(triples))
+    dose, harm, drug = "Therapy__dosage", "Therapy__toxicity", "Therapy__drugClass"
+    p.select([(dose, harm), (drug, harm)])
+    unit = p.join().df.select("Therapy__iri", drug).orderBy("Therapy__iri").first()
+    got = p.ask("intervene", harm, {dose: "High"}, entity=unit[0])
+    own = {r[harm]: r.p for r in p.fit()[harm].where((F.col(dose) == "High") & (F.col(drug) == unit[1])).collect()}
+    assert got.distribution.keys() == own.keys() and all(abs(got.distribution[k] - own[k]) < 1e-9 for k in own)
+    assert got.reaches and not p.ask("intervene", dose, {harm: "High"}).reaches
+    for wrong, error in (({"entity": "nobody"}, KeyError), ({"entity": unit[0], "conditions": {drug: "none"}}, ValueError)):
+        with pytest.raises(error):
+            p.ask("intervene", harm, {dose: "High"}, **wrong)
+        with pytest.raises(error):
+            p.ask("counterfactual", harm, {dose: "High"}, draws=2, **wrong)
+    with pytest.raises(ValueError, match="population"):
+        p.ask("condition", harm, {dose: "High"}, entity=unit[0])
+    assert p.fit(5.0) is p.fit() and p.fit(500.0) is not p.fit() and abs(p.fit(500.0)[harm].first().p - p.fit()[harm].first().p) > 1e-6
+    few = p.ask("counterfactual", harm, {dose: "High"}, {drug: unit[1]}, entity=unit[0], draws=30)
+    assert few.n_samples == 30 and abs(sum(few.distribution.values()) - 1) < 1e-9
+    before = {a.query: a.distribution for a in p.answers}
+    assert {a.query: a.distribution for a in p.replay()} == before and len(p.answers) == len(before) == len(p.queries)
+    assert qa.estimand(p.queries[0]) == f"P({harm} | do({dose} = High); {unit[0]})"
+    export.save_project(p, str(tmp_path / "s"))
+    again = export.load_project(spark, str(tmp_path / "s"), p.schema, p.source)
+    assert {a.query: (a.distribution, a.backend, a.reaches) for a in again.answers} == {a.query: (a.distribution, a.backend, a.reaches) for a in p.answers}
+    stored = qa.query_table(spark, p.queries)
+    assert qa.matching(stored, "counterfactual").count() == 1 and qa.matching(stored, node=drug, value=unit[1]).count() == 1 and qa.matching(stored, node=dose, value="Low").count() == 0
+
+
+def test_graphs_as_json():
+    g = graph()
+    again = CausalGraph.from_json(g.to_json())
+    assert again.to_json() == g.to_json() and again.id == g.id and again.labels == g.labels and again.manual == g.manual
+    with pytest.raises(ValueError):
+        CausalGraph.from_json(g.to_json().replace('"GES"', '"PC"'))
+
+
+def test_a_property_with_two_ranges(spark):
+    """Each range has a column and a join of its own; an entity needs a value in both."""
+    rows = [("a1", "rdf:type", "A"), ("a1", "to", "b1"), ("a1", "to", "c1"), ("a2", "rdf:type", "A"), ("a2", "to", "b1"), ("b1", "rdf:type", "B"), ("b1", "x", "1"), ("c1", "rdf:type", "C"), ("c1", "y", "2")]
+    triples = spark.createDataFrame([(*r, "literal" if r[1] in "xy" else "iri") for r in rows], "s string, p string, o string, o_kind string").cache()
+    schema = inferred_schema(triples)
+    schema.objects["to"] = [("A", "B"), ("A", "C")]
+    nodes = schema.nodes()
+    j = flat_join(schema, TripleSource(triples), [n for n in nodes if n.prop in ("x", "y", "to")], [n for n in nodes if n.prop == "to"])
+    assert [r.asDict() for r in j.df.collect()] == [{"A__iri": "a1", "B__iri": "b1", "C__iri": "c1", "A__to": "b1", "A__to_2": "c1", "B__x": "1", "C__y": "2"}]
+
+
+def test_log_likelihood_of_rows(spark):
+    from lodestone.operators import cpt, inference
+
+    df = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), ("b", "x"), ("b", None)], "u string, c string")
+    network = {"u": [], "c": ["u"]}
+    full = df.dropna()
+    got = cpt.row_log_likelihood(df, inference.fit(full, network), network).collect()
+    assert sorted(round(float(np.exp(r.log_likelihood)), 6) for r in got if r.c) == [0.25, 0.25, 0.5, 0.5] and [r.log_likelihood for r in got if not r.c] == [None]
+    whole = cpt.log_likelihood(full, network).first().log_likelihood
+    assert abs(sum(r.log_likelihood for r in got if r.c) - whole) < 1e-9
