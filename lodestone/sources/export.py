@@ -43,7 +43,7 @@ def save_project(project, folder: str) -> None:
     spark = project.join().df.sparkSession
     from lodestone.operators.answers import answer_table, query_table
 
-    state = {"version": 1, "hops": project.hops, "optional": project.optional, "excluded": sorted(project.excluded), "roles": project.roles, "manual": sorted(project.manual), "selected": project.selected, "runs": len(project.runs)}
+    state = {"version": 1, "hops": project.hops, "optional": project.optional, "excluded": sorted(project.excluded), "roles": project.roles, "values": project.values, "manual": sorted(project.manual), "selected": project.selected, "runs": len(project.runs)}
     spark.createDataFrame([(json.dumps(state),)], "value string").write.text(f"{folder}/state")
     for k, g in enumerate(project.runs):
         ntriples.write(g.triples(spark), f"{folder}/runs/{k:04d}")
@@ -60,7 +60,7 @@ def load_project(spark: SparkSession, folder: str, schema, source):
     state = json.loads(spark.read.text(f"{folder}/state").first().value)
     if state["version"] != 1:
         raise ValueError(f"version {state['version']} of a stored session")
-    p = Project(schema, source, state["hops"], state["optional"], set(state["excluded"]), state["roles"])
+    p = Project(schema, source, state["hops"], state["optional"], set(state["excluded"]), state["roles"], state.get("values", {}))
     stored = spark.read.option("recursiveFileLookup", True).text(f"{folder}/runs") if state.get("runs", bool(state["selected"] or state["manual"])) else None
     if stored is not None:
         from lodestone.operators.causal_graph import graphs_in
