@@ -45,3 +45,21 @@ def test_empty_documents(spark, sf):
         docs = stage(spark, docs, sf)
         assert docs.count() == 0
         docs = docs if "text" in docs.columns else docs
+
+
+def test_odd_documents(spark, sf):
+    """Null ids and texts, repeated rows, very long texts and columns named as results, with a table's own documents to learn from."""
+    from pyspark.sql import functions as F
+
+    own = spark.read.parquet(f"{sf}/documents.parquet")
+    some = own.where("lang IS NOT NULL AND n_chars > 200").orderBy("doc_id").first()
+    odd = [(None, some.text, None, "x", 1), (90_001, None, None, None, 0), (90_002, "", "en", "x", 0), (90_003, "12 34 !!", None, "x", 8), (90_004, some.text * 40, None, "x", None), (90_005, "short", None, "x", 5), (90_005, "short", None, "x", 5)]
+    docs = own.unionByName(spark.createDataFrame(odd, own.schema)).withColumns({"Score": F.lit("mine"), "rejected": F.lit(1), "n_hit": F.lit(2), "KEY": F.lit(3)})
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, stage(spark, docs, sf).cache()
+        if name != "tokens":
+            assert docs.columns == before.columns and docs.exceptAll(before).count() == 0 and docs.where("Score <> 'mine' OR rejected <> 1").count() == 0
+    ids = [r.doc_id for r in docs.select("doc_id").collect()]
+    assert len(ids) == len(set(ids)) and not {90_001, 90_002, 90_003} & set(ids)
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality.score_quality(own.limit(5), none).where("predicted = 1").count() == 0
