@@ -28,10 +28,12 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows up to which a side of a join is broadcast.
-MOST_BROADCAST = 50_000
+#: Rows, and bytes of their values as text, up to which a side of a join is broadcast.
+MOST_BROADCAST, MOST_BROADCAST_BYTES = 50_000, 32 << 20
 
 
-def broadcast_if_small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """df marked for broadcast if counting it finds at most `most` rows; else df as it is, for Spark to join by a shuffle."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def broadcast_if_small(df: DataFrame, most: int = MOST_BROADCAST, most_bytes: int = MOST_BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast if a count finds at most `most` rows and `most_bytes` bytes; else df as it is, for Spark to join by a shuffle."""
+    size = F.octet_length(F.struct(*[F.col(f"`{c}`") for c in df.columns]).cast("string"))
+    n, total = df.limit(most + 1).agg(F.count("*"), F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()
+    return F.broadcast(df) if n <= most and total <= most_bytes else df

@@ -97,3 +97,12 @@ def test_values_modelled_as_classes_become_variables(spark):
     linked.data["x"], linked.data["y"] = [("A", "int")], [("B", "int")]
     linked.objects["a"], linked.objects["b"], linked.objects["w"] = [("A", "V")], [("B", "V")], [("A", "W")]
     assert [n.prop for n in value_variables(linked)] == ["w"]  # V is all that links A with B
+
+
+def test_only_small_sides_are_broadcast(spark):
+    from lodestone.storage import broadcast_if_small
+
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    df = spark.range(100).select("id", F.repeat(F.lit("x"), 1000).alias("t"), F.array(F.lit(None).cast("int")).alias("a"))
+    assert hinted(broadcast_if_small(df)) and hinted(broadcast_if_small(df.limit(0)))
+    assert not hinted(broadcast_if_small(df, most=99)) and not hinted(broadcast_if_small(df, most_bytes=50_000))
