@@ -29,3 +29,27 @@ def test_entry_points_agree(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).limit(1).count() == 1
+
+
+def test_likelihood_weighting_agrees_with_elimination(spark, sf):
+    exact = {r.l_returnflag: r.p for r in queries.QUERIES["conditional_exact"](spark, sf).collect()}
+    drawn = {r.l_returnflag: r for r in queries.QUERIES["likelihood_weighting"](spark, sf).collect()}
+    assert exact.keys() == drawn.keys() and all(abs(drawn[k].p - p) < 0.03 for k, p in exact.items()) and not any(r.low_confidence for r in drawn.values())
+
+
+def test_falsification_by_two_ways(spark, sf):
+    """The tests that Spark makes one by one, and those from one table of counts."""
+    from lodestone.operators.falsify import count_tests
+
+    columns = sorted(queries._NETWORK)
+    test = count_tests(queries._lines(spark, sf).select(*columns), columns)
+    for r in queries.QUERIES["falsification"](spark, sf).collect():
+        assert abs(r.p - test(r.x, r.y, tuple(filter(None, r.given.split(","))))) < 1e-6 and r.violated == (r.p < 0.05)
+
+
+def test_clinic_join_gives_the_simulated_table(spark, sf):
+    from lodestone.sources import simulate
+
+    got, wanted = queries.QUERIES["clinic_flat_join"](spark, sf), simulate.flat(simulate.clinic(spark))
+    columns = [c for c in wanted.columns if "__" in c]
+    assert got.select(*columns).exceptAll(wanted.select(*columns)).count() == 0 and got.count() == wanted.count()
