@@ -514,21 +514,27 @@ def _likely(u: Column, mean: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(40)), start, step)["k"]
 
 
-def _counted(spark: SparkSession, d: str) -> DataFrame:
-    """Columns of each line whose causes are known: flags f, g (by f) and h (against g); counts k, l (by k) and m (by l). All are hashes of the line's key."""
+def _flags(spark: SparkSession, d: str) -> DataFrame:
+    """Flags of each line whose causes are known: f, g (by f) and h (against g). All are hashes of the line's key."""
     key = F.col("l_orderkey"), F.col("l_linenumber")
     flag = lambda seed, log_odds: (uniform(seed, *key) < 1 / (1 + F.exp(-log_odds))).cast("double")
+    rows = table(spark, d, "lineitem").select(*key, (uniform(31, *key) < 0.5).cast("double").alias("f"))
+    return rows.withColumn("g", flag(33, 3 * F.col("f"))).withColumn("h", flag(35, -3 * F.col("g")))
+
+
+def _counted(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of each line whose causes are known: k, l (by k) and m (by l). All are hashes of the line's key."""
+    key = F.col("l_orderkey"), F.col("l_linenumber")
     written = lambda df: materialise(df, "counted")  # noqa: E731  else the counts of one column would be drawn anew inside each step of the next
-    rows = written(table(spark, d, "lineitem").select(*key, (uniform(31, *key) < 0.5).cast("double").alias("f"), _likely(uniform(37, *key), F.lit(1.0)).cast("double").alias("k")))
-    rows = written(rows.withColumn("g", flag(33, 3 * F.col("f"))).withColumn("mean", F.exp(0.5 * F.col("k"))))
-    rows = written(rows.withColumn("l", _likely(uniform(39, *key), F.col("mean")).cast("double"))).withColumn("mean", F.exp(-0.6 * F.col("l")))
-    return written(rows).withColumn("h", flag(35, -3 * F.col("g"))).withColumn("m", _likely(uniform(41, *key), F.col("mean")).cast("double"))
+    rows = written(table(spark, d, "lineitem").select(*key, _likely(uniform(37, *key), F.lit(1.0)).cast("double").alias("k"))).withColumn("mean", F.exp(0.5 * F.col("k")))
+    rows = written(written(rows).withColumn("l", _likely(uniform(39, *key), F.col("mean")).cast("double"))).withColumn("mean", F.exp(-0.6 * F.col("l")))
+    return written(rows).withColumn("m", _likely(uniform(41, *key), F.col("mean")).cast("double"))
 
 
 @query(_truth_sql([("f", "g"), ("g", "h")]))
 def notears_logistic_structure(spark: SparkSession, d: str) -> DataFrame:
     """Edges among 0/1 columns, by the logistic loss."""
-    return _found(spark, discovery.notears(_counted(spark, d), list("fgh"), loss="logistic", lam=0.01, threshold=0.5), list("fgh"), "NOTEARS")
+    return _found(spark, discovery.notears(_flags(spark, d), list("fgh"), loss="logistic", lam=0.01, threshold=0.5), list("fgh"), "NOTEARS")
 
 
 @query(_truth_sql([("k", "l"), ("l", "m")]))
