@@ -6,8 +6,11 @@ of its `shingle`-word shingles. A document contains the window only if it contai
 shingle alone; the shingle's place in the window bounds where the window can begin and end in the document (the
 positional and the length bound), and the words are then compared byte by byte.
 
-Scale: the documents are never shuffled. The benchmark is dealt into blocks of at most BLOCK_BYTES text, each of
-which is broadcast; with more than one block the documents pass once for each, and hits add up row by row.
+Scale: the documents are never shuffled. A benchmark of more than BLOCK_BYTES is cut into pieces of at most PIECE_BYTES
+(or one window, if that is longer), which overlap by a window less a word, so that each window stands whole in one piece;
+the distinct pieces are dealt by hash into blocks of half of BLOCK_BYTES on average, 64 pieces or more, each of which is
+broadcast. With more than one block the documents pass once for each, and hits add up row by row. Neither a long item nor
+rows that repeat make a block larger.
 
 Nulls and odd inputs: a null or wordless text has no words and no hits; null item ids count as the text `null`; equal
 item ids count once; an item without words has no window; empty tables give no rows or no hits; repeated documents
@@ -27,9 +30,12 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import map_texts, text_chunks
 from lodestone.llm.words import Words, shingles, words
+from lodestone.storage import materialise
 
 #: Benchmark text that is broadcast at once.
 BLOCK_BYTES = 2 << 20
+#: Text of an item that goes into one block.
+PIECE_BYTES = 16 << 10
 WINDOW, SHINGLE = 10, 5
 
 
@@ -93,6 +99,25 @@ class Windows:
         return begin[same], window[same]
 
 
+def _pieces(items: DataFrame, window: int) -> DataFrame:
+    """The distinct pieces of the items, kept in the shared folder: item_id, text."""
+    most = PIECE_BYTES
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, texts in text_chunks(batch):
+                w, ids, out = words(texts), rows.column("item_id").to_pylist(), {"item_id": [], "text": []}
+                for item, first, last in zip(ids, w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
+                    while first < last:
+                        end = min(last, max(first + window, int(np.searchsorted(w.end[:last], w.start[first] + most, "right"))))
+                        out["item_id"].append(item)
+                        out["text"].append(w.data[w.start[first] : w.end[end - 1]].tobytes())
+                        first = last if end == last else end - window + 1
+                yield pa.RecordBatch.from_pydict({"item_id": pa.array(out["item_id"], pa.string()), "text": pa.array(out["text"], pa.binary())})
+
+    return materialise(items.mapInArrow(cut, "item_id string, text binary").distinct(), "pieces")
+
+
 def _shingle_counts(docs: DataFrame, windows: Windows) -> dict[tuple[int, int], int]:
     """How often each shingle of the block occurs in all documents; at most as many rows as the block has shingles."""
     keys = {k: np.unique(h) for k, (h, _, _) in windows.shingles.items()}
@@ -113,6 +138,7 @@ def _shingle_counts(docs: DataFrame, windows: Windows) -> dict[tuple[int, int],
             yield pa.RecordBatch.from_pydict({"k": pa.array(np.full(len(some), k), pa.int32()), "h": h[some].view(np.int64), "n": totals[k][some]})
 
     rows = docs.select("text").mapInArrow(count, "k int, h long, n long").groupBy("k", "h").agg(F.sum("n").alias("n")).collect()
+    shared.unpersist()
     return {(r.k, r.h): r.n for r in rows}
 
 
@@ -121,12 +147,15 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     results = "n_words long, n_hit long, spans array<struct<first:long,last:long>>, items array<string>, contaminated boolean"
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, ceil(2 * total / BLOCK_BYTES)) if total > BLOCK_BYTES else 1
+    size = lambda df: df.agg(F.sum((F.octet_length("text") + F.octet_length("item_id")).cast("long"))).first()[0] or 0
+    blocks = 1
+    if size(items) > BLOCK_BYTES:
+        items = _pieces(items, window)
+        blocks = max(1, ceil(2 * size(items) / BLOCK_BYTES))
     out = docs
     for block in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        windows = Windows([(r.item_id, r.text.encode()) for r in part.collect()], window, shingle)
+        windows = Windows([(r.item_id, bytes(r.text)) for r in part.select("item_id", F.col("text").cast("binary").alias("text")).collect()], window, shingle)
         windows.order_by_rarity(_shingle_counts(docs, windows) if windows.words else {})
         shared = spark.sparkContext.broadcast(windows)
         carried = ("spans", "items") if block else ()

@@ -325,9 +325,10 @@ def test_decontamination_query_equals_sql(spark, duck, sf):
     assert rows_of(llm_queries.QUERIES[name](spark, sf).toPandas()) == rows_of(duck.sql(llm_queries.SQL[name]).df())
 
 
-@pytest.mark.parametrize("block", [1 << 20, 40])
-def test_decontamination_brute_force(spark, odd, monkeypatch, block):
+@pytest.mark.parametrize(("block", "piece"), [(1 << 20, 1 << 14), (40, 1 << 14), (300, 70)])
+def test_decontamination_brute_force(spark, odd, monkeypatch, block, piece):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    monkeypatch.setattr(decontaminate, "PIECE_BYTES", piece)
     rng = np.random.default_rng(3)
     text = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma"], n))
     items = [(1, text(25)), (2, text(10)), (None, text(4)), (2, text(12)), (3, ""), (4, None), (5, "One, TWO!"), (10, text(11))]
@@ -336,6 +337,12 @@ def test_decontamination_brute_force(spark, odd, monkeypatch, block):
     assert rows_of(hits_frame(got)) == rows_of(brute_hits(docs, items))
     spans = {r.doc_id: r.spans for r in got.collect()}
     assert any((s.first, s.last) == (1, 26) or (s.first <= 1 and s.last >= 26) for s in spans[200])
+    if piece < 1 << 14:
+        long = spark.createDataFrame([(7, text(500)), (7, text(9))] + [(8, text(40))] * 30, "item_id string, text string")
+        pieces = [(r.item_id, bytes(r.text).split()) for r in decontaminate._pieces(long, 10).collect()]
+        of = lambda rows: {(i, tuple(w[k : k + 10])) for i, w in rows for k in range(max(1, len(w) - 9))}
+        assert of(pieces) == of([(r.item_id, r.text.encode().split()) for r in long.collect()])
+        assert all(len(b" ".join(w)) <= piece or len(w) == 10 for _, w in pieces) and len(pieces) < 200
     none = decontaminate.benchmark_hits(odd, spark.createDataFrame([], "item_id long, text string"))
     assert none.where("contaminated").count() == 0 and none.count() == len(ODD)
 
