@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import inference
-from lodestone.operators.mixed_model import CATEGORY, NUMBER, Choice, Line, MixedModel, Summary, Table, sample, summaries
+from lodestone.operators.mixed_model import CATEGORY, NUMBER, Choice, Given, Line, MixedModel, Summary, Table, sample, summaries
 
 #: Cells that the largest table of an elimination may have.
 MOST_CELLS = 1_000_000
@@ -56,10 +56,10 @@ def _mechanism(spark: SparkSession, model: MixedModel, target: str, evidence: di
         row = one.select(*[F.exp(x).alias(f"_{i}") for i, x in enumerate(m.logs(F.col))]).first()
         return Summary(target, "mechanism", probabilities=dict(zip(m.levels, row, strict=True)))
     mean = m.with_mean(one, F.col, "_mean").first()["_mean"]
-    if isinstance(m, Line):  # the noise of least squares has mean 0
+    if isinstance(m, Line | Given):  # the noise of least squares has mean 0
         grid = [(m.noise.low + i * m.noise.step, d * m.noise.step) for i, d in enumerate(m.noise.density)]
         first = sum(x * p for x, p in grid)
-        return Summary(target, "mechanism", mean, max(sum((x - first) ** 2 * p for x, p in grid), 0.0) ** 0.5)
+        return Summary(target, "mechanism", mean + (m.shift if isinstance(m, Given) else 0.0), max(sum((x - first) ** 2 * p for x, p in grid), 0.0) ** 0.5)
     p: dict[str, float] = {}
     for i, share in enumerate(m.noise.density):
         level = m.levels[int(min(max(mean + m.noise.low + i, 0), len(m.levels) - 1))]

@@ -5,13 +5,15 @@ Every mechanism is fitted by Spark over all rows and evaluated as columns:
 * a category without numeric parents: a table of probabilities; with some: softmax regression (`Choice`);
 * a number: least squares on its parents, categories as 0/1 columns, with additive noise (`Line`);
 * an ordered level: boosted trees on its parents and whole steps of noise (`Steps`), decoded to its level again;
-* a number without parents: its own distribution.
+* a number without parents: its own distribution;
+* a number whose mean the caller gives as an expression: that, with additive noise (`Given`).
 
 Noise is kept as quantiles, to draw from, and as densities on a grid, to weight evidence by.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -176,7 +178,26 @@ class Steps:
         return F.greatest(F.least(code, F.lit(float(len(self.levels) - 1))), F.lit(0.0))
 
 
-Mechanism = Choice | Table | Line | Steps
+@dataclass
+class Given:
+    """Mean: an SQL expression that the caller gives, parents in braces (`{x} * {y}`); the rest is noise, whose own mean is `shift`.
+
+    Where the expression gives null, so does what follows from it, and the row tells nothing of the noise.
+    """
+
+    text: str
+    parents: list[str]
+    noise: Noise | None = None
+    shift: float = 0.0
+    explained: float = 0.0
+
+    def with_mean(self, df: DataFrame, of: Of, out: str) -> DataFrame:
+        names = {p: f"_in{i}" for i, p in enumerate(self.parents)}
+        text = re.sub(r"\{([^{}]*)\}", lambda found: names[found[1]], self.text)
+        return df.withColumns({n: of(p) for p, n in names.items()}).withColumn(out, F.expr(text).cast("double")).drop(*names.values())
+
+
+Mechanism = Choice | Table | Line | Steps | Given
 
 
 @dataclass
@@ -226,17 +247,25 @@ def _design(df: DataFrame, inputs: list[Input], y: str) -> tuple[DataFrame, list
     return df.select(*[i.column(F.col).alias(n) for n, i in zip(names, inputs, strict=True)], F.col(y).alias("_y")).dropna(), names
 
 
-def fit(df: DataFrame, network: dict[str, list[str]], kinds: dict[str, str], ess: float = 0.0, penalty: float = 0.0) -> MixedModel:
+def fit(df: DataFrame, network: dict[str, list[str]], kinds: dict[str, str], ess: float = 0.0, penalty: float = 0.0, given: dict[str, str] | None = None) -> MixedModel:
     """Mechanisms of all nodes over the rows where they and their parents are known.
 
     ess: pseudo-counts of a table, spread evenly; penalty: of squared weights, for softmax regressions. Levels are those of
     the column, ordered ones in natural order. Only levels, tables of counts, weights and bins reach the driver.
+    given: means of numbers as SQL expressions of their parents (`Given`), of which only the noise is fitted; a node that is
+    no number, or an expression that names another node than a parent, is a ValueError.
     """
+    for node, text in (given or {}).items():
+        if kinds.get(node) != NUMBER or not set(re.findall(r"\{([^{}]*)\}", text)) <= set(network[node]):
+            raise ValueError(f"{node}: {text!r} is no mean of a number by its parents {network.get(node)}")
     levels = {n: [r[0] for r in df.select(F.col(n).cast("string").alias(n)).where(F.col(n).isNotNull()).distinct().orderBy(natural_key(F.col(n)), n).collect()] for n, k in kinds.items() if k != NUMBER}
     blank = MixedModel(network, kinds, levels, {})
     rows = materialise(blank.encoded(df.select(*kinds)), "encoded")
     for node in topological(network):
         parents, kind = network[node], kinds[node]
+        if node in (given or {}):
+            blank.mechanisms[node] = _given(rows, node, Given(given[node], parents))
+            continue
         if kind == CATEGORY and all(kinds[p] == CATEGORY for p in parents):
             blank.mechanisms[node] = _table(rows, node, parents, levels, ess)
             continue
@@ -287,6 +316,12 @@ def _line(design: DataFrame, names: list[str], inputs: list[Input]) -> Line:
     return Line(inputs, intercept, [float(x) for x in w], noise_of(design.select(left.alias("x")), "x"), explained)
 
 
+def _given(rows: DataFrame, node: str, m: Given) -> Given:
+    left = m.with_mean(rows, F.col, "_mean").select((F.col(node) - F.col("_mean")).alias("x"), F.col(node).alias("y")).dropna()
+    e = left.agg(F.avg("x").alias("shift"), F.var_pop("x").alias("e"), F.var_pop("y").alias("v")).first()
+    return Given(m.text, m.parents, noise_of(left, "x"), e.shift or 0.0, 1 - e.e / e.v if e.v else 0.0)
+
+
 def _steps(design: DataFrame, names: list[str], inputs: list[Input], levels: list[str]) -> Steps:
     if not inputs:
         return Steps(levels, inputs, None, noise_of(design, "_y", whole=True))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators.causal_graph import VOCABULARY
-from lodestone.operators.mixed_model import Choice, Line, MixedModel, Steps, Table
+from lodestone.operators.mixed_model import Choice, Given, Line, MixedModel, Steps, Table
 
 #: A world: what was asked of which unit, and what it would be. Without an entity the unit is hypothetical: it is what was observed of it.
 WORLD = "entity string, model string, do map<string,string>, observed map<string,string>, predicted map<string,string>, probability map<string,double>, coupling string"
@@ -84,7 +84,7 @@ def model_id(model: MixedModel, fingerprint: str) -> str:
 
 def mechanism_rows(spark: SparkSession, model: MixedModel) -> DataFrame:
     """node, kind, parents, mechanism, invertible and explained of each node."""
-    rows = [(n, model.kinds[n], ",".join(model.network[n]), type(m).__name__, True, float(m.explained) if isinstance(m, Line | Steps) else None) for n, m in sorted(model.mechanisms.items())]
+    rows = [(n, model.kinds[n], ",".join(model.network[n]), type(m).__name__, True, float(m.explained) if isinstance(m, Line | Steps | Given) else None) for n, m in sorted(model.mechanisms.items())]
     return spark.createDataFrame(rows, "node string, kind string, parents string, mechanism string, invertible boolean, explained double")
 
 

@@ -613,6 +613,19 @@ def mechanism_answer(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(round(found.mean, 4), found.backend)], "mean double, backend string")
 
 
+@query("SELECT l_linenumber, count(*) AS n, round(avg(l_extendedprice + (10 - l_quantity) * p_retailprice), 3) AS price FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
+def given_mechanism(spark: SparkSession, d: str) -> DataFrame:
+    """What lines would have cost had each the quantity 10, if prices are quantity times retail price and what is beyond that stays."""
+    from lodestone.operators import mixed_model
+
+    rows = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = rows.select("l_linenumber", "l_quantity", "p_retailprice", "l_extendedprice", F.xxhash64("l_orderkey", "l_linenumber").alias("id"))
+    network = {"l_quantity": [], "p_retailprice": [], "l_extendedprice": ["l_quantity", "p_retailprice"]}
+    model = mixed_model.fit(rows, network, dict.fromkeys(network, "number"), given={"l_extendedprice": "{l_quantity} * {p_retailprice}"})
+    out = mixed_model.counterfactual(rows, model, {"l_quantity": 10.0}, targets=["l_extendedprice"])
+    return out.groupBy("l_linenumber").agg(F.count("*").alias("n"), F.round(F.avg("cf_l_extendedprice"), 3).alias("price"))
+
+
 _SESSION_SQL = """WITH t AS (SELECT l_linestatus, o_orderpriority, o_orderstatus, o_orderkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey), s AS (SELECT DISTINCT o_orderstatus FROM t),
 q AS (SELECT 5.0 / (count(DISTINCT l_linestatus) * count(DISTINCT o_orderpriority)) AS each, count(DISTINCT o_orderstatus) AS r FROM t),
 n AS (SELECT o_orderpriority, count(*) AS n FROM t WHERE l_linestatus = 'F' GROUP BY 1), c AS (SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM t WHERE l_linestatus = 'F' GROUP BY ALL),

@@ -10,7 +10,7 @@ from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators.mixed_model import Choice, Input, Line, MixedModel, Noise, Steps, Table
+from lodestone.operators.mixed_model import Choice, Given, Input, Line, MixedModel, Noise, Steps, Table
 
 VERSION = 1
 
@@ -57,6 +57,8 @@ def load_model(spark: SparkSession, folder: str, fitted_on: DataFrame | None = N
     def mechanism(kind: str, x: dict):
         if kind == "Table":
             return Table(x["levels"], x["parents"], [(tuple(k), ps) for k, ps in x["rows"]], x["overall"])
+        if kind == "Given":
+            return Given(x["text"], x["parents"], noise(x["noise"]), x["shift"], x["explained"])
         inputs = [Input(**i) for i in x["inputs"]]
         if kind == "Choice":
             return Choice(x["levels"], inputs, x["intercepts"], x["weights"])

@@ -149,3 +149,27 @@ def test_count_losses(spark, monkeypatch):
         discovery.count_loss(df, list("abc"), "logistic")
     with pytest.raises(ValueError):
         discovery.notears(df, list("abc"), loss="cubic")
+
+
+def test_given_mechanisms(spark, line, tmp_path):
+    """y = 2 x + 1 + e with the mean 2 x given: what is beyond has mean 1 and sd 1, moves with its row, and is stored with the expression."""
+    from lodestone.sources.models import load_model, save_model
+
+    model = mixed_model.fit(line, NET, NUMBERS, given={"y": "2 * {x}"})
+    m = model.mechanisms["y"]
+    assert abs(m.shift - 1) < 0.03 and abs(m.explained - 0.8) < 0.02
+    got = ladder.condition(spark, model, "y", {"x": 2.0})["y"]
+    assert got.backend == "mechanism" and abs(got.mean - 5) < 0.05 and abs(got.sd - 1) < 0.05
+    drawn = mixed_model.sample(spark, model, 20_000, do={"x": 3.0}).agg(F.avg("y"), F.stddev("y")).first()
+    assert abs(drawn[0] - 7) < 0.05 and abs(drawn[1] - 1) < 0.05
+    moved = mixed_model.counterfactual(line, model, {"x": -1.0}).where(F.abs(F.col("cf_y") - (F.col("e") - 1)) > 1e-9)
+    assert moved.count() == 0
+    save_model(model, f"{tmp_path}/m", line)
+    assert load_model(spark, f"{tmp_path}/m", line).mechanisms["y"] == m
+    square = mixed_model.fit(line.withColumn("y", F.col("x") * F.col("x")), NET, NUMBERS, given={"y": "{x} * {x}"})
+    assert abs(square.mechanisms["y"].explained - 1) < 1e-9
+    null = mixed_model.fit(line, NET, NUMBERS, given={"y": "CASE WHEN {x} > 0 THEN 2 * {x} END"})
+    assert abs(null.mechanisms["y"].shift - 1) < 0.05
+    for wrong in ({"y": "{z}"}, {"x": "{y}"}, {"w": "1"}):
+        with pytest.raises(ValueError, match="no mean"):
+            mixed_model.fit(line, NET, NUMBERS, given=wrong)
