@@ -5,6 +5,8 @@ of its own and reports them; each commit writes a manifest of its own of the rep
 speculative tasks leave nothing that a reader sees, and appends add up. Reading: the driver plans partitions as byte
 ranges of archives from the manifests alone; a task reads the archive's index (bounded by the archive's size), takes the members that begin in its
 range and streams them as Arrow batches. Each member is read, checked and, if need be, tried again by its own offset.
+Rows with texts are encoded by the task that writes them, and the option `measured` has the task that reads members
+return what they say: neither way do media pass through Spark.
 
 Archive: members one after the other; then the index, an Arrow IPC stream; then its length as eight bytes.
 """
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from lodestone.llm.common import map_texts, shared_dir
+from lodestone.llm.common import shared_dir, text_chunks
 
 #: Payloads are filled with 255 up to a multiple of FRAME bytes, an image SIDE samples wide.
 FRAME, SIDE, FILL = 576, 24, 255
@@ -41,6 +43,8 @@ IDS = {"long": pa.int64(), "string": pa.string()}
 _INDEX = pa.schema([("n_bytes", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("crc32", pa.int64())])
 MANIFEST = ".manifest.json"
 MEMBER = "n_bytes long, media binary"
+MEASURES = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_MEASURED = pa.schema([(n, {"long": pa.int64(), "string": pa.string()}[t]) for n, t in (c.split() for c in MEASURES.split(", "))])
 
 
 def _chunk(kind: bytes, body: bytes) -> bytes:
@@ -101,6 +105,19 @@ class ByteRange(InputPartition):
     last: int
 
 
+def _members(columns: dict[str, pa.Array], batch: pa.RecordBatch) -> Iterator[tuple[int | str | None, int, bytes]]:
+    """doc_id, n_bytes and stored form of each row, one at a time: of media as they are, else of texts (null: empty)."""
+    if "media" in columns:
+        for doc_id, n_bytes, media in zip(columns["doc_id"].to_pylist(), columns["n_bytes"].to_pylist(), columns["media"], strict=True):
+            yield doc_id, n_bytes, media.as_py()
+        return
+    ids = iter(columns["doc_id"].to_pylist())
+    for _, texts in text_chunks(batch, texts=columns["text"]):
+        for text in texts:
+            raw = text.as_py()
+            yield next(ids), len(raw), to_png(payload_of(raw))
+
+
 class ArchiveWriter(DataSourceArrowWriter):
     def __init__(self, path: str, overwrite: bool = False):
         self.path, self.overwrite = path, overwrite
@@ -126,12 +143,11 @@ class ArchiveWriter(DataSourceArrowWriter):
         for batch in iterator:
             columns = {n.lower(): batch.column(i) for i, n in enumerate(batch.schema.names)}
             schema = pa.schema([("doc_id", columns["doc_id"].type), *_INDEX])
-            for doc_id, n_bytes, media in zip(columns["doc_id"].to_pylist(), columns["n_bytes"].to_pylist(), columns["media"], strict=True):
+            for doc_id, n_bytes, body in _members(columns, batch):
                 if out is None or at >= ARCHIVE_BYTES:
                     close()
                     name, at, index = f"{uuid.uuid4().hex}.archive", 0, []
                     out = files.open_output_stream(f"{root}/{name}", compression=None)
-                body = media.as_py()
                 out.write(body)
                 index.append({"doc_id": doc_id, "n_bytes": n_bytes, "offset": at, "length": len(body), "crc32": zlib.crc32(body)})
                 at += len(body)
@@ -155,8 +171,8 @@ class ArchiveWriter(DataSourceArrowWriter):
 
 
 class ArchiveReader(DataSourceReader):
-    def __init__(self, path: str, ids: str = "long"):
-        self.path, self.ids = path, ids
+    def __init__(self, path: str, ids: str = "long", measured: bool = False):
+        self.path, self.ids, self.measured = path, ids, measured
 
     def partitions(self) -> list[ByteRange]:
         files, root = _open(self.path)
@@ -183,6 +199,10 @@ class ArchiveReader(DataSourceReader):
         raise problem
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+        for batch in self._read(partition):
+            yield measure(batch) if self.measured else batch
+
+    def _read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", IDS[self.ids]), ("n_bytes", pa.int64()), ("media", pa.binary())])
         if not partition.archive:
             return
@@ -212,7 +232,8 @@ class ArchiveReader(DataSourceReader):
 class MediaArchive(DataSource):
     """spark.read.format("media_archive").load(folder); df.write.format("media_archive").mode("append").save(folder).
 
-    The option `id` says of what type the members' ids are: long (the default) or string.
+    Rows to write have doc_id and text, or doc_id, n_bytes and media. The option `id` says of what type the members' ids
+    are: long (the default) or string; with `measured`, what the members say (`measure`) is read in place of the media.
     """
 
     @classmethod
@@ -220,10 +241,13 @@ class MediaArchive(DataSource):
         return "media_archive"
 
     def schema(self) -> str:
-        return f"doc_id {self.options.get('id', 'long')}, {MEMBER}"
+        return f"doc_id {self.options.get('id', 'long')}, {MEASURES if self._measured() else MEMBER}"
+
+    def _measured(self) -> bool:
+        return self.options.get("measured", "false").lower() == "true"
 
     def reader(self, schema: T.StructType) -> ArchiveReader:
-        return ArchiveReader(self.options["path"], self.options.get("id", "long"))
+        return ArchiveReader(self.options["path"], self.options.get("id", "long"), self._measured())
 
     def writer(self, schema: T.StructType, overwrite: bool) -> ArchiveWriter:
         return ArchiveWriter(self.options["path"], overwrite)
@@ -237,13 +261,7 @@ def id_type(docs: DataFrame) -> str:
 def store(docs: DataFrame, folder: str) -> None:
     """Write the texts of docs as members of archives in a new folder. A null text is an empty one; ids that are no whole numbers are kept as texts."""
     docs.sparkSession.dataSource.register(MediaArchive)
-
-    def encode(texts: pa.Array, _: pa.RecordBatch) -> list:
-        raw = texts.to_pylist()
-        return [[len(t) for t in raw], pa.array([to_png(payload_of(t)) for t in raw], pa.binary())]
-
-    members = map_texts(docs.select(F.col("doc_id").cast(id_type(docs)).alias("doc_id"), "text"), encode, "n_bytes long, media binary", keep_text=False).select("doc_id", "n_bytes", "media")
-    members.write.format("media_archive").mode("append").save(folder)
+    docs.select(F.col("doc_id").cast(id_type(docs)).alias("doc_id"), "text").write.format("media_archive").mode("append").save(folder)
 
 
 def feature(payload: bytes) -> str:
@@ -260,21 +278,20 @@ def feature(payload: bytes) -> str:
     return f"mean={mean};spread={spread};bands={','.join(map(str, bands.tolist()))};areas={int(bits, 2):016x}"
 
 
-def features(members: DataFrame) -> DataFrame:
-    """What the stored bytes say, for each member: payload sizes and hashes, the stored form's, and the feature."""
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc_id, n_bytes, media in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                payload = from_png(media)
-                rows.append((doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+def measure(members: pa.RecordBatch) -> pa.RecordBatch:
+    """What stored bytes say, for each member (doc_id, n_bytes, media): payload sizes and hashes, the stored form's, and the feature."""
+    rows = []
+    for n_bytes, member in zip(members.column(1).to_pylist(), members.column(2), strict=True):
+        media = member.as_py()
+        payload = from_png(media)
+        rows.append((n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload)))
+    made = pa.RecordBatch.from_pylist([dict(zip(_MEASURED.names, r, strict=True)) for r in rows], _MEASURED)
+    return pa.RecordBatch.from_arrays([members.column(0), *made.columns], names=["doc_id", *_MEASURED.names])
 
-    types = [IDS[id_type(members)], pa.int64(), pa.int64()] + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    return members.mapInArrow(measure, f"doc_id {id_type(members)}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+def features(members: DataFrame) -> DataFrame:
+    """`measure` of a table of members."""
+    return members.select("doc_id", "n_bytes", "media").mapInArrow(lambda batches: map(measure, batches), f"doc_id {id_type(members)}, {MEASURES}")
 
 
 def media_round_trip(docs: DataFrame) -> DataFrame:
@@ -285,8 +302,8 @@ def media_round_trip(docs: DataFrame) -> DataFrame:
     """
     folder = f"{shared_dir(docs.sparkSession)}/media-{uuid.uuid4().hex}"
     store(docs, folder)
-    read = docs.sparkSession.read.format("media_archive").option("id", id_type(docs)).load(folder)
-    return features(read).withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
+    read = docs.sparkSession.read.format("media_archive").option("id", id_type(docs)).option("measured", "true").load(folder)
+    return read.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

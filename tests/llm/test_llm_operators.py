@@ -717,6 +717,15 @@ def test_media_appends_add_up(spark, documents, tmp_path):
     assert spark.read.format("media_archive").load(f"file://{tmp_path}/m").count() == documents.where("doc_id < 10").count()
 
 
+def test_media_do_not_pass_through_spark(spark, documents, tmp_path):
+    """Tasks that write encode texts, tasks that read measure members: one Python worker a task, and the same rows as of media read as rows."""
+    media.store(documents, f"file://{tmp_path}/m")
+    got = media.media_round_trip(documents)
+    assert "MapInArrow" not in got._jdf.queryExecution().executedPlan().toString() and "media" not in got.columns
+    stored = media.features(spark.read.format("media_archive").load(f"file://{tmp_path}/m"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, stored.select(got.columns).collect()))
+
+
 def test_media_feature():
     """Against sums over single samples."""
     rng = np.random.default_rng(8)
