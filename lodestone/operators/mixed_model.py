@@ -77,7 +77,19 @@ class Noise:
         return F.when(inside, a + (b - a) * (at - i)).otherwise(0.0)
 
 
-def noise_of(df: DataFrame, x: str, whole: bool = False) -> Noise:
+def whole_noise(df: DataFrame, x: str, n: str) -> Noise:
+    """The noise of whole steps x that stand n times each: exact quantiles and probabilities. Only a count for each step reaches the driver."""
+    counts = {int(r[0]): r[1] for r in df.where(F.col(x).isNotNull()).groupBy(x).agg(F.sum(n)).collect()}
+    if not counts:
+        raise ValueError(f"{x}: no rows to fit")
+    steps = np.arange(min(counts), max(counts) + 1)
+    each = np.array([counts.get(int(i), 0) for i in steps])
+    ranks = np.maximum(np.ceil(np.arange(QUANTILES + 1) / QUANTILES * each.sum()), 1)
+    quantiles = steps[np.searchsorted(each.cumsum(), ranks)]
+    return Noise(tuple(map(float, quantiles)), float(steps[0]), 1.0, tuple(map(float, each / each.sum())), True)
+
+
+def noise_of(df: DataFrame, x: str) -> Noise:
     """The noise that a column without parents' part is: quantiles, and a Gaussian kernel density of Scott's width.
 
     Rows are counted in fine bins in Spark; the kernel is laid over the counts, at most some thousand of them, on the driver.
@@ -87,9 +99,6 @@ def noise_of(df: DataFrame, x: str, whole: bool = False) -> Noise:
     if not n:
         raise ValueError(f"{x}: no rows to fit")
     quantiles = tuple(rows.approxQuantile("x", [i / QUANTILES for i in range(QUANTILES + 1)], 0.1 / QUANTILES))
-    if whole:
-        counts = {int(r.x): r.n for r in rows.groupBy("x").agg(F.count("*").alias("n")).collect()}
-        return Noise(quantiles, float(low), 1.0, tuple(counts.get(int(low) + i, 0) / n for i in range(int(high - low) + 1)), True)
     if not sd:
         width = 1e-6 * max(1.0, abs(low))  # a spike
         return Noise(quantiles, low - width, width, (0.0, 1 / width, 0.0))
@@ -247,6 +256,14 @@ def _design(df: DataFrame, inputs: list[Input], y: str) -> tuple[DataFrame, list
     return df.select(*[i.column(F.col).alias(n) for n, i in zip(names, inputs, strict=True)], F.col(y).alias("_y")).dropna(), names
 
 
+def _counted(rows: DataFrame) -> DataFrame:
+    """rows with `_n`: the distinct ones and how often each stands, where they are few beside all, so that a pass is over them alone; else each row once."""
+    n, distinct = rows.agg(F.count("*"), F.approx_count_distinct(F.xxhash64(*rows.columns))).first()
+    if 4 * distinct > n:
+        return rows.withColumn("_n", F.lit(1.0))
+    return materialise(rows.groupBy(*rows.columns).agg(F.count("*").cast("double").alias("_n")), "counted")
+
+
 def fit(df: DataFrame, network: dict[str, list[str]], kinds: dict[str, str], ess: float = 0.0, penalty: float = 0.0, given: dict[str, str] | None = None) -> MixedModel:
     """Mechanisms of all nodes over the rows where they and their parents are known.
 
@@ -323,14 +340,15 @@ def _given(rows: DataFrame, node: str, m: Given) -> Given:
 
 
 def _steps(design: DataFrame, names: list[str], inputs: list[Input], levels: list[str]) -> Steps:
+    counted = _counted(design)
     if not inputs:
-        return Steps(levels, inputs, None, noise_of(design, "_y", whole=True))
-    table = materialise(VectorAssembler(inputCols=names, outputCol="_features").transform(design).select("_features", "_y"), "design")
-    trees = GBTRegressor(featuresCol="_features", labelCol="_y", predictionCol="_prediction", maxIter=20, maxDepth=4, maxBins=256, stepSize=0.3, seed=1).fit(table)
+        return Steps(levels, inputs, None, whole_noise(counted, "_y", "_n"))
+    table = materialise(VectorAssembler(inputCols=names, outputCol="_features").transform(counted).select("_features", "_y", "_n"), "design")
+    trees = GBTRegressor(featuresCol="_features", labelCol="_y", weightCol="_n", predictionCol="_prediction", maxIter=20, maxDepth=4, maxBins=256, stepSize=0.3, seed=1).fit(table)
     done = trees.transform(table)
-    left = done.select((F.col("_y") - F.round("_prediction")).alias("x"))
-    e = done.agg(F.sum((F.col("_y") - F.col("_prediction")) ** 2).alias("e"), (F.var_pop("_y") * F.count("*")).alias("v")).first()
-    return Steps(levels, inputs, trees, noise_of(left, "x", whole=True), 1 - e.e / e.v if e.v else 0.0)
+    mean = table.agg(F.sum(F.col("_n") * F.col("_y")) / F.sum("_n")).first()[0]
+    e = done.agg(*[F.sum(F.col("_n") * (F.col("_y") - x) ** 2).alias(name) for name, x in (("e", F.col("_prediction")), ("v", F.lit(mean)))]).first()
+    return Steps(levels, inputs, trees, whole_noise(done.select((F.col("_y") - F.round("_prediction")).alias("x"), "_n"), "x", "_n"), 1 - e.e / e.v if e.v else 0.0)
 
 
 def probabilities(df: DataFrame, model: MixedModel, node: str) -> DataFrame:

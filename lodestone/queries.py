@@ -583,8 +583,9 @@ def ordered_mechanism(spark: SparkSession, d: str) -> DataFrame:
     network, kinds = {"l_quantity": [], "band": ["l_quantity"]}, {"l_quantity": "number", "band": "ordered"}
     model = mixed_model.fit(rows, network, kinds)
     line = mixed_model.fit(model.encoded(rows), network, {"l_quantity": "number", "band": "number"})
-    moved = model.mechanisms["band"].with_mean(rows, lambda n: 51 - F.col(n), "code")
-    out = model.decoded(moved, {"code": "band"}).groupBy(F.col("code").alias("band")).agg(F.count("*").alias("n"))
+    equal = rows.groupBy("l_quantity").agg(F.count("*").alias("n"))  # what each becomes depends on its quantity alone
+    moved = model.mechanisms["band"].with_mean(equal, lambda n: 51 - F.col(n), "code")
+    out = model.decoded(moved, {"code": "band"}).groupBy(F.col("code").alias("band")).agg(F.sum("n").alias("n"))
     return out.withColumn("trees_explain_more", F.lit(model.mechanisms["band"].explained > line.mechanisms["band"].explained + 0.2))
 
 

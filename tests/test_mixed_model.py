@@ -173,3 +173,18 @@ def test_given_mechanisms(spark, line, tmp_path):
     for wrong in ({"y": "{z}"}, {"x": "{y}"}, {"w": "1"}):
         with pytest.raises(ValueError, match="no mean"):
             mixed_model.fit(line, NET, NUMBERS, given=wrong)
+
+
+def test_trees_are_fitted_on_counts_of_equal_rows(spark, monkeypatch):
+    """Trees see each distinct row once, with its count; predictions, noise and what is explained are those of all rows."""
+    from pyspark.sql import functions as F
+
+    sizes, fitted = [], mixed_model.GBTRegressor.fit
+    monkeypatch.setattr(mixed_model.GBTRegressor, "fit", lambda self, table: (sizes.append(table.count()), fitted(self, table))[1])
+    rows = spark.range(4000).select((F.col("id") % 10).cast("double").alias("x"), F.when(F.col("id") % 10 < 3, "1").when(F.col("id") % 100 == 99, "3").otherwise("2").alias("y"))
+    steps = mixed_model.fit(rows, {"x": [], "y": ["x"]}, {"x": "number", "y": "ordered"}).mechanisms["y"]
+    assert sizes == [11]
+    assert dict(zip(range(int(steps.noise.low), 9), steps.noise.density, strict=False)) == {0: 0.99, 1: 0.01}
+    assert steps.noise.quantiles[0] == 0 and steps.noise.quantiles[-1] == 1 and steps.noise.quantiles.count(1.0) == 6
+    left = sum(n * (y - m) ** 2 for y, m, n in ((1, 1.1, 360), (2, 1.1, 40)))
+    assert abs(steps.explained - (1 - left / sum(n * (y - 0.71) ** 2 for y, n in ((0, 1200), (1, 2760), (2, 40))))) < 1e-3
