@@ -18,7 +18,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -315,12 +315,79 @@ def _table(rows: DataFrame, node: str, parents: list[str], levels: dict[str, lis
 
 
 def _choice(design: DataFrame, names: list[str], inputs: list[Input], levels: list[str], penalty: float) -> Choice:
-    place = F.array_position(F.array(*map(F.lit, levels)), F.col("_y")).cast("double") - 1
-    table = VectorAssembler(inputCols=names, outputCol="x").transform(design.withColumn("y", place)).select("x", "y")
     if len(levels) < 2:
         return Choice(levels, inputs, [0.0] * len(levels), [[0.0] * len(inputs)] * len(levels))
-    model = LogisticRegression(featuresCol="x", labelCol="y", family="multinomial", regParam=penalty, maxIter=200, tol=1e-9).fit(table)
-    return Choice(levels, inputs, [float(b) for b in model.interceptVector], [[float(w) for w in row] for row in model.coefficientMatrix.toArray()])
+    place = F.array_position(F.array(*map(F.lit, levels)), F.col("_y")).cast("double") - 1
+    intercepts, weights = softmax_weights(_counted(design.select(*names, place.alias("_y"))), names, len(levels), penalty)
+    return Choice(levels, inputs, intercepts.tolist(), weights.tolist())
+
+
+def softmax_weights(table: DataFrame, names: list[str], levels: int, penalty: float, most: int = 200, tolerance: float = 1e-13) -> tuple[np.ndarray, np.ndarray]:
+    """Intercepts and weights (a row for each level) of the likeliest softmax regression of `_y`, the levels' places, on names; rows stand `_n` times.
+
+    Newton's method on standardised inputs, whose squared weights the penalty is of: the loss is convex and a step needs
+    one pass, of which a gradient and a Hessian come back from each task, so some ten passes do. Steps are halved until
+    the loss falls, and end when one would lower it by less than the tolerance. Intercepts sum to 0, without penalty the
+    weights of an input too; constant inputs weigh 0.
+    """
+    d, k = len(names), levels
+    w = F.col("_n")
+    n, *sums = table.agg(F.coalesce(F.sum(w), F.lit(0.0)), *[F.coalesce(F.sum(w * F.col(x)), F.lit(0.0)) for x in names]).first()
+    mean = np.array(sums) / max(n, 1)
+    squares = table.agg(*[F.coalesce(F.sum(w * (F.col(x) - float(m)) ** 2), F.lit(0.0)) for x, m in zip(names, mean, strict=True)]).first()
+    sd = np.sqrt(np.array(squares, float) / max(n - 1, 1))
+    scale = np.where(sd > 0, 1 / np.where(sd > 0, sd, 1), 0.0)
+    shrink = np.tile([0.0] + [penalty] * d, k)
+    size = k * (d + 1)
+    columns = [*names, "_y", "_n"]
+
+    def evaluate(b: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        def part(batches):
+            loss, grad, hess = 0.0, np.zeros((k, d + 1)), np.zeros((k, d + 1, k, d + 1))
+            for batch in batches:
+                at = np.column_stack([np.asarray(c) for c in batch.columns])
+                z = np.column_stack([np.ones(len(at)), (at[:, :d] - mean) * scale])
+                y, times, rows = at[:, d].astype(int), at[:, d + 1], np.arange(len(at))
+                score = z @ b.T
+                score -= score.max(axis=1, keepdims=True)
+                p = np.exp(score)
+                total = p.sum(axis=1)
+                p /= total[:, None]
+                loss += float(times @ (np.log(total) - score[rows, y]))
+                for i in range(k):
+                    for j in range(i, k):
+                        block = z.T @ ((times * p[:, i] * ((i == j) - p[:, j]))[:, None] * z)
+                        hess[i, :, j] += block
+                        if i != j:
+                            hess[j, :, i] += block
+                p[rows, y] -= 1
+                grad += (times[:, None] * p).T @ z
+            yield pa.RecordBatch.from_arrays([pa.array([[loss, *grad.ravel(), *hess.ravel()]])], names=["sums"])
+
+        found = np.sum([r.sums for r in table.select(*columns).mapInArrow(part, "sums array<double>").collect()], axis=0) / max(n, 1)
+        flat = b.ravel()
+        return found[0] + 0.5 * float(shrink @ (flat * flat)), found[1 : size + 1] + shrink * flat, found[size + 1 :].reshape(size, size) + np.diag(shrink)
+
+    b = np.zeros((k, d + 1))
+    loss, grad, hess = evaluate(b)
+    for _ in range(most):
+        step = -np.linalg.lstsq(hess, grad, rcond=None)[0]
+        falls = -float(grad @ step)
+        if falls <= tolerance:
+            break
+        t = 1.0
+        while True:
+            moved = b + t * step.reshape(k, d + 1)
+            new = evaluate(moved)
+            if new[0] <= loss - 1e-4 * t * falls or t < 1e-6:
+                break
+            t /= 2
+        if new[0] > loss:  # nothing but rounding is left
+            break
+        b, (loss, grad, hess) = moved, new
+    weights = b[:, 1:] * scale
+    intercepts = b[:, 0] - weights @ mean
+    return intercepts - intercepts.mean(), weights if penalty else weights - weights.mean(axis=0)
 
 
 def _line(design: DataFrame, names: list[str], inputs: list[Input]) -> Line:
@@ -363,9 +430,11 @@ def probabilities(df: DataFrame, model: MixedModel, node: str) -> DataFrame:
 def abducted_levels(df: DataFrame, model: MixedModel, node: str, keys: list[str], seed: int = 0) -> DataFrame:
     """df with `again`: the node's level from its parents and the noise that its observed level tells of; always the observed one."""
     m = model.mechanisms[node]
-    logs = m.logs(F.col)
-    noise = abducted(node, F.col(node), m.levels, logs, seed, [F.col(k) for k in keys])
-    return model.encoded(df).withColumn("again", likeliest(m.levels, [a + b for a, b in zip(logs, noise, strict=True)]))
+    places = range(len(m.levels))
+    out = model.encoded(df).withColumns({f"_s{i}": x for i, x in enumerate(m.logs(F.col))})  # columns, so that each is computed once
+    noise = abducted(node, F.col(node), m.levels, [F.col(f"_s{i}") for i in places], seed, [F.col(k) for k in keys])
+    out = out.withColumns({f"_m{i}": F.col(f"_s{i}") + g for i, g in enumerate(noise)})
+    return out.withColumn("again", likeliest(m.levels, [F.col(f"_m{i}") for i in places])).drop(*[f"_{k}{i}" for k in "sm" for i in places])
 
 
 def counterfactual(rows: DataFrame, model: MixedModel, do: dict[str, str | float], draws: int = 1, seed: int = 0, targets: list[str] | None = None) -> DataFrame:

@@ -188,3 +188,22 @@ def test_trees_are_fitted_on_counts_of_equal_rows(spark, monkeypatch):
     assert steps.noise.quantiles[0] == 0 and steps.noise.quantiles[-1] == 1 and steps.noise.quantiles.count(1.0) == 6
     left = sum(n * (y - m) ** 2 for y, m, n in ((1, 1.1, 360), (2, 1.1, 40)))
     assert abs(steps.explained - (1 - left / sum(n * (y - 0.71) ** 2 for y, n in ((0, 1200), (1, 2760), (2, 40))))) < 1e-3
+
+
+@pytest.mark.parametrize("penalty", [0.0, 1e-2])
+def test_softmax_takes_few_passes_to_the_weights_of_another_solver(spark, monkeypatch, penalty):
+    """Newton's steps end after some ten passes over the rows, at the optimum that Spark ML's L-BFGS ends at."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.sql import DataFrame
+
+    rows = spark.range(3000).select(*[normal(s, F.col("id")).alias(x) for s, x in ((1, "a"), (5, "b"))], F.lit(7.0).alias("c"), uniform(9, F.col("id")).alias("u"))
+    rows = rows.select("a", (100 * F.col("b") + 1000).alias("b"), "c", F.when(F.col("u") < 1 / (1 + F.exp(-F.col("a"))), 0.0).when(F.col("b") > 0.3, 1.0).otherwise(2.0).alias("_y")).withColumn("_n", F.lit(1.0)).cache()
+    passes, mapped = [], DataFrame.mapInArrow
+    with monkeypatch.context() as m:
+        m.setattr(DataFrame, "mapInArrow", lambda self, *a, **b: (passes.append(1), mapped(self, *a, **b))[1])
+        intercepts, weights = mixed_model.softmax_weights(rows, ["a", "b", "c"], 3, penalty)
+    assert len(passes) <= 15
+    table = VectorAssembler(inputCols=["a", "b", "c"], outputCol="x").transform(rows)
+    other = LogisticRegression(featuresCol="x", labelCol="_y", family="multinomial", regParam=penalty, maxIter=500, tol=1e-12).fit(table)
+    assert np.allclose(weights, other.coefficientMatrix.toArray(), atol=1e-4) and np.allclose(intercepts, np.array(other.interceptVector), rtol=1e-3, atol=1e-3)
