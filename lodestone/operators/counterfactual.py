@@ -5,6 +5,8 @@ Categorical nodes use the Gumbel-max coupling, which is one of many that the dat
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,26 +77,53 @@ def counterfactual(rows: DataFrame, tables: dict[str, DataFrame], network: dict[
             todo += network[n] if n in below else []
     spark = rows.sparkSession
     out = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    order = [n for n in topological(network) if n in wanted]
+    drawn = [n for n in order if n in below and n not in do]
+    for node in (n for n in order if n not in drawn):
+        out = out.withColumn(f"cf_{node}", F.lit(do[node]) if node in do else F.col(node))
+    levels: dict[str, list[str]] = {}
+    logs: dict[str, DataFrame] = {}
+
+    def looked_up(out: DataFrame, node: str, name: str, of: str) -> DataFrame:
+        """out with the log-probabilities of the node's levels, given its parents as `of` has them."""
+        parents = network[node]
+        table = logs[node].select(*[F.col(x).alias(f"{of}{x}") for x in parents], *[F.col(f"_{i}").alias(f"_{name}{i}_{node}") for i in range(len(levels[node]))])
+        return out.join(broadcast_if_small(table), [f"{of}{x}" for x in parents], "left")
+
+    def rivals(out: DataFrame, node: str) -> DataFrame:
+        """out with what each level gains, and whether it may win: only those that gain more than the observed one can, as its score was the largest.
+
+        With an unknown level or probability all may.
+        """
+        places = range(len(levels[node]))
+        out = out.withColumns({f"_gain{i}_{node}": F.col(f"_new{i}_{node}") - F.col(f"_seen{i}_{node}") for i in places})
+        own = F.coalesce(*[F.when(F.col(node) == x, F.col(f"_gain{i}_{node}")) for i, x in enumerate(levels[node])])
+        out = out.withColumn(f"_own_{node}", own)
+        out = out.withColumns({f"_may{i}_{node}": F.coalesce(F.col(f"_gain{i}_{node}") > F.col(f"_own_{node}"), F.lit(True)) for i in places})
+        return out.withColumn(f"_open_{node}", reduce(Column.__or__, [F.col(f"_may{i}_{node}") for i in places]))
+
+    for node in drawn:  # what doesn't differ between worlds is found before they are made
+        levels[node] = [r[0] for r in tables[node].select(F.col(node).cast("string")).distinct().orderBy(node).collect()]
+        p = [F.coalesce(F.max(F.when(F.col(node) == x, F.col("p"))), F.lit(0.0)) for x in levels[node]]
+        logs[node] = materialise(tables[node].groupBy(*network[node]).agg(*[F.log(F.greatest(v, F.lit(TINY))).alias(f"_{i}") for i, v in enumerate(p)]), "levels")
+        out = looked_up(out, node, "seen", "")
+        if not set(network[node]) & set(drawn):
+            out = rivals(looked_up(out, node, "new", "cf_"), node)
     out = out.crossJoin(F.broadcast(spark.range(draws).select(F.col("id").alias("draw"))))
     keys = [F.col("id"), F.col("draw")]
-    for node in (n for n in topological(network) if n in wanted):
-        if node in do:
-            out = out.withColumn(f"cf_{node}", F.lit(do[node]))
-        elif node not in below:
-            out = out.withColumn(f"cf_{node}", F.col(node))
-        else:
-            parents = network[node]
-            levels = [r[0] for r in tables[node].select(F.col(node).cast("string")).distinct().orderBy(node).collect()]
-            p = [F.coalesce(F.max(F.when(F.col(node) == x, F.col("p"))), F.lit(0.0)) for x in levels]
-            logs = materialise(tables[node].groupBy(*parents).agg(*[F.log(F.greatest(v, F.lit(TINY))).alias(f"_{i}") for i, v in enumerate(p)]), "levels")
-            for name, of in (("seen", ""), ("new", "cf_")):
-                table = logs.select(*[F.col(x).alias(f"{of}{x}") for x in parents], *[F.col(f"_{i}").alias(f"_{name}{i}") for i in range(len(levels))])
-                out = out.join(broadcast_if_small(table), [f"{of}{x}" for x in parents], "left")
-            noise = abducted(node, F.col(node), levels, [F.col(f"_seen{i}") for i in range(len(levels))], seed, keys)
-            out = out.withColumns({f"_g{i}": g for i, g in enumerate(noise)})
-            best = likeliest(levels, [F.col(f"_new{i}") + F.col(f"_g{i}") for i in range(len(levels))])
-            out = out.withColumn(f"cf_{node}", F.coalesce(best, F.col(node))).drop(*[f"_{k}{i}" for k in ("seen", "new", "g") for i in range(len(levels))])
-    return out
+    for node in drawn:
+        if set(network[node]) & set(drawn):
+            out = rivals(looked_up(out, node, "new", "cf_"), node)
+        places = range(len(levels[node]))
+        # columns of their own, so that each draw is made once: the observed level's score is `top`, the others' lie below it (see abducted)
+        out = out.withColumn(f"_top_{node}", F.when(F.col(f"_open_{node}"), gumbel(uniform(seed, F.lit(node), F.lit("top"), *keys))))
+        out = out.withColumns({f"_free{i}_{node}": F.when(F.col(f"_may{i}_{node}"), -gumbel(uniform(seed, F.lit(node), F.lit(x), *keys)) - F.col(f"_seen{i}_{node}")) for i, x in enumerate(levels[node])})
+        top = F.col(f"_top_{node}")
+        kept = [F.when(F.col(node) == x, top).otherwise(-_log_sum(F.col(f"_free{i}_{node}"), -top)) for i, x in enumerate(levels[node])]
+        out = out.withColumns({f"_score{i}_{node}": F.col(f"_new{i}_{node}") + (k - F.col(f"_seen{i}_{node}")) for i, k in enumerate(kept)})
+        best = likeliest(levels[node], [F.col(f"_score{i}_{node}") for i in places])
+        out = out.withColumn(f"cf_{node}", F.coalesce(best, F.col(node)))
+    return out.drop(*[f"_{k}{i}_{n}" for n in drawn for k in ("seen", "new", "gain", "may", "free", "score") for i in range(len(levels[n]))], *[f"_{k}_{n}" for n in drawn for k in ("own", "open", "top")])
 
 
 def answer(worlds: DataFrame, target: str) -> DataFrame:

@@ -239,3 +239,24 @@ def test_streamed_counts_add_up(spark, sf, tmp_path):
     q.awaitTermination(120)
     got = {r.event_type: r.n for r in current_counts(spark, str(tmp_path / "counts"), ["event_type"]).collect()}
     assert got == {r.event_type: r["count"] for r in events.groupBy("event_type").count().collect()}
+
+
+def test_worlds_are_made_after_look_ups_and_draw_for_rivals_only(spark):
+    """Probabilities are joined to rows before these are multiplied, and levels that can't win need no draw: the worlds are those of all draws."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from lodestone.operators.counterfactual import abducted, counterfactual, likeliest
+
+    shares = {"x": {"p": 0.5, "q": 0.3, "r": 0.2}, "y": {"p": 0.2, "q": 0.3, "r": 0.5}}
+    tables = {"b": spark.createDataFrame([(a, b, p) for a, by in shares.items() for b, p in by.items()], "a string, b string, p double")}
+    rows = spark.createDataFrame([(i, "x", b) for i in range(100) for b in "pqr"] + [(7, "x", None), (8, "z", "q")], "id long, a string, b string").withColumn("id", F.xxhash64("id", "b"))
+    got = counterfactual(rows, tables, {"a": [], "b": ["a"]}, {"a": "y"}, draws=20)
+    assert re.findall(r"Join (\w+)", got._jdf.queryExecution().optimizedPlan().toString())[0] != "LeftOuter"
+    logs = {a: [F.log(F.lit(p)) for p in by.values()] for a, by in shares.items()}
+    worlds = rows.crossJoin(spark.range(20).select(F.col("id").alias("draw")))
+    noise = abducted("b", F.col("b"), list("pqr"), logs["x"], 0, [F.col("id"), F.col("draw")])
+    plain = worlds.withColumn("cf_b", F.when(F.col("a") == "z", F.col("b")).otherwise(likeliest(list("pqr"), [new + g for new, g in zip(logs["y"], noise, strict=True)])))
+    wanted = sorted(map(repr, plain.select("id", "draw", "cf_b").collect()))
+    assert sorted(map(repr, got.select("id", "draw", "cf_b").collect())) == wanted and len(wanted) == 6040
