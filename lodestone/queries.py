@@ -6,6 +6,7 @@ import uuid
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -507,11 +508,18 @@ def lingam_structure(spark: SparkSession, d: str) -> DataFrame:
     return _found(spark, discovery.lingam(_dependent(spark, d), list("abcd")), list("abcd"), "LiNGAM")
 
 
-def _likely(u: Column, mean: Column) -> Column:
-    """A Poisson count of the mean at the uniform u: how many of its first 40 cumulative probabilities lie below."""
-    start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.lit(0).alias("k"))
-    step = lambda a, i: F.struct((a["p"] * mean / i).alias("p"), (a["c"] + a["p"] * mean / i).alias("c"), (a["k"] + (a["c"] < u).cast("int")).alias("k"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(40)), start, step)["k"]
+def _likely(u: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Poisson counts of the means at the uniforms u: how many of the first 40 cumulative probabilities lie below."""
+    p = np.exp(-mean)
+    c, k = p, np.zeros(len(u))
+    for i in range(1, 41):
+        below = c < u
+        if not below.any():  # nor are the later ones, which are no smaller
+            break
+        k += below
+        p = p * mean / i
+        c = c + p
+    return k
 
 
 def _flags(spark: SparkSession, d: str) -> DataFrame:
@@ -525,10 +533,15 @@ def _flags(spark: SparkSession, d: str) -> DataFrame:
 def _counted(spark: SparkSession, d: str) -> DataFrame:
     """Counts of each line whose causes are known: k, l (by k) and m (by l). All are hashes of the line's key."""
     key = F.col("l_orderkey"), F.col("l_linenumber")
-    written = lambda df: materialise(df, "counted")  # noqa: E731  else the counts of one column would be drawn anew inside each step of the next
-    rows = written(table(spark, d, "lineitem").select(*key, _likely(uniform(37, *key), F.lit(1.0)).cast("double").alias("k"))).withColumn("mean", F.exp(0.5 * F.col("k")))
-    rows = written(written(rows).withColumn("l", _likely(uniform(39, *key), F.col("mean")).cast("double"))).withColumn("mean", F.exp(-0.6 * F.col("l")))
-    return written(rows).withColumn("m", _likely(uniform(41, *key), F.col("mean")).cast("double"))
+
+    def drawn(batches):
+        for batch in batches:
+            u, v, w = (c.to_numpy() for c in batch.columns)
+            k = _likely(u, np.ones(len(u)))
+            l = _likely(v, np.exp(0.5 * k))  # noqa: E741
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k, l, _likely(w, np.exp(-0.6 * l)))], names=list("klm"))
+
+    return table(spark, d, "lineitem").select(*[uniform(seed, *key).alias(f"u{seed}") for seed in (37, 39, 41)]).mapInArrow(drawn, "k double, l double, m double")
 
 
 @query(_truth_sql([("f", "g"), ("g", "h")]))

@@ -53,3 +53,21 @@ def test_clinic_join_gives_the_simulated_table(spark, sf):
     got, wanted = queries.QUERIES["clinic_flat_join"](spark, sf), simulate.flat(simulate.clinic(spark))
     columns = [c for c in wanted.columns if "__" in c]
     assert got.select(*columns).exceptAll(wanted.select(*columns)).count() == 0 and got.count() == wanted.count()
+
+
+def test_counts_are_drawn_in_one_pass(spark, sf, monkeypatch):
+    """Counts with known causes need no tables between them, and are those of cumulative Poisson probabilities."""
+    import math
+
+    import numpy as np
+
+    def refused(*_, **__):
+        raise AssertionError("a table was written")
+
+    monkeypatch.setattr(queries, "materialise", refused)
+    rows = queries._counted(spark, sf).select("k", "l", "m").collect()
+    assert len(rows) == spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert abs(sum(r.k for r in rows) / len(rows) - 1) < 0.1
+    u, mean = np.array([0.0, 0.1, 0.5, 0.9, 0.999999, 1.0]), np.array([1.0, 3.0, 0.2, 7.0, 2.0, 90.0])
+    brute = [sum(sum(math.exp(-m) * m**j / math.factorial(j) for j in range(i + 1)) < x for i in range(40)) for x, m in zip(u, mean, strict=True)]
+    assert queries._likely(u, mean).tolist() == brute
